@@ -68,7 +68,6 @@ def main(argv):
     names = argv[1:] or list(entry.queries())
     spark = local_session()
     spark.sparkContext.setLogLevel("OFF")
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     con = duck(folder)
     bad = 0
     for name in names:
