@@ -48,6 +48,16 @@ FROM pages p JOIN events e ON e.event_id = p.page_id"""),
     "sightings": ("", """
 SELECT e.event_id AS sighting_id, p.url, concat('feed-', e.event_type) AS source, e.ts AS seen_at
 FROM events e JOIN pages p ON p.page_id = e.user_id"""),
+    "responses": ("", """
+SELECT page_id, url AS original_url, CASE page_id % 12 WHEN 11 THEN NULL ELSE url END AS final_url,
+  CASE page_id % 12 WHEN 11 THEN NULL WHEN 5 THEN 500 ELSE 200 END AS status_code,
+  CASE page_id % 5 WHEN 0 THEN 'Text/HTML; charset=utf-8' WHEN 1 THEN 'application/json' WHEN 2 THEN NULL WHEN 3 THEN ' ; x' ELSE 'image/png' END AS content_type,
+  CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/x-dosexec' ELSE NULL END AS detected_type,
+  CASE page_id % 7 WHEN 0 THEN 'attachment; filename="a;b.EXE"' WHEN 1 THEN 'inline' WHEN 2 THEN 'ATTACHMENT; filename=x.txt; filename*=UTF-8''en''r%20s.js' WHEN 3 THEN 'attachment' ELSE NULL END AS disposition,
+  CASE page_id % 6 WHEN 0 THEN '5; url=/next' WHEN 1 THEN '0.5, URL = "https://x.example.edu/"' WHEN 2 THEN 'soon' ELSE NULL END AS refresh,
+  CASE page_id % 9 WHEN 4 THEN '' ELSE html END AS body, page_id % 10 = 3 AS truncated, CASE page_id % 3 WHEN 0 THEN '12345' WHEN 1 THEN 'x' ELSE NULL END AS content_length,
+  CASE page_id % 13 WHEN 2 THEN 'body_interrupted' ELSE NULL END AS error_code
+FROM pages"""),
     "hops": ("", """
 SELECT journey_id, hop_no, source_url, destination_url FROM (
   SELECT journey_id, hop_no, url AS source_url, lead(url) OVER (PARTITION BY journey_id ORDER BY hop_no) AS destination_url

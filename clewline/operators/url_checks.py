@@ -245,7 +245,7 @@ def url_external_query_target(urls: DataFrame, index: SuffixIndex) -> DataFrame:
     v = F.trim("value")
     j = params.select("url_id", "name", "value_index", "value").join(src, "url_id")
     target = F.when(v.rlike(r"^[/\\]{2}"), F.concat("protocol", F.lit("//"), F.substring(v, 3, 1 << 30))).otherwise(v)
-    parsed = U.with_parts(j.drop("protocol").select("*", target.alias("target_url")).withColumnsRenamed({"hostname": "url_host", "host_type": "url_host_type"}), "target_url")
+    parsed = U.with_parts(j.withColumn("target_url", target).drop("protocol").withColumnsRenamed({"hostname": "url_host", "host_type": "url_host_type"}), "target_url")
     t = domain_split(parsed, index, "hostname", "t_")
     src_ip = F.col("url_host_type").isin("IPV4", "IPV6")
     dst_ip = F.col("host_type").isin("IPV4", "IPV6")
