@@ -95,8 +95,8 @@ ATTEMPTS = "SELECT l_orderkey AS request_id, concat('L', CAST(l_linenumber % 4 A
 
 
 @query("attempt_consistency", f"""
-WITH a AS ({ATTEMPTS}), g AS (SELECT request_id, count(DISTINCT attempt) AS at, count(DISTINCT requested_url) AS u, count(*) AS n, count(DISTINCT layer) AS l, list(DISTINCT layer) AS ls FROM a GROUP BY 1)
-SELECT request_id, 'mixed_attempt' AS problem FROM g WHERE at > 1 UNION ALL SELECT request_id, 'several_requested_urls' FROM g WHERE u > 1
+WITH a AS ({ATTEMPTS}), g AS (SELECT request_id, count(DISTINCT attempt) AS att, count(DISTINCT requested_url) AS u, count(*) AS n, count(DISTINCT layer) AS l, list(DISTINCT layer) AS ls FROM a GROUP BY 1)
+SELECT request_id, 'mixed_attempt' AS problem FROM g WHERE att > 1 UNION ALL SELECT request_id, 'several_requested_urls' FROM g WHERE u > 1
 UNION ALL SELECT request_id, 'duplicate_layer' FROM g WHERE n > l UNION ALL SELECT request_id, 'missing_layer_' || x FROM g, (SELECT unnest(['L0', 'L1', 'L2', 'L3']) AS x) WHERE NOT list_contains(ls, x)""")
 def _(t):
     return K.attempt_consistency(t.sql(ATTEMPTS), ("L0", "L1", "L2", "L3"))
