@@ -91,7 +91,7 @@ SELECT page_id AS cert_id, pos, name FROM (
     "ct_logs": ("", "SELECT o_orderkey % 500 AS cert_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS entry_timestamp FROM orders"),
     "dns_answers": ("", """
 SELECT p.page_id AS host_id, e.event_id AS pos,
-  concat(CASE WHEN e.event_type = 'signup' THEN '8.' ELSE '10.' END, CAST(p.page_id % 25 AS STRING), '.', CAST(floor(e.value) % 4 AS STRING), '.9') AS ip
+  concat(CASE WHEN e.event_type = 'signup' THEN '8.' ELSE '10.' END, CAST(p.page_id % 25 AS STRING), '.', CAST(CAST(floor(e.value) AS BIGINT) % 4 AS STRING), '.9') AS ip
 FROM events e JOIN pages p ON p.page_id = e.user_id"""),
     "prefixes": ("", """
 SELECT concat('10.', CAST(n_nationkey AS STRING), '.0.0') AS network, 16 AS prefix_len, 64500 + n_nationkey AS asn, n_name AS org FROM nation
@@ -111,6 +111,11 @@ SELECT page_id, url, concat(replace(replace(html, '</article>', concat(CASE page
      WHEN 2 THEN '<meta http-equiv="Refresh" content="soon"><link rel="shortcut icon" href="/fav.ico">' WHEN 3 THEN '<base href="javascript:x">' ELSE '' END, '<title>')), '') AS html,
   page_id % 10 <> 3 AS source_complete
 FROM pages"""),
+    "js_events": ("", """
+SELECT l_orderkey AS page_id, l_orderkey * 100 + n AS event_id, n AS pos, CASE l_partkey % 6 WHEN 0 THEN 'dynamic_execution' WHEN 1 THEN 'decode' WHEN 2 THEN 'network' WHEN 3 THEN 'redirect' WHEN 4 THEN 'environment' ELSE 'credential_read' END AS kind,
+  concat('api', CAST(l_suppkey % 4 AS STRING)) AS api, CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS external,
+  CASE WHEN l_quantity > 25 AND n > 1 THEN l_orderkey * 100 + n - 1 ELSE NULL END AS source_id
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM lineitem) x"""),
     "net_events": ("", """
 SELECT user_id AS capture_id, concat(CAST(user_id AS STRING), '-', CAST(CAST(floor(event_id / 400) AS BIGINT) AS STRING)) AS request_id,
   event_id AS sequence, ts, CASE event_type WHEN 'view' THEN 'request' WHEN 'signup' THEN 'request' WHEN 'click' THEN 'response_received' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state,

@@ -85,8 +85,9 @@ def cname_terminal(edges: DataFrame, hosts: DataFrame, max_depth: int = 8) -> Da
             cur.reply_id, F.coalesce("next", "at").alias("at"), (F.col("used") + F.when(F.col("next").isNotNull(), 1).otherwise(0)).alias("used"),
             (F.col("ok") & (F.coalesce("targets", F.lit(1)) == 1)).alias("ok"))
         cur = j
-    j = cur.join(size, "reply_id", "left")
-    fine = F.col("ok") & (F.col("used") == F.coalesce("aliases", F.lit(0)))
+    more = one.select(F.col("reply_id").alias("_r"), F.col("name").alias("_n"))
+    j = cur.join(more, (cur.reply_id == F.col("_r")) & (cur["at"] == F.col("_n")), "left").join(size, "reply_id", "left")
+    fine = F.col("ok") & F.col("_n").isNull() & (F.col("used") == F.coalesce("aliases", F.lit(0)))
     return j.select("reply_id", F.when(fine, F.col("at")).alias("terminal"))
 
 

@@ -152,11 +152,10 @@ def _(t):
 ACTIVE = "(len(list_intersect(list_transform(string_split(source_status, '|'), lambda x: lower(trim(x))), ['active', 'online', 'yes'])) > 0 AND len(list_intersect(list_transform(string_split(source_status, '|'), lambda x: lower(trim(x))), ['inactive', 'offline'])) = 0)"
 
 
-@query("dataset_summary", W(f"""
-WITH x AS (SELECT *, {ACTIVE} AS active FROM ({REJECTED}))
+@query("dataset_summary", W("""
 SELECT 'total' AS dimension, 'total' AS value, count(*) AS n FROM x UNION ALL SELECT 'total', 'active', count(*) FILTER (active) FROM x UNION ALL SELECT 'total', 'eligible', count(*) FILTER (reason IS NULL) FROM x
 UNION ALL SELECT 'total', 'active_eligible', count(*) FILTER (active AND reason IS NULL) FROM x UNION ALL SELECT 'rejected', reason, count(*) FROM x WHERE reason IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'source', source, count(*) FROM x GROUP BY 2 UNION ALL SELECT 'status', source_status, count(*) FROM x GROUP BY 2""", "feed").replace(") \nWITH x", "), x"))
+UNION ALL SELECT 'source', source, count(*) FROM x GROUP BY 2 UNION ALL SELECT 'status', source_status, count(*) FROM x GROUP BY 2""", "feed", f"x AS (SELECT *, {ACTIVE} AS active FROM ({REJECTED}))"))
 def _(t):
     return S.dataset_summary(t.sql(DATASET, "feed"))
 
