@@ -30,7 +30,7 @@ def tag(names: str) -> str:
 
 def attr(text: Column, name: str) -> Column:
     """Attribute value; NULL when absent, empty text when present without a value."""
-    body = rf"""(?is)^<[a-z0-9]+\b(?:[^>"']++|"[^"]*+"|'[^']*+')*?\s{name}"""
+    body = rf"""(?is)^<[a-z0-9]+\b(?:[^>"']|"[^"]*+"|'[^']*+')*?\s{name}"""
     value = rf"""{body}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     got = F.concat(*[F.regexp_extract(text, value, i) for i in (1, 2, 3)])
     return F.when(text.rlike(value), got).when(text.rlike(rf"{body}(?=[\s/>=])"), F.lit(""))

@@ -79,7 +79,10 @@ def script_literal_destinations(pages: DataFrame, scripts: DataFrame, rules: Dat
     q = r"""\s*["']([^"']+)["']"""
     kinds = {"network": rf"(?:\bfetch|navigator\.sendBeacon)\s*\({q}", "network_open": rf"""\.open\s*\(\s*["'][^"']*["']\s*,{q}""",
              "redirect": rf"\blocation\.(?:replace|assign)\s*\({q}", "redirect_set": rf"\blocation(?:\.href)?\s*=(?!=){q}"}
-    arr = F.concat(*[F.transform(F.regexp_extract_all("source", F.lit(p), F.lit(1)), lambda v, k=k: F.struct(F.lit(k.split("_")[0]).alias("kind"), v.alias("raw"))) for k, p in kinds.items()])
+    def found(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all("source", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
+
+    arr = F.concat(*[found(k.split("_")[0], p) for k, p in kinds.items()])
     e = scripts.where("source IS NOT NULL").select("page_id", "url", "script_id", F.explode(arr).alias("e")).select("page_id", "url", "script_id", "e.*")
     e = U.with_resolved(with_base(pages, e), "raw", "effective_base", "destination")
     r = url_relations(e, rules, "url", "destination")
