@@ -141,7 +141,9 @@ def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None)
 
 
 def with_parts(df: DataFrame, col: str = "url") -> DataFrame:
-    """Add parse_status and URL components, without a shuffle."""
+    """Add parse_status and URL components, without a shuffle. A table that has them is returned as is."""
+    if "parse_status" in df.columns:
+        return df
     u = F.col(col)
     out = df.withColumns({"_sch": scheme(u), "_auth": authority(u), "_path": path(u), "_query": query(u), "_frag": fragment(u)})
     out = out.withColumns({

@@ -47,10 +47,21 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def elements(pages: DataFrame, names: str, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """One row per opening tag, in page order, with its text."""
-    found = F.regexp_extract_all(markup(), F.lit(tag(names)), F.lit(0))
-    return pages.select(*keep, F.posexplode(found).alias("pos", "tag_text"))
+def prepared(pages: DataFrame) -> DataFrame:
+    """Pages with blanked markup and the base that references resolve against: one projection, no join."""
+    if "effective_base" in pages.columns:
+        return pages
+    p = U.settle(pages.withColumn("markup", markup()), "markup")
+    first = F.regexp_extract("markup", r"(?is)(<base\b(?=[^>]*\shref)[^>]*>)", 1)
+    p = p.withColumn("raw_href", F.when(first != "", attr(first, "href")))
+    p = U.with_resolved(p.withColumn("_r0", F.nullif(F.trim("raw_href"), F.lit(""))), "_r0", "url", "base_url").drop("_r0")
+    return p.withColumn("effective_base", F.coalesce("base_url", "url"))
+
+
+def elements(pages: DataFrame, names: str) -> DataFrame:
+    """One row per opening tag, in page order, with its text and its page's base."""
+    found = F.regexp_extract_all("markup", F.lit(tag(names)), F.lit(0))
+    return prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text"))
 
 
 def stable_element_ids(els: DataFrame, kind: str, html_id: str = "html_id", out: str = "element_id") -> DataFrame:
@@ -108,10 +119,8 @@ def page_visible_text(pages: DataFrame) -> DataFrame:
 
 def page_base(pages: DataFrame) -> DataFrame:
     """First base href and the base that references resolve against."""
-    first = F.regexp_extract(markup(), r"(?is)(<base\b(?=[^>]*\shref)[^>]*>)", 1)
-    p = pages.select("page_id", "url", F.when(first != "", attr(first, "href")).alias("raw_href"))
-    p = U.with_resolved(p.withColumn("_r", F.nullif(F.trim("raw_href"), F.lit(""))), "_r", "url", "base_url").drop("_r")
-    return p.withColumns({"effective_base": F.coalesce("base_url", "url"), "valid": F.when(F.col("raw_href").isNotNull(), F.col("base_url").isNotNull())})
+    p = prepared(pages)
+    return p.select("page_id", "url", "raw_href", "base_url", "effective_base", F.when(F.col("raw_href").isNotNull(), F.col("base_url").isNotNull()).alias("valid"))
 
 
 def base_url_change(bases: DataFrame, index: SuffixIndex) -> DataFrame:
@@ -120,15 +129,11 @@ def base_url_change(bases: DataFrame, index: SuffixIndex) -> DataFrame:
     return d.select("page_id", ext.alias("detected"), "base_url")
 
 
-def with_base(pages: DataFrame, els: DataFrame) -> DataFrame:
-    return els.join(page_base(pages).select("page_id", "effective_base"), "page_id")
-
-
 def meta_refresh(pages: DataFrame) -> DataFrame:
     """First meta refresh with its delay and target; invalid ones keep their text."""
     e = elements(pages, "meta").withColumn("eq", F.lower(F.trim(attr(F.col("tag_text"), "http-equiv")))).where("eq = 'refresh'")
-    one = e.groupBy("page_id").agg(F.min_by("tag_text", "pos").alias("tag_text"))
-    m = with_base(pages, one).withColumn("raw_content", F.coalesce(attr(F.col("tag_text"), "content"), F.lit("")))
+    one = e.groupBy("page_id", "effective_base").agg(F.min_by("tag_text", "pos").alias("tag_text"))
+    m = one.withColumn("raw_content", F.coalesce(attr(F.col("tag_text"), "content"), F.lit("")))
     pat = r"(?is)^\s*(\d+(?:\.\d*)?|\.\d+)\s*(?:;\s*(?:url\s*=\s*)?(.+?)\s*)?$"
     raw = F.trim(F.regexp_replace(F.trim(F.regexp_extract("raw_content", pat, 2)), "^[\"']+|[\"']+$", ""))
     m = U.with_resolved(m.withColumn("_t", F.nullif(raw, F.lit(""))), "_t", "effective_base", "target_url")
@@ -144,8 +149,8 @@ def html_redirect(pages: DataFrame, refresh: DataFrame) -> DataFrame:
 
 def form_tokens(pages: DataFrame) -> DataFrame:
     """Form, control and form-end tags in page order, each with the form that encloses it."""
-    found = F.regexp_extract_all(markup(), F.lit(r"(?is)</form\s*>|<(?:form|input|textarea|select|button)\b" + _REST), F.lit(0))
-    t = pages.select("page_id", "url", F.posexplode(found).alias("pos", "tag_text"))
+    found = F.regexp_extract_all("markup", F.lit(r"(?is)</form\s*>|<(?:form|input|textarea|select|button)\b" + _REST), F.lit(0))
+    t = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text"))
     t = t.withColumn("tag", F.lower(F.regexp_extract("tag_text", r"^<(/?[a-zA-Z]+)", 1)))
     w = Window.partitionBy("page_id").orderBy("pos")
     t = t.withColumn("form_no", F.when(F.col("tag") == "form", F.count_if(F.col("tag") == "form").over(w)))
@@ -153,11 +158,12 @@ def form_tokens(pages: DataFrame) -> DataFrame:
     return t.withColumn("enclosing", F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit(0)))
 
 
-def page_forms(pages: DataFrame) -> DataFrame:
-    f = form_tokens(pages).where("tag = 'form'")
+def page_forms(tokens: DataFrame) -> DataFrame:
+    """Forms with method, resolved action and how it was resolved, from ``form_tokens``."""
+    f = tokens.where("tag = 'form'")
     f = f.withColumns({"html_id": attr(F.col("tag_text"), "id"), "action_raw": attr(F.col("tag_text"), "action"),
                        "method": F.coalesce(F.nullif(F.lower(F.trim(attr(F.col("tag_text"), "method"))), F.lit("")), F.lit("get"))})
-    f = with_base(pages, stable_element_ids(f, "form", out="form_id"))
+    f = stable_element_ids(f, "form", out="form_id")
     blank = F.coalesce(F.trim("action_raw"), F.lit("")) == ""
     f = U.with_resolved(f.withColumn("_r", F.when(~blank, F.col("action_raw"))), "_r", "effective_base", "_a")
     url = F.when(blank, F.when(U.is_http(F.col("url")), F.col("url"))).otherwise(F.col("_a"))
@@ -174,7 +180,7 @@ def form_controls(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     form = F.when(F.col("ref").isNotNull(), F.when(F.col("n") == 1, F.col("by_id"))).otherwise(F.col("by_place"))
     kind = first_true([(F.col("ref").isNotNull() & (F.col("n") == 1), "explicit"), (F.col("ref").isNotNull() & (F.col("n") > 1), "ambiguous"),
                        (F.col("ref").isNotNull(), "unresolved"), (F.col("by_place").isNotNull(), "enclosing")], "none")
-    return j.select("page_id", "pos", "tag", "tag_text", form.alias("form_id"), kind.alias("association"))
+    return j.select("page_id", "url", "effective_base", "pos", "tag", "tag_text", form.alias("form_id"), kind.alias("association"))
 
 
 def page_inputs(controls: DataFrame) -> DataFrame:
@@ -187,17 +193,16 @@ def page_inputs(controls: DataFrame) -> DataFrame:
     return i.select("page_id", "field_id", "form_id", "tag", "type", "name", "html_id", "placeholder", "autocomplete", "disabled", "readonly", (F.col("type") == "hidden").alias("hidden"))
 
 
-def page_buttons(pages: DataFrame, controls: DataFrame, forms: DataFrame) -> DataFrame:
+def page_buttons(controls: DataFrame, forms: DataFrame) -> DataFrame:
     t = F.col("tag_text")
     b = controls.withColumn("type", F.lower(F.coalesce(F.nullif(attr(t, "type"), F.lit("")), F.when(F.col("tag") == "button", "submit"))))
     b = b.where("tag = 'button' OR (tag = 'input' AND type IN ('submit', 'image', 'button', 'reset'))")
     b = b.withColumns({"html_id": attr(t, "id"), "formaction": attr(t, "formaction"), "formmethod": F.nullif(attr(t, "formmethod"), F.lit("")), "disabled": has(t, "disabled")})
-    b = with_base(pages, stable_element_ids(b, "button", out="button_id"))
+    b = stable_element_ids(b, "button", out="button_id")
     b = U.with_resolved(b.withColumn("_r", F.nullif("formaction", F.lit(""))), "_r", "effective_base", "_a")
-    f = forms.select("page_id", "form_id", F.col("url").alias("doc"), "method", "action_url")
-    j = b.join(f, ["page_id", "form_id"], "left").join(pages.select("page_id", "url"), "page_id")
+    j = b.join(forms.select("page_id", "form_id", "method", "action_url"), ["page_id", "form_id"], "left")
     action = F.when(F.col("formaction") == "", F.col("url")).when(F.col("formaction").isNotNull(), F.col("_a")).otherwise(F.col("action_url"))
-    return j.select("page_id", "button_id", "form_id", "type", "disabled", action.alias("effective_action"), F.lower(F.coalesce("formmethod", "method", F.lit("get"))).alias("effective_method"))
+    return j.select("page_id", "url", "button_id", "form_id", "type", "disabled", action.alias("effective_action"), F.lower(F.coalesce("formmethod", "method", F.lit("get"))).alias("effective_method"))
 
 
 def credential_classify(inputs: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def external_post(forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> Dat
     """Posts to another site scope; unresolved destinations keep the page undecided."""
     f = forms.where("method = 'post'").select("page_id", "url", F.col("action_url").alias("dest"))
     b = buttons.where("form_id IS NOT NULL AND type IN ('submit', 'image') AND NOT disabled AND effective_method = 'post'")
-    b = b.join(forms.select("page_id", "url").distinct(), "page_id").select("page_id", "url", F.col("effective_action").alias("dest"))
+    b = b.select("page_id", "url", F.col("effective_action").alias("dest"))
     r = url_relations(f.unionByName(b), rules, "url", "dest").withColumn("external", not3(F.col("same_site_scope")))
     return r.groupBy("page_id").agg(any3(F.col("external")).alias("detected"), F.min(F.when(F.col("external"), F.col("dest"))).alias("destination"), F.count("*").alias("posts"))
 
@@ -252,37 +257,37 @@ def external_post(forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> Dat
 
 def page_images(pages: DataFrame, index: SuffixIndex) -> DataFrame:
     i = elements(pages, "img").withColumns({"html_id": attr(F.col("tag_text"), "id"), "src_raw": attr(F.col("tag_text"), "src")})
-    i = U.with_resolved(with_base(pages, stable_element_ids(i, "image", out="image_id")), "src_raw", "effective_base", "resource_url")
+    i = U.with_resolved(stable_element_ids(i, "image", out="image_id"), "src_raw", "effective_base", "resource_url")
     return etld1(i, index, "resource_url", "domain").select("page_id", "image_id", "resource_url", "domain")
 
 
 def page_favicon(pages: DataFrame, index: SuffixIndex) -> DataFrame:
     e = elements(pages, "link").where(F.array_contains(F.split(F.lower(F.trim(attr(F.col("tag_text"), "rel"))), r"\s+"), "icon"))
-    one = e.groupBy("page_id").agg(F.min_by("tag_text", "pos").alias("tag_text")).withColumn("href", attr(F.col("tag_text"), "href"))
-    i = U.with_resolved(with_base(pages, one), "href", "effective_base", "resource_url")
+    one = e.groupBy("page_id", "effective_base").agg(F.min_by("tag_text", "pos").alias("tag_text")).withColumn("href", attr(F.col("tag_text"), "href"))
+    i = U.with_resolved(one, "href", "effective_base", "resource_url")
     return etld1(i, index, "resource_url", "domain").select("page_id", "resource_url", "domain")
 
 
 def page_open_graph(pages: DataFrame) -> DataFrame:
     e = elements(pages, "meta").withColumn("property", F.lower(F.trim(attr(F.col("tag_text"), "property")))).where("property LIKE 'og:%'")
-    last = e.groupBy("page_id", "property").agg(F.max_by("tag_text", "pos").alias("tag_text")).withColumn("content", attr(F.col("tag_text"), "content"))
+    last = e.groupBy("page_id", "effective_base", "property").agg(F.max_by("tag_text", "pos").alias("tag_text")).withColumn("content", attr(F.col("tag_text"), "content"))
     url = last.withColumn("_u", F.when(F.col("property").isin("og:image", "og:image:url", "og:url", "og:video", "og:audio"), F.col("content")))
-    return U.with_resolved(with_base(pages, url), "_u", "effective_base", "resource_url").select("page_id", "property", "content", "resource_url")
+    return U.with_resolved(url, "_u", "effective_base", "resource_url").select("page_id", "property", "content", "resource_url")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Anchors with their text, raw and resolved address."""
-    found = F.regexp_extract_all(markup(), F.lit(r"(?is)<a\b(?=[^>]*\shref)" + _REST + r"(?:.*?</a\s*>)?"), F.lit(0))
-    e = pages.select("page_id", "url", F.posexplode(found).alias("pos", "x"))
+    found = F.regexp_extract_all("markup", F.lit(r"(?is)<a\b(?=[^>]*\shref)" + _REST + r"(?:.*?</a\s*>)?"), F.lit(0))
+    e = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "x"))
     open_tag = F.regexp_extract("x", r"(?is)^(<a\b" + _REST + ")", 1)
     e = e.withColumns({"href": attr(open_tag, "href"), "download": attr(open_tag, "download"), "target": attr(open_tag, "target"), "text": plain_text(F.col("x"))})
-    e = U.with_resolved(with_base(pages, e.drop("x")), "href", "effective_base", "destination")
+    e = U.with_resolved(e.drop("x"), "href", "effective_base", "destination")
     return e.select("page_id", "url", F.concat(F.lit("link-"), (F.col("pos") + 1).cast("string")).alias("link_id"), "pos", "text", "href", "destination", "download", "target")
 
 
 def page_frames(pages: DataFrame) -> DataFrame:
     f = elements(pages, "iframe").withColumns({"src_raw": attr(F.col("tag_text"), "src"), "srcdoc": attr(F.col("tag_text"), "srcdoc")})
-    f = U.with_resolved(with_base(pages, f), "src_raw", "effective_base", "src")
+    f = U.with_resolved(f, "src_raw", "effective_base", "src")
     return f.select("page_id", F.concat(F.lit("frame-"), (F.col("pos") + 1).cast("string")).alias("frame_id"), "src", "srcdoc")
 
 

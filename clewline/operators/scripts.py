@@ -11,7 +11,7 @@ from ..functions import url as U
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SCRIPT_APIS
 from .domains import url_relations
-from .pages import _REST, attr, has, with_base
+from .pages import _REST, attr, has, prepared
 
 # Media types that run as scripts or hold JSON, limits, and signal names by event kind.
 SCRIPT_TYPES = ("", "application/ecmascript", "application/javascript", "module", "text/ecmascript", "text/javascript")
@@ -26,13 +26,13 @@ def page_scripts(pages: DataFrame) -> DataFrame:
     """Inline and external scripts in page order."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<!--.*?-->|<script\b" + _REST + r".*?</script\s*>"), F.lit(0))
     only = F.filter(found, lambda x: F.lower(F.substring(x, 1, 7)) == "<script")
-    s = pages.select("page_id", "url", F.posexplode(only).alias("pos", "x"))
+    s = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(only).alias("pos", "x"))
     s = s.withColumns({"t": F.regexp_extract("x", r"(?is)^(<script\b" + _REST + ")", 1), "body": F.regexp_extract("x", r"(?is)^<script\b" + _REST + r"(.*?)</script\s*>$", 1)}).drop("x")
     t = F.col("t")
     s = s.withColumns({"raw_src": attr(t, "src"), "media_type": attr(t, "type"), "is_async": has(t, "async"), "is_defer": has(t, "defer")})
-    s = U.with_resolved(with_base(pages, s), "raw_src", "effective_base", "source_url")
+    s = U.with_resolved(s, "raw_src", "effective_base", "source_url")
     inline = F.col("raw_src").isNull()
-    return s.select("page_id", "url", F.concat(F.lit("script-"), (F.col("pos") + 1).cast("string")).alias("script_id"), "pos",
+    return s.select("page_id", "url", "effective_base", F.concat(F.lit("script-"), (F.col("pos") + 1).cast("string")).alias("script_id"), "pos",
                     F.when(inline, "inline").otherwise("external").alias("type"), "source_url", F.when(inline, F.col("body")).alias("source"),
                     F.when(inline, F.sha2("body", 256)).alias("sha256"), F.when(inline, F.octet_length("body")).alias("size"), "media_type", "is_async", "is_defer")
 
@@ -74,7 +74,7 @@ def script_api_screen(scripts: DataFrame) -> DataFrame:
     return s.select("page_id", "script_id", F.explode(F.array(*rows)).alias("e")).select("page_id", "script_id", "e.*").where("n > 0")
 
 
-def script_literal_destinations(pages: DataFrame, scripts: DataFrame, rules: DataFrame) -> DataFrame:
+def script_literal_destinations(scripts: DataFrame, rules: DataFrame) -> DataFrame:
     """Literal addresses given to network and redirect calls, resolved, with an external flag."""
     q = r"""\s*["']([^"']+)["']"""
     kinds = {"network": rf"(?:\bfetch|navigator\.sendBeacon)\s*\({q}", "network_open": rf"""\.open\s*\(\s*["'][^"']*["']\s*,{q}""",
@@ -83,8 +83,8 @@ def script_literal_destinations(pages: DataFrame, scripts: DataFrame, rules: Dat
         return F.transform(F.regexp_extract_all("source", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
 
     arr = F.concat(*[found(k.split("_")[0], p) for k, p in kinds.items()])
-    e = scripts.where("source IS NOT NULL").select("page_id", "url", "script_id", F.explode(arr).alias("e")).select("page_id", "url", "script_id", "e.*")
-    e = U.with_resolved(with_base(pages, e), "raw", "effective_base", "destination")
+    e = scripts.where("source IS NOT NULL").select("page_id", "url", "effective_base", "script_id", F.explode(arr).alias("e")).select("page_id", "url", "effective_base", "script_id", "e.*")
+    e = U.with_resolved(e, "raw", "effective_base", "destination")
     r = url_relations(e, rules, "url", "destination")
     return r.select("page_id", "script_id", "kind", "destination", (~F.col("same_site_scope")).alias("external"))
 
@@ -175,12 +175,13 @@ def json_content_fields(scripts: DataFrame, levels: int = 6) -> DataFrame:
     """JSON blocks as (path, kind, value): text, address and resource fields by key role."""
     m = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
     node = scripts.where(m.isin(*JSON_TYPES)).select("page_id", "script_id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json("source").alias("v"))
-    spark, out = scripts.sparkSession, None
+    deep = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
     for _ in range(levels):
-        x = spark.sql("SELECT d.page_id, d.script_id, concat(d.path, '/', coalesce(x.key, CAST(x.pos AS STRING))) AS path, x.key AS key, x.value AS v FROM {node} d, LATERAL variant_explode(d.v) x", node=node)
-        leaf = x.where(~F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        out = leaf if out is None else out.unionByName(leaf)
-        node = x.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        # A scalar has nothing to open: the outer form keeps its row as it is.
+        node = scripts.sparkSession.sql(
+            "SELECT d.page_id, d.script_id, CASE WHEN x.pos IS NULL THEN d.path ELSE concat(d.path, '/', coalesce(x.key, CAST(x.pos AS STRING))) END AS path, "
+            "CASE WHEN x.pos IS NULL THEN d.key ELSE x.key END AS key, CASE WHEN x.pos IS NULL THEN d.v ELSE x.value END AS v FROM {node} d, LATERAL variant_explode_outer(d.v) x", node=node)
+    out = node.where(~deep)
     k = F.lower("key")
     kind = F.when(k.isin(*TEXT_KEYS), "text").when(k.isin(*ADDRESS_KEYS), "address").when(k.isin(*RESOURCE_KEYS), "resource")
     return out.select("page_id", "script_id", "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value")).where("kind IS NOT NULL")

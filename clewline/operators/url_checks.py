@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import url as U
 from ..functions.logic import first_true
 from ..functions.udfs import idn_decode_udf, strip_marks_udf
+from ..session import materialise
 from ..refdata import CONFUSABLES, DANGEROUS_EXTENSIONS, DECEPTIVE_EXTENSIONS, NON_GLOBAL_BLOCKS, SuffixIndex
 from .domains import domain_split
 
@@ -30,6 +31,8 @@ def url_host(urls: DataFrame) -> DataFrame:
 
 def with_domains(urls: DataFrame, index: SuffixIndex) -> DataFrame:
     """Successfully parsed URLs with their domain split."""
+    if "registered_domain" in urls.columns:
+        return urls
     return domain_split(U.with_parts(urls).where("parse_status = 'SUCCESS'"), index)
 
 
@@ -155,20 +158,23 @@ def url_feed_active(dataset: DataFrame) -> DataFrame:
     return dataset.withColumn("active", feed_active_flag())
 
 
-def rejection(col: str = "url"):
-    """First reason a dataset row cannot be scanned, NULL when it can."""
+def with_rejection(df: DataFrame, col: str = "url", out: str = "reason") -> DataFrame:
+    """Add the first reason a dataset row cannot be scanned, NULL when it can."""
     u = F.col(col)
-    port = U.port_text(u)
-    return first_true([
-        (~F.coalesce(U.scheme(u).isin("http", "https"), F.lit(False)), "unsupported_scheme"),
-        (U.raw_host(u).isin("", "[]"), "missing_hostname"),
-        (U.authority(u).contains("@"), "userinfo_not_allowed"),
+    d = df.withColumns({"_s": U.scheme(u), "_a": U.authority(u)})
+    d = d.withColumns({"_h": F.regexp_replace("_a", r":[^:\]]*$", ""), "_p": F.regexp_extract("_a", r":([^:\]]*)$", 1)})
+    port = F.col("_p")
+    reason = first_true([
+        (~F.coalesce(F.col("_s").isin("http", "https"), F.lit(False)), "unsupported_scheme"),
+        (F.col("_h").isin("", "[]"), "missing_hostname"),
+        (F.col("_a").contains("@"), "userinfo_not_allowed"),
         ((port != "") & ~(port.rlike(r"^[0-9]{1,5}$") & (F.coalesce(port.try_cast("int"), F.lit(99999)) <= 65535)), "malformed_url"),
     ])
+    return U.settle(d.withColumn(out, reason).drop("_s", "_a", "_h", "_p"), out)
 
 
 def url_rejection_reason(dataset: DataFrame) -> DataFrame:
-    return dataset.withColumn("reason", rejection())
+    return with_rejection(dataset)
 
 
 def non_global_flag(ip: str, blocks=NON_GLOBAL_BLOCKS):
@@ -267,8 +273,13 @@ CHECKS = ("ip_host", "tld_list", "free_hosting", "word_split", "idn_skeleton", "
 
 
 def url_observations(urls: DataFrame, index: SuffixIndex, tlds: DataFrame, providers: DataFrame, shorteners: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """All ten checks as one positive-only long table: (url_id, check_name, facts)."""
-    dom = with_domains(urls, index)
+    """All ten checks as one positive-only long table: (url_id, check_name, facts).
+
+    The URLs are taken apart once into a written table that every check reads, instead of
+    once per check.
+    """
+    urls = materialise(with_domains(urls, index), "parsed-urls")
+    dom = urls
     found = {
         "ip_host": url_ip_host(urls),
         "tld_list": url_tld_list(dom, tlds),

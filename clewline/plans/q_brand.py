@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..functions.udfs import decode_html_udf, idn_decode_udf
 from ..operators import brand as B, pages as P, records as K, scripts as S, transport as T, verdict as V
+from ..session import materialise
 from .q_transport import AT, at
 from .registry import query, with_fixtures as W
 from .sqlparts import dom
@@ -77,7 +78,7 @@ CLAIMS = "SELECT o_custkey AS entity_id, concat('https://www.s', CAST(o_orderkey
 
 
 @query("official_domains", W(f"""
-WITH_X SELECT DISTINCT entity_id, regexp_extract(url, 'www[.]([^/]+)', 1) AS domain FROM c WHERE claim_rank = 'preferred' OR entity_id NOT IN (SELECT entity_id FROM c WHERE claim_rank = 'preferred')""".replace("WITH_X ", ""), "",
+SELECT DISTINCT entity_id, regexp_extract(url, 'www[.]([^/]+)', 1) AS domain FROM c WHERE claim_rank = 'preferred' OR entity_id NOT IN (SELECT entity_id FROM c WHERE claim_rank = 'preferred')""", "",
   f"c AS (SELECT * FROM ({CLAIMS}) WHERE claim_rank <> 'deprecated' AND (end_time IS NULL OR end_time > TIMESTAMP '1996-01-01'))"))
 def _(t):
     return B.official_domains(t.sql(CLAIMS), F.lit("1996-01-01").cast("timestamp"), R.suffix_index(t.suffix_rules))
@@ -142,7 +143,7 @@ SELECT reason_id, CASE WHEN n = 1 THEN f END AS fact_id, method, CASE WHEN n IS
 FROM c LEFT JOIN (SELECT reason_id, arg_min(method, s) AS method, arg_min(n, s) AS n, arg_min(coalesce(f, -1), s) AS f0 FROM m GROUP BY 1) USING (reason_id) LEFT JOIN LATERAL (SELECT nullif(f0, -1) AS f) ON true""", "",
   f"i AS (SELECT *, {FOLD('section')} AS ns, {FOLD('item')} AS ni FROM ({ITEMS}))", f"c AS (SELECT *, {FOLD('section')} AS ns, {FOLD('item')} AS ni FROM ({CITED}))",
   """m AS (SELECT reason_id, 0 AS s, 'exact' AS method, count(*) AS n, min(fact_id) AS f FROM c JOIN i USING (doc, section, item) GROUP BY 1 UNION ALL SELECT reason_id, 1, 'normalized', count(*), min(fact_id) FROM c JOIN i USING (doc, ns, ni) GROUP BY 1
-  UNION ALL SELECT reason_id, 2, 'item_label', count(*), min(fact_id) FROM c JOIN i USING (doc, ni) GROUP BY 1 UNION ALL SELECT reason_id, 3, 'spelling', count(*), min(fact_id) FROM c JOIN i ON c.doc = i.doc AND c.ns = i.ns AND levenshtein(c.ni, i.ni) = 1 AND regexp_replace(c.ni, '[가-힣]', '', 'g') = regexp_replace(i.ni, '[가-힣]', '', 'g') GROUP BY 1)"""))
+  UNION ALL SELECT reason_id, 2, 'item_label', count(*), min(fact_id) FROM c JOIN i USING (doc, ni) GROUP BY 1 UNION ALL SELECT reason_id, 3, 'spelling', count(*), min(fact_id) FROM c JOIN i ON c.doc = i.doc AND c.ns = i.ns AND c.ni <> i.ni AND replace(c.ni, '인정서', '인증서') = i.ni GROUP BY 1)"""))
 def _(t):
     return V.judgment_item_link(t.sql(CITED), t.sql(ITEMS))
 
@@ -156,7 +157,8 @@ UNION ALL SELECT cert_id, 'L2-C-02', 'evaluated', CASE WHEN has_leaf THEN NOT (n
 UNION ALL SELECT cert_id, 'L2-C-04', 'evaluated', CASE WHEN has_leaf THEN self_signed END FROM certs UNION ALL SELECT cert_id, 'L2-C-05', 'evaluated', NOT chain_valid FROM certs UNION ALL SELECT cert_id, 'L2-C-07', 'evaluated', tls_version = 'TLSv1.1' FROM certs""", "responses certs"))
 def _(t):
     pp = t.pages_plus
-    fields = P.credential_classify(P.page_inputs(P.form_controls(P.form_tokens(pp), P.page_forms(pp))))
+    tokens = materialise(P.form_tokens(pp), "form-tokens")
+    fields = P.credential_classify(P.page_inputs(P.form_controls(tokens, P.page_forms(tokens))))
     parts = [
         ("L3-H-01", "page_id", P.credential_form(pp, fields)), ("L3-H-07", "page_id", P.html_redirect(pp, P.meta_refresh(pp))),
         ("L3-H-08", "page_id", P.base_url_change(P.page_base(pp), R.suffix_index(t.suffix_rules))),

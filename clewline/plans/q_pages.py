@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..operators import pages as P, scripts as S
+from ..session import materialise
 from .registry import query, with_fixtures as W
 from .sqlparts import dom
 
@@ -85,11 +86,14 @@ UNION ALL SELECT page_id, url, 'form-1', 'd', 'get', url, 'implicit_document' FR
 
 @query("page_forms", W("SELECT * FROM fm", PP, B, FORMS))
 def _(t):
-    return P.page_forms(t.pages_plus).drop("form_no")
+    return P.page_forms(P.form_tokens(t.pages_plus)).drop("form_no")
 
 
-def controls(t):
-    return P.form_controls(P.form_tokens(t.pages_plus), P.page_forms(t.pages_plus))
+def form_parts(t):
+    """Forms and controls over one written token table, so page text is read once."""
+    tokens = materialise(P.form_tokens(t.pages_plus), "form-tokens")
+    forms = P.page_forms(tokens)
+    return forms, P.form_controls(tokens, forms)
 
 
 def rows(*items):
@@ -101,7 +105,7 @@ def rows(*items):
     (1, "1", "'input'", "'form-1'", "'enclosing'"), (1, "2", "'button'", "'form-1'", "'enclosing'"), (2, "1", "'input'", "'form-1'", "'enclosing'"), (2, "4", "'input'", "'form-2'", "'enclosing'"),
     (2, "5", "'input'", "'form-2'", "'enclosing'"), (2, "7", "'input'", "NULL", "'ambiguous'"), (4, "0", "'textarea'", "NULL", "'none'")), PP, B))
 def _(t):
-    return controls(t).drop("tag_text")
+    return form_parts(t)[1].drop("tag_text", "url", "effective_base")
 
 
 INPUTS = "i AS (" + rows(
@@ -112,7 +116,7 @@ INPUTS = "i AS (" + rows(
 
 
 def fields(t):
-    return P.page_inputs(controls(t))
+    return P.page_inputs(form_parts(t)[1])
 
 
 @query("page_inputs", W("SELECT * FROM i", PP, B, INPUTS))
@@ -124,7 +128,8 @@ def _(t):
     (0, "'button-1' AS button_id", "'f1' AS form_id", "'submit' AS type", "'https://collect.example.edu/in' AS effective_action", "'post' AS effective_method", "false AS disabled"),
     (1, "'button-1'", "'form-1'", "'submit'", "'https://other.example.edu/s'", "'post'", "false"), (2, "'button-1'", "'form-2'", "'submit'", "url", "'post'", "false")), PP, B))
 def _(t):
-    return P.page_buttons(t.pages_plus, controls(t), P.page_forms(t.pages_plus))
+    forms, controls = form_parts(t)
+    return P.page_buttons(controls, forms).drop("url")
 
 
 @query("credential_classify", W("SELECT page_id, field_id, CASE WHEN type IN ('password', 'email') THEN type WHEN autocomplete = 'username' THEN 'username' END AS credential_type FROM i", PP, B, INPUTS))
@@ -149,13 +154,13 @@ def _(t):
 
 @query("form_action_domain", W("SELECT page_id, form_id, CASE WHEN k = 0 THEN false WHEN k = 1 THEN page_id % 9 <> 0 ELSE true END AS domain_match, NULL::BOOLEAN AS detected FROM fm JOIN b USING (page_id)", PP, B, FORMS))
 def _(t):
-    return P.form_action_domain(P.page_forms(t.pages_plus), index(t))
+    return P.form_action_domain(P.page_forms(P.form_tokens(t.pages_plus)), index(t))
 
 
 @query("external_post", W("SELECT page_id, k < 2 AS detected, CASE k WHEN 0 THEN 'https://collect.example.edu/in' WHEN 1 THEN 'https://other.example.edu/s' END AS destination, CASE k WHEN 1 THEN 1 ELSE 2 END AS posts FROM b WHERE k < 3", PP, B))
 def _(t):
-    f = P.page_forms(t.pages_plus)
-    return P.external_post(f, P.page_buttons(t.pages_plus, controls(t), f), t.suffix_rules)
+    forms, controls = form_parts(t)
+    return P.external_post(forms, P.page_buttons(controls, forms), t.suffix_rules)
 
 
 IDS = "SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, CASE l_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN concat('item-', CAST(l_linenumber AS STRING)) WHEN 2 THEN '' ELSE concat('u', CAST(l_partkey AS STRING)) END AS html_id FROM lineitem"
@@ -207,8 +212,7 @@ def _(t):
 
 
 @query("host_profile", W(f"""
-WITH_L AS (SELECT page_id, count(*) AS links, count(*) FILTER (href LIKE 'http%' OR page_id % 9 = 0) AS external FROM lk GROUP BY 1)
-SELECT {HOST} AS hostname, count(*) AS pages, sum(coalesce(links, 0))::BIGINT AS links, sum(coalesce(external, 0))::BIGINT AS external_links, bool_or(regexp_matches({HOST}, '[-_]')) AS word_split FROM b LEFT JOIN hl USING (page_id) GROUP BY 1""".replace("WITH_L AS (SELECT page_id, count(*) AS links, count(*) FILTER (href LIKE 'http%' OR page_id % 9 = 0) AS external FROM lk GROUP BY 1)", ""),
+SELECT {HOST} AS hostname, count(*) AS pages, sum(coalesce(links, 0))::BIGINT AS links, sum(coalesce(external, 0))::BIGINT AS external_links, bool_or(regexp_matches({HOST}, '[-_]')) AS word_split FROM b LEFT JOIN hl USING (page_id) GROUP BY 1""",
   PP, B, LINKS, "hl AS (SELECT page_id, count(*) AS links, count(*) FILTER (href LIKE 'http%' OR page_id % 9 = 0) AS external FROM lk GROUP BY 1)"))
 def _(t):
     return P.host_profile(t.pages_plus, index(t), t.suffix_rules)
@@ -241,7 +245,7 @@ def _(t):
 
 @query("script_literal_destinations", W("SELECT page_id, 'script-2' AS script_id, 'network' AS kind, 'https://collect.example.edu/x' AS destination, true AS external FROM b WHERE k = 4 UNION ALL SELECT page_id, 'script-2', 'redirect', org || '/next', page_id % 9 = 0 FROM b WHERE k = 4", PP, B))
 def _(t):
-    return S.script_literal_destinations(t.pages_plus, S.page_scripts(t.pages_plus), t.suffix_rules)
+    return S.script_literal_destinations(S.page_scripts(t.pages_plus), t.suffix_rules)
 
 
 @query("script_fetch_plan", W("SELECT page_id, script_id, CASE i WHEN 2 THEN 'fetch' WHEN 3 THEN 'shared' ELSE 'over_limit' END AS action FROM sc WHERE type = 'external'", PP, B, SCRIPTS))
@@ -318,4 +322,4 @@ def _(t):
 @query("content_groups", W(f"SELECT * FROM ({JF}) WHERE path LIKE '/items%'", PP, B))
 def _(t):
     hosts = t.pages_plus.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("page_host"))
-    return S.content_groups(S.json_content_fields(S.page_scripts(t.pages_plus)), hosts)
+    return S.content_groups(materialise(S.json_content_fields(S.page_scripts(t.pages_plus)), "json-fields"), hosts)

@@ -37,7 +37,7 @@ def _(t):
     return X.drain(X.stream_changes_only(e), "append")
 
 
-@query("stream_negative_ttl", "SELECT user_id AS host, true AS usable, max(epoch_ms(ts) + 60000)::BIGINT AS valid_until_ms FROM events GROUP BY 1")
+@query("stream_negative_ttl", "SELECT user_id AS host, true AS usable, max(epoch_us(ts) // 1000 + 60000)::BIGINT AS valid_until_ms FROM events GROUP BY 1")
 def _(t):
     e = X.stream_table(t.spark, t.folder, "events").select(F.col("user_id").alias("host"), F.col("ts").alias("observed_at"), (F.unix_millis("ts") + 60000).alias("valid_until_ms"))
     return X.drain(X.stream_negative_ttl(e), "append").where("usable").groupBy("host", "usable").agg(F.max("valid_until_ms").alias("valid_until_ms"))

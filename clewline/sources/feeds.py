@@ -6,7 +6,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.logic import first_true
 from ..operators.domains import etld1
-from ..operators.url_checks import feed_active_flag, rejection
+from ..operators.url_checks import feed_active_flag, with_rejection
 from ..refdata import SuffixIndex
 
 FEED_COLUMNS = ("url", "label", "category", "source", "source_id", "source_status", "collected_at")
@@ -168,7 +168,7 @@ def write_attempt_immutable(raws: DataFrame, records: DataFrame, base: str, day:
 
 def dataset_summary(dataset: DataFrame) -> DataFrame:
     """Totals, and counts by rejection reason, source and status, in one pass of grouping sets."""
-    d = dataset.select(rejection().alias("reason"), feed_active_flag().alias("active"), "sources", "source_status")
+    d = with_rejection(dataset).select("reason", feed_active_flag().alias("active"), "sources", "source_status")
     ok = F.col("reason").isNull()
     totals = d.agg(F.count("*").alias("total"), F.count_if("active").alias("active"), F.count_if(ok).alias("eligible"), F.count_if(ok & F.col("active")).alias("active_eligible"))
     t = totals.select(F.explode(F.create_map(*[x for c in totals.columns for x in (F.lit(c), F.col(c))])).alias("value", "n")).select(F.lit("total").alias("dimension"), "value", "n")
@@ -203,7 +203,7 @@ def seeded_sample(rows: DataFrame, seed: str, n: int, col: str = "url") -> DataF
 
 
 def scan_candidates(dataset: DataFrame, offset: int, limit: int, active_only: bool = True) -> DataFrame:
-    d = dataset.where(rejection().isNull())
+    d = with_rejection(dataset).where("reason IS NULL")
     d = d.where(feed_active_flag()) if active_only else d
     return d.orderBy("row_number").offset(offset).limit(limit)
 
