@@ -1,0 +1,155 @@
+"""Small literal-row tests: positive, negative and could-not-tell for each rule that matters."""
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from clewline import refdata as R
+from clewline.functions import url as U
+from clewline.functions.logic import any3
+from clewline.operators import domains as D, infra as I, netlog as N, pages as P, records as K, scripts as S, transport as T, url_checks as C, verdict as V, view as W
+from clewline.sources import feeds
+from clewline.session import scratch_path
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rules(spark):
+    return R.table(spark, [("com", "icann"), ("net", "icann"), ("uk", "icann"), ("co.uk", "icann"), ("ck", "icann"), ("*.ck", "icann"), ("!www.ck", "icann"), ("dev", "icann"), ("pages.dev", "private")], "rule section")
+
+
+def urls(spark, *texts):
+    return R.table(spark, list(enumerate(texts)), "url_id url")
+
+
+@pytest.mark.parametrize("text,status,host", [
+    ("https://user:pw@WWW.Example.com:8080/a?q=1#f", "SUCCESS", "www.example.com"),
+    ("http://300.300.1.1/", "FAILURE", None), ("http://124.11.1.1/", "SUCCESS", "124.11.1.1"), ("http://0x7f.0.0.1/", "SUCCESS", "127.0.0.1"),
+    ("http://017700000001/", "SUCCESS", "127.0.0.1"), ("http://[1:a::g]/", "FAILURE", None), ("http://[::1]/", "SUCCESS", "[::1]"), ("   ", "EMPTY_INPUT", None),
+    ("mailto:a@b.c", "SUCCESS", ""), ("http://a b/", "FAILURE", None), ("http://x.a_b.co.uk/", "SUCCESS", "x.a_b.co.uk"), ("http://h:99999/", "FAILURE", None)])
+def test_url_parse(spark, text, status, host):
+    got = C.url_parse_status(urls(spark, text)).first()
+    assert (got["parse_status"], got["hostname"]) == (status, host)
+
+
+@pytest.mark.parametrize("host,parts", [
+    ("a.b.example.co.uk", ("a.b", "example", "co.uk", "example.co.uk")), ("x.y.ck", ("", "x", "y.ck", "x.y.ck")), ("www.ck", ("", "www", "ck", "www.ck")),
+    ("city.ck", ("", "", "city.ck", "")), ("shop.pages.dev", ("shop", "pages", "dev", "pages.dev")), ("localhost", ("", "localhost", "", "")), ("10.0.0.1", ("", "10.0.0.1", "", ""))])
+def test_domain_split(spark, rules, host, parts):
+    got = D.domain_split(R.table(spark, [(host,)], "hostname"), R.suffix_index(rules)).first()
+    assert (got["subdomain"], got["domain"], got["suffix"], got["registered_domain"]) == parts
+
+
+def test_suffix_index_beyond_local_bound_gives_the_same_answer(spark, rules, monkeypatch):
+    hosts = R.table(spark, [("a.b.example.co.uk",), ("x.y.ck",), ("www.ck",)], "hostname")
+    small = rows(D.domain_split(hosts, R.suffix_index(rules)), "hostname", "registered_domain")
+    monkeypatch.setattr(R, "localise", lambda df, max_rows=0: None)
+    assert rows(D.domain_split(hosts, R.suffix_index(rules)), "hostname", "registered_domain") == small
+
+
+@pytest.mark.parametrize("ref,base,want", [
+    ("/p", "https://h.com/a/b?x#y", "https://h.com/p"), ("../c", "https://h.com/a/b/d", "https://h.com/a/c"), ("?q", "https://h.com/a/b", "https://h.com/a/b?q"),
+    ("//o.net/x", "https://h.com/", "https://o.net/x"), ("javascript:1", "https://h.com/", None), ("", "https://h.com/a", "https://h.com/a"), ("c", "https://h.com", "https://h.com/c"), (None, "https://h.com", None)])
+def test_resolve(spark, ref, base, want):
+    df = spark.createDataFrame([(ref, base)], "ref string, base string")
+    assert U.with_resolved(df, "ref", "base", "out").first()["out"] == want
+
+
+def test_any3(spark):
+    df = spark.createDataFrame([("t", True), ("t", None), ("n", False), ("n", None), ("f", False)], "k string, x boolean")
+    assert rows(df.groupBy("k").agg(any3(F.col("x")).alias("r")), "k", "r") == [("f", False), ("n", None), ("t", True)]
+
+
+def test_attribute_absent_differs_from_empty(spark):
+    df = spark.createDataFrame([("<input name>",), ('<input name="">',), ("<input name=a>",), ('<input title="x name=b" >',)], "t string")
+    assert [r[0] for r in df.select(P.attr(F.col("t"), "name")).collect()] == ["", "", "a", None]
+
+
+def page(spark, html):
+    return R.table(spark, [(1, "https://www.example.com/d/p", html, True)], "page_id url html source_complete")
+
+
+def test_forms_and_controls(spark):
+    html = '<!--<form id="no">--><form id="f"><input name="a"></form><form id="f"></form><input form="f" name="b"><input form="zz"><button>x</button>'
+    tokens = P.form_tokens(page(spark, html))
+    forms = P.page_forms(tokens)
+    assert rows(forms, "form_id", "resolution") == [("form-1", "implicit_document"), ("form-2", "implicit_document")]
+    assert rows(P.form_controls(tokens, forms), "association", "form_id") == [("ambiguous", None), ("enclosing", "form-1"), ("none", None), ("unresolved", None)]
+
+
+def test_visible_text_and_scripts(spark):
+    p = page(spark, '<head><title>T</title></head><p>a &amp; b</p><p style="display:none">c</p><script>var x="</p>";eval(atob("q"))</script><script type="text/plain">z</script>')
+    assert P.page_visible_text(p).first()["text"] == "a & b"
+    s = S.page_scripts(p)
+    assert rows(S.script_status(s), "script_id", "status") == [("script-1", "parsed"), ("script-2", "data_block")]
+    assert rows(S.script_api_screen(s).where("script_id = 'script-1'"), "api", "n") == [("atob", 1), ("eval", 1)]
+
+
+def test_commented_api_is_not_seen(spark):
+    s = S.page_scripts(page(spark, '<script>// eval(1)\n/* fetch( */ var a="eval(2)"; myeval(3)</script>'))
+    assert S.script_api_screen(s).count() == 0
+
+
+def test_journey_without_observation_is_unknown(spark):
+    j = spark.createDataFrame([(1, "https://a.com/", None), (2, "https://a.com/", "https://a.com/")], "journey_id bigint, original_url string, final_url string")
+    h = spark.createDataFrame([], "journey_id bigint, hop_no int, source_url string, destination_url string")
+    assert rows(T.redirect_chain(j, h), "journey_id", "detected") == [(1, None), (2, False)]
+
+
+def test_certificate_validity_is_three_valued(spark):
+    d = lambda y: dt.datetime(y, 1, 1)
+    c = spark.createDataFrame([(1, True, d(2020), d(2030)), (2, True, d(2020), d(2021)), (3, True, d(2029), d(2030)), (4, False, None, None)], "cert_id int, has_leaf boolean, not_before timestamp, not_after timestamp")
+    assert rows(T.cert_validity(c, F.lit("2024-01-01").cast("timestamp")), "cert_id", "status", "detected") == [(1, "valid", False), (2, "expired", True), (3, "not_valid", True), (4, None, None)]
+
+
+def test_body_budget_skip_uses_no_budget(spark):
+    b = R.table(spark, [(1, f"r{i}", i, n) for i, n in enumerate((60, 200, 50, 40, 30))], "capture_id request_id sequence body_bytes")
+    assert rows(N.body_budget(b, 100, 120, 4), "request_id", "status") == [("r0", "captured"), ("r1", "body_limit"), ("r2", "captured"), ("r3", "total_limit"), ("r4", "dropped")]
+
+
+def test_busy_time_is_exact_for_any_bucket(spark):
+    s = R.table(spark, [(1, 0, 100), (1, 50, 2500), (1, 2500, 2600), (1, 4000, 4001), (2, 7, 7)], "run_id start_ms end_ms")
+    for width in (1, 333, 1000, 10**6):
+        assert rows(N.span_busy_time(s, width), "run_id", "busy_ms") == [(1, 2601)]
+
+
+def test_alias_loop_and_branch_are_unknown(spark):
+    e = R.table(spark, [(1, "a", "b"), (1, "b", "c"), (2, "a", "b"), (2, "b", "a"), (3, "a", "b"), (3, "a", "c"), (4, "a", "b"), (4, "z", "y")], "reply_id name target")
+    h = R.table(spark, [(i, "a") for i in range(1, 6)], "reply_id host")
+    assert rows(I.cname_terminal(e, h), "reply_id", "terminal") == [(1, "c"), (2, None), (3, None), (4, None), (5, "a")]
+
+
+def test_signal_contract(spark):
+    s = spark.createDataFrame([(1, "evaluated", True), (2, "error", False), (3, "error", None)], "id int, status string, detected boolean")
+    assert [r["id"] for r in K.signal_contract(s).collect()] == [2]
+
+
+def test_transfer_claim_needs_an_undenied_clause(spark):
+    df = R.table(spark, [("The password is sent to x",), ("passwords were not sent",), ("the password is shown; data is sent",)], "t")
+    assert [r[0] for r in df.select(V.claims_transfer(F.col("t"))).collect()] == [True, False, False]
+
+
+def test_json_pointer_absent_is_not_null(spark):
+    d = R.table(spark, [('{"a/b":[{"x":null}]}',), ('{"a/b":[]}',)], "body")
+    assert [r["exists"] for r in W.json_pointer(d, "/a~1b/0/x").collect()] == [True, False]
+
+
+def test_seven_column_union_and_row_numbers(spark):
+    d = R.table(spark, [("u1", "s", "ACTIVE", "t"), ("u2", "s", "", "t")], "url sources source_status first_seen")
+    path = scratch_path(spark, "rows")
+    d.coalesce(1).write.option("header", True).csv(path)
+    assert rows(feeds.read_url_dataset(spark, path), "row_number", "url") == [(2, "u1"), (3, "u2")]
+    bad = scratch_path(spark, "bad")
+    d.drop("first_seen").coalesce(1).write.option("header", True).csv(bad)
+    with pytest.raises(ValueError, match="first_seen"):
+        feeds.read_url_dataset(spark, bad)
+
+
+def test_charset_choice(spark):
+    body = "가나".encode("cp949")
+    p = spark.createDataFrame([(1, bytearray(b"<meta charset='euc-kr'>" + body), None), (2, bytearray(b"\xef\xbb\xbfhi"), "latin-1"), (3, bytearray(b"\xff"), None)], "page_id int, body binary, declared_charset string")
+    got = {r["page_id"]: (r["text"].lstrip("﻿"), r["encoding_source"], r["loss"]) for r in feeds.decode_html_bytes(p).collect()}
+    assert got[1] == ("<meta charset='euc-kr'>가나", "html_meta", False) and got[2] == ("hi", "bom", False) and got[3][1:] == ("default", True)
