@@ -49,6 +49,13 @@ def _folded(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "—–−", "---"), r"\s+", "")
 
 
+def _slip_keys(label: Column) -> Column:
+    """Keys that two labels share when they differ by one Korean letter (changed, missing or extra)."""
+    at = F.filter(F.sequence(F.lit(1), F.length(label)), lambda i: F.substring(label, i, F.lit(1)).rlike("[가-힣]"))
+    cut = lambda mark: F.transform(at, lambda i: F.concat(F.lit(mark), F.substring(label, F.lit(1), i - 1), F.lit("*" if mark == "S" else ""), F.substring(label, i + 1, F.length(label))))
+    return F.when(F.length(label) > 0, F.array_distinct(F.concat(cut("S"), cut("D"), F.array(F.concat(F.lit("D"), label)))))
+
+
 def judgment_item_link(reasons: DataFrame, items: DataFrame) -> DataFrame:
     """Reason reference to fact: exact pair, folded pair, folded label, then a one-letter Korean spelling slip.
 
@@ -60,9 +67,12 @@ def judgment_item_link(reasons: DataFrame, items: DataFrame) -> DataFrame:
     steps = []
     for no, (method, keys) in enumerate((("exact", ["doc", "section", "item"]), ("normalized", ["doc", "ns", "ni"]), ("item_label", ["doc", "ni"]))):
         steps.append(r.join(it.groupBy(*keys).agg(*count), keys).select("reason_id", F.lit(no).alias("step"), F.lit(method).alias("method"), "n", "fact_id"))
-    bare = lambda c: F.regexp_replace(c, "[가-힣]", "")
-    near = r.withColumn("bare", bare("ni")).join(it.select("doc", "ns", bare("ni").alias("bare"), F.col("ni").alias("other"), "fact_id"), ["doc", "ns", "bare"]).where(F.levenshtein("ni", "other", 1) == 1)
-    steps.append(near.groupBy("reason_id").agg(*count).select("reason_id", F.lit(3).alias("step"), F.lit("spelling").alias("method"), "n", "fact_id"))
+    # Labels one Korean letter apart share a key: the label with a letter masked, or with one left out.
+    per_label = it.groupBy("doc", "ns", F.col("ni").alias("other")).agg(*count)
+    x = r.select("reason_id", "doc", "ns", "ni", F.explode(_slip_keys(F.col("ni"))).alias("key")).join(
+        per_label.select("doc", "ns", "other", "n", "fact_id", F.explode(_slip_keys(F.col("other"))).alias("key")), ["doc", "ns", "key"])
+    near = x.where(F.levenshtein("ni", "other", 1) == 1).select("reason_id", "other", "n", "fact_id").distinct()
+    steps.append(near.groupBy("reason_id").agg(F.sum("n").alias("n"), F.min("fact_id").alias("fact_id")).select("reason_id", F.lit(3).alias("step"), F.lit("spelling").alias("method"), "n", "fact_id"))
     found = steps[0]
     for s in steps[1:]:
         found = found.unionByName(s)

@@ -25,9 +25,11 @@ def common_prefix(urls: DataFrame, group: str, col: str = "url", min_len: int =
 
 def repeated_literals(strings: DataFrame, col: str = "text", min_len: int = 24) -> DataFrame:
     """Long strings worth storing once: repeated, and cheaper as a reference."""
-    g = strings.where(F.length(col) >= min_len).groupBy(F.col(col).alias("literal")).agg(F.count("*").alias("n"))
-    saved = (F.col("n") - 1) * F.octet_length("literal") - F.col("n") * 8
-    return g.where("n >= 2").withColumn("saved", saved).where("saved > 0")
+    d = strings.where(F.length(col) >= min_len).select(F.col(col).alias("literal"), F.sha2(col, 256).alias("h"))
+    # Counting moves hashes only; texts move for the repeated ones alone.
+    g = d.groupBy("h").agg(F.count("*").alias("n"), F.max(F.octet_length("literal")).alias("bytes")).where("n >= 2")
+    g = g.withColumn("saved", (F.col("n") - 1) * F.col("bytes") - F.col("n") * 8).where("saved > 0")
+    return d.join(g.drop("bytes"), "h").groupBy("h", "n", "saved").agg(F.any_value("literal").alias("literal")).select("literal", "n", "saved")
 
 
 def url_prefix_dictionary(urls: DataFrame, col: str = "url", min_len: int = 24, min_n: int = 4) -> DataFrame:
@@ -80,8 +82,8 @@ def citation_alias(rows: DataFrame, reserved: DataFrame, group: str) -> DataFram
     tw = Window.partitionBy(group, "kind").orderBy("t")
     # The i-th reserved number (ascending) pushes every rank above t - i one up.
     taken = taken.withColumn("cut", F.col("t") - F.row_number().over(tw) + 1)
-    shift = r.join(taken, [group, "kind"]).where(F.col("cut") <= F.col("rank")).groupBy(group, "item_id").agg(F.count("*").alias("shift"))
-    j = r.join(shift, [group, "item_id"], "left")
+    shift = r.join(taken, [group, "kind"]).where(F.col("cut") <= F.col("rank")).groupBy(group, "kind", "item_id").agg(F.count("*").alias("shift"))
+    j = r.join(shift, [group, "kind", "item_id"], "left")
     return j.select(group, "item_id", F.concat("kind", F.lit(":"), (F.col("rank") + F.coalesce("shift", F.lit(0))).cast("string")).alias("alias"))
 
 
