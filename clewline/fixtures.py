@@ -105,7 +105,7 @@ SELECT page_id, url, concat(replace(replace(html, '</article>', concat(CASE page
   WHEN 3 THEN '<img src="/logo.png" alt="x"><img src="https://cdn.example.edu/i.png"><iframe src="https://w.example.edu/f"></iframe><meta property="og:image" content="https://cdn.example.org/o.png">'
   WHEN 4 THEN '<script>fetch("https://collect.example.edu/x");eval(atob("eA=="));location.replace("/next")</script><textarea name="msg"></textarea>'
   WHEN 5 THEN '<script src="https://cdn.example.edu/a.js#v1" async></script><script src="https://cdn.example.edu/a.js#v2"></script><script src="//cdn.example.net/b.js" defer></script>'
-  WHEN 6 THEN '<script type="application/json">{"items":[{"type":"button","text":"Pay","url":"https://pay.example.edu/"},{"name":"Home","href":"/"}],"logo":{"src":"/l.png","alt":"Logo"}}</script>'
+  WHEN 6 THEN '<script type="application/json">{"items":[{"type":"button","text":"Pay","url":"https://pay.example.edu/"},{"name":"Home","href":"/"}],"logo":{"src":"/l.png","alt":"Logo"},"nav_menu":[{"title":"Home","url":"/"}]}</script>'
   ELSE '<a href="https://out.example.edu/p" onclick="go()" download target="_blank">out <b>there</b></a><div style="color:red; display:none">secret</div><p hidden>gone</p>' END, '</article>')),
   '<title>', concat(CASE page_id % 9 WHEN 0 THEN '<base href="https://base.example.edu/">' WHEN 1 THEN '<meta http-equiv="refresh" content="5; url=/moved">'
      WHEN 2 THEN '<meta http-equiv="Refresh" content="soon"><link rel="shortcut icon" href="/fav.ico">' WHEN 3 THEN '<base href="javascript:x">' ELSE '' END, '<title>')), '') AS html,

@@ -9,7 +9,7 @@ REQUEST_CAP = 1000
 # Engine categories, progress layers and ledger words.
 ENGINE_CATEGORIES = ("confirmed-timeout", "failure", "harmless", "malicious", "suspicious", "timeout", "type-unsupported", "undetected")
 DONE_WORDS = ("COMPLETED", "STUB", "PARTIAL", "SKIPPED", "NOT_PERFORMED")
-PROGRESS_LAYERS = ("l0", "l1", "l2", "l3", "activity", "context", "judgment_input")
+PROGRESS_LAYERS = ("l0", "l1", "gate", "l2", "l3", "l4", "final")
 RUNNING_WORDS = ("PENDING", "L0_DONE", "L1_DONE", "REACH_DONE", "COLLECT_DONE", "EXPLORE_DONE", "FINAL_DONE", "COLLECT_SKIPPED")
 SKIPPED_WORDS = ("GATE_BLOCKED", "TARGET_BLOCKED", "DNS_NAME_NONEXISTENT_AT_SCAN", "URL_UNREACHABLE_AT_SCAN")
 
@@ -148,15 +148,19 @@ def job_progress(jobs: DataFrame, fragments: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("status").isin(*DONE_WORDS), F.col("layer"))).alias("done"), F.bool_or(F.col("status") == "STUB").alias("stub"))
     s, v = F.col("ledger_status"), F.col("final_verdict")
     outcome = first_true([(s == "FAILED", "FAILED"), (s.isin(*SKIPPED_WORDS), "SKIPPED"),
-                          ((s == "JUDGED") & v.isNotNull() & (v != "PENDING"), "COMPLETED"), (s == "JUDGED", "UNAVAILABLE")], "PENDING")
-    return jobs.join(f, "job_id", "left").select("job_id", F.coalesce("done", F.lit(0)).alias("done"), F.lit(len(PROGRESS_LAYERS)).alias("total"),
+                          ((s == "JUDGED") & v.isNotNull() & (v != "PENDING"), "COMPLETED"), (s == "JUDGED", "UNAVAILABLE"),
+                          (s.isin("FINAL_DONE", "COLLECT_SKIPPED"), "RUNNING")], "PENDING")
+    # The judgment is one more step after the layers.
+    done = F.coalesce("done", F.lit(0)) + F.when(outcome.isin("COMPLETED", "SKIPPED"), 1).otherwise(0)
+    return jobs.join(f, "job_id", "left").select("job_id", done.alias("done"), F.lit(len(PROGRESS_LAYERS) + 1).alias("total"),
                                                  F.coalesce("stub", F.lit(False)).alias("stub"), outcome.alias("outcome"))
 
 
 def run_snapshot(records: DataFrame, worker: DataFrame) -> DataFrame:
-    """``KIND#number`` keys split, the number numeric so that it orders right; a finished worker overrides the stored status."""
+    """``KIND#id`` keys split, the id's number numeric so that it orders right; a broken worker overrides an open status."""
     k = F.split_part("key", F.lit("#"), F.lit(1))
-    num = F.split_part("key", F.lit("#"), F.lit(2)).try_cast("bigint")
+    num = F.regexp_replace(F.split_part("key", F.lit("#"), F.lit(2)), "^[^0-9]+", "").try_cast("bigint")
     r = records.select("run_id", k.alias("kind"), num.alias("num"), "status").join(worker, "run_id", "left")
-    final = F.when(F.col("worker_state").isin("FAILED", "ABORTED") & (F.col("status") == "RUNNING"), F.col("worker_state")).otherwise(F.col("status"))
+    broken = F.col("worker_state").isin("Failed", "Cancelled", "TimedOut", "Cancelling")
+    final = F.when(broken & (F.col("status") != "completed"), F.lit("failed")).otherwise(F.col("status"))
     return r.select("run_id", "kind", "num", final.alias("status"))

@@ -207,14 +207,14 @@ def page_buttons(controls: DataFrame, forms: DataFrame) -> DataFrame:
 
 def credential_classify(inputs: DataFrame) -> DataFrame:
     """Field type, then autocomplete word, then name tokens; several kinds leave it unknown."""
-    lookup = lambda table, c: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])[F.lower(F.trim(c))]
-    text = F.lower(F.concat_ws(" ", "html_id", "name", "placeholder"))
-    squeezed = F.regexp_replace(text, r"[^a-z0-9]+", "")
-    hits = F.array_compact(F.array(*[
-        F.when(F.greatest(*[squeezed.contains(tok.replace("-", "").replace("_", "")) for tok in toks], F.lit(False)), F.lit(kind)) for kind, toks in sorted(FIELD_TOKENS.items())]))
-    by_token = F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
-    kind = F.coalesce(lookup(FIELD_TYPES, F.col("type")), lookup(FIELD_AUTOCOMPLETE, F.coalesce("autocomplete", F.lit(""))), by_token)
-    return inputs.withColumn("credential_type", F.when(~F.col("hidden"), kind))
+    table = lambda t: F.create_map(*[x for k, v in t.items() for x in (F.lit(k), F.lit(v))])
+    squeeze = lambda c: F.regexp_replace(F.lower(c), r"[\W_]+", "")
+    tokens = table({tok.replace("-", "").replace("_", ""): kind for kind, toks in FIELD_TOKENS.items() for tok in toks})
+    terms = F.concat(*[F.concat(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[\W_]+"), F.array(squeeze(F.coalesce(c, F.lit(""))))) for c in ("html_id", "name", "placeholder")])
+    kinds = F.array_distinct(F.filter(F.transform(terms, lambda x: tokens[x]), lambda k: k.isNotNull()))
+    auto = F.filter(F.transform(F.split(F.lower(F.trim(F.coalesce("autocomplete", F.lit("")))), r"\s+"), lambda x: table(FIELD_AUTOCOMPLETE)[x]), lambda k: k.isNotNull())
+    kind = F.coalesce(table(FIELD_TYPES)[F.col("type")], F.get(auto, F.lit(0)), F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))))
+    return inputs.withColumn("credential_type", kind)
 
 
 def credential_form(pages: DataFrame, fields: DataFrame) -> DataFrame:

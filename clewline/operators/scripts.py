@@ -17,9 +17,15 @@ from .pages import _REST, attr, has, prepared
 SCRIPT_TYPES = ("", "application/ecmascript", "application/javascript", "module", "text/ecmascript", "text/javascript")
 JSON_TYPES = ("application/json", "application/ld+json")
 MAX_SCRIPT_BYTES, MAX_SCRIPTS, MAX_EVENTS = 1_000_000, 20, 10_000
-KIND_ORDER = ("dynamic_execution", "decode", "network", "redirect", "environment", "credential_read")
+KIND_ORDER = ("dynamic_execution", "decode", "injection", "network", "dom_access", "credential_read", "redirect", "environment", "branch", "trace")
 SIGNAL_OF_KIND = {"dynamic_execution": "L3-J-01", "injection": "L3-J-03", "network": "L3-J-04", "redirect": "L3-J-07", "environment": "L3-J-08"}
-TEXT_KEYS, ADDRESS_KEYS, RESOURCE_KEYS = ("alt", "label", "name", "text", "title"), ("href", "link", "url"), ("icon", "image", "logo", "src")
+# Key roles in static data, media words, and words of a concrete control.
+TEXT_KEYS = ("buttontext", "caption", "content", "description", "headline", "label", "message", "text", "title")
+ADDRESS_KEYS = ("action", "actionurl", "contenturl", "href", "image", "link", "src", "targeturl", "url")
+MEDIA_WORDS = ("audio", "image", "video")
+CONTROL_TYPES = ("action", "button", "cta", "form", "input", "submit")
+CONTROL_KEYS = ("action", "actionurl", "buttontext", "targeturl", "text")
+CONTENT_TYPES = ("audio", "heading", "image", "paragraph", "text", "title", "video")
 
 
 def page_scripts(pages: DataFrame) -> DataFrame:
@@ -164,40 +170,63 @@ def env_branching(pages: DataFrame, branches: DataFrame) -> DataFrame:
 
 
 def signal_completeness(signals: DataFrame) -> DataFrame:
-    """Final status: positives stay, a missing policy or an incomplete source turns a negative into could-not-tell."""
-    d = F.col("detected")
-    error = first_true([(d, F.lit(None).cast("string")), (~F.col("policy_set"), "policy_not_configured"), (F.col("semantic_error").isNotNull(), F.col("semantic_error")),
-                        (~F.col("scripts_parsed"), "script_parse_incomplete"), (~F.col("source_complete"), "javascript_analysis_incomplete")])
-    return signals.select("target_id", "signal_id", F.when(error.isNull(), "evaluated").otherwise("error").alias("status"), F.when(error.isNull(), d).alias("detected"), error.alias("error"))
+    """Final status of a script signal.
+
+    Positives stay. Without scripts the signal does not apply; without a policy it is
+    evaluated but unknown; unparsed or incomplete sources, and relations that could not be
+    followed, turn a negative into an error.
+    """
+    d, positive = F.col("detected"), F.coalesce(F.col("detected"), F.lit(False))
+    error = first_true([
+        ((F.col("script_count") == 0) | positive, F.lit(None).cast("string")), (~F.col("policy_set"), "detection_policy_unresolved"),
+        (F.col("parsed_count") == 0, "javascript_analysis_unavailable"), (~F.col("source_complete"), "javascript_analysis_incomplete"),
+        (F.col("semantic_error").isNotNull() & (d == F.lit(False)), "javascript_relationship_unresolved")])
+    status = first_true([(F.col("script_count") == 0, "not_applicable"), (error.isNull() | (error == "detection_policy_unresolved"), "evaluated")], "error")
+    return signals.select("target_id", "signal_id", status.alias("status"), F.when((status == "evaluated") & error.isNull(), d).alias("detected"), error.alias("error"))
 
 
-def json_content_fields(scripts: DataFrame, levels: int = 6) -> DataFrame:
-    """JSON blocks as (path, kind, value): text, address and resource fields by key role."""
+def json_content_fields(scripts: DataFrame, levels: int = 32) -> DataFrame:
+    """JSON blocks as (path, kind, value, resolved URL): text, address and resource fields by key role.
+
+    Objects are opened level by level inside one task chain, to the depth the format allows.
+    """
     m = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
-    node = scripts.where(m.isin(*JSON_TYPES)).select("page_id", "script_id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json("source").alias("v"))
-    deep = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    node = scripts.where(m.isin(*JSON_TYPES)).select("page_id", "url", "script_id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"),
+                                                     F.lit(None).cast("string").alias("declared_type"), F.try_parse_json("source").alias("v"))
     for _ in range(levels):
         # A scalar has nothing to open: the outer form keeps its row as it is.
         node = scripts.sparkSession.sql(
-            "SELECT d.page_id, d.script_id, CASE WHEN x.pos IS NULL THEN d.path ELSE concat(d.path, '/', coalesce(x.key, CAST(x.pos AS STRING))) END AS path, "
-            "CASE WHEN x.pos IS NULL THEN d.key ELSE x.key END AS key, CASE WHEN x.pos IS NULL THEN d.v ELSE x.value END AS v FROM {node} d, LATERAL variant_explode_outer(d.v) x", node=node)
-    out = node.where(~deep)
-    k = F.lower("key")
-    kind = F.when(k.isin(*TEXT_KEYS), "text").when(k.isin(*ADDRESS_KEYS), "address").when(k.isin(*RESOURCE_KEYS), "resource")
-    return out.select("page_id", "script_id", "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value")).where("kind IS NOT NULL")
+            "SELECT d.page_id, d.url, d.script_id, if(x.pos IS NULL, d.path, concat(d.path, '/', coalesce(replace(replace(x.key, '~', '~0'), '/', '~1'), CAST(x.pos AS STRING)))) AS path, "
+            "if(x.pos IS NULL, d.key, x.key) AS key, if(x.pos IS NULL, d.declared_type, try_variant_get(d.v, '$.type', 'string')) AS declared_type, "
+            "if(x.pos IS NULL, d.v, x.value) AS v FROM {node} d, LATERAL variant_explode_outer(d.v) x", node=node)
+    leaf = node.where(F.schema_of_variant("v") == "STRING").withColumn("value", F.try_variant_get("v", "$", "string")).where(F.trim("value") != "")
+    role = F.regexp_replace(F.lower("key"), "[^a-z]", "")
+    media = F.coalesce(F.lower("declared_type").isin(*MEDIA_WORDS), F.lit(False))
+    address = role.isin(*ADDRESS_KEYS) | ((role == "content") & media)
+    kind = first_true([(address & (media | role.isin("image", "src")), "resource"), (address, "address"),
+                       (role.isin(*TEXT_KEYS) & ~F.ltrim("value").rlike("^https?://"), "text")])
+    f = leaf.withColumn("kind", kind).where("kind IS NOT NULL").withColumn("_ref", F.when(F.col("kind") != "text", F.col("value")))
+    return U.with_resolved(f, "_ref", "url", "resolved_url").select("page_id", "script_id", "path", "kind", "value", "resolved_url", "declared_type")
 
 
 def content_groups(fields: DataFrame, page_hosts: DataFrame) -> DataFrame:
-    """Static objects that hold both a text and an address; groups that only link to the page's own host are dropped.
+    """Static objects that hold both a text and an address, without menus that only repeat the page's own links.
 
-    Neighbours in an array with a kept object stay too.
+    ``page_hosts`` gives each page's host and whether its links already lead there. Typed
+    neighbours in an array with a concrete control stay too.
     """
-    f = fields.withColumns({"obj": F.regexp_replace("path", "/[^/]*$", ""), "host": F.when(F.col("kind") == "address", U.raw_host(F.col("value")))}).join(page_hosts, "page_id")
+    last = F.regexp_replace(F.lower(F.regexp_extract("path", "([^/]*)$", 1)), "[^a-z]", "")
+    word = F.lower(F.coalesce("declared_type", F.lit("")))
+    is_address = F.col("kind") == "address"
+    f = fields.withColumns({"obj": F.regexp_replace("path", "/[^/]*$", ""), "host": F.when(is_address, U.raw_host(F.col("resolved_url")))}).join(page_hosts, "page_id", "left")
     key = ["page_id", "script_id", "obj"]
-    o = f.groupBy(*key).agg(F.bool_or(F.col("kind") == "text").alias("t"), F.bool_or(F.col("kind") == "address").alias("a"),
-                            F.bool_or((F.col("kind") == "address") & (F.col("host") != "") & (F.col("host") != F.col("page_host"))).alias("away"))
+    o = f.groupBy(*key).agg(
+        F.bool_or(F.col("kind") == "text").alias("t"), F.bool_or(is_address).alias("a"), F.bool_or(word.isin(*CONTROL_TYPES) | last.isin(*CONTROL_KEYS)).alias("control"),
+        F.bool_or(word.isin(*CONTENT_TYPES)).alias("typed"), F.bool_and(~is_address | F.coalesce(F.col("host") == F.col("page_host"), F.lit(False))).alias("own"),
+        F.bool_or(F.coalesce("known_navigation", F.lit(False))).alias("known"))
     o = o.withColumn("arr", F.when(F.col("obj").rlike("/[0-9]+$"), F.regexp_replace("obj", "/[0-9]+$", "")))
-    good = F.col("t") & F.col("a") & F.col("away")
-    arrays = o.where(good & F.col("arr").isNotNull()).select("page_id", "script_id", "arr").distinct().withColumn("arr_kept", F.lit(True))
-    kept = o.join(arrays, ["page_id", "script_id", "arr"], "left").where(good | F.col("arr_kept")).select(*key)
+    menu = F.col("obj").rlike("(?i)(?:^|/)[^/]*(?:menu|nav)[^/]*(?:/|$)") & ~F.col("control") & F.col("known") & F.col("own")
+    good = F.col("t") & F.col("a") & ~menu
+    arrays = o.where(good & F.col("control") & F.col("arr").isNotNull()).select("page_id", "script_id", "arr").distinct().withColumn("arr_kept", F.lit(True))
+    kept = o.join(arrays, ["page_id", "script_id", "arr"], "left").where(good | (F.col("arr_kept") & F.col("typed"))).select(*key)
     return f.join(kept, key, "left_semi").select("page_id", "script_id", "path", "kind", "value")

@@ -83,22 +83,22 @@ def _(t):
     return N.ledger_status(t.derived("jobs"))
 
 
-FRAGMENTS = "SELECT l_orderkey AS job_id, CASE l_linenumber WHEN 1 THEN 'l0' WHEN 2 THEN 'l1' WHEN 3 THEN 'l2' WHEN 4 THEN 'l3' WHEN 5 THEN 'activity' WHEN 6 THEN 'context' ELSE 'other' END AS layer, CASE l_returnflag WHEN 'A' THEN 'COMPLETED' WHEN 'R' THEN 'STUB' ELSE 'PENDING' END AS status FROM lineitem"
+FRAGMENTS = "SELECT l_orderkey AS job_id, CASE l_linenumber WHEN 1 THEN 'l0' WHEN 2 THEN 'l1' WHEN 3 THEN 'gate' WHEN 4 THEN 'l2' WHEN 5 THEN 'l3' WHEN 6 THEN 'l4' ELSE 'other' END AS layer, CASE l_returnflag WHEN 'A' THEN 'COMPLETED' WHEN 'R' THEN 'STUB' ELSE 'PENDING' END AS status FROM lineitem"
 
 
 @query("job_progress", W(f"""
-SELECT job_id, coalesce(d, 0) AS done, 7 AS total, coalesce(stub, false) AS stub, CASE WHEN ledger_status = 'FAILED' THEN 'FAILED' WHEN ledger_status IN ('GATE_BLOCKED', 'DNS_NAME_NONEXISTENT_AT_SCAN') THEN 'SKIPPED'
+SELECT job_id, d0 + CASE WHEN outcome IN ('COMPLETED', 'SKIPPED') THEN 1 ELSE 0 END AS done, 8 AS total, stub, outcome FROM (SELECT job_id, coalesce(d, 0) AS d0, coalesce(stub, false) AS stub, CASE WHEN ledger_status = 'FAILED' THEN 'FAILED' WHEN ledger_status IN ('GATE_BLOCKED', 'DNS_NAME_NONEXISTENT_AT_SCAN') THEN 'SKIPPED'
   WHEN ledger_status = 'JUDGED' THEN CASE WHEN final_verdict <> 'PENDING' THEN 'COMPLETED' ELSE 'UNAVAILABLE' END ELSE 'PENDING' END AS outcome
-FROM jobs LEFT JOIN (SELECT job_id, count(DISTINCT layer) FILTER (status <> 'PENDING') AS d, bool_or(status = 'STUB') AS stub FROM ({FRAGMENTS}) WHERE layer <> 'other' GROUP BY 1) USING (job_id)""", "jobs"))
+FROM jobs LEFT JOIN (SELECT job_id, count(DISTINCT layer) FILTER (status <> 'PENDING') AS d, bool_or(status = 'STUB') AS stub FROM ({FRAGMENTS}) WHERE layer <> 'other' GROUP BY 1) USING (job_id))""", "jobs"))
 def _(t):
     return N.job_progress(t.derived("jobs"), t.sql(FRAGMENTS))
 
 
-SNAP = "SELECT user_id AS run_id, concat(upper(event_type), '#', CAST(event_id AS STRING)) AS key, CASE WHEN value > 50 THEN 'RUNNING' ELSE 'DONE' END AS status FROM events"
-WORKER = "SELECT c_custkey AS run_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'FAILED' ELSE 'ACTIVE' END AS worker_state FROM customer"
+SNAP = "SELECT user_id AS run_id, concat(upper(event_type), '#w', CAST(event_id AS STRING)) AS key, CASE WHEN value > 50 THEN 'running' ELSE 'completed' END AS status FROM events"
+WORKER = "SELECT c_custkey AS run_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'Failed' ELSE 'Running' END AS worker_state FROM customer"
 
 
 @query("run_snapshot", f"""
-SELECT run_id, upper(event_type) AS kind, event_id AS num, CASE WHEN value > 50 AND c_mktsegment = 'BUILDING' THEN 'FAILED' WHEN value > 50 THEN 'RUNNING' ELSE 'DONE' END AS status FROM (SELECT *, user_id AS run_id FROM events) LEFT JOIN customer ON c_custkey = run_id""")
+SELECT run_id, upper(event_type) AS kind, event_id AS num, CASE WHEN value > 50 AND c_mktsegment = 'BUILDING' THEN 'failed' WHEN value > 50 THEN 'running' ELSE 'completed' END AS status FROM (SELECT *, user_id AS run_id FROM events) LEFT JOIN customer ON c_custkey = run_id""")
 def _(t):
     return N.run_snapshot(t.sql(SNAP), t.sql(WORKER))

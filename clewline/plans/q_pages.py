@@ -302,16 +302,22 @@ def _(t):
     return S.env_branching(t.sql(PGS), t.sql(ARMS))
 
 
-COMPLETE = "SELECT request_id * 100 + signal_no AS target_id, layer AS signal_id, detected, signal_no % 3 <> 1 AS policy_set, CASE WHEN error_code = 'tls_timeout' THEN 'callback_target' ELSE NULL END AS semantic_error, coalesce(error_code, '') <> 'target_policy_blocked' AS scripts_parsed, request_id % 4 <> 2 AS source_complete FROM record_signals"
+COMPLETE = """SELECT request_id * 100 + signal_no AS target_id, layer AS signal_id, detected, signal_no % 3 <> 1 AS policy_set, CASE WHEN error_code = 'tls_timeout' THEN 'callback_parameters_unresolved' ELSE NULL END AS semantic_error,
+  CASE WHEN error_code = 'target_policy_blocked' THEN 0 ELSE 2 END AS parsed_count, request_id % 4 <> 2 AS source_complete, CASE layer WHEN 'L3' THEN 0 ELSE 2 END AS script_count FROM record_signals"""
 
 
 @query("signal_completeness", W(f"""
-SELECT target_id, signal_id, CASE WHEN e IS NULL THEN 'evaluated' ELSE 'error' END AS status, CASE WHEN e IS NULL THEN detected END AS detected, e AS error FROM (SELECT *, CASE WHEN detected THEN NULL WHEN NOT policy_set THEN 'policy_not_configured' WHEN semantic_error IS NOT NULL THEN semantic_error WHEN NOT scripts_parsed THEN 'script_parse_incomplete' WHEN NOT source_complete THEN 'javascript_analysis_incomplete' END AS e FROM ({COMPLETE}))""", "record_signals"))
+SELECT target_id, signal_id, CASE WHEN script_count = 0 THEN 'not_applicable' WHEN e IS NULL OR e LIKE 'detection%' THEN 'evaluated' ELSE 'error' END AS status, CASE WHEN e IS NULL AND script_count > 0 THEN detected END AS detected, e AS error
+FROM (SELECT *, CASE WHEN script_count = 0 OR detected THEN NULL WHEN NOT policy_set THEN 'detection_policy_unresolved' WHEN parsed_count = 0 THEN 'javascript_analysis_unavailable'
+  WHEN NOT source_complete THEN 'javascript_analysis_incomplete' WHEN semantic_error IS NOT NULL AND NOT detected THEN 'javascript_relationship_unresolved' END AS e FROM ({COMPLETE}))""", "record_signals"))
 def _(t):
     return S.signal_completeness(t.sql(COMPLETE, "record_signals"))
 
 
-JF = "SELECT page_id, 'script-2' AS script_id, path, kind, value FROM b, (VALUES ('/items/0/text', 'text', 'Pay'), ('/items/0/url', 'address', 'https://pay.example.edu/'), ('/items/1/name', 'text', 'Home'), ('/items/1/href', 'address', '/'), ('/logo/src', 'resource', '/l.png'), ('/logo/alt', 'text', 'Logo')) v(path, kind, value) WHERE k = 6"
+ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]+') || '/'"
+JF = f"""SELECT page_id, 'script-2' AS script_id, path, kind, value, CASE value WHEN '/' THEN {ROOT} WHEN '/l.png' THEN {ROOT} || 'l.png' WHEN 'https://pay.example.edu/' THEN value END AS resolved_url, dt AS declared_type
+FROM b, (VALUES ('/items/0/text', 'text', 'Pay', 'button'), ('/items/0/url', 'address', 'https://pay.example.edu/', 'button'), ('/items/1/href', 'address', '/', NULL), ('/logo/src', 'resource', '/l.png', NULL),
+  ('/nav_menu/0/title', 'text', 'Home', NULL), ('/nav_menu/0/url', 'address', '/', NULL)) v(path, kind, value, dt) WHERE k = 6"""
 
 
 @query("json_content_fields", W(JF, PP, B))
@@ -319,7 +325,8 @@ def _(t):
     return S.json_content_fields(S.page_scripts(t.pages_plus))
 
 
-@query("content_groups", W(f"SELECT * FROM ({JF}) WHERE path LIKE '/items%'", PP, B))
+@query("content_groups", W(f"SELECT page_id, script_id, path, kind, value FROM ({JF}) WHERE path LIKE '/items/0%' OR (path LIKE '/nav%' AND page_id % 9 = 0)", PP, B))
 def _(t):
-    hosts = t.pages_plus.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1).alias("page_host"))
-    return S.content_groups(materialise(S.json_content_fields(S.page_scripts(t.pages_plus)), "json-fields"), hosts)
+    host = lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#:]+)", 1)
+    nav = P.page_links(t.pages_plus).groupBy("page_id").agg(F.bool_or(host("destination") == host("url")).alias("known_navigation"), F.min(host("url")).alias("page_host"))
+    return S.content_groups(materialise(S.json_content_fields(S.page_scripts(t.pages_plus)), "json-fields"), nav)
