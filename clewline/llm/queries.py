@@ -1,5 +1,5 @@
 """All queries of this package; importing a module registers its queries."""
-from . import bpe, chat, packing  # noqa: F401
+from . import bpe, chat, language, packing, quality_rules  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
