@@ -366,6 +366,22 @@ def _classes(rows: DataFrame, texts: DataFrame, degree: DataFrame, group: DataFr
     return worded.unionByName(bare)
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Rows of ``docs`` (all their columns) without the linked ones that :func:`similar_groups` does not keep.
+
+    Of equal rows, and of rows with equal id and text, one stays where their class keeps them.
+    """
+    judged = materialise(similar_groups(docs, doc_id, text, threshold, recall), "classes")
+    pairs = judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__text")).agg(F.sum(F.col("kept").cast("int")).alias("keep"), F.count("*").alias("rows"))
+    stay = pairs.where("keep > 0").select("__id", "__text", (F.col("rows") > F.col("keep")).alias("__again"))
+    keyed = docs.withColumn("__key", text_key(F.col(f"`{text}`")))
+    joined = keyed.join(stay, (F.col("__key") == F.col("__text")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
+    once = joined.where(~F.col("__again")).select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = joined.where("__again").groupBy("__id", "__key").agg(F.min_by(whole, F.xxhash64(whole)).alias("__row")).select("__row.*")
+    return once.unionByName(again)
+
+
 @query("op3_jaccard_chosen_path")
 def op3(spark, folder):
     return similar_groups(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "kept")
