@@ -81,7 +81,7 @@ def _around(tag: str, attributes: str) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """Stretches of text between block elements, in page order, with their white space as single spaces."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, outside, article
+    open_: list[tuple[str, int, bool]] = []  # element, 1 in an article's own header or 2 outside or 3 among comments, article
     text: list[str] = []
     linked, in_link, heading = 0, False, False
     outside = article = False
@@ -134,21 +134,22 @@ def blocks(page: str) -> list[Block]:
                 if tag == "body":
                     open_.clear()
                     around = False
-                inherited = bool(open_) and open_[-1][1] and (comment or any(x[0] == "article" or x[2] for x in open_))
-                open_.append((tag, around or inherited, tag != "body" and not (around or inherited)))
+                level = open_[-1][1] if open_ else 0
+                away = level == 3 or around or level == 2 and any(x[2] for x in open_)
+                open_.append((tag, 3 if comment or level == 3 else 2 * away, tag != "body" and not away))
             else:
                 if tag in ("p", "li", "dt", "dd", "td", "th", "tr") or tag in HEADINGS:
                     # These end an open element of their own kind.
                     if open_ and open_[-1][0] in ("p", *HEADINGS) or open_ and open_[-1][0] == tag:
                         open_.pop()
-                above = open_[-1] if open_ else (None, False, False)
-                around, _ = _around(tag, attributes)
-                own = around or tag in OUTSIDE and not (tag == "header" and above[2])
-                if tag == "span":
-                    if own:
-                        close_block()
-                open_.append((tag, above[1] or own, above[2]))
-        outside, article = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+                above = open_[-1] if open_ else (None, 0, False)
+                around, comment = _around(tag, attributes)
+                own = 3 if comment else 1 if tag == "header" and above[2] and not HIDDEN.search(attributes) else 2 * (around or tag in OUTSIDE)
+                if tag == "span" and own:
+                    close_block()
+                # Of an article's header only the headings are text.
+                open_.append((tag, 0 if tag in HEADINGS and above[1] == 1 and not own else max(above[1], own), above[2]))
+        outside, article = (open_[-1][1] > 0, open_[-1][2]) if open_ else (False, False)
         heading = bool(open_) and open_[-1][0] in HEADINGS
     if at < len(page):
         piece = html.unescape(page[at:])

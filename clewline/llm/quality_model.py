@@ -17,9 +17,10 @@ BITS = 20
 #: Labelled documents fitted on, at most, and their features together, at most.
 FIT_ROWS = 4000
 FIT_FEATURES = 6_000_000
-ROUNDS = 150
-RATE = 0.3
+ROUNDS = 100
 PENALTY = 1.0
+#: Rows that a feature must be in to have a weight.
+LEAST_ROWS = 5
 KEPT_CHUNKS = 300_000
 #: Chance of the best grade from which a document is selected.
 LEAST_CHANCE = 0.5
@@ -70,6 +71,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def minimise(loss, x: np.ndarray, rounds: int, memory: int = 12) -> np.ndarray:
+    """A smooth function's minimum by limited-memory quasi-Newton steps that must go down (Armijo)."""
+    value, slope = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        way, used = -slope, []
+        for s, y, r in reversed(steps):
+            a = r * (s @ way)
+            way = way - a * y
+            used.append(a)
+        if steps:
+            s, y, r = steps[-1]
+            way = way / (r * (y @ y))
+        else:
+            way = way / max(1.0, float(np.abs(way).max()))
+        for (s, y, r), a in zip(steps, reversed(used)):
+            way = way + (a - r * (y @ way)) * s
+        fall, size = float(slope @ way), 1.0
+        while True:
+            new = x + size * way
+            new_value, new_slope = loss(new)
+            if new_value <= value + 1e-4 * size * fall:
+                break
+            size /= 2
+            if size < 1e-10:
+                return x
+        s, y = new - x, new_slope - slope
+        if s @ y > 1e-12:
+            steps = [*steps[1 - memory :], (s, y, 1.0 / float(s @ y))] if len(steps) >= memory else [*steps, (s, y, 1.0 / float(s @ y))]
+        done = value - new_value <= 1e-5 * max(1.0, abs(value))
+        x, value, slope = new, new_value, new_slope
+        if done:
+            break
+    return x
+
+
 class OrdinalModel:
     """P(grade > k) = sigmoid(score - thresholds[k]) with ascending thresholds; grades are 0 .. len(thresholds)."""
 
@@ -88,46 +125,43 @@ class OrdinalModel:
         self.__init__(weights, thresholds)
 
     @staticmethod
-    def learn(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, penalty: float = PENALTY) -> OrdinalModel:
-        """Penalised likelihood by adaptive gradient steps over all rows; features of one row only have no weight."""
+    def learn(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, penalty: float = PENALTY, least_rows: int = LEAST_ROWS) -> OrdinalModel:
+        """Greatest penalised likelihood over all rows; features of fewer than ``least_rows`` rows have no weight."""
         size = 1 << BITS
         if not len(rows):
             return OrdinalModel(np.zeros(size, dtype=np.float32), np.arange(n_grades - 1, dtype=float))
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         place = np.concatenate(rows)
-        often = np.bincount(place, minlength=size) > 1
+        often = np.bincount(place, minlength=size) >= least_rows
         owner, place = owner[often[place]], place[often[place]]
         used, place = np.unique(place, return_inverse=True)
-        weight, power = np.zeros(len(used)), np.full(len(used), 1e-6)
-        shares_ = np.array([(grades <= k).mean() for k in range(n_grades - 1)])
-        cuts = np.maximum.accumulate(np.log((shares_ + 1e-3) / (1 - shares_ + 1e-3)))
-        # Gaps between thresholds are kept positive by working on their logarithms.
-        first, gaps = cuts[0], np.log(np.maximum(np.diff(cuts), 0.1))
-        cut_power = np.full(n_grades - 1, 1e-6)
-        n = len(rows)
-        for _ in range(rounds):
-            cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-            score = np.bincount(owner, weights=weight[place], minlength=n)
-            beyond = sigmoid(score[:, None] - cuts[None, :])  # P(grade > k)
-            upper = np.concatenate([np.ones((n, 1)), beyond], axis=1)
-            lower = np.concatenate([beyond, np.zeros((n, 1))], axis=1)
-            rows_ = np.arange(n)
-            own = np.maximum(upper[rows_, grades] - lower[rows_, grades], 1e-9)
+        n, d, each = len(rows), len(used), np.arange(len(rows))
+        below = np.array([(grades <= k).mean() for k in range(n_grades - 1)])
+        start = np.maximum.accumulate(np.log((below + 1e-3) / (1 - below + 1e-3)))
+
+        def thresholds(tail):
+            # The first, and the logarithms of the gaps, which keeps them ascending.
+            return tail[0] + np.concatenate([[0], np.cumsum(np.exp(tail[1:]))])
+
+        def loss(x):
+            weight, tail = x[:d], x[d:]
+            cuts = thresholds(tail)
+            beyond = sigmoid(np.bincount(owner, weights=weight[place], minlength=n)[:, None] - cuts[None, :])  # P(grade > k)
+            upper = np.concatenate([np.ones((n, 1)), beyond], axis=1)[each, grades]
+            lower = np.concatenate([beyond, np.zeros((n, 1))], axis=1)[each, grades]
+            own = np.maximum(upper - lower, 1e-12)
             slope = np.concatenate([np.zeros((n, 1)), beyond * (1 - beyond), np.zeros((n, 1))], axis=1)
-            up, down = slope[rows_, grades] / own, slope[rows_, grades + 1] / own
-            pull = up - down  # of the log likelihood, by the score
-            g = np.bincount(place, weights=pull[owner], minlength=len(used)) - penalty * n / 100 * weight
-            power += g * g
-            weight += RATE * g / np.sqrt(power)
-            by_cut = np.array([down[grades == k].sum() - up[grades == k + 1].sum() for k in range(n_grades - 1)])
-            step = np.concatenate([[by_cut.sum()], [by_cut[k + 1 :].sum() * math.exp(gaps[k]) for k in range(len(gaps))]])
-            cut_power += step * step
-            move = RATE * step / np.sqrt(cut_power)
-            first += move[0]
-            gaps = gaps + move[1:]
+            up, down = slope[each, grades] / own, slope[each, grades + 1] / own
+            g = np.empty_like(x)
+            g[:d] = penalty * weight - np.bincount(place, weights=(up - down)[owner], minlength=d)
+            by_cut = np.array([up[grades == k + 1].sum() - down[grades == k].sum() for k in range(n_grades - 1)])
+            g[d:] = np.concatenate([[by_cut.sum()], [by_cut[k + 1 :].sum() * math.exp(tail[k + 1]) for k in range(n_grades - 2)]])
+            return -np.log(own).sum() + 0.5 * penalty * weight @ weight, g
+
+        x = minimise(loss, np.concatenate([np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 0.1))]), rounds)
         weights = np.zeros(size, dtype=np.float32)
-        weights[used] = weight
-        return OrdinalModel(weights, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
+        weights[used] = x[:d]
+        return OrdinalModel(weights, thresholds(x[d:]))
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, float], ...]:
         return tuple((b, float(w)) for b in {bucket(n) for n in chunk_names(chunk)} if (w := self.weights[b]))
