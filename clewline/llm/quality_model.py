@@ -139,6 +139,14 @@ class OrdinalModel:
         below = np.array([(grades <= k).mean() for k in range(n_grades - 1)])
         start = np.maximum.accumulate(np.log((below + 1e-3) / (1 - below + 1e-3)))
 
+        # A feature counts by how far its share among the best grade is from its share among the rest, so that the
+        # penalty weighs on chance features, not on telling ones.
+        best = grades == n_grades - 1
+        with_best = np.bincount(place, weights=best[owner].astype(float), minlength=d)
+        with_rest = np.bincount(place, minlength=d) - with_best
+        scale = np.abs(np.log((with_best + 1) / (best.sum() + 2)) - np.log((with_rest + 1) / ((~best).sum() + 2)))
+        value = scale[place]
+
         def thresholds(tail):
             # The first, and the logarithms of the gaps, which keeps them ascending.
             return tail[0] + np.concatenate([[0], np.cumsum(np.exp(tail[1:]))])
@@ -146,21 +154,21 @@ class OrdinalModel:
         def loss(x):
             weight, tail = x[:d], x[d:]
             cuts = thresholds(tail)
-            beyond = sigmoid(np.bincount(owner, weights=weight[place], minlength=n)[:, None] - cuts[None, :])  # P(grade > k)
+            beyond = sigmoid(np.bincount(owner, weights=weight[place] * value, minlength=n)[:, None] - cuts[None, :])  # P(grade > k)
             upper = np.concatenate([np.ones((n, 1)), beyond], axis=1)[each, grades]
             lower = np.concatenate([beyond, np.zeros((n, 1))], axis=1)[each, grades]
             own = np.maximum(upper - lower, 1e-12)
             slope = np.concatenate([np.zeros((n, 1)), beyond * (1 - beyond), np.zeros((n, 1))], axis=1)
             up, down = slope[each, grades] / own, slope[each, grades + 1] / own
             g = np.empty_like(x)
-            g[:d] = penalty * weight - np.bincount(place, weights=(up - down)[owner], minlength=d)
+            g[:d] = penalty * weight - np.bincount(place, weights=(up - down)[owner] * value, minlength=d)
             by_cut = np.array([up[grades == k + 1].sum() - down[grades == k].sum() for k in range(n_grades - 1)])
             g[d:] = np.concatenate([[by_cut.sum()], [by_cut[k + 1 :].sum() * math.exp(tail[k + 1]) for k in range(n_grades - 2)]])
             return -np.log(own).sum() + 0.5 * penalty * weight @ weight, g
 
         x = minimise(loss, np.concatenate([np.zeros(d), start[:1], np.log(np.maximum(np.diff(start), 0.1))]), rounds)
         weights = np.zeros(size, dtype=np.float32)
-        weights[used] = x[:d]
+        weights[used] = x[:d] * scale
         return OrdinalModel(weights, thresholds(x[d:]))
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, float], ...]:
