@@ -66,7 +66,8 @@ def concatenate_and_cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    placed = tokens.join(bases, "part").select("doc_id", "n_tokens", "ids", (F.col("base") + F.col("local_start")).alias("at"))
+    # One short row per partition: its size is bounded by their number, not by the text.
+    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "n_tokens", "ids", (F.col("base") + F.col("local_start")).alias("at"))
     id_type = dict(tokens.dtypes)["doc_id"]
 
     def run(batches):
