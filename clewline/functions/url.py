@@ -60,9 +60,14 @@ def port_text(url: Column) -> Column:
     return F.regexp_extract(host_port(url), r":([^:\]]*)$", 1)
 
 
+def _hex_part(digits: Column) -> Column:
+    """Value without leading zeros; over eight digits it is too large for any address."""
+    return F.when(F.length(digits) <= 8, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint")).otherwise(F.lit(1 << 40))
+
+
 def _ipv4_part(p: Column) -> Column:
     return (
-        F.when(p.rlike(r"^0[xX][0-9a-fA-F]*$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 16)), 16, 10).cast("bigint"))
+        F.when(p.rlike(r"^0[xX][0-9a-fA-F]*$"), _hex_part(F.regexp_replace(p, "^0[xX]0*", "")))
         .when(p.rlike(r"^0[0-7]+$"), F.conv(p, 8, 10).cast("bigint"))
         .when(p.rlike(r"^[0-9]{1,12}$"), p.cast("bigint"))
     )
@@ -100,6 +105,21 @@ def is_ipv6(host: Column) -> Column:
     return host.rlike(_IPV6) & ~host.rlike(r":::|::.*::")
 
 
+def ipv6_hex(text: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in any spelling, with or without brackets or zone; NULL if it is not one."""
+    t = F.regexp_replace(F.lower(F.trim(text)), r"^\[|\]$|%[^\]]*", "")
+    quad = F.regexp_extract(t, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    tail = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
+    whole = F.when(quad == "", t).otherwise(F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
+    side = lambda i: F.filter(F.split(F.split_part(whole, F.lit("::"), F.lit(i)), ":"), lambda g: g != "")
+    left, right = side(1), F.when(whole.contains("::"), side(2)).otherwise(F.array().cast("array<string>"))
+    n = F.size(left) + F.size(right)
+    gap = F.when(whole.contains("::") & (n < 8), F.array_repeat(F.lit("0"), (8 - n).cast("int"))).otherwise(F.array().cast("array<string>"))
+    groups = F.concat(left, gap, right)
+    good = whole.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~whole.rlike(r":::|::.*::|^:[^:]|[^:]:$") & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
+    return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+
+
 def ip_kind(host: Column) -> Column:
     """IPV4 / IPV6 for a canonical literal, NULL for a name."""
     dotted = host.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$") & ipv4_number(host).isNotNull()
@@ -194,7 +214,7 @@ def origin(url: Column) -> Column:
 
 def _fold_dots(p: Column) -> Column:
     """Remove ``.`` and ``..`` segments from an absolute path."""
-    segs = F.slice(F.split(p, "/"), 2, 100000)
+    segs = F.slice(F.split(p, "/"), F.lit(2), F.size(F.split(p, "/")))
     last_dot = p.rlike(r"(^|/)\.\.?$")
     kept = F.aggregate(
         segs,

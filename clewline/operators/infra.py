@@ -71,24 +71,25 @@ def ns_difference(dns_ns: DataFrame, rdap_ns: DataFrame) -> DataFrame:
         "domain", F.when(F.col("in_dns").isNull(), "rdap_only").otherwise("dns_only").alias("side"), "name")
 
 
-def cname_terminal(edges: DataFrame, hosts: DataFrame, max_depth: int = 8) -> DataFrame:
+def cname_terminal(edges: DataFrame, hosts: DataFrame) -> DataFrame:
     """End of an unambiguous alias chain in one reply; a loop, branch or unused alias gives NULL.
 
-    The loop runs over chain depth, a fixed small number, with one hash join per step.
+    A reply's aliases come from one DNS message, so they are folded in one row; a chain may be as long as there are aliases.
     """
     e = edges.select("reply_id", "name", "target").distinct()
     one = e.groupBy("reply_id", "name").agg(F.min("target").alias("next"), F.count("*").alias("targets"))
-    size = e.groupBy("reply_id").agg(F.count("*").alias("aliases"))
-    cur = hosts.select("reply_id", F.col("host").alias("at"), F.lit(0).alias("used"), F.lit(True).alias("ok"))
-    for _ in range(max_depth):
-        j = cur.join(one, (cur.reply_id == one.reply_id) & (cur["at"] == one.name), "left").select(
-            cur.reply_id, F.coalesce("next", "at").alias("at"), (F.col("used") + F.when(F.col("next").isNotNull(), 1).otherwise(0)).alias("used"),
-            (F.col("ok") & (F.coalesce("targets", F.lit(1)) == 1)).alias("ok"))
-        cur = j
-    more = one.select(F.col("reply_id").alias("_r"), F.col("name").alias("_n"))
-    j = cur.join(more, (cur.reply_id == F.col("_r")) & (cur["at"] == F.col("_n")), "left").join(size, "reply_id", "left")
-    fine = F.col("ok") & F.col("_n").isNull() & (F.col("used") == F.coalesce("aliases", F.lit(0)))
-    return j.select("reply_id", F.when(fine, F.col("at")).alias("terminal"))
+    folded = one.groupBy("reply_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "next"))).alias("next"), F.sum("targets").alias("aliases"))
+    j = hosts.select("reply_id", "host").join(folded, "reply_id", "left")
+    start = F.struct(F.col("host").alias("at"), F.lit(0).cast("bigint").alias("used"))
+
+    def step(acc, _):
+        to = F.col("next")[acc["at"]]
+        return F.when(to.isNull(), acc).otherwise(F.struct(to.alias("at"), (acc["used"] + 1).alias("used")))
+
+    end = F.aggregate(F.coalesce(F.sequence(F.lit(1).cast("bigint"), F.col("aliases")), F.array().cast("array<bigint>")), start, step)
+    j = j.withColumn("end", end)
+    fine = (F.col("end.used") == F.coalesce("aliases", F.lit(0))) & (F.col("next").isNull() | F.col("next")[F.col("end.at")].isNull())
+    return j.select("reply_id", F.when(fine, F.col("end.at")).alias("terminal"))
 
 
 def timeout_attribution(lookups: DataFrame, probes: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.logic import first_true
+from ..session import materialise
 
 REQUEST_CAP = 1000
 # Engine categories, progress layers and ledger words.
@@ -19,18 +20,24 @@ def net_requests(events: DataFrame) -> DataFrame:
     return events.groupBy("capture_id", "request_id").agg(F.min("sequence").alias("sequence"), F.max_by("state", "sequence").alias("state"), F.sum("body_bytes").alias("body_bytes"))
 
 
-def net_redirect_parent(requests: DataFrame, max_depth: int = 15) -> DataFrame:
-    """Parent request and depth of each redirect chain, by a bounded number of hash joins on the parent id.
+def net_redirect_parent(requests: DataFrame) -> DataFrame:
+    """Parent request and depth in its redirect chain; the depth is NULL where the chain runs in a circle.
 
-    A chain is as long as a client follows redirects, so the loop is over depth, not data.
+    Pointers are doubled until a round ends no more chains, so the rounds grow with the logarithm of the longest chain.
     """
     edges = requests.select("request_id", F.col("redirected_from").alias("parent_id"))
-    step = edges.select(F.col("request_id").alias("_r"), F.col("parent_id").alias("_p"))
-    out = edges.withColumns({"depth": F.when(F.col("parent_id").isNull(), 0).otherwise(1), "_at": F.col("parent_id")})
-    for _ in range(max_depth - 1):
-        j = out.join(step, F.col("_at") == F.col("_r"), "left")
-        out = j.select("request_id", "parent_id", (F.col("depth") + F.when(F.col("_p").isNotNull(), 1).otherwise(0)).alias("depth"), F.col("_p").alias("_at"))
-    return out.select("request_id", "parent_id", "depth")
+    known = edges.select(F.col("request_id").alias("_r"))
+    out = edges.join(known, F.col("parent_id") == F.col("_r"), "left").select(
+        "request_id", "parent_id", F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("_r").alias("_at"))
+    out, open_ = materialise(out, "chains"), None
+    while True:
+        left = out.where("_at IS NOT NULL").count()
+        if left == 0 or left == open_:
+            return out.select("request_id", "parent_id", F.when(F.col("_at").isNull(), F.col("depth")).alias("depth"))
+        open_ = left
+        above = out.select(F.col("request_id").alias("_r"), F.col("depth").alias("_d"), F.col("_at").alias("_next"))
+        j = out.join(above, F.col("_at") == F.col("_r"), "left")
+        out = materialise(j.select("request_id", "parent_id", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_next").alias("_at")), "chains")
 
 
 def first_requests(requests: DataFrame, n: int) -> DataFrame:

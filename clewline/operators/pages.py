@@ -1,12 +1,16 @@
 """HTML facts from page text, one child table per element kind.
 
 Tags are found by pattern in the page text, not by building a tree. Answers that depend on
-nesting use tag positions (the form opened last and not yet closed). Known limits: an
-unclosed hidden element hides nothing after its own text, and character references other
-than the five common ones stay as written.
+nesting use tag positions (the form opened last and not yet closed). A tag's attributes are
+read in one linear pass into (names, values), with character references decoded. Known limit:
+an unclosed hidden element hides nothing after its own text.
 """
 from __future__ import annotations
 
+import functools
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import url as U
@@ -15,8 +19,34 @@ from ..refdata import FIELD_AUTOCOMPLETE, FIELD_TOKENS, FIELD_TYPES, SuffixIndex
 from .domains import etld1, url_relations
 
 _REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_SCRIPT = r"(?is)<script\b" + _REST + r".*?</script\s*>"
-_BLANKED = r"(?is)<!--.*?-->|<script\b" + _REST + r".*?</script\s*>|<style\b" + _REST + r".*?</style\s*>"
+# What is not closed runs to the end of the page.
+_BLANKED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b" + _REST + r".*?(?:</\1\s*>|\z)"
+_ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+"""
+_REFERENCE = r"&(?:#[0-9]{1,8}+|#[xX][0-9a-fA-F]{1,7}+|[a-zA-Z][a-zA-Z0-9]{1,31}+);|[^&]++|&"
+
+
+@functools.lru_cache(maxsize=1)
+def _reference_names() -> str:
+    """Named references, and the numbers that HTML reads as Windows-1252, as one JSON literal."""
+    names = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+    old = {f"#{n}": bytes([n]).decode("cp1252", "ignore") for n in range(128, 160)}
+    return json.dumps(names | {k: v for k, v in old.items() if v})
+
+
+def decode_references(text: Column) -> Column:
+    """Character references replaced in one pass; unknown ones stay, impossible numbers become U+FFFD."""
+    names = F.from_json(F.lit(_reference_names()), "map<string,string>")
+
+    def one(piece):
+        inner = F.regexp_extract(piece, r"^&([^&;]+);$", 1)
+        digits, hexed = F.regexp_extract(inner, r"^#([0-9]+)$", 1), F.regexp_extract(inner, r"^#[xX]([0-9a-fA-F]+)$", 1)
+        number = F.when(digits != "", digits.cast("bigint")).when(hexed != "", F.conv(hexed, 16, 10).cast("bigint"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        letter = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+        return F.when(inner == "", piece).otherwise(F.coalesce(names[inner], F.when(number.isNotNull(), letter), piece))
+
+    pieces = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def markup(html: str = "html") -> Column:
@@ -28,23 +58,27 @@ def tag(names: str) -> str:
     return rf"(?is)<(?:{names})\b" + _REST
 
 
-def attr(text: Column, name: str) -> Column:
-    """Attribute value; NULL when absent, empty text when present without a value."""
-    body = rf"""(?is)^<[a-z0-9]+\b(?:[^>"']|"[^"]*+"|'[^']*+')*?\s{name}"""
-    value = rf"""{body}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    got = F.concat(*[F.regexp_extract(text, value, i) for i in (1, 2, 3)])
-    return F.when(text.rlike(value), got).when(text.rlike(rf"{body}(?=[\s/>=])"), F.lit(""))
+def attributes(tag_text: Column) -> Column:
+    """Struct of (names, values) of an opening tag; a value is empty where none is given."""
+    body = F.regexp_replace(tag_text, r"^<[^\s/>]++", "")
+    part = lambda i: F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(i))
+    both = lambda a, b: F.concat(a, b)
+    values = F.zip_with(F.zip_with(part(2), part(3), both), part(4), both)
+    return F.struct(F.transform(part(1), lambda x: F.lower(x)).alias("names"), F.transform(values, lambda x: decode_references(x)).alias("values"))
 
 
-def has(text: Column, name: str) -> Column:
-    return attr(text, name).isNotNull()
+def attr(attrs: Column, name: str) -> Column:
+    """Value of the first attribute of that name, from :func:`attributes`; NULL when absent, empty text when without a value."""
+    return F.get(attrs["values"], F.array_position(attrs["names"], name).cast("int") - 1)
+
+
+def has(attrs: Column, name: str) -> Column:
+    return F.array_contains(attrs["names"], name)
 
 
 def plain_text(text: Column) -> Column:
-    t = F.regexp_replace(text, r"<[^>]*>", " ")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    t = decode_references(F.regexp_replace(text, r"<[^>]*>", " "))
+    return F.trim(F.regexp_replace(t, r"[\s\u00a0]+", " "))
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -53,32 +87,40 @@ def prepared(pages: DataFrame) -> DataFrame:
         return pages
     p = U.settle(pages.withColumn("markup", markup()), "markup")
     first = F.regexp_extract("markup", r"(?is)(<base\b(?=[^>]*\shref)[^>]*>)", 1)
-    p = p.withColumn("raw_href", F.when(first != "", attr(first, "href")))
+    p = p.withColumn("raw_href", F.when(first != "", attr(attributes(first), "href")))
     p = U.with_resolved(p.withColumn("_r0", F.nullif(F.trim("raw_href"), F.lit(""))), "_r0", "url", "base_url").drop("_r0")
     return p.withColumn("effective_base", F.coalesce("base_url", "url"))
 
 
 def elements(pages: DataFrame, names: str) -> DataFrame:
-    """One row per opening tag, in page order, with its text and its page's base."""
+    """One row per opening tag, in page order, with its attributes and its page's base."""
     found = F.regexp_extract_all("markup", F.lit(tag(names)), F.lit(0))
-    return prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text"))
+    return with_attributes(prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text")))
+
+
+def with_attributes(tags: DataFrame) -> DataFrame:
+    return U.settle(tags.withColumn("attrs", attributes(F.col("tag_text"))), "attrs")
 
 
 def stable_element_ids(els: DataFrame, kind: str, html_id: str = "html_id", out: str = "element_id") -> DataFrame:
-    """The element's own id if unique on its page, else ``<kind>-<n>``, prefixed while it collides.
+    """The element's own id if unique on its page, else ``<kind>-<n>``, prefixed until it is free.
 
-    Windows run inside one page; a page's element count is bounded by the HTML size cap.
+    Ids on the page that such a name could meet are ``generated:`` repeated before ``<kind>-<n>``; the lowest number of
+    repeats that none of them has is free.
     """
     hid = F.nullif(F.trim(F.coalesce(html_id, F.lit(""))), F.lit(""))
-    page = Window.partitionBy("page_id")
     e = els.withColumn("_hid", hid)
     e = e.withColumn("_dup", F.count("_hid").over(Window.partitionBy("page_id", "_hid")))
-    made = F.concat(F.lit(f"{kind}-"), F.row_number().over(page.orderBy("pos")).cast("string"))
-    e = e.withColumns({"_made": made, "_taken": F.collect_set("_hid").over(page)})
-    tries = [F.concat(F.lit("generated:" * n), "_made") for n in range(4)]
-    step = F.coalesce(*[F.when(~F.array_contains("_taken", c), c) for c in tries], tries[-1])
+    e = e.withColumn("_made", F.concat(F.lit(f"{kind}-"), F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("string")))
+    form = rf"^((?:generated:)*+)({kind}-[0-9]+)$"
+    taken = e.where(F.col("_hid").rlike(form)).select(F.col("page_id").alias("_p"), F.regexp_extract("_hid", form, 2).alias("_t"), (F.length(F.regexp_extract("_hid", form, 1)) / 10).cast("int").alias("_r"))
+    taken = taken.groupBy("_p", "_t").agg(F.array_sort(F.collect_set("_r")).alias("_rs"))
+    e = e.join(taken, (F.col("page_id") == F.col("_p")) & (F.col("_made") == F.col("_t")), "left")
+    # In the sorted repeats 0, 1, 2, ... the first gap is free.
+    gap = F.aggregate("_rs", F.lit(0), lambda free, r: F.when(r == free, free + 1).otherwise(free))
+    made = F.concat(F.repeat(F.lit("generated:"), F.coalesce(gap, F.lit(0))), "_made")
     own = F.col("_hid").isNotNull() & (F.col("_dup") == 1)
-    return e.withColumn(out, F.when(own, F.col("_hid")).otherwise(step)).drop("_hid", "_dup", "_made", "_taken")
+    return e.withColumn(out, F.when(own, F.col("_hid")).otherwise(made)).drop("_hid", "_dup", "_made", "_p", "_t", "_rs")
 
 
 # ---- documents -----------------------------------------------------------------------------
@@ -131,9 +173,9 @@ def base_url_change(bases: DataFrame, index: SuffixIndex) -> DataFrame:
 
 def meta_refresh(pages: DataFrame) -> DataFrame:
     """First meta refresh with its delay and target; invalid ones keep their text."""
-    e = elements(pages, "meta").withColumn("eq", F.lower(F.trim(attr(F.col("tag_text"), "http-equiv")))).where("eq = 'refresh'")
-    one = e.groupBy("page_id", "effective_base").agg(F.min_by("tag_text", "pos").alias("tag_text"))
-    m = one.withColumn("raw_content", F.coalesce(attr(F.col("tag_text"), "content"), F.lit("")))
+    e = elements(pages, "meta").withColumn("eq", F.lower(F.trim(attr(F.col("attrs"), "http-equiv")))).where("eq = 'refresh'")
+    one = e.groupBy("page_id", "effective_base").agg(F.min_by("attrs", "pos").alias("attrs"))
+    m = one.withColumn("raw_content", F.coalesce(attr(F.col("attrs"), "content"), F.lit("")))
     pat = r"(?is)^\s*(\d+(?:\.\d*)?|\.\d+)\s*(?:;\s*(?:url\s*=\s*)?(.+?)\s*)?$"
     raw = F.trim(F.regexp_replace(F.trim(F.regexp_extract("raw_content", pat, 2)), "^[\"']+|[\"']+$", ""))
     m = U.with_resolved(m.withColumn("_t", F.nullif(raw, F.lit(""))), "_t", "effective_base", "target_url")
@@ -141,8 +183,14 @@ def meta_refresh(pages: DataFrame) -> DataFrame:
     return m.select("page_id", "raw_content", ok.alias("valid"), F.when(ok, F.regexp_extract("raw_content", pat, 1).try_cast("double")).alias("delay_seconds"), F.when(ok, F.col("target_url")).alias("target_url"))
 
 
+def found_or_unknown(found: Column) -> Column:
+    """What was not found on a page that was cut is unknown."""
+    return F.when(found, F.lit(True)).when(F.coalesce("source_complete", F.lit(True)), F.lit(False))
+
+
 def html_redirect(pages: DataFrame, refresh: DataFrame) -> DataFrame:
-    return pages.select("page_id").join(refresh, "page_id", "left").select("page_id", F.coalesce("valid", F.lit(False)).alias("detected"), "target_url", "delay_seconds")
+    j = pages.select("page_id", "source_complete").join(refresh, "page_id", "left")
+    return j.select("page_id", found_or_unknown(F.coalesce("valid", F.lit(False))).alias("detected"), "target_url", "delay_seconds")
 
 
 # ---- forms ---------------------------------------------------------------------------------
@@ -150,7 +198,7 @@ def html_redirect(pages: DataFrame, refresh: DataFrame) -> DataFrame:
 def form_tokens(pages: DataFrame) -> DataFrame:
     """Form, control and form-end tags in page order, each with the form that encloses it."""
     found = F.regexp_extract_all("markup", F.lit(r"(?is)</form\s*>|<(?:form|input|textarea|select|button)\b" + _REST), F.lit(0))
-    t = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text"))
+    t = with_attributes(prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text")))
     t = t.withColumn("tag", F.lower(F.regexp_extract("tag_text", r"^<(/?[a-zA-Z]+)", 1)))
     w = Window.partitionBy("page_id").orderBy("pos")
     t = t.withColumn("form_no", F.when(F.col("tag") == "form", F.count_if(F.col("tag") == "form").over(w)))
@@ -161,8 +209,8 @@ def form_tokens(pages: DataFrame) -> DataFrame:
 def page_forms(tokens: DataFrame) -> DataFrame:
     """Forms with method, resolved action and how it was resolved, from ``form_tokens``."""
     f = tokens.where("tag = 'form'")
-    f = f.withColumns({"html_id": attr(F.col("tag_text"), "id"), "action_raw": attr(F.col("tag_text"), "action"),
-                       "method": F.coalesce(F.nullif(F.lower(F.trim(attr(F.col("tag_text"), "method"))), F.lit("")), F.lit("get"))})
+    f = f.withColumns({"html_id": attr(F.col("attrs"), "id"), "action_raw": attr(F.col("attrs"), "action"),
+                       "method": F.coalesce(F.nullif(F.lower(F.trim(attr(F.col("attrs"), "method"))), F.lit("")), F.lit("get"))})
     f = stable_element_ids(f, "form", out="form_id")
     blank = F.coalesce(F.trim("action_raw"), F.lit("")) == ""
     f = U.with_resolved(f.withColumn("_r", F.when(~blank, F.col("action_raw"))), "_r", "effective_base", "_a")
@@ -173,19 +221,19 @@ def page_forms(tokens: DataFrame) -> DataFrame:
 
 def form_controls(tokens: DataFrame, forms: DataFrame) -> DataFrame:
     """Control to form by explicit id, else by the enclosing form; an id that two forms share attaches to neither."""
-    c = tokens.where("tag IN ('input', 'textarea', 'select', 'button')").withColumn("ref", F.nullif(F.trim(F.coalesce(attr(F.col("tag_text"), "form"), F.lit(""))), F.lit("")))
+    c = tokens.where("tag IN ('input', 'textarea', 'select', 'button')").withColumn("ref", F.nullif(F.trim(F.coalesce(attr(F.col("attrs"), "form"), F.lit(""))), F.lit("")))
     ids = forms.where("html_id IS NOT NULL").groupBy("page_id", F.col("html_id").alias("ref")).agg(F.count("*").alias("n"), F.min("form_id").alias("by_id"))
     near = forms.select("page_id", F.col("form_no").alias("enclosing"), F.col("form_id").alias("by_place"))
     j = c.join(ids, ["page_id", "ref"], "left").join(near, ["page_id", "enclosing"], "left")
     form = F.when(F.col("ref").isNotNull(), F.when(F.col("n") == 1, F.col("by_id"))).otherwise(F.col("by_place"))
     kind = first_true([(F.col("ref").isNotNull() & (F.col("n") == 1), "explicit"), (F.col("ref").isNotNull() & (F.col("n") > 1), "ambiguous"),
                        (F.col("ref").isNotNull(), "unresolved"), (F.col("by_place").isNotNull(), "enclosing")], "none")
-    return j.select("page_id", "url", "effective_base", "pos", "tag", "tag_text", form.alias("form_id"), kind.alias("association"))
+    return j.select("page_id", "url", "effective_base", "pos", "tag", "attrs", form.alias("form_id"), kind.alias("association"))
 
 
 def page_inputs(controls: DataFrame) -> DataFrame:
     i = controls.where("tag IN ('input', 'textarea', 'select')")
-    t = F.col("tag_text")
+    t = F.col("attrs")
     i = i.withColumns({"html_id": attr(t, "id"), "type": F.coalesce(F.nullif(F.lower(F.trim(attr(t, "type"))), F.lit("")), F.lit("text")),
                        "name": attr(t, "name"), "placeholder": attr(t, "placeholder"), "autocomplete": attr(t, "autocomplete"),
                        "disabled": has(t, "disabled"), "readonly": has(t, "readonly")})
@@ -194,7 +242,7 @@ def page_inputs(controls: DataFrame) -> DataFrame:
 
 
 def page_buttons(controls: DataFrame, forms: DataFrame) -> DataFrame:
-    t = F.col("tag_text")
+    t = F.col("attrs")
     b = controls.withColumn("type", F.lower(F.coalesce(F.nullif(attr(t, "type"), F.lit("")), F.when(F.col("tag") == "button", "submit"))))
     b = b.where("tag = 'button' OR (tag = 'input' AND type IN ('submit', 'image', 'button', 'reset'))")
     b = b.withColumns({"html_id": attr(t, "id"), "formaction": attr(t, "formaction"), "formmethod": F.nullif(attr(t, "formmethod"), F.lit("")), "disabled": has(t, "disabled")})
@@ -220,12 +268,12 @@ def credential_classify(inputs: DataFrame) -> DataFrame:
 def credential_form(pages: DataFrame, fields: DataFrame) -> DataFrame:
     f = fields.where("credential_type IS NOT NULL AND form_id IS NOT NULL").select("page_id", "form_id").distinct()
     g = f.groupBy("page_id").agg(F.count("*").alias("form_count"), joined(F.collect_set("form_id")).alias("form_ids"))
-    return pages.select("page_id").join(g, "page_id", "left").select("page_id", F.col("form_count").isNotNull().alias("detected"), F.coalesce("form_count", F.lit(0)).alias("form_count"), "form_ids")
+    return pages.select("page_id", "source_complete").join(g, "page_id", "left").select("page_id", found_or_unknown(F.col("form_count").isNotNull()).alias("detected"), F.coalesce("form_count", F.lit(0)).alias("form_count"), "form_ids")
 
 
 def credential_field(pages: DataFrame, fields: DataFrame) -> DataFrame:
     g = fields.where("credential_type IS NOT NULL").groupBy("page_id").agg(joined(F.collect_set("credential_type")).alias("field_types"))
-    return pages.select("page_id").join(g, "page_id", "left").select("page_id", F.col("field_types").isNotNull().alias("detected"), "field_types")
+    return pages.select("page_id", "source_complete").join(g, "page_id", "left").select("page_id", found_or_unknown(F.col("field_types").isNotNull()).alias("detected"), "field_types")
 
 
 def native_submission(inputs: DataFrame) -> DataFrame:
@@ -256,47 +304,51 @@ def external_post(forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> Dat
 # ---- resources -----------------------------------------------------------------------------
 
 def page_images(pages: DataFrame, index: SuffixIndex) -> DataFrame:
-    i = elements(pages, "img").withColumns({"html_id": attr(F.col("tag_text"), "id"), "src_raw": attr(F.col("tag_text"), "src")})
+    i = elements(pages, "img").withColumns({"html_id": attr(F.col("attrs"), "id"), "src_raw": attr(F.col("attrs"), "src")})
     i = U.with_resolved(stable_element_ids(i, "image", out="image_id"), "src_raw", "effective_base", "resource_url")
     return etld1(i, index, "resource_url", "domain").select("page_id", "image_id", "resource_url", "domain")
 
 
 def page_favicon(pages: DataFrame, index: SuffixIndex) -> DataFrame:
-    e = elements(pages, "link").where(F.array_contains(F.split(F.lower(F.trim(attr(F.col("tag_text"), "rel"))), r"\s+"), "icon"))
-    one = e.groupBy("page_id", "effective_base").agg(F.min_by("tag_text", "pos").alias("tag_text")).withColumn("href", attr(F.col("tag_text"), "href"))
+    e = elements(pages, "link").where(F.array_contains(F.split(F.lower(F.trim(attr(F.col("attrs"), "rel"))), r"\s+"), "icon"))
+    one = e.groupBy("page_id", "effective_base").agg(F.min_by("attrs", "pos").alias("attrs")).withColumn("href", attr(F.col("attrs"), "href"))
     i = U.with_resolved(one, "href", "effective_base", "resource_url")
     return etld1(i, index, "resource_url", "domain").select("page_id", "resource_url", "domain")
 
 
 def page_open_graph(pages: DataFrame) -> DataFrame:
-    e = elements(pages, "meta").withColumn("property", F.lower(F.trim(attr(F.col("tag_text"), "property")))).where("property LIKE 'og:%'")
-    last = e.groupBy("page_id", "effective_base", "property").agg(F.max_by("tag_text", "pos").alias("tag_text")).withColumn("content", attr(F.col("tag_text"), "content"))
+    e = elements(pages, "meta").withColumn("property", F.lower(F.trim(attr(F.col("attrs"), "property")))).where("property LIKE 'og:%'")
+    last = e.groupBy("page_id", "effective_base", "property").agg(F.max_by("attrs", "pos").alias("attrs")).withColumn("content", attr(F.col("attrs"), "content"))
     url = last.withColumn("_u", F.when(F.col("property").isin("og:image", "og:image:url", "og:url", "og:video", "og:audio"), F.col("content")))
     return U.with_resolved(url, "_u", "effective_base", "resource_url").select("page_id", "property", "content", "resource_url")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Anchors with their text, raw and resolved address."""
-    found = F.regexp_extract_all("markup", F.lit(r"(?is)<a\b(?=[^>]*\shref)" + _REST + r"(?:.*?</a\s*>)?"), F.lit(0))
+    # Cut at each start and end of an anchor: one without its end tag ends where the next begins.
+    pieces = F.split("markup", r"(?i)(?=</?a[\s>])")
+    found = F.filter(pieces, lambda x: x.rlike(r"(?is)^<a\s[^>]*(?<=\s)href[\s=>]"))
     e = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "x"))
-    open_tag = F.regexp_extract("x", r"(?is)^(<a\b" + _REST + ")", 1)
-    e = e.withColumns({"href": attr(open_tag, "href"), "download": attr(open_tag, "download"), "target": attr(open_tag, "target"), "text": plain_text(F.col("x"))})
+    e = e.withColumns({"tag_text": F.regexp_extract("x", r"(?is)^(<a\b" + _REST + ")", 1), "text": plain_text(F.col("x"))})
+    e = with_attributes(e)
+    e = e.withColumns({n: attr(F.col("attrs"), n) for n in ("href", "download", "target")}).where("href IS NOT NULL").drop("tag_text", "attrs")
     e = U.with_resolved(e.drop("x"), "href", "effective_base", "destination")
     return e.select("page_id", "url", F.concat(F.lit("link-"), (F.col("pos") + 1).cast("string")).alias("link_id"), "pos", "text", "href", "destination", "download", "target")
 
 
 def page_frames(pages: DataFrame) -> DataFrame:
-    f = elements(pages, "iframe").withColumns({"src_raw": attr(F.col("tag_text"), "src"), "srcdoc": attr(F.col("tag_text"), "srcdoc")})
+    f = elements(pages, "iframe").withColumns({"src_raw": attr(F.col("attrs"), "src"), "srcdoc": attr(F.col("attrs"), "srcdoc")})
     f = U.with_resolved(f, "src_raw", "effective_base", "src")
     return f.select("page_id", F.concat(F.lit("frame-"), (F.col("pos") + 1).cast("string")).alias("frame_id"), "src", "srcdoc")
 
 
 def page_inline_handlers(pages: DataFrame) -> DataFrame:
-    e = elements(pages, "[a-z][a-z0-9]*").where(F.col("tag_text").rlike(r"(?i)\son[a-z]+\s*="))
-    names = F.regexp_extract_all("tag_text", F.lit(r"(?i)\s(on[a-z]+)\s*=\s*(?:\"[^\"]*\"|'[^']*')"), F.lit(1))
-    values = F.regexp_extract_all("tag_text", F.lit(r"(?i)\son[a-z]+\s*=\s*([\"'])([^\"']*)\1"), F.lit(2))
-    x = e.select("page_id", F.lower(F.regexp_extract("tag_text", r"^<([a-zA-Z0-9]+)", 1)).alias("tag"), F.explode(F.arrays_zip(names.alias("event"), values.alias("source"))).alias("h"))
-    return x.select("page_id", "tag", F.lower("h.event").alias("event"), F.col("h.source").alias("source"))
+    """Event attributes, quoted or not, of the tags that have any."""
+    found = F.filter(F.regexp_extract_all("markup", F.lit(tag("[a-z][a-z0-9]*")), F.lit(0)), lambda x: x.rlike(r"(?i)[\s\"'/]on[a-z]+\s*="))
+    e = with_attributes(prepared(pages).select("page_id", F.explode(found).alias("tag_text")))
+    pairs = F.filter(F.arrays_zip(F.col("attrs.names").alias("event"), F.col("attrs.values").alias("source")), lambda p: p["event"].rlike("^on[a-z]+$"))
+    x = e.select("page_id", F.lower(F.regexp_extract("tag_text", r"^<([a-zA-Z0-9]+)", 1)).alias("tag"), F.explode(pairs).alias("h"))
+    return x.select("page_id", "tag", "h.event", "h.source")
 
 
 def link_cap(links: DataFrame, flagged: DataFrame, n: int = 40) -> DataFrame:

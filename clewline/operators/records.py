@@ -75,7 +75,8 @@ def acquisition_state(lookups: DataFrame, causes: DataFrame) -> DataFrame:
     agg = observation_state(lookups).groupBy("request_id", "layer").agg(
         F.bool_or(st.isin("observed", "partial")).alias("usable"), F.bool_or(st != "observed").alias("gap"),
         F.bool_and(st == "not_attempted").alias("none_tried"), F.bool_or(st == "unavailable").alias("failed"))
-    j = agg.join(c, ["request_id", "layer"], "left")
+    # A layer that only has causes could not be observed.
+    j = agg.join(c, ["request_id", "layer"], "outer")
     return j.select("request_id", "layer", first_true([
         (F.col("usable") & F.col("gap"), "partial"), (F.col("usable"), "observed"), (F.col("none_tried"), "not_attempted"),
         (F.col("failed") | F.col("cause_count").isNotNull(), "unavailable")], "unrecorded").alias("state"))
@@ -87,7 +88,7 @@ def analysis_state(signals: DataFrame, causes: DataFrame) -> DataFrame:
     agg = signal_state(signals).groupBy("request_id", "layer").agg(
         F.bool_or(st.isin("observed", "not_observed_in_analyzed_scope", "relationship_record_only")).alias("usable"),
         F.bool_or(st == "unresolved").alias("open"))
-    j = agg.join(c, ["request_id", "layer"], "left").withColumn("open", F.col("open") | F.col("cause_count").isNotNull())
+    j = agg.join(c, ["request_id", "layer"], "outer").withColumn("open", F.col("open") | F.col("cause_count").isNotNull())
     return j.select("request_id", "layer", first_true([
         (F.col("usable") & F.col("open"), "partial"), (F.col("open"), "unavailable")], "completed").alias("state"))
 

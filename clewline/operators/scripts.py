@@ -11,7 +11,7 @@ from ..functions import url as U
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SCRIPT_APIS
 from .domains import url_relations
-from .pages import _REST, attr, has, prepared
+from .pages import _REST, attr, has, prepared, with_attributes
 
 # Media types that run as scripts or hold JSON, limits, and signal names by event kind.
 SCRIPT_TYPES = ("", "application/ecmascript", "application/javascript", "module", "text/ecmascript", "text/javascript")
@@ -30,11 +30,12 @@ CONTENT_TYPES = ("audio", "heading", "image", "paragraph", "text", "title", "vid
 
 def page_scripts(pages: DataFrame) -> DataFrame:
     """Inline and external scripts in page order."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<!--.*?-->|<script\b" + _REST + r".*?</script\s*>"), F.lit(0))
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<!--.*?(?:-->|\z)|<script\b" + _REST + r".*?(?:</script\s*>|\z)"), F.lit(0))
     only = F.filter(found, lambda x: F.lower(F.substring(x, 1, 7)) == "<script")
     s = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(only).alias("pos", "x"))
-    s = s.withColumns({"t": F.regexp_extract("x", r"(?is)^(<script\b" + _REST + ")", 1), "body": F.regexp_extract("x", r"(?is)^<script\b" + _REST + r"(.*?)</script\s*>$", 1)}).drop("x")
-    t = F.col("t")
+    s = s.withColumns({"tag_text": F.regexp_extract("x", r"(?is)^(<script\b" + _REST + ")", 1), "body": F.regexp_extract("x", r"(?is)^<script\b" + _REST + r"(.*?)(?:</script\s*>)?\z", 1)}).drop("x")
+    s = with_attributes(s)
+    t = F.col("attrs")
     s = s.withColumns({"raw_src": attr(t, "src"), "media_type": attr(t, "type"), "is_async": has(t, "async"), "is_defer": has(t, "defer")})
     s = U.with_resolved(s, "raw_src", "effective_base", "source_url")
     inline = F.col("raw_src").isNull()
@@ -66,10 +67,14 @@ def _pattern(kind: str, api: str) -> str:
     return head + name + tail
 
 
+# Strings and comments are read from left to right in one pass, so neither can start inside the other.
+_PIECES = r"""(?s)"(?:[^"\\\n]++|\\.)*+"?+|'(?:[^'\\\n]++|\\.)*+'?+|`(?:[^`\\]++|\\.)*+`?+|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|/"""
+
+
 def blanked(source: str = "source"):
     """Source with comments removed and string contents emptied."""
-    c = F.regexp_replace(F.col(source), r"(?s)/\*.*?\*/|(?<!:)//[^\n]*", " ")
-    return F.regexp_replace(c, r"""(["'`])(?:\\.|(?!\1)[^\\])*+\1""", '""')
+    pieces = F.regexp_extract_all(F.col(source), F.lit(_PIECES), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[\"'`]"), '""').when(p.rlike("^/[/*]"), " ").otherwise(p)), "")
 
 
 def script_api_screen(scripts: DataFrame) -> DataFrame:

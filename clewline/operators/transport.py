@@ -106,10 +106,12 @@ def mime_type(pages: DataFrame, col: str = "content_type") -> DataFrame:
 def content_disposition(pages: DataFrame, col: str = "disposition") -> DataFrame:
     """Disposition type and file name; quoted separators kept, extended name preferred."""
     v = F.col(col)
-    param = r'(?:^|;)(?:[^;"]|"[^"]*")*?;\s*'
-    ext = F.regexp_extract(v, r"(?i)" + param + r"filename\*=\s*([^;]*)", 1)
+    # Parts between semicolons outside quotes; names and values from each part.
+    parts = F.transform(F.regexp_extract_all(v, F.lit(r'(?:[^;"]++|"[^"]*+"|")++'), F.lit(0)), lambda x: F.trim(x))
+    after = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
+    value = lambda name: F.regexp_replace(F.get(F.filter(after, lambda x: F.lower(F.regexp_extract(x, r"^([^=\s]+)\s*=", 1)) == name), F.lit(0)), r"^[^=]*=\s*", "")
+    ext, plain = value("filename*"), value("filename")
     ext_value = F.when(ext.rlike("^[^']*'[^']*'"), F.regexp_replace(ext, r"^[^']*'[^']*'", "")).otherwise(ext)
-    plain = F.regexp_extract(v, r'(?i)' + param + r'filename=\s*("[^"]*"|[^;]*)', 1)
     name = F.coalesce(F.nullif(U.percent_decode(F.trim(ext_value)), F.lit("")), F.nullif(F.trim(F.regexp_replace(F.trim(plain), "^[\"']+|[\"']+$", "")), F.lit("")))
     return pages.withColumns({
         "disposition_type": F.nullif(F.lower(F.trim(F.split_part(v, F.lit(";"), F.lit(1)))), F.lit("")), "disposition_filename": name})

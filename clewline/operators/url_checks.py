@@ -1,6 +1,8 @@
 """String-level checks over a table of URLs. Inputs are kept row by row: a bad URL becomes a status or error row."""
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import url as U
@@ -177,14 +179,32 @@ def url_rejection_reason(dataset: DataFrame) -> DataFrame:
     return with_rejection(dataset)
 
 
+# IPv6 ranges that are not globally reachable, and parts of the first list that are.
+NON_GLOBAL_V6 = ("::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10", "fec0::/10", "ff00::/8")
+GLOBAL_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def _in_v6(digits: Column, blocks) -> Column:
+    """Whether 32 hex digits lie in one of some networks; digits of one length compare like numbers."""
+    hit = F.lit(False)
+    for block in map(ipaddress.ip_network, blocks):
+        hit = hit | digits.between(f"{int(block.network_address):032x}", f"{int(block.broadcast_address):032x}")
+    return hit
+
+
 def non_global_flag(ip: str, blocks=NON_GLOBAL_BLOCKS):
-    """TRUE / FALSE for an IPv4 address against the reserved blocks, NULL when it is not IPv4."""
-    n = U.ipv4_number(F.col(ip))
+    """TRUE / FALSE for an address of either family against the reserved blocks, NULL when it is no address.
+
+    An IPv4 address mapped into IPv6 is judged as IPv4.
+    """
+    six = U.ipv6_hex(F.col(ip))
+    mapped = F.conv(F.regexp_extract(six, "^0{20}ffff([0-9a-f]{8})$", 1), 16, 10).cast("bigint")
+    n = F.coalesce(U.ipv4_number(F.col(ip)), F.when(six.rlike("^0{20}ffff"), mapped))
     hit = F.lit(False)
     for first, length in blocks:
         a = sum(int(x) << s for x, s in zip(first.split("."), (24, 16, 8, 0)))
         hit = hit | ((n >= a) & (n < a + 2 ** (32 - length)))
-    return F.when(n.isNotNull(), hit)
+    return F.when(n.isNotNull(), hit).when(six.isNotNull(), _in_v6(six, NON_GLOBAL_V6) & ~_in_v6(six, GLOBAL_V6))
 
 
 def url_public_target(addresses: DataFrame, host: str = "host_id", ip: str = "ip") -> DataFrame:
@@ -208,7 +228,7 @@ def admission_reason(urls: DataFrame, addresses: DataFrame, blocked_ports: tuple
     j = p.join(bad, p.hostname == bad.host, "left")
     port = U.port_text(u)
     port_n = port.try_cast("int")
-    literal = F.when(F.col("host_type").isin("IPV4"), non_global_flag("hostname", INTAKE_BLOCKS))
+    literal = F.when(F.col("host_type").isin("IPV4", "IPV6"), non_global_flag("hostname", INTAKE_BLOCKS))
     reason = first_true([
         (F.coalesce(F.trim(u), F.lit("")) == "", "empty_url"),
         (F.length(u) > MAX_URL_CHARS, "url_too_long"),

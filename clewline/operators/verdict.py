@@ -19,9 +19,9 @@ def verdict_contract(judgments: DataFrame, reasons: DataFrame, facts: DataFrame)
     j = judgments
     r = reasons.groupBy("job_id").agg(F.count("*").alias("n"))
     row = lambda df, name: df.select("job_id", F.lit(name).alias("problem"))
-    bad = row(j.where(~F.col("verdict").isin(*VERDICTS)), "invalid_verdict")
+    bad = row(j.where(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))), "invalid_verdict")
     empty = row(j.where(F.coalesce(F.trim("interpretation"), F.lit("")) == ""), "empty_text")
-    none = row(j.where("verdict <> 'UNKNOWN'").join(r, "job_id", "left_anti"), "missing_reasons")
+    none = row(j.where("NOT verdict <=> 'UNKNOWN'").join(r, "job_id", "left_anti"), "missing_reasons")
     dup = row(reasons.groupBy("job_id", "fact_id").agg(F.count("*").alias("n")).where("n > 1").select("job_id").distinct(), "duplicate_fact_id")
     ref = row(reasons.join(facts.select("fact_id").distinct(), "fact_id", "left_anti").select("job_id").distinct(), "unknown_fact_id")
     return bad.unionByName(empty).unionByName(none).unionByName(dup).unionByName(ref)

@@ -6,7 +6,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..functions.udfs import decode_html_udf, idn_decode_udf
 from ..operators import brand as B, pages as P, records as K, scripts as S, transport as T, verdict as V
 from ..session import materialise
 from .q_transport import AT, at
@@ -116,8 +115,8 @@ FACTS = "SELECT p_partkey AS fact_id, p_size % 3 = 0 AS transfer_relation, p_siz
 
 
 @query("verdict_contract", W(f"""
-SELECT job_id, 'invalid_verdict' AS problem FROM judgments WHERE verdict NOT IN ('LIKELY_BENIGN', 'LIKELY_MALICIOUS', 'MALICIOUS', 'BENIGN', 'UNKNOWN') UNION ALL SELECT job_id, 'empty_text' FROM judgments WHERE trim(interpretation) = ''
-UNION ALL SELECT job_id, 'missing_reasons' FROM judgments WHERE verdict <> 'UNKNOWN' AND job_id NOT IN (SELECT job_id FROM ({REASONS})) UNION ALL SELECT DISTINCT job_id, 'duplicate_fact_id' FROM (SELECT job_id FROM ({REASONS}) GROUP BY job_id, fact_id HAVING count(*) > 1)
+SELECT job_id, 'invalid_verdict' AS problem FROM judgments WHERE verdict IS NULL OR verdict NOT IN ('LIKELY_BENIGN', 'LIKELY_MALICIOUS', 'MALICIOUS', 'BENIGN', 'UNKNOWN') UNION ALL SELECT job_id, 'empty_text' FROM judgments WHERE trim(interpretation) = ''
+UNION ALL SELECT job_id, 'missing_reasons' FROM judgments WHERE verdict IS DISTINCT FROM 'UNKNOWN' AND job_id NOT IN (SELECT job_id FROM ({REASONS})) UNION ALL SELECT DISTINCT job_id, 'duplicate_fact_id' FROM (SELECT job_id FROM ({REASONS}) GROUP BY job_id, fact_id HAVING count(*) > 1)
 UNION ALL SELECT DISTINCT job_id, 'unknown_fact_id' FROM ({REASONS}) WHERE fact_id NOT IN (SELECT fact_id FROM ({FACTS}))""", JD))
 def _(t):
     return V.verdict_contract(t.judgments, t.sql(REASONS), t.sql(FACTS))
@@ -166,13 +165,3 @@ def _(t):
         ("L2-C-02", "cert_id", T.cert_validity(t.certs, at())), ("L2-C-04", "cert_id", T.self_signed(t.certs)),
         ("L2-C-05", "cert_id", T.cert_chain(t.certs)), ("L2-C-07", "cert_id", T.tls_legacy(t.certs))]
     return reduce(lambda a, b: a.unionByName(b), [K.page_signal_rows(d, s, k) for s, k, d in parts])
-
-
-@query("decode_html_udf", "SELECT page_id, html AS text FROM pages")
-def _(t):
-    return t.pages.select("page_id", decode_html_udf(F.encode("html", "UTF-8"), F.lit("utf-8")).alias("text"))
-
-
-@query("idn_decode_udf", "SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'pаypal' ELSE url END AS label FROM pages")
-def _(t):
-    return t.pages.select("page_id", idn_decode_udf(F.when(F.col("page_id") % 2 == 0, "xn--pypal-4ve").otherwise(F.col("url"))).alias("label"))

@@ -72,8 +72,9 @@ ASKED = "SELECT o_orderkey AS reply_id, 'h1' AS host FROM orders"
 
 
 @query("cname_terminal", "WITH RECURSIVE e AS (SELECT DISTINCT * FROM (" + EDGES + f""")), o AS (SELECT reply_id, name, min(target) AS nxt, count(*) AS k FROM e GROUP BY 1, 2),
-w AS (SELECT reply_id, host AS at_name, 0 AS used, true AS ok FROM ({ASKED}) UNION ALL SELECT w.reply_id, nxt, used + 1, ok AND k = 1 FROM w JOIN o ON o.reply_id = w.reply_id AND o.name = w.at_name WHERE used < 9)
-SELECT q.reply_id, CASE WHEN f.ok AND f.used = coalesce(s.n, 0) AND f.used <= 8 AND x.name IS NULL THEN f.at_name END AS terminal
+z AS (SELECT reply_id, count(*) AS n FROM e GROUP BY 1),
+w AS (SELECT reply_id, host AS at_name, 0 AS used, true AS ok FROM ({ASKED}) UNION ALL SELECT w.reply_id, nxt, used + 1, ok AND k = 1 FROM w JOIN o ON o.reply_id = w.reply_id AND o.name = w.at_name JOIN z ON z.reply_id = w.reply_id WHERE used < z.n)
+SELECT q.reply_id, CASE WHEN f.ok AND f.used = coalesce(s.n, 0) AND x.name IS NULL THEN f.at_name END AS terminal
 FROM ({ASKED}) q LEFT JOIN (SELECT reply_id, count(*) AS n FROM e GROUP BY 1) s USING (reply_id) LEFT JOIN (SELECT reply_id, arg_max(at_name, used) AS at_name, max(used) AS used, arg_max(ok, used) AS ok FROM w GROUP BY 1) f USING (reply_id) LEFT JOIN o x ON x.reply_id = q.reply_id AND x.name = f.at_name""")
 def _(t):
     return I.cname_terminal(t.sql(EDGES), t.sql(ASKED))

@@ -33,7 +33,7 @@ def _(t):
     return P.html_type_filter(t.responses)
 
 
-CLEAN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+CLEAN = lambda x: f"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
 @query("page_document", W(f"""SELECT page_id, {CLEAN("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, strlen(html) AS size, sha256(html) AS sha256, reg AS etld1, source_complete FROM b""", PP, B))
@@ -74,7 +74,7 @@ def _(t):
     return P.meta_refresh(t.pages_plus)
 
 
-@query("html_redirect", W("SELECT page_id, page_id % 9 = 1 AS detected, CASE page_id % 9 WHEN 1 THEN 5.0 END AS delay_seconds, CASE page_id % 9 WHEN 1 THEN org || '/moved' END AS target_url FROM b", PP, B))
+@query("html_redirect", W("SELECT page_id, CASE WHEN page_id % 9 = 1 THEN true WHEN source_complete THEN false END AS detected, CASE page_id % 9 WHEN 1 THEN 5.0 END AS delay_seconds, CASE page_id % 9 WHEN 1 THEN org || '/moved' END AS target_url FROM b", PP, B))
 def _(t):
     return P.html_redirect(t.pages_plus, P.meta_refresh(t.pages_plus))
 
@@ -105,7 +105,7 @@ def rows(*items):
     (1, "1", "'input'", "'form-1'", "'enclosing'"), (1, "2", "'button'", "'form-1'", "'enclosing'"), (2, "1", "'input'", "'form-1'", "'enclosing'"), (2, "4", "'input'", "'form-2'", "'enclosing'"),
     (2, "5", "'input'", "'form-2'", "'enclosing'"), (2, "7", "'input'", "NULL", "'ambiguous'"), (4, "0", "'textarea'", "NULL", "'none'")), PP, B))
 def _(t):
-    return form_parts(t)[1].drop("tag_text", "url", "effective_base")
+    return form_parts(t)[1].drop("attrs", "url", "effective_base")
 
 
 INPUTS = "i AS (" + rows(
@@ -137,12 +137,12 @@ def _(t):
     return P.credential_classify(fields(t)).select("page_id", "field_id", "credential_type")
 
 
-@query("credential_form", W("SELECT page_id, k = 0 AS detected, CASE WHEN k = 0 THEN 1 ELSE 0 END AS form_count, CASE WHEN k = 0 THEN 'f1' END AS form_ids FROM b", PP, B))
+@query("credential_form", W("SELECT page_id, CASE WHEN k = 0 THEN true WHEN source_complete THEN false END AS detected, CASE WHEN k = 0 THEN 1 ELSE 0 END AS form_count, CASE WHEN k = 0 THEN 'f1' END AS form_ids FROM b", PP, B))
 def _(t):
     return P.credential_form(t.pages_plus, P.credential_classify(fields(t)))
 
 
-@query("credential_field", W("SELECT page_id, k = 0 AS detected, CASE WHEN k = 0 THEN 'email,password,username' END AS field_types FROM b", PP, B))
+@query("credential_field", W("SELECT page_id, CASE WHEN k = 0 THEN true WHEN source_complete THEN false END AS detected, CASE WHEN k = 0 THEN 'email,password,username' END AS field_types FROM b", PP, B))
 def _(t):
     return P.credential_field(t.pages_plus, P.credential_classify(fields(t)))
 

@@ -50,7 +50,7 @@ def _(t):
 @query("acquisition_state", W(f"""
 SELECT request_id, layer, CASE WHEN u AND g THEN 'partial' WHEN u THEN 'observed' WHEN na THEN 'not_attempted' WHEN f OR c > 0 THEN 'unavailable' ELSE 'unrecorded' END AS state FROM (
   SELECT request_id, layer, bool_or(s IN ('observed', 'partial')) AS u, bool_or(s <> 'observed') AS g, bool_and(s = 'not_attempted') AS na, bool_or(s = 'unavailable') AS f FROM (SELECT *, {OBS} AS s FROM ({LOOKUPS})) GROUP BY 1, 2)
-LEFT JOIN (SELECT request_id, layer, count(*) AS c FROM ({ERRS}) GROUP BY 1, 2) USING (request_id, layer)""", RS))
+FULL JOIN (SELECT request_id, layer, count(*) AS c FROM ({ERRS}) GROUP BY 1, 2) USING (request_id, layer)""", RS))
 def _(t):
     return K.acquisition_state(t.sql(LOOKUPS, RS), t.sql(ERRS, RS))
 
@@ -58,7 +58,7 @@ def _(t):
 @query("analysis_state", W(f"""
 SELECT request_id, layer, CASE WHEN u AND (o OR c > 0) THEN 'partial' WHEN o OR c > 0 THEN 'unavailable' ELSE 'completed' END AS state FROM (
   SELECT request_id, layer, bool_or(s LIKE '%observed%') AS u, bool_or(s = 'unresolved') AS o FROM (SELECT *, {STATE} AS s FROM record_signals) GROUP BY 1, 2)
-LEFT JOIN (SELECT request_id, layer, count(*) AS c FROM ({ERRS}) WHERE impact_scope = 'analysis' GROUP BY 1, 2) USING (request_id, layer)""", RS))
+FULL JOIN (SELECT request_id, layer, count(*) AS c FROM ({ERRS}) WHERE impact_scope = 'analysis' GROUP BY 1, 2) USING (request_id, layer)""", RS))
 def _(t):
     return K.analysis_state(t.record_signals, t.sql(ERRS, RS))
 

@@ -27,7 +27,7 @@ def urls(spark, *texts):
 
 @pytest.mark.parametrize("text,status,host", [
     ("https://user:pw@WWW.Example.com:8080/a?q=1#f", "SUCCESS", "www.example.com"),
-    ("http://300.300.1.1/", "FAILURE", None), ("http://124.11.1.1/", "SUCCESS", "124.11.1.1"), ("http://0x7f.0.0.1/", "SUCCESS", "127.0.0.1"),
+    ("http://300.300.1.1/", "FAILURE", None), ("http://0x0000000000000000007f000001/", "SUCCESS", "127.0.0.1"), ("http://124.11.1.1/", "SUCCESS", "124.11.1.1"), ("http://0x7f.0.0.1/", "SUCCESS", "127.0.0.1"),
     ("http://017700000001/", "SUCCESS", "127.0.0.1"), ("http://[1:a::g]/", "FAILURE", None), ("http://[::1]/", "SUCCESS", "[::1]"), ("   ", "EMPTY_INPUT", None),
     ("mailto:a@b.c", "SUCCESS", ""), ("http://a b/", "FAILURE", None), ("http://x.a_b.co.uk/", "SUCCESS", "x.a_b.co.uk"), ("http://h:99999/", "FAILURE", None)])
 def test_url_parse(spark, text, status, host):
@@ -65,7 +65,87 @@ def test_any3(spark):
 
 def test_attribute_absent_differs_from_empty(spark):
     df = spark.createDataFrame([("<input name>",), ('<input name="">',), ("<input name=a>",), ('<input title="x name=b" >',)], "t string")
-    assert [r[0] for r in df.select(P.attr(F.col("t"), "name")).collect()] == ["", "", "a", None]
+    assert [r[0] for r in df.select(P.attr(P.attributes(F.col("t")), "name")).collect()] == ["", "", "a", None]
+
+
+def test_one_long_tag_is_read(spark):
+    long = "x" * 1_000_000
+    p = page(spark, f'<img src={long} id=a><img alt="{long}" src="/i.png">' + '<a ' + 'k="v" ' * 20_000 + 'href="/z">t</a>')
+    got = P.elements(p, "img").select(F.length(P.attr(F.col("attrs"), "src"))).collect()
+    assert sorted(r[0] for r in got) == [6, 1_000_000]
+    assert rows(P.page_links(p), "href") == [("/z",)]
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([("a&amp;b &eacute; &#39;&#x41; &#146; &nope; & &#0; &#1114112; &amp;lt;",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(P.decode_references(F.col("t"))).collect()] == ["a&b é 'A ’ &nope; & � � &lt;", "plain", None]
+    links = P.page_links(page(spark, '<a href="/?a=1&amp;b=2">caf&eacute;&nbsp; &#39;</a>'))
+    assert rows(links, "destination", "text") == [("https://www.example.com/?a=1&b=2", "café '")]
+
+
+def test_unclosed_anchor_keeps_the_next(spark):
+    got = P.page_links(page(spark, '<a href="/1">x<p><a href="/2">y</a> z <a name=q>n</a><area href="/no">'))
+    assert rows(got, "pos", "href", "text") == [(0, "/1", "x"), (1, "/2", "y")]
+
+
+def test_handlers_keep_their_values(spark):
+    got = P.page_inline_handlers(page(spark, """<b onclick="alert('x')" onload="y()"><i onblur=z() on=1 data-on="n"><u>"""))
+    assert rows(got, "tag", "event", "source") == [("b", "onclick", "alert('x')"), ("b", "onload", "y()"), ("i", "onblur", "z()")]
+
+
+def test_unclosed_script_is_not_text(spark):
+    p = page(spark, '<p>a</p><script>var b="<form>"')
+    assert P.page_visible_text(p).first()["text"] == "a" and P.form_tokens(p).count() == 0
+    assert rows(S.page_scripts(p), "source") == [('var b="<form>"',)]
+
+
+def test_strings_and_comments_are_read_in_order(spark):
+    s = S.page_scripts(page(spark, """<script>s.src="//cdn.x.com/a.js";eval(atob("q"));x="*/*";/* fetch( */</script>"""))
+    assert rows(S.script_api_screen(s), "api") == [("atob",), ("eval",)]
+
+
+def test_ids_collide_any_number_of_times(spark):
+    e = R.table(spark, [(1, 0, ""), *[(1, k + 1, "generated:" * k + "item-1") for k in range(7)], (1, 9, "generated:" * 8 + "item-1")], "page_id pos html_id")
+    got = rows(P.stable_element_ids(e, "item"), "pos", "element_id")
+    assert got[0] == (0, "generated:" * 7 + "item-1") and len({x for _, x in got}) == 9
+
+
+def test_cut_pages_leave_absence_unknown(spark):
+    p = R.table(spark, [(1, "https://a.com/", "<p>x", True), (2, "https://a.com/", "<p>x", False)], "page_id url html source_complete")
+    assert rows(P.html_redirect(p, P.meta_refresh(p)), "page_id", "detected") == [(1, False), (2, None)]
+
+
+def test_long_disposition(spark):
+    df = spark.createDataFrame([("attachment; x=" + "y" * 50_000 + '; filename="a;b.exe"',), ("inline; filename*=UTF-8''%C3%A9.txt; filename=e.txt",), ("attachment",)], "d string")
+    assert [r[0] for r in T.content_disposition(df, "d").select("disposition_filename").collect()] == ["a;b.exe", "é.txt", None]
+
+
+def test_addresses_of_both_families(spark):
+    cases = {"10.0.0.1": True, "8.8.8.8": False, "::1": True, "[::1]": True, "fd00::1": True, "fe80::1%eth0": True, "2606:4700::1111": False, "2606:4700:0:0:0:0:0:1111": False,
+             "::ffff:10.0.0.1": True, "::ffff:8.8.8.8": False, "2001:db8::1": True, "name": None, "1:2": None, "::g": None, "1::2::3": None}
+    df = spark.createDataFrame([(k,) for k in cases], "ip string")
+    assert {r[0]: r[1] for r in df.select("ip", C.non_global_flag("ip")).collect()} == cases
+
+
+def test_long_chains(spark):
+    n = 40
+    e = R.table(spark, [(1, f"h{k}", f"h{k + 1}") for k in range(n)], "reply_id name target")
+    assert rows(I.cname_terminal(e, R.table(spark, [(1, "h0")], "reply_id host")), "terminal") == [(f"h{n}",)]
+    chain = [(k, k - 1 if k else None) for k in range(n)] + [(100, 101), (101, 100), (102, 101), (200, 999)]
+    got = dict(rows(N.net_redirect_parent(spark.createDataFrame(chain, "request_id bigint, redirected_from bigint")), "request_id", "depth"))
+    assert got == {k: k for k in range(n)} | {100: None, 101: None, 102: None, 200: 1}
+
+
+def test_layers_with_causes_only(spark):
+    lookups = spark.createDataFrame([(1, "L1", "received", 0)], "request_id bigint, layer string, status string, dropped int")
+    causes = spark.createDataFrame([(1, "L2", "x", "analysis")], "request_id bigint, layer string, code string, impact_scope string")
+    assert rows(K.acquisition_state(lookups, causes), "layer", "state") == [("L1", "observed"), ("L2", "unavailable")]
+
+
+def test_missing_verdict_is_a_problem(spark):
+    j = spark.createDataFrame([(1, None, "t"), (2, "UNKNOWN", "t")], "job_id bigint, verdict string, interpretation string")
+    empty = spark.createDataFrame([], "job_id bigint, fact_id bigint")
+    assert rows(V.verdict_contract(j, empty, empty), "job_id", "problem") == [(1, "invalid_verdict"), (1, "missing_reasons")]
 
 
 def page(spark, html):
