@@ -44,3 +44,8 @@ def joined(values: Column, sep: str = ",") -> Column:
     """Flat text of a sorted array, NULL when the array is empty."""
     arr = F.array_sort(values)
     return F.when(F.size(arr) > 0, F.array_join(arr, sep))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))

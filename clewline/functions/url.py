@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .logic import let
+
 # Schemes that must have an authority, and their default ports.
 SPECIAL_SCHEMES = ("http", "https", "ws", "wss", "ftp")
 DEFAULT_PORTS = {"http": 80, "ws": 80, "https": 443, "wss": 443, "ftp": 21}
@@ -107,17 +109,26 @@ def is_ipv6(host: Column) -> Column:
 
 def ipv6_hex(text: Column) -> Column:
     """The 32 hex digits of an IPv6 address in any spelling, with or without brackets or zone; NULL if it is not one."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"^\[|\]$|%[^\]]*", "")
-    quad = F.regexp_extract(t, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    tail = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
-    whole = F.when(quad == "", t).otherwise(F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
-    side = lambda i: F.filter(F.split(F.split_part(whole, F.lit("::"), F.lit(i)), ":"), lambda g: g != "")
-    left, right = side(1), F.when(whole.contains("::"), side(2)).otherwise(F.array().cast("array<string>"))
-    n = F.size(left) + F.size(right)
-    gap = F.when(whole.contains("::") & (n < 8), F.array_repeat(F.lit("0"), (8 - n).cast("int"))).otherwise(F.array().cast("array<string>"))
-    groups = F.concat(left, gap, right)
-    good = whole.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~whole.rlike(r":::|::.*::|^:[^:]|[^:]:$") & (F.size(groups) == 8) & F.forall(groups, lambda g: F.length(g) <= 4)
-    return F.when(good, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
+    def as_groups(t):
+        quad = F.regexp_extract(t, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+        tail = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
+        return F.when(quad == "", t).otherwise(F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), F.substring(tail, 1, 4), F.lit(":"), F.substring(tail, 5, 4)))
+
+    def sides(whole):
+        side = lambda i: F.filter(F.split(F.split_part(whole, F.lit("::"), F.lit(i)), ":"), lambda g: g != "")
+        shape = whole.rlike(r"^[0-9a-f:]*:[0-9a-f:]*$") & ~whole.rlike(r":::|::.*::|^:[^:]|[^:]:$")
+        return F.when(shape, F.struct(side(1).alias("left"), F.when(whole.contains("::"), side(2)).alias("right")))
+
+    def digits(s):
+        n = F.size(s["left"]) + F.coalesce(F.size(s["right"]), F.lit(0))
+        none = F.array().cast("array<string>")
+        fill = F.when(s["right"].isNotNull() & (n < 8), F.array_repeat(F.lit("0"), (8 - n).cast("int"))).otherwise(none)
+        whole = let(F.concat(s["left"], fill, F.coalesce(s["right"], none)), lambda g: F.when(
+            (F.size(g) == 8) & F.forall(g, lambda x: F.length(x) <= 4), F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")))
+        return F.when(s.isNotNull(), whole)
+
+    plain = F.regexp_replace(F.lower(F.trim(text)), r"^\[|\]$|%[^\]]*", "")
+    return let(plain, lambda t: let(as_groups(t), lambda w: let(sides(w), digits)))
 
 
 def ip_kind(host: Column) -> Column:

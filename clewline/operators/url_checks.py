@@ -6,7 +6,7 @@ import ipaddress
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import url as U
-from ..functions.logic import first_true
+from ..functions.logic import first_true, let
 from ..functions.udfs import idn_decode_udf, strip_marks_udf
 from ..session import materialise
 from ..refdata import CONFUSABLES, DANGEROUS_EXTENSIONS, DECEPTIVE_EXTENSIONS, NON_GLOBAL_BLOCKS, SuffixIndex
@@ -197,14 +197,19 @@ def non_global_flag(ip: str, blocks=NON_GLOBAL_BLOCKS):
 
     An IPv4 address mapped into IPv6 is judged as IPv4.
     """
-    six = U.ipv6_hex(F.col(ip))
-    mapped = F.conv(F.regexp_extract(six, "^0{20}ffff([0-9a-f]{8})$", 1), 16, 10).cast("bigint")
-    n = F.coalesce(U.ipv4_number(F.col(ip)), F.when(six.rlike("^0{20}ffff"), mapped))
-    hit = F.lit(False)
-    for first, length in blocks:
-        a = sum(int(x) << s for x, s in zip(first.split("."), (24, 16, 8, 0)))
-        hit = hit | ((n >= a) & (n < a + 2 ** (32 - length)))
-    return F.when(n.isNotNull(), hit).when(six.isNotNull(), _in_v6(six, NON_GLOBAL_V6) & ~_in_v6(six, GLOBAL_V6))
+    def flag(six):
+        mapped = F.conv(F.regexp_extract(six, "^0{20}ffff([0-9a-f]{8})$", 1), 16, 10).cast("bigint")
+        return let(F.coalesce(U.ipv4_number(F.col(ip)), F.when(six.rlike("^0{20}ffff"), mapped)), lambda n: F.when(
+            n.isNotNull(), in_v4(n)).when(six.isNotNull(), _in_v6(six, NON_GLOBAL_V6) & ~_in_v6(six, GLOBAL_V6)))
+
+    def in_v4(n):
+        hit = F.lit(False)
+        for first, length in blocks:
+            a = sum(int(x) << s for x, s in zip(first.split("."), (24, 16, 8, 0)))
+            hit = hit | ((n >= a) & (n < a + 2 ** (32 - length)))
+        return hit
+
+    return let(U.ipv6_hex(F.col(ip)), flag)
 
 
 def url_public_target(addresses: DataFrame, host: str = "host_id", ip: str = "ip") -> DataFrame:

@@ -148,7 +148,7 @@ def _(t):
 
 
 @query("page_signals", W(f"""
-SELECT page_id AS target_id, 'L3-H-01' AS signal_id, 'evaluated' AS status, page_id % 8 = 0 AS detected FROM pages UNION ALL SELECT page_id, 'L3-H-07', 'evaluated', page_id % 9 = 1 FROM pages
+SELECT page_id AS target_id, 'L3-H-01' AS signal_id, 'evaluated' AS status, CASE WHEN page_id % 8 = 0 THEN true WHEN page_id % 10 <> 3 THEN false END AS detected FROM pages UNION ALL SELECT page_id, 'L3-H-07', 'evaluated', CASE WHEN page_id % 9 = 1 THEN true WHEN page_id % 10 <> 3 THEN false END FROM pages
 UNION ALL SELECT page_id, 'L3-H-08', 'evaluated', CASE page_id % 9 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END FROM pages
 UNION ALL SELECT page_id, 'L2-H-07', 'evaluated', CASE WHEN disposition IS NOT NULL THEN lower(disposition) LIKE 'attachment%' WHEN final_url IS NOT NULL THEN false END FROM responses
 UNION ALL SELECT page_id, 'L2-H-08', 'evaluated', CASE WHEN refresh IS NOT NULL THEN true WHEN final_url IS NOT NULL THEN false END FROM responses
