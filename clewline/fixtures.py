@@ -87,7 +87,7 @@ SELECT page_id AS cert_id, pos, name FROM (
     WHEN 1 THEN concat('*.', regexp_extract(url, '^[a-z]+://[^.]+[.]([^/?#:]+)', 1))
     ELSE 'other.example.edu' END AS name FROM pages
   UNION ALL SELECT page_id, 2 AS pos, CASE page_id % 2 WHEN 0 THEN 'example.edu' ELSE '*.example.edu' END AS name FROM pages) s"""),
-    "scts": ("", "SELECT l_orderkey % 400 AS cert_id, l_shipdate AS ts FROM lineitem WHERE l_returnflag = 'R'"),
+    "scts": ("", "SELECT l_orderkey % 400 AS cert_id, l_shipdate AS ts FROM lineitem"),
     "ct_logs": ("", "SELECT o_orderkey % 500 AS cert_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS entry_timestamp FROM orders"),
     "dns_answers": ("", """
 SELECT p.page_id AS host_id, e.event_id AS pos,

@@ -66,7 +66,7 @@ def _(t):
 
 
 RANKED = "SELECT c_custkey AS rank, concat('d', CAST(c_custkey AS STRING), '.com') AS domain FROM customer"
-ENT = "SELECT concat('Q', CAST(o_orderkey AS STRING)) AS entity_id, concat('d', CAST(o_custkey AS STRING), '.com') AS domain FROM orders WHERE o_orderpriority = '1-URGENT'"
+ENT = "SELECT concat('Q', CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN concat('x', CAST(o_orderkey AS STRING)) ELSE CAST(o_custkey AS STRING) END) AS entity_id, concat('d', CAST(o_custkey AS STRING), '.com') AS domain FROM orders"
 
 
 @query("brand_resolve", f"SELECT rank, domain, CASE WHEN n = 1 THEN e END AS entity_id, CASE WHEN n IS NULL THEN 'no_entity' WHEN n > 1 THEN 'several_entities' END AS unresolved FROM ({RANKED}) LEFT JOIN (SELECT domain, count(DISTINCT entity_id) AS n, min(entity_id) AS e FROM ({ENT}) GROUP BY 1) USING (domain)")
@@ -133,7 +133,7 @@ def _(t):
     return V.verdict_basis_support(t.judgments, t.sql(REASONS), t.sql(FACTS))
 
 
-ITEMS = "SELECT l_suppkey AS doc, concat('Sec ', CAST(l_linenumber % 3 AS STRING)) AS section, concat('Item ', CAST(l_partkey % 50 AS STRING), '인증서') AS item, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_orderkey END AS fact_id FROM lineitem WHERE l_quantity > 45"
+ITEMS = "SELECT l_suppkey AS doc, concat('Sec ', CAST(l_linenumber % 3 AS STRING)) AS section, concat('Item ', CAST(l_partkey % 500 AS STRING), '인증서') AS item, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_orderkey END AS fact_id FROM lineitem"
 CITED = """SELECT event_id AS reason_id, user_id AS doc, concat(CASE event_type WHEN 'view' THEN 'SEC' WHEN 'click' THEN 'Other' ELSE 'Sec' END, ' ', CAST(event_id % 3 AS STRING)) AS section, concat('Item ', CAST(event_id % 60 AS STRING), CASE event_type WHEN 'error' THEN '인정서' ELSE '인증서' END) AS item FROM events"""
 FOLD = lambda c: f"regexp_replace(lower({c}), '\\s+', '', 'g')"
 
