@@ -257,7 +257,8 @@ def encode(text: Column, vocabulary: str = VOCABULARY) -> Column:
     Null and empty text and text of white space alone give an empty array. Strings of the vocabulary's special tokens
     in a text become their ids, as that library does by default.
     """
-    return arrow_udf(lambda a: encode_array(vocabulary, a), "array<int>")(text.cast("string"))
+    # Marked so that it is worked out once and not copied into every expression over its result.
+    return arrow_udf(lambda a: encode_array(vocabulary, a), "array<int>").asNondeterministic()(text.cast("string"))
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
