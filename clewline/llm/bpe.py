@@ -22,8 +22,8 @@ from .vocab import byte_alphabet, spec
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker keeps; beyond it, words are encoded again when met.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 2_000_000
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 200_000
 #: Bytes of text, or ids, worked on at a time.
 SLICE = 8 << 20
 #: Unicode White_Space; Python's own notion also holds 1C-1F.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .registry import query, table
+from .registry import query, release, table
 from .vocab import encode_bytes
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -52,6 +52,7 @@ def tokenise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabu
                     names=["doc_id", "part", "seq", "local_start", "n_tokens", "ids"])
                 seq += len(n)
                 first = last
+            release()
 
     chosen = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return chosen.mapInArrow(run, f"doc_id {id_type}, part int, seq bigint, local_start bigint, n_tokens bigint, ids binary")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .registry import query, table
+from .registry import query, release, table
 from .sampling import labelled_sample
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -59,6 +59,7 @@ def count_text(text: str | None) -> tuple[int, ...]:
 @arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def _stats(texts: pa.Array) -> pa.Array:
     rows = np.array([count_text(t.as_py()) for t in texts], dtype=np.int64).reshape(len(texts), len(COUNTS))
+    release()
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(COUNTS))], names=list(COUNTS))
 
 

@@ -15,7 +15,6 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.lru_cache(maxsize=4)
 def spec(name: str) -> dict:
     with open(public_path(name), encoding="utf-8") as f:
         return json.load(f)
@@ -30,11 +29,11 @@ def byte_alphabet() -> list[str]:
 
 
 @functools.lru_cache(maxsize=2)
-def byte_encoder(name: str) -> tuple:
-    """(plain, exact, special ids): encoders of a byte-level vocabulary.
+def byte_encoder(name: str, plain: bool) -> tuple:
+    """(encoder, special ids) of a byte-level vocabulary.
 
-    ``plain`` splits words without look-ahead, which gives the same words where a text has no two white-space
-    characters in a row and is about twice as fast; ``exact`` takes any text.
+    The ``plain`` one splits words without look-ahead, which gives the same words where a text has no two white-space
+    characters in a row and is about twice as fast; the other takes any text.
     """
     import tiktoken
 
@@ -43,8 +42,8 @@ def byte_encoder(name: str) -> tuple:
     ranks = {bytes(byte_of[c] for c in token): i for token, i in data["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in data["added_tokens"]}
     words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
-    build = lambda label, pattern: tiktoken.Encoding(label, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return build(f"{name}-plain", words + r"|\s+"), build(f"{name}-exact", words + r"|\s+(?!\S)|\s+"), special
+    pattern = words + (r"|\s+" if plain else r"|\s+(?!\S)|\s+")
+    return tiktoken.Encoding(f"{name}-{plain}", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), special
 
 
 WHITE_RUN = re.compile(r"\s\s")
@@ -52,8 +51,7 @@ WHITE_RUN = re.compile(r"\s\s")
 
 def encode_bytes(name: str, text: str) -> np.ndarray:
     """Ids (uint32) of a text; strings of special tokens become their ids, as the tokenizers library does by default."""
-    plain, exact, special = byte_encoder(name)
-    coder = exact if WHITE_RUN.search(text) else plain
+    coder, special = byte_encoder(name, plain=not WHITE_RUN.search(text))
     if not any(s in text for s in special):
         return coder.encode_to_numpy(text, disallowed_special=())
     return coder.encode_to_numpy(text, allowed_special=set(special), disallowed_special=())
