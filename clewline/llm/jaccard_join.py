@@ -24,7 +24,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from ..session import materialise
 from .components import components
 from .grouped import map_groups
-from .registry import query, table
+from .registry import query, release, table
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-        if len(self) < 200_000 and len(word) <= 64:
+        if len(self) < 50_000 and len(word) <= 64:
             self[word] = value
         return value
 
@@ -98,6 +98,7 @@ def _sketch(texts: pa.Array) -> pa.Array:
         own = shingles(t.as_py())
         n.append(len(own))
         out.append(tokens(own).tobytes() if len(own) else None)
+    release()
     return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["n_shingles", "tokens"])
 
 
@@ -342,8 +343,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     screened = map_groups(paired, place, _screen(threshold), "node bigint, low int, high int, tile int, key binary, leaves array<bigint>")
     screened = materialise(screened, "screened")
 
-    needed = screened.select("key").distinct()
-    sets = named.withColumn("key", text_key(F.col("text"))).join(needed, "key", "left_semi")
+    # One document of each text wanted is looked up by id and text, so copies of a text do not gather in one task.
+    one = rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    needed = screened.select("key").distinct().join(one, "key").select(F.col("key").alias("wanted"), F.col("doc_id").alias("holder"))
+    keyed = named.withColumn("key", text_key(F.col("text")))
+    sets = keyed.join(needed, (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("holder")), "left_semi")
     sets = sets.groupBy("key").agg(F.first("text").alias("text")).select("key", _sets(F.col("text")).alias("shingles"))
     full = screened.join(sets, "key").join(texts.select("key", "copies"), "key")
     links = materialise(map_groups(full, place, _verify(threshold), "key binary, other binary, links bigint"), "links")
