@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import materialise
-from .registry import query, table
+from .registry import query, release, table
 from .sampling import sampled_ids
 
 NONE = "und"
 #: Labelled documents that the frequencies come from, at most; and entries of the model, at most.
 FIT_ROWS = 2000
-MOST_ENTRIES = 200_000
+MOST_ENTRIES = 100_000
 LONGEST_GROUP = 4
 #: Chunks whose scores a worker keeps.
-KEPT_CHUNKS = 200_000
+KEPT_CHUNKS = 60_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,6 +49,7 @@ class LanguageModel:
     def __init__(self, langs: list[str], tables: list[dict[str, int]], weights: np.ndarray):
         self.langs, self.tables, self.weights = langs, tables, weights
         self.kept: dict[str, int] = {}
+        self.kept_words: dict[str, np.ndarray] = {}
         self.rows = np.zeros((1024, len(langs) + 1))
 
     def __getstate__(self):
@@ -57,22 +58,33 @@ class LanguageModel:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word_score(self, word: str) -> np.ndarray:
+    def add_word(self, word: str, out: np.ndarray) -> None:
+        """Adds the score of a word by language to the first places of ``out``, and one to its last."""
+        out[-1] += 1
         at = self.tables[0].get(word)
         if at is not None:
-            return self.weights[at]
+            out[:-1] += self.weights[at]
+            return
+        padded = f" {word} "
         for k in range(LONGEST_GROUP, 0, -1):
-            known = [r for r in map(self.tables[k].get, groups(word, k)) if r is not None]
+            get = self.tables[k].get
+            known = [r for i in range(len(padded) - k + 1) if (r := get(padded[i : i + k])) is not None]
             if known:
-                return self.weights[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+                out[:-1] += np.add.reduce(self.weights.take(known, 0), 0) / len(known)
+                return
 
     def chunk_score(self, chunk: str) -> np.ndarray:
-        """Sum over the words of a stretch without white space, and their number."""
+        """Sum over the words of a stretch without white space, and their number; of its words, those met before are looked up."""
+        low, kept = chunk.lower(), self.kept_words
         out = np.zeros(len(self.langs) + 1)
-        for word in LETTERS.findall(chunk.lower()):
-            out[:-1] += self.word_score(word)
-            out[-1] += 1
+        for word in (low,) if low.isascii() and low.isalpha() else LETTERS.findall(low):
+            score = kept.get(word)
+            if score is None:
+                score = np.zeros(len(self.langs) + 1)
+                self.add_word(word, score)
+                if len(kept) < KEPT_CHUNKS and len(word) <= 64:
+                    kept[word] = score
+            out += score
         return out
 
     def text_score(self, text: str) -> np.ndarray:
@@ -160,6 +172,7 @@ def identify(text: Column, model: LanguageModel, spark) -> Column:
     @arrow_udf("struct<lang_pred:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         got = [shipped.value.predict(t.as_py()) for t in texts]
+        release()
         return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
 
     return run(text.cast("string"))
