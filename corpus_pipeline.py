@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clewline.llm import jaccard_join, language, packing, quality_rules
+from clewline.llm.registry import bounded_batches
 from clewline.session import materialise
 
 
@@ -13,6 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found (no letters). Learned from the labelled languages of ``docs``."""
+    bounded_batches(spark)
     model = language.LanguageModel.fit(docs.where(~language.held_out(F.col("doc_id"))))
     found = docs.withColumn("__language", language.identify(F.col("text"), model, spark))
     return found.where(language.accepted("__language")).drop("__language")
@@ -20,6 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or a learned rule."""
+    bounded_batches(spark)
     rules = quality_rules.QualityRules.fit(docs, _table(spark, sf_dir, "labels"))
     held = docs.withColumn("__stats", quality_rules.text_stats(F.col("text")))
     return held.where(~quality_rules.base_failed("__stats") & rules.verdict("__stats")).drop("__stats")
@@ -27,10 +30,12 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts linked by shingle similarity."""
+    bounded_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.digest(packing.pack(docs))
 
 
