@@ -9,27 +9,37 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .registry import query, table
+from .stop_words import STOP_LISTS
 
 # Fixed values of the method: lengths in characters, densities as shares of words and of characters.
 SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+# Shares of stop words as the lists held give them: ordinary prose of their languages has 0.18 to 0.4, lists of names and data under 0.1.
+STOP_LOW, STOP_HIGH = 0.12, 0.18
 LINK_HIGH = 0.2
 LINK_HIGH_IN_ARTICLE = 0.5
 
-STOP_WORDS = frozenset(
-    # English
-    "a about after all also an and are as at be been but by can could did do for from had has have he her his if in into is it its "
+_SHORT_WORDS = {
+    "english": "a about after all also an and are as at be been but by can could did do for from had has have he her his if in into is it its "
     "may more no not of on or our out she so some such than that the their them then there these they this to up was we were what "
-    "when which who will with would you your "
-    # German
-    "als am an auch auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es für hat ich im in ist "
-    "mit nach nicht noch nur oder sich sie sind so über um und von vor war was wie wird zu zum zur "
-    # French
-    "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou où par pas plus pour qu que "
-    "qui sa se ses son sont sur un une vous "
-    # Spanish
-    "al como con de del el ella ellos en era es esta este fue ha la las lo los más me no o para pero por que se ser si sin sobre su "
-    "sus también un una y ya".split())
+    "when which who will with would you your",
+    "german": "als am an auch auf aus bei bis das dass dem den der des die doch durch ein eine einem einen einer er es für hat ich im in ist "
+    "mit nach nicht noch nur oder sich sie sind so über um und von vor war was wie wird zu zum zur",
+    "french": "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur mais ne nous on ou où par pas plus pour qu que "
+    "qui sa se ses son sont sur un une vous",
+    "spanish": "al como con de del el ella ellos en era es esta este fue ha la las lo los más me no o para pero por que se ser si sin sobre su "
+    "sus también un una y ya",
+}
+#: For each stop word, the languages that have it.
+STOP_WORDS: dict[str, tuple[str, ...]] = {}
+for _name, _words in STOP_LISTS.items():
+    for _word in _words | frozenset(_SHORT_WORDS.get(_name, "").split()):
+        STOP_WORDS[_word] = STOP_WORDS.get(_word, ()) + (_name,)
+
+WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts without a stop list: neither Latin nor Cyrillic.
+OTHER_SCRIPT = re.compile(r"[^\W\d_A-Za-z\u00aa-\u024f\u0400-\u052f\u1e00-\u1eff]")
+#: Letters of scripts written without spaces, of which one says about as much as three Latin ones.
+DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -56,11 +66,10 @@ PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])", 0)
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "article", "heading", "verdict")
+    __slots__ = ("text", "linked", "outside", "article", "heading")
 
     def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool):
         self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
-        self.verdict: bool | None = None
 
 
 def _around(tag: str, attributes: str) -> tuple[bool, bool]:
@@ -160,32 +169,65 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(b: Block) -> bool | None:
-    """True for main text, False for what surrounds it, None if in doubt."""
-    size = len(b.text)
-    density = b.linked / size
-    if b.outside:
-        return False
-    if density > (LINK_HIGH_IN_ARTICLE if b.article else LINK_HIGH):
-        return False
-    if b.text[0] == "©":
-        return False
-    if size < SHORT:
-        return None if b.article or not b.linked else False
-    words = b.text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'«»„“”") in STOP_WORDS for w in words) / len(words)
-    if stops >= STOP_HIGH and size > LONG:
-        return True
-    if stops >= STOP_LOW or b.article:
-        return None
-    return False
+def stop_counts(text: str) -> tuple[int, dict[str, int]]:
+    """Words of a text, and the stop words among them by language."""
+    words = WORD.findall(text.lower())
+    counts: dict[str, int] = {}
+    for w in words:
+        for name in STOP_WORDS.get(w, ()):
+            counts[name] = counts.get(name, 0) + 1
+    return len(words), counts
+
+
+def weight(text: str) -> int:
+    """Length of a text in Latin letters."""
+    return len(text) if text.isascii() else len(text) + 2 * len(DENSE_SCRIPT.findall(text))
+
+
+def _other_script(text: str) -> bool:
+    return not text.isascii() and 2 * len(OTHER_SCRIPT.findall(text)) > sum(map(len, WORD.findall(text)))
+
+
+def first_pass(found: list[Block]) -> tuple[list[bool | None], list[bool]]:
+    """For each block True for main text, False for what surrounds it, None if in doubt; and whether it reads as prose.
+
+    Where no list fits what a page says, or a block's script has none, stop words tell nothing: a long block poor in
+    links is main text there, a middling one in doubt.
+    """
+    size = [weight(b.text) for b in found]
+    verdict: list[bool | None] = [None] * len(found)
+    open_: list[tuple[int, float]] = []
+    total, by_name = 0, {}
+    for i, b in enumerate(found):
+        if b.outside or b.linked / len(b.text) > (LINK_HIGH_IN_ARTICLE if b.article else LINK_HIGH) or b.text[0] == "©":
+            verdict[i] = False
+        elif size[i] < SHORT:
+            verdict[i] = None if b.article or not b.linked else False
+        elif _other_script(b.text):
+            open_.append((i, 1.0))
+        else:
+            n, counts = stop_counts(b.text)
+            total += n
+            for name, k in counts.items():
+                by_name[name] = by_name.get(name, 0) + k
+            open_.append((i, max(counts.values(), default=0) / max(n, 1)))
+    unlisted = max(by_name.values(), default=0) < STOP_LOW * total
+    prose = [False] * len(found)
+    for i, stops in open_:
+        prose[i] = unlisted or stops >= STOP_HIGH
+        if prose[i] and size[i] > LONG:
+            verdict[i] = True
+        elif not (prose[i] or stops >= STOP_LOW or found[i].article):
+            verdict[i] = False
+    return verdict, prose
 
 
 def main_blocks(page: str) -> list[Block]:
     """Blocks judged to be main text.
 
     Where a page marks an article, only what lies in it can be main text. A doubtful block follows the nearest decided
-    block of its zone, a heading the one after it; between two at equal distance, and without any, it is main text.
+    block of its zone, a heading the one after it; between two at equal distance, and without any, it is main text. A
+    doubtful block of prose needs main text on one side only, and is itself main text where no block is so clearly.
     """
     found = [b for b in blocks(page) if not b.outside]
     if any(b.article for b in found):
@@ -193,7 +235,9 @@ def main_blocks(page: str) -> list[Block]:
         alone = True
     else:
         alone = False
-    first = [first_pass(b) for b in found]
+    first, prose = first_pass(found)
+    if not alone and True not in first:
+        first = [True if v is None and p else v for v, p in zip(first, prose)]
     n = len(found)
     before, after = [None] * n, [None] * n
     last = None
@@ -219,7 +263,7 @@ def main_blocks(page: str) -> list[Block]:
                     verdict = not b.linked
             elif b.heading:
                 verdict = first[q]
-            elif i - p == q - i:
+            elif prose[i] or i - p == q - i:
                 verdict = first[p] or first[q]
             else:
                 verdict = first[p] if i - p < q - i else first[q]

@@ -57,3 +57,31 @@ def test_other_columns(frame):
     got = sorted((r.page_id, r.main, r.text or "") for r in df.withColumn("main", h.main_text(F.col("html"))).collect())
     assert got == [(1, "", "x"), (1, "", "x"), (2, LONG, "")]
     assert df.where("false").select(h.main_text(F.col("html"))).collect() == []
+
+
+PROSE = {
+    "en": "City officials said Tuesday that construction of the new bridge will begin next spring, following months of delays over funding. Mayor Ellen Carter told reporters the project, estimated at 42 million dollars, remains a top priority and will create hundreds of local jobs across the region.",
+    "en technical": "Compressed column chunks are stored contiguously, so readers fetch only required byte ranges from object storage. Each row group carries min and max statistics, allowing query engines to skip blocks whose values fall outside filter predicates. Dictionary encoding further reduces storage.",
+    "en recipe": "Preheat oven to 180 degrees. Whisk eggs, sugar and melted butter until pale, then fold in flour, baking powder and grated lemon zest. Pour batter into a greased tin, bake for 35 minutes until golden, and cool on a wire rack before slicing. Serve with cream or fresh berries.",
+    "it": "Il governo ha approvato ieri il nuovo decreto che prevede aiuti alle famiglie colpite dalle alluvioni. Secondo il ministro, le risorse saranno disponibili entro la fine del mese, mentre i comuni dovranno presentare l'elenco dei danni e delle strade da ricostruire prima dell'inverno.",
+    "ru": "Правительство объявило в понедельник о новой программе поддержки малого бизнеса, которая начнёт действовать с первого января. По словам министра, предприятия смогут получить льготные кредиты на закупку оборудования, а также субсидии на обучение сотрудников в регионах страны.",
+    "tr": "Belediye başkanı pazartesi günü yaptığı açıklamada yeni köprünün inşaatının gelecek baharda başlayacağını söyledi. Yaklaşık kırk milyon avroya mal olması beklenen proje, bölgede yüzlerce kişiye iş imkânı sağlayacak ve ulaşım süresini önemli ölçüde kısaltacak.",
+    "pl": "Burmistrz ogłosił w poniedziałek, że budowa nowego mostu rozpocznie się wiosną przyszłego roku, po wielu miesiącach opóźnień. Według urzędników projekt będzie kosztował około czterdziestu milionów euro i stworzy setki miejsc pracy w całym regionie, a czas przejazdu się skróci.",
+    "el": "Ο δήμαρχος ανακοίνωσε τη Δευτέρα ότι η κατασκευή της νέας γέφυρας θα ξεκινήσει την επόμενη άνοιξη, μετά από μήνες καθυστερήσεων. Το έργο αναμένεται να κοστίσει περίπου σαράντα εκατομμύρια ευρώ και να δημιουργήσει εκατοντάδες θέσεις εργασίας στην περιοχή.",
+    "zh": "市长周二宣布,新桥的建设将于明年春天开始,此前因资金问题推迟了数月。该项目预计耗资四千万欧元,将为该地区创造数百个就业岗位,并缩短前往市中心的时间。官员们表示,工程期间交通将受到一定影响,市民可以通过市政府网站了解最新的安排和绕行路线。",
+}
+LINKS = "<ul>" + "".join(f'<li><a href="/{k}">Some link to a page of the site {k}</a></li>' for k in range(5)) + "</ul>"
+NAMES = "<div>" + "Laptops Phones Cameras Audio Gaming Tablets Printers Monitors Keyboards Storage Networking Software Drones Wearables Televisions Projectors Headphones Speakers Chargers Cables Batteries Routers Modems Scanners" + "</div>"
+
+
+@pytest.mark.parametrize("language", PROSE)
+def test_plain_prose_without_article(language):
+    p = PROSE[language]
+    half = p[: len(p) // 2]  # a middling paragraph
+    assert h.extract(f"<body>{LINKS}<div>{p}</div><div>{p}</div>{LINKS}</body>") == f"{p}\n{p}"
+    assert h.extract(f"<body>{LINKS}<p>{half}</p><p>{half}</p><p>{half}</p>{LINKS}</body>").count(half.strip()) == 3
+    assert h.extract(f"<body>{LINKS}<p>{half}</p><p>{half}</p><p>{p}</p>{LINKS}</body>").count(half.strip()) == 3
+
+
+def test_lists_of_names_are_not_prose():
+    assert h.extract(f"<body>{NAMES}{LINKS}<p>{PROSE['en']}</p><p>{PROSE['it']}</p><p>{PROSE['zh']}</p>{LINKS}{NAMES}</body>") == "\n".join(PROSE[k] for k in ("en", "it", "zh"))
