@@ -17,6 +17,8 @@ SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.18
 LINK_HIGH = 0.2
 LINK_HIGH_IN_ARTICLE = 0.5
+#: Share of a page's prose with which a wrapper holds its main text.
+MOST = 0.75
 
 _SHORT_WORDS = {
     "english": "a about after all also an and are as at be been but by can could did do for from had has have he her his if in into is it its "
@@ -56,51 +58,115 @@ AROUND = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar warning widget".split())
 COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: First and last parts of names that say something of an element's state or neighbours, not what it is.
+STATE_FIRST = frozenset("backface cat category has no not overflow tag term topic with without".split())
+STATE_LAST = frozenset("active allowed aware closed collapsed disabled enabled expanded off offset on open opened shown visible".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*[^>]*>|\Z)|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-z!?/][^>]*\Z",
     re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+HIDDEN_VALUE = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+SHOWN_WIDE = re.compile(r":(?:block|contents|flex|grid|inline\S*|table\S*)$")
 PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])", 0)
 
 
 class Block:
-    __slots__ = ("text", "linked", "outside", "article", "heading")
+    __slots__ = ("text", "linked", "outside", "article", "heading", "wrappers")
 
-    def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool):
-        self.text, self.linked, self.outside, self.article, self.heading = text, linked, outside, article, heading
+    def __init__(self, text: str, linked: int, outside: bool, article: bool, heading: bool, wrappers: tuple[Wrapper, ...] = ()):
+        self.text, self.linked, self.outside, self.article, self.heading, self.wrappers = text, linked, outside, article, heading, wrappers
 
 
-def _around(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element stands around the article by its names, and whether it holds reader comments."""
-    if not attributes:
-        return False, False
+class Wrapper:
+    """An element that by its names stands around the article."""
+
+    __slots__ = ("comment", "main", "hides")
+
+    def __init__(self, comment: bool):
+        self.comment, self.main, self.hides = comment, False, True
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(HIDDEN.search(QUOTED.sub("\"\"", attributes)) or HIDDEN_VALUE.search(attributes))
+
+
+def _named(tag: str, attributes: str) -> Wrapper | None:
+    """A wrapper if class names, id or role say that an element stands around the article or holds reader comments."""
     words: set[str] = set()
     for m in NAMES.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        words.update(w.lower() for w in PARTS.split(value.replace("_", "-")) if w)
-        words.update(w for w in re.split(r"[^a-z0-9]+", value.lower()) if w)
+        names = value.split()
+        shown = any(SHOWN_WIDE.search(x) for x in names)
+        for name in names:
+            if ":" in name or shown and name.lower() == "hidden":
+                continue
+            parts = [x for x in re.split(r"[^a-z0-9]+", name.lower()) if x]
+            finer = [x.lower() for x in PARTS.split(name.replace("_", "-")) if x]
+            if parts and not (len(finer) > 1 and (finer[0] in STATE_FIRST or finer[-1] in STATE_LAST)):
+                words.update(parts, finer)
     hit = words & AROUND
     if tag in HEADINGS:
         hit = hit - {"header", "banner"}
-    return bool(hit) or bool(HIDDEN.search(attributes)), bool(words & COMMENTS)
+    return Wrapper(bool(words & COMMENTS)) if hit or words & COMMENTS else None
+
+
+def _prose_chars(b: Block, least: int) -> int:
+    size = weight(b.text)
+    return size if size >= least and b.linked <= LINK_HIGH * len(b.text) else 0
+
+
+def _settle(found: list[Block]) -> None:
+    """Lets wrappers hide what they hold, but not the page's main element, nor most of its prose where no article lies elsewhere.
+
+    Comments hide unless the page has no other prose.
+    """
+    wrappers = {w: None for b in found for w in b.wrappers}
+    if not wrappers:
+        return
+    seen = [b for b in found if not b.outside]
+    least = LONG if any(_prose_chars(b, LONG) for b in seen if not any(w.comment for w in b.wrappers)) else SHORT
+    size = {id(b): _prose_chars(b, least) for b in seen}
+    total, apart, held, within = 0, 0, {}, {}
+    for b in seen:
+        own = _prose_chars(b, SHORT)
+        apart += own
+        for w in b.wrappers:
+            within[w] = within.get(w, 0) + own
+        if not any(w.comment for w in b.wrappers):
+            total += size[id(b)]
+            for w in b.wrappers:
+                held[w] = held.get(w, 0) + size[id(b)]
+    clear = any(b.article and not b.wrappers and _prose_chars(b, SHORT) for b in seen)
+    for w in wrappers:
+        if w.main:
+            w.hides = False
+        elif w.comment:
+            w.hides = clear or within.get(w, 0) < apart or not apart
+        else:
+            w.hides = clear or held.get(w, 0) <= MOST * total
+    for b in seen:
+        b.outside = any(w.hides for w in b.wrappers)
 
 
 def blocks(page: str) -> list[Block]:
     """Stretches of text between block elements, in page order, with their white space as single spaces."""
     out: list[Block] = []
-    open_: list[tuple[str, int, bool]] = []  # element, 1 in an article's own header or 2 outside or 3 among comments, article
+    # Element; 1 in an article's own header or 2 outside; named wrappers; whether in an article; whether in one without names.
+    open_: list[tuple[str, int, tuple[Wrapper, ...], bool, bool]] = []
     text: list[str] = []
     linked, in_link, heading = 0, False, False
     outside = article = False
+    wrappers: tuple[Wrapper, ...] = ()
 
     def close_block():
         nonlocal linked, in_link
         if text:
             words = "".join(text).split()
             if words:
-                out.append(Block(" ".join(words), linked, outside, article, heading))
+                out.append(Block(" ".join(words), linked, outside, article, heading, wrappers))
             text.clear()
         linked, in_link = 0, False
 
@@ -131,34 +197,45 @@ def blocks(page: str) -> list[Block]:
         if end:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
-                    if tag == "span" and any(x[1] for x in open_[k:]):
+                    if tag == "span" and any(x[1] or x[2] for x in open_[k:]):
                         close_block()
                     del open_[k:]
                     break
         elif tag not in VOID:
             attributes = m[4] or m[7] or ""
-            if tag in ("body", "main", "article"):
+            named = _named(tag, attributes) if attributes and tag != "body" else None
+            hidden = bool(attributes) and tag != "body" and _hidden(attributes)
+            own = (named,) if named else ()
+            if tag == "body":
+                # What was left open before the body does not hold it, and its names are of the whole page.
+                open_.clear()
+                open_.append((tag, 0, (), False, False))
+            elif tag in ("main", "article"):
                 # What was left open before the article does not hold it, unless readers wrote it.
-                around, comment = _around(tag, attributes)
-                if tag == "body":
-                    open_.clear()
-                    around = False
-                level = open_[-1][1] if open_ else 0
-                away = level == 3 or around or level == 2 and any(x[2] for x in open_)
-                open_.append((tag, 3 if comment or level == 3 else 2 * away, tag != "body" and not away))
+                _, level, around, _, inside = open_[-1] if open_ else (None, 0, (), False, False)
+                if tag == "main":
+                    for w in (*around, *own):
+                        w.main = True
+                if not inside:
+                    around = tuple(w for w in around if w.comment)
+                level = 2 if hidden or level == 2 and inside else 0
+                open_.append((tag, level, around + own, True, inside or not (level or around or own)))
             else:
                 if tag in ("p", "li", "dt", "dd", "td", "th", "tr") or tag in HEADINGS:
                     # These end an open element of their own kind.
                     if open_ and open_[-1][0] in ("p", *HEADINGS) or open_ and open_[-1][0] == tag:
                         open_.pop()
-                above = open_[-1] if open_ else (None, 0, False)
-                around, comment = _around(tag, attributes)
-                own = 3 if comment else 1 if tag == "header" and above[2] and not HIDDEN.search(attributes) else 2 * (around or tag in OUTSIDE)
-                if tag == "span" and own:
+                above = open_[-1] if open_ else (None, 0, (), False, False)
+                if tag == "header" and above[3] and not hidden:
+                    level = 1
+                    own = own if named and named.comment else ()
+                else:
+                    level = 2 * (hidden or tag in OUTSIDE)
+                if tag == "span" and (level or own):
                     close_block()
                 # Of an article's header only the headings are text.
-                open_.append((tag, 0 if tag in HEADINGS and above[1] == 1 and not own else max(above[1], own), above[2]))
-        outside, article = (open_[-1][1] > 0, open_[-1][2]) if open_ else (False, False)
+                open_.append((tag, 0 if tag in HEADINGS and above[1] == 1 and not level else max(above[1], level), above[2] + own, above[3], above[4]))
+        outside, wrappers, article = (open_[-1][1] > 0, open_[-1][2], open_[-1][3]) if open_ else (False, (), False)
         heading = bool(open_) and open_[-1][0] in HEADINGS
     if at < len(page):
         piece = html.unescape(page[at:])
@@ -166,6 +243,7 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(piece.strip())
     close_block()
+    _settle(out)
     return out
 
 

@@ -85,3 +85,23 @@ def test_plain_prose_without_article(language):
 
 def test_lists_of_names_are_not_prose():
     assert h.extract(f"<body>{NAMES}{LINKS}<p>{PROSE['en']}</p><p>{PROSE['it']}</p><p>{PROSE['zh']}</p>{LINKS}{NAMES}</body>") == "\n".join(PROSE[k] for k in ("en", "it", "zh"))
+
+
+@pytest.mark.parametrize("page", [
+    '<body class="single comments-open"><article>{}</article></body>', '<body class="sidebar-left hidden"><p>{}</p></body>', '<article class="post has-comments">{}</article>',
+    '<main class="overflow-hidden">{}</main>', '<article class="sm:hidden md:block">{}</article>', '<div class="hidden md:block">{}</div>', '<div class="has-sidebar">{}</div>', '<div class="no-sidebar"><p>{}</p></div>',
+    '<div class="navbar-offset">{}</div>', '<main class="sidebar-layout"><article>{}</article></main>', '<article class="post tag-cookies category-social">{}</article>',
+    '<div id="comments-wrapper"><main><p>{}</p></main></div>', '<div class="widget"><div class="content-header"><p>{}</p></div></div>', '<article class="post header-video">{}</article>'])
+@pytest.mark.parametrize("noise", [
+    "", '<div class="sidebar"><p>noise noise noise</p></div>', '<nav><p>noise of the site and of the page</p></nav>',
+    '<section id="comments"><article class="comment"><p>' + "This is the noise of a reader and it is as long as it can be. " * 20 + "</p></article></section>"])
+def test_names_that_do_not_hide_the_text(page, noise):
+    inside = page.replace("{}", "{}" + noise)
+    assert h.extract(page.format(LONG) + noise) == LONG
+    assert h.extract(inside.format(LONG)) == LONG
+
+
+def test_related_articles_go():
+    cards = "".join(f'<article class="related-card"><p>It is of the noise that is on the page {k}</p></article>' for k in range(4))
+    assert h.extract(f"<article><p>{LONG}</p></article>{cards}") == LONG
+    assert h.extract(f'<article class="post has-comments"><p>{LONG}</p><div class="related">{cards}</div></article>') == LONG
