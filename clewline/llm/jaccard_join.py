@@ -5,7 +5,8 @@ tree of splits: a node draws one or two of the places (1 / threshold on average)
 by the tokens they have there, so texts meet again only where they share the drawn token. Small nodes are leaves, and so
 are nodes that drawing hardly splits, since their texts are alike anyway. Leaves are compared by brute force, first on
 8 bits of each token, then exactly on the shingles. Runs are repeated until a pair at the threshold is met in one of them
-with the wanted probability, given the depth the trees have reached.
+with the wanted probability, given the depth the trees have reached. Runs that draw from the same places are not
+independent, since a pair may agree in few of them: after a round of runs the texts get tokens of new places.
 
 Only texts move, never pairs: a pair counts in the first leaf its two texts have in common, so links are counted inside
 leaves, and a leaf hands on one row per text and a spanning forest of its links. A leaf of any size is cut into tiles.
@@ -39,8 +40,17 @@ FIRST_RUNS = 12
 DENSE = 0.9
 
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-FACTORS = _rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * _U(2) + _U(1)
+#: Bits of a node's name that tell its run.
+RUN_BITS = 11
+
+
+def factors(round_: int) -> np.ndarray:
+    """Multipliers of the places of a round of runs."""
+    rng = np.random.Generator(np.random.PCG64(20240229 + round_))
+    return rng.integers(1, 1 << 63, PLACES, dtype=np.uint64) * _U(2) + _U(1)
+
+
+FACTORS = factors(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,11 +92,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def tokens(sets: np.ndarray) -> np.ndarray:
+def tokens(sets: np.ndarray, by: np.ndarray = FACTORS) -> np.ndarray:
     """The MinHash token (32 bits) of a set for every place."""
     best = np.full(PLACES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for low in range(0, len(sets), 4096):
-        part = sets[None, low : low + 4096] * FACTORS[:, None]
+        part = sets[None, low : low + 4096] * by[:, None]
         np.minimum(best, part.min(axis=1), out=best)
     return (mix(best) >> _U(32)).astype(np.uint32)
 
@@ -102,6 +112,18 @@ def _sketch(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int32()), pa.array(out, pa.binary())], names=["n_shingles", "tokens"])
 
 
+def _tokens(round_: int):
+    by = factors(round_)
+
+    @arrow_udf(BinaryType())
+    def run(texts: pa.Array) -> pa.Array:
+        out = [tokens(own, by).tobytes() if len(own := shingles(t.as_py())) else None for t in texts]
+        release()
+        return pa.array(out, pa.binary())
+
+    return run
+
+
 @arrow_udf(BinaryType())
 def _sets(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(t.as_py()).tobytes() for t in texts], pa.binary())
@@ -123,10 +145,11 @@ def chosen(nodes: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.nda
 
 
 def child(nodes: np.ndarray, place: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """Name of a child: its run in the top byte, so the smallest common leaf of two texts is one of their first common run."""
-    run = nodes.astype(np.uint64) & _U(0x7F00000000000000)
+    """Name of a child: its run in the top bits, so the smallest common leaf of two texts is one of their first common run."""
+    low = _U((1 << (63 - RUN_BITS)) - 1)
+    run = nodes.astype(np.uint64) & ~low
     own = mix(mix(nodes.astype(np.uint64)) ^ (place.astype(np.uint64) << _U(32)) ^ token.astype(np.uint64))
-    return (run | (own & _U(0x00FFFFFFFFFFFFFF))).astype(np.int64)
+    return (run | (own & low)).astype(np.int64)
 
 
 def _token_matrix(column: pa.Array) -> np.ndarray:
@@ -140,7 +163,7 @@ def _roots(texts: DataFrame, runs: range, threshold: float) -> DataFrame:
                 continue
             matrix = _token_matrix(batch.column(1))
             for r in runs:
-                start = np.full(1, r << 56, dtype=np.int64)
+                start = np.full(1, r << (63 - RUN_BITS), dtype=np.int64)
                 for rows, place in chosen(start, threshold):
                     for p in place[: len(rows)]:
                         nodes = child(np.full(len(batch), start[0]), np.full(len(batch), p), matrix[:, p])
@@ -163,11 +186,12 @@ def _split(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("node", "key", F.col("size").alias("above"), "tokens").mapInArrow(run, "node bigint, key binary, above bigint")
 
 
-def met_within(depth: int, threshold: float) -> float:
-    """Probability that a pair at the threshold is still together after so many splits of one run."""
+def met_within(depth: int, threshold: float, agree: float | None = None) -> float:
+    """Probability that a pair is still together after so many splits of one run, given the share of places where it agrees
+    (the threshold if not given)."""
     extra, alive = 1 / threshold - 1, 1.0
     for _ in range(depth):
-        keep = threshold * alive
+        keep = (threshold if agree is None else agree) * alive
         alive = (1 - extra) * keep + extra * (1 - (1 - keep) ** 2)
     return alive
 
@@ -177,6 +201,24 @@ def runs_needed(depth: int, threshold: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - met)) if met < recall else 1
 
 
+def missed(depth: int, threshold: float, runs: int) -> float:
+    """Probability that a pair at the threshold is met in none of some runs that draw from the same places."""
+    share = lambda a: math.comb(PLACES, a) * threshold**a * (1 - threshold) ** (PLACES - a)
+    return sum(share(a) * (1 - met_within(max(depth, 1), threshold, a / PLACES)) ** runs for a in range(PLACES + 1))
+
+
+def next_round(depth: int, threshold: float, recall: float, rounds: list[int]) -> int:
+    """Runs to make with new places after rounds of so many runs each; 0 if the recall is reached."""
+    left = math.prod(missed(depth, threshold, r) for r in rounds)
+    if left <= 1 - recall:
+        return 0
+    wanted = (1 - recall) / left
+    runs = runs_needed(depth, threshold, 1 - wanted)
+    while runs < FIRST_RUNS and missed(depth, threshold, runs) > wanted:
+        runs += 1
+    return min(runs, FIRST_RUNS)
+
+
 def _leaves(texts: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], int]:
     """Written leaf rows (node, key) of some runs, nodes of one text left out, and the depth reached."""
     found, depth = [], 1
@@ -316,13 +358,20 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = rows.where("n_shingles > 0").groupBy("key").agg(F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens"))
     texts = materialise(texts, "texts")
 
-    parts, done, depth = [], 0, 0
+    parts, rounds, depth, drawn_for = [], [], 0, texts
     wanted = FIRST_RUNS
-    while done < wanted:
-        found, reached = _leaves(texts, range(done, wanted), threshold)
+    while wanted:
+        done = sum(rounds)
+        if done + wanted > 1 << RUN_BITS:
+            raise ValueError(f"recall {recall} at threshold {threshold} needs over {1 << RUN_BITS} runs")
+        if rounds:
+            again = named.select(text_key(F.col("text")).alias("key"), _tokens(len(rounds))(F.col("text")).alias("tokens"))
+            drawn_for = materialise(again.where("tokens IS NOT NULL").groupBy("key").agg(F.first("tokens").alias("tokens")), "tokens")
+        found, reached = _leaves(drawn_for, range(done, done + wanted), threshold)
         parts += found
         depth = max(depth, reached)
-        done, wanted = wanted, max(wanted, min(127, runs_needed(depth, threshold, recall)))
+        rounds.append(wanted)
+        wanted = next_round(depth, threshold, recall, rounds)
     leaves = parts[0]
     for p in parts[1:]:
         leaves = leaves.union(p)

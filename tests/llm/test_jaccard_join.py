@@ -123,3 +123,51 @@ def test_components(frame):
     got = {r.vertex: r.component for r in components(frame(links, "a bigint, b bigint")).collect()}
     assert got == {k: 1 for k in range(1, 61)} | {100: 80, 90: 80, 80: 80, 70: 70, 200: 150, 150: 150, 151: 150, 152: 150}
     assert components(frame(links, "a bigint, b bigint").where("false")).collect() == []
+
+
+def test_rounds_reach_the_recall_over_agreeing_places():
+    rng = np.random.default_rng(1)
+    for depth in (1, 6, 10, 20, 30, 45):
+        rounds = [j.FIRST_RUNS]
+        while more := j.next_round(depth, 0.8, 0.999, rounds):
+            rounds.append(more)
+        assert sum(rounds) < 1 << j.RUN_BITS
+        agree = rng.binomial(j.PLACES, 0.8, (len(rounds), 200_000)) / j.PLACES
+        met = j.met_within(depth, 0.8, agree)
+        assert np.prod((1 - met) ** np.array(rounds)[:, None], axis=0).mean() <= 0.00105
+
+
+def test_run_field():
+    last = (1 << j.RUN_BITS) - 1
+    start = np.array([1 << (63 - j.RUN_BITS), last << (63 - j.RUN_BITS)])
+    names = j.child(start, np.array([3, 3]), np.array([7, 7]))
+    assert (names >> (63 - j.RUN_BITS)).tolist() == [1, last] and (names != start).all()
+
+
+def test_recall_in_a_deep_group(frame, monkeypatch):
+    """Pairs just over the threshold, inside a group whose trees go over ten splits deep."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(400)]
+    rows, pairs = [], 0
+    fresh = itertools.count()
+
+    def change(words, k, step):
+        out = list(words)
+        for at in rnd.sample(range(len(words) // step), k):
+            out[at * step + 2] = f"n{next(fresh)}"
+        return out
+
+    while pairs < 1000:
+        one = change(base, 16, 8)
+        two = change(one, 8, 9)
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+        if 0.8 <= len(a & b) / len(a | b) < 0.825:
+            rows += [(2 * pairs, " ".join(one)), (2 * pairs + 1, " ".join(two))]
+            pairs += 1
+    depths = []
+    leaves = j._leaves
+    monkeypatch.setattr(j, "LEAF", 8)
+    monkeypatch.setattr(j, "_leaves", lambda *a: depths.append((got := leaves(*a))[1]) or got)
+    got = {r.doc_id: r.class_id for r in j.similar_groups(frame(rows, SCHEMA)).collect()}
+    assert max(depths) >= 10
+    assert sum(got[2 * k] != got[2 * k + 1] for k in range(pairs)) <= 2
