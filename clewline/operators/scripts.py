@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
 from ..functions import url as U
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SCRIPT_APIS
@@ -193,17 +194,23 @@ def signal_completeness(signals: DataFrame) -> DataFrame:
 def json_content_fields(scripts: DataFrame, levels: int = 32) -> DataFrame:
     """JSON blocks as (path, kind, value, resolved URL): text, address and resource fields by key role.
 
-    Objects are opened level by level inside one task chain, to the depth the format allows.
+    Objects are opened level by level inside one task chain, ``levels`` at a time, until none holds a text.
     """
     m = F.lower(F.trim(F.split_part(F.coalesce("media_type", F.lit("")), F.lit(";"), F.lit(1))))
     node = scripts.where(m.isin(*JSON_TYPES)).select("page_id", "url", "script_id", F.lit("").alias("path"), F.lit(None).cast("string").alias("key"),
                                                      F.lit(None).cast("string").alias("declared_type"), F.try_parse_json("source").alias("v"))
-    for _ in range(levels):
-        # A scalar has nothing to open: the outer form keeps its row as it is.
-        node = scripts.sparkSession.sql(
-            "SELECT d.page_id, d.url, d.script_id, if(x.pos IS NULL, d.path, concat(d.path, '/', coalesce(replace(replace(x.key, '~', '~0'), '/', '~1'), CAST(x.pos AS STRING)))) AS path, "
-            "if(x.pos IS NULL, d.key, x.key) AS key, if(x.pos IS NULL, d.declared_type, try_variant_get(d.v, '$.type', 'string')) AS declared_type, "
-            "if(x.pos IS NULL, d.v, x.value) AS v FROM {node} d, LATERAL variant_explode_outer(d.v) x", node=node)
+    shape = F.schema_of_variant("v")
+    unopened = shape.rlike("^(OBJECT|ARRAY)<") & shape.rlike("STRING|VARIANT")
+    while True:
+        for _ in range(levels):
+            # A scalar has nothing to open: the outer form keeps its row as it is.
+            node = scripts.sparkSession.sql(
+                "SELECT d.page_id, d.url, d.script_id, if(x.pos IS NULL, d.path, concat(d.path, '/', coalesce(replace(replace(x.key, '~', '~0'), '/', '~1'), CAST(x.pos AS STRING)))) AS path, "
+                "if(x.pos IS NULL, d.key, x.key) AS key, if(x.pos IS NULL, d.declared_type, try_variant_get(d.v, '$.type', 'string')) AS declared_type, "
+                "if(x.pos IS NULL, d.v, x.value) AS v FROM {node} d, LATERAL variant_explode_outer(d.v) x", node=node)
+        node = materialise(node, "json-nodes")
+        if node.where(unopened).isEmpty():
+            break
     leaf = node.where(F.schema_of_variant("v") == "STRING").withColumn("value", F.try_variant_get("v", "$", "string")).where(F.trim("value") != "")
     role = F.regexp_replace(F.lower("key"), "[^a-z]", "")
     media = F.coalesce(F.lower("declared_type").isin(*MEDIA_WORDS), F.lit(False))

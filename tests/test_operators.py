@@ -262,3 +262,11 @@ def test_alias_skips_reserved_numbers_by_brute_force(spark):
     got = rows(W.citation_alias(items, taken, "doc"), "alias")
     free = [n for n in range(1, 40) if n not in (1, 2, 4, 9, 30)][:9]
     assert got == sorted([(f"fact:{n}",) for n in free] + [(f"source:{n}",) for n in (1, 2, 3)], key=repr)
+
+
+def test_json_strings_at_any_depth(spark):
+    from clewline.operators import scripts
+
+    deep = '{"a":' * 70 + '{"title":"Deep","none":{},"list":[]}' + "}" * 70
+    df = spark.createDataFrame([(1, "https://a.example/", 1, "application/json", '{"title":"Top","x":' + deep + "}")], "page_id bigint, url string, script_id bigint, media_type string, source string")
+    assert sorted(r.value for r in scripts.json_content_fields(df).collect()) == ["Deep", "Top"]
