@@ -48,7 +48,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     rows = names["pipeline"](spark, FOLDER).collect()
     filled = collections.Counter()
     for r in rows:
