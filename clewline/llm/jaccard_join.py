@@ -425,13 +425,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     Of equal rows, and of rows with equal id and text, one stays where their class keeps them.
     """
     judged = materialise(similar_groups(docs, doc_id, text, threshold, recall), "classes")
-    pairs = judged.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__text")).agg(F.sum(F.col("kept").cast("int")).alias("keep"), F.count("*").alias("rows"))
-    stay = pairs.where("keep > 0").select("__id", "__text", (F.col("rows") > F.col("keep")).alias("__again"))
-    keyed = docs.withColumn("__key", text_key(F.col(f"`{text}`")))
-    joined = keyed.join(stay, (F.col("__key") == F.col("__text")) & F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")))
-    once = joined.where(~F.col("__again")).select(docs.columns)
+    pairs = judged.groupBy("doc_id", "key").agg(F.sum(F.col("kept").cast("int")).alias("keep"), F.count("*").alias("rows"))
+    stay = pairs.where("keep > 0").select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), (F.col("rows") > F.col("keep")).alias("again"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = joined.where("__again").groupBy("__id", "__key").agg(F.min_by(whole, F.xxhash64(whole)).alias("__row")).select("__row.*")
+    keyed = docs.select(whole.alias("row"), F.col(f"`{doc_id}`").alias("row_id"), text_key(F.col(f"`{text}`")).alias("row_key"))
+    joined = keyed.join(stay, (F.col("row_key") == F.col("own_key")) & F.col("row_id").eqNullSafe(F.col("own_id")))
+    once = joined.where(~F.col("again")).select("row.*")
+    again = joined.where("again").groupBy("own_id", "own_key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return once.unionByName(again)
 
 

@@ -19,6 +19,11 @@ NONE = "und"
 FIT_ROWS = 2000
 MOST_ENTRIES = 100_000
 LONGEST_GROUP = 4
+#: A text fits its language if its share of known words, counted with PRIOR words of the usual share, reaches the part
+#: LEAST_PART of what all but LOWEST of the held-out documents of that language reach.
+PRIOR, LEAST_PART, LOWEST = 2, 0.5, 0.01
+#: Held-out documents of a language without which nothing is said about what fits it.
+LEAST_HELD = 20
 #: Chunks whose scores a worker keeps.
 KEPT_CHUNKS = 60_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,43 +49,47 @@ def count_part(texts, langs) -> Counter:
 
 
 class LanguageModel:
-    """``tables[k]``: entry -> row of ``weights`` (log probability by language); ``langs`` in order of name."""
+    """``tables[k]``: entry -> row of ``weights`` (log probability by language); ``langs`` in order of name.
 
-    def __init__(self, langs: list[str], tables: list[dict[str, int]], weights: np.ndarray):
-        self.langs, self.tables, self.weights = langs, tables, weights
+    ``fitting``: language -> (usual share of known words, least share of a text that fits); from :meth:`calibrated`.
+    """
+
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], weights: np.ndarray, fitting: dict[str, tuple[float, float]] | None = None):
+        self.langs, self.tables, self.weights, self.fitting = langs, tables, weights, fitting or {}
         self.kept: dict[str, int] = {}
         self.kept_words: dict[str, np.ndarray] = {}
-        self.rows = np.zeros((1024, len(langs) + 1))
+        self.rows = np.zeros((1024, len(langs) + 2))
 
     def __getstate__(self):
-        return self.langs, self.tables, self.weights
+        return self.langs, self.tables, self.weights, self.fitting
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def add_word(self, word: str, out: np.ndarray) -> None:
-        """Adds the score of a word by language to the first places of ``out``, and one to its last."""
+        """Adds the score of a word by language to the first places of ``out``, then whether it is known, and one to its last."""
         out[-1] += 1
         at = self.tables[0].get(word)
         if at is not None:
-            out[:-1] += self.weights[at]
+            out[-2] += 1
+            out[:-2] += self.weights[at]
             return
         padded = f" {word} "
         for k in range(LONGEST_GROUP, 0, -1):
             get = self.tables[k].get
             known = [r for i in range(len(padded) - k + 1) if (r := get(padded[i : i + k])) is not None]
             if known:
-                out[:-1] += np.add.reduce(self.weights.take(known, 0), 0) / len(known)
+                out[:-2] += np.add.reduce(self.weights.take(known, 0), 0) / len(known)
                 return
 
     def chunk_score(self, chunk: str) -> np.ndarray:
         """Sum over the words of a stretch without white space, and their number; of its words, those met before are looked up."""
         low, kept = chunk.lower(), self.kept_words
-        out = np.zeros(len(self.langs) + 1)
+        out = np.zeros(len(self.langs) + 2)
         for word in (low,) if low.isascii() and low.isalpha() else LETTERS.findall(low):
             score = kept.get(word)
             if score is None:
-                score = np.zeros(len(self.langs) + 1)
+                score = np.zeros(len(self.langs) + 2)
                 self.add_word(word, score)
                 if len(kept) < KEPT_CHUNKS and len(word) <= 64:
                     kept[word] = score
@@ -89,7 +98,7 @@ class LanguageModel:
 
     def text_score(self, text: str) -> np.ndarray:
         chunks = text.split()
-        kept, places, extra = self.kept, [], np.zeros(len(self.langs) + 1)
+        kept, places, extra = self.kept, [], np.zeros(len(self.langs) + 2)
         for chunk in chunks:
             at = kept.get(chunk)
             if at is None:
@@ -104,21 +113,33 @@ class LanguageModel:
             places.append(at)
         return self.rows[places].sum(axis=0) + extra if places else extra
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float, bool]:
+        """Language, score, share of known words, and whether the text fits the language."""
         score = self.text_score(text or "")
         if not score[-1] or not self.langs:
-            return NONE, 0.0
-        odds = np.exp(score[:-1] - score[:-1].max())
-        best = int(np.argmax(odds))
-        return self.langs[best], float(odds[best] / odds.sum())
+            return NONE, 0.0, 0.0, not self.langs
+        best = int(np.argmax(score[:-2]))
+        # The chance of the language given one average word of the text, lest every longer text get 1.
+        odds = np.exp((score[:-2] - score[best]) / score[-1])
+        usual, least = self.fitting.get(self.langs[best], (0.0, 0.0))
+        fits = (score[-2] + PRIOR * usual) / (score[-1] + PRIOR) >= least
+        return self.langs[best], float(1 / odds.sum()), float(score[-2] / score[-1]), bool(fits)
+
+    def calibrated(self, docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> LanguageModel:
+        """This model with bounds on what fits, from at most ``fit_rows`` documents with a language that it has not learned from.
+        A language seen in fewer than ``LEAST_HELD`` of them has none."""
+        rows = labelled(docs, text, lang, doc_id, fit_rows).select("lang", identify(F.col("text"), self, docs.sparkSession).alias("found"))
+        shares: dict[str, list[float]] = {}
+        for r in rows.where("found.lang_pred = lang").select("lang", "found.known").collect():  # at most fit_rows numbers
+            shares.setdefault(r[0], []).append(r[1])
+        fitting = {name: (float(np.median(x)), LEAST_PART * float(np.quantile(x, LOWEST))) for name, x in shares.items() if len(x) >= LEAST_HELD}
+        return LanguageModel(self.langs, self.tables, self.weights, fitting)
 
     @staticmethod
     def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", fit_rows: int = FIT_ROWS, most_entries: int = MOST_ENTRIES) -> LanguageModel:
         """Counted over at most ``fit_rows`` documents with a language. Entries rarer than the count that leaves
         ``most_entries`` are left to the shorter groups, so the model has a bounded size."""
-        labelled = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull())
-        chosen = F.broadcast(sampled_ids(labelled, "doc_id", fit_rows))  # an id list of bounded length
-        rows = labelled.join(chosen, F.col("doc_id") == F.col("fit_key"), "left_semi").select("text", "lang")
+        rows = labelled(docs, text, lang, doc_id, fit_rows).select("text", "lang")
 
         def run(batches):
             for batch in batches:
@@ -130,9 +151,11 @@ class LanguageModel:
                         [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())],
                         names=["kind", "entry", "lang", "n"])
 
-        counts = rows.mapInArrow(run, "kind int, entry string, lang string, n bigint").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+        counts = rows.mapInArrow(run, "kind int, entry string, lang string, n bigint").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
         counts = materialise(counts, "languages")
         totals = {(r["kind"], r["lang"]): (r["total"], r["entries"]) for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("entries")).collect()}
+        # Totals hold all entries; those met once are left to the shorter groups.
+        counts = counts.where(F.col("n") > 1)
         steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
         room, least = most_entries, 1 << 62
         for r in steps:
@@ -161,19 +184,31 @@ class LanguageModel:
         return LanguageModel(langs, tables, (np.log(seen) - np.log(base[kinds])).astype(np.float32))
 
 
+def labelled(docs: DataFrame, text: str, lang: str, doc_id: str, bound: int) -> DataFrame:
+    """(doc_id, text, lang) of at most ``bound`` ids with a language, those with the smallest hashes; of rows that repeat an
+    id the one with the smallest language and text."""
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where(F.col("lang").isNotNull())
+    chosen = F.broadcast(sampled_ids(named, "doc_id", bound))  # an id list of bounded length
+    rows = named.join(chosen, F.col("doc_id") == F.col("fit_key"), "left_semi")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select("doc_id", "row.text", "row.lang")
+
+
 def identify(text: Column, model: LanguageModel, spark) -> Column:
-    """Struct (lang_pred, score). The model has a bounded size and travels as a broadcast variable.
+    """Struct (lang_pred, score, known, fits). The model has a bounded size and travels as a broadcast variable.
 
-    Null, empty and letterless texts are ``und`` with score 0; of languages with equal scores the first by name is taken;
-    a model without training documents says ``und`` for all.
+    ``score`` is the chance of the language by the mean log score of a word, ``known`` the share of words that the model
+    has met. Null, empty and letterless texts are ``und`` with score 0 and fit nothing; of languages with equal scores the
+    first by name is taken; a model without training documents says ``und`` for all and holds nothing against any text.
+    Rows are judged one by one: repeated rows alike, and an empty table gives none.
     """
     shipped = spark.sparkContext.broadcast(model)
 
-    @arrow_udf("struct<lang_pred:string,score:double>")
+    @arrow_udf("struct<lang_pred:string,score:double,known:double,fits:boolean>")
     def run(texts: pa.Array) -> pa.Array:
         got = [shipped.value.predict(t.as_py()) for t in texts]
         release()
-        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "known": pa.float64(), "fits": pa.bool_()}
+        return pa.StructArray.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
     return run(text.cast("string"))
 
@@ -183,11 +218,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def accepted(found: str, least_score: float = 0.0) -> Column:
-    """Whether a language was found, with a score of at least ``least_score``."""
-    return (F.col(f"`{found}`.lang_pred") != NONE) & (F.col(f"`{found}`.score") >= least_score)
-
-
 @query("op9_language_word_backoff")
 def op9(spark, folder):
     docs = table(spark, folder, "documents")

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
+from ..session import materialise
 from .registry import query, table
 from .sampling import labelled_sample
 
@@ -195,25 +197,25 @@ class OrdinalModel:
 
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, doc_id: str = "doc_id", label_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> OrdinalModel:
-        """Fitted on at most ``fit_rows`` labelled documents, fewer where their features together exceed ``fit_features``.
-        ``grade`` is a column over ``labels`` (0 the worst); a null grade is no label."""
+        """Fitted on at most ``fit_rows`` labelled documents: those with the smallest id hashes, up to the first whose features
+        do not fit into ``fit_features`` together with those before, whatever the partitions. ``grade`` is a column over
+        ``labels`` (0 the worst); a null grade is no label. Without labels all weights are 0."""
         marked = labels.select(F.col(f"`{label_id}`").alias("doc"), grade.cast("int").alias("grade")).where(F.col("grade").between(0, n_grades - 1))
         texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         hashed = arrow_udf(lambda a: pa.array([features(t.as_py()).tobytes() for t in a], pa.binary()), "binary")
         got = labelled_sample(texts, marked, "doc_id", "doc", fit_rows).select("fit_doc", "grade", hashed(F.col("text").cast("string")).alias("features"))
-        rows, grades, room = [], [], fit_features
-        for r in got.limit(2 * fit_rows).toLocalIterator():
-            own = np.frombuffer(r["features"], dtype=np.int32)
-            if len(own) <= room:
-                room -= len(own)
-                rows.append((r["fit_doc"], r["grade"], own))
+        got = materialise(got.withColumn("order", F.xxhash64("fit_doc")).withColumn("size", F.length("features") / 4), "features")
+        upto = F.sum("size").over(Window.orderBy("order", "fit_doc"))  # over at most fit_rows short rows
+        chosen = got.select("fit_doc", "order", "size").withColumn("upto", upto).where(F.col("upto") <= fit_features).select("fit_doc")
+        rows = [(r["fit_doc"], r["grade"], np.frombuffer(r["features"], dtype=np.int32)) for r in got.join(chosen, "fit_doc", "left_semi").toLocalIterator()]
         rows.sort(key=lambda r: (str(r[0]), r[1]))
         grades = np.array([r[1] for r in rows], dtype=np.int64)
         return OrdinalModel.learn([r[2] for r in rows], grades, n_grades)
 
 
 def grade_texts(text: Column, model: OrdinalModel, spark) -> Column:
-    """Struct (expected_grade, tail_probability): the mean grade and the chance of the best one. A null text reads as empty."""
+    """Struct (expected_grade, tail_probability): the mean grade and the chance of the best one. A null text reads as empty;
+    repeated rows get equal grades, an empty table none."""
     shipped = spark.sparkContext.broadcast(model)
 
     @arrow_udf("struct<expected_grade:double,tail_probability:double>")

@@ -175,13 +175,12 @@ class QualityRules:
 
     @staticmethod
     def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", fit_rows: int = FIT_ROWS) -> QualityRules:
-        """Learned from at most ``fit_rows`` labelled documents that pass the base rules; ``quality`` 0 is what rules drop, a null label is no label."""
+        """Learned from at most ``fit_rows`` labelled documents that pass the base rules; ``quality`` 0 is what rules drop, a null label is no label; without labels there is no rule."""
         marked = labels.where(F.col(f"`{quality}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{quality}`").alias("mark"))
         texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
         rows = labelled_sample(texts, marked, "doc_id", "doc", fit_rows).select("fit_doc", "mark", text_stats(F.col("text")).alias("stats"))
         named = rates("stats")
-        # Where ids repeat, the bound still holds.
-        got = rows.where(~base_failed("stats")).select("fit_doc", "mark", *[c.alias(n) for n, c in named.items()]).limit(4 * fit_rows).toPandas()
+        got = rows.where(~base_failed("stats")).select("fit_doc", "mark", *[c.alias(n) for n, c in named.items()]).toPandas()
         got = got.sort_values(list(got.columns), kind="stable").sample(frac=1.0, random_state=7)
         return QualityRules(learn({n: got[n].to_numpy(dtype=float) for n in named}, got["mark"].to_numpy() == 0) if len(got) else [])
 
@@ -193,7 +192,8 @@ class QualityRules:
         return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
     def judge(self, docs: DataFrame, text: str = "text", stats: str = "quality_stats") -> DataFrame:
-        """``docs`` with columns ``stats`` (struct), base_failed and kept."""
+        """``docs`` with columns ``stats`` (struct), base_failed and kept; input columns of these names give way. Repeated rows
+        are judged alike, an empty table stays empty."""
         held = docs.withColumn(stats, text_stats(F.col(f"`{text}`"))).withColumn("base_failed", base_failed(stats))
         return held.withColumn("kept", ~F.col("base_failed") & self.verdict(stats))
 

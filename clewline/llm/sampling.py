@@ -12,9 +12,18 @@ def sampled_ids(rows: DataFrame, key: str, bound: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, label_id: str, bound: int) -> DataFrame:
-    """Documents with the columns of their labels, for at most ``bound`` labelled ids (that bound lets the id list be broadcast)."""
+    """Documents with the columns of their labels, for at most ``bound`` labelled ids (that bound lets the id list be broadcast).
+
+    Of rows that repeat an id the smallest is taken on either side, so there is one row for each id.
+    """
     chosen = sampled_ids(labels, label_id, bound)
-    marks = labels.join(F.broadcast(chosen), F.col(f"`{label_id}`") == F.col("fit_key"), "left_semi")
-    named = docs.withColumnRenamed(doc_id, "fit_doc") if doc_id == label_id else docs.select("*", F.col(f"`{doc_id}`").alias("fit_doc"))
-    kept = named.join(F.broadcast(chosen), F.col("fit_doc") == F.col("fit_key"), "left_semi")
-    return kept.join(marks.withColumnRenamed(label_id, "fit_label"), F.col("fit_doc") == F.col("fit_label"))
+
+    def one(rows: DataFrame, key: str, name: str) -> DataFrame:
+        # The key goes under another name; where it is not among the columns, it is kept.
+        others = [c for c in rows.columns if c != key]
+        own = rows.select(F.col(f"`{key}`").alias(name), *[F.col(f"`{c}`") for c in others])
+        own = own.join(F.broadcast(chosen), F.col(name) == F.col("fit_key"), "left_semi")
+        return own.groupBy(name).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("fit_row")).select(name, "fit_row.*") if others else own.distinct()
+
+    marks, kept = one(labels, label_id, "fit_label"), one(docs, doc_id, "fit_doc")
+    return kept.join(marks, F.col("fit_doc") == F.col("fit_label"))

@@ -53,3 +53,37 @@ def test_bound_on_features(frame):
     docs = frame([(k, " ".join(f"w{k}x{n}" for n in range(50))) for k in range(40)], "doc_id bigint, text string")
     marks = frame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
     m.OrdinalModel.fit(docs, marks, m.label_grade(), 3, fit_rows=10, fit_features=200)
+
+
+def test_same_model_from_any_partitions(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").limit(400).collect()
+    marks = spark.createDataFrame([(r.doc_id, k % 3 > 0, k % 5 == 0) for k, r in enumerate(docs)], "doc_id bigint, quality boolean, toxic boolean").selectExpr("doc_id", "cast(quality as int) quality", "cast(toxic as int) toxic")
+    fits = [m.OrdinalModel.fit(spark.createDataFrame(docs).repartition(n), marks.repartition(n), m.label_grade(), 3, fit_rows=300, fit_features=9000) for n in (1, 7, 13)]
+    assert np.abs(fits[0].weights).sum() > 0
+    assert all((f.weights == fits[0].weights).all() and (f.thresholds == fits[0].thresholds).all() for f in fits)
+
+
+def test_every_given_document_by_a_plain_scorer(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = m.OrdinalModel.fit(docs, labels, m.label_grade(), 3, fit_rows=150)
+    for r in docs.select("text", m.grade_texts(F.col("text"), model, spark).alias("g")).collect():
+        # Features are the same set that fitting reads; each counts once.
+        score = sum(float(model.weights[b]) for b in set(m.features(r.text).tolist()))
+        chances = [1 / (1 + np.exp(c - score)) for c in model.thresholds]
+        assert abs(r.g.expected_grade - sum(chances)) < 1e-6 and abs(r.g.tail_probability - chances[-1]) < 1e-6
+
+
+def test_slope_by_differences(monkeypatch):
+    """The gradient of the likelihood against differences of the likelihood."""
+    held = {}
+    monkeypatch.setattr(m, "minimise", lambda loss, x, rounds, **more: held.update(loss=loss, x=x) or x)
+    rng = np.random.default_rng(8)
+    rows = [np.unique(rng.integers(0, 30, 8)).astype(np.int32) for _ in range(90)]
+    m.OrdinalModel.learn(rows, rng.integers(0, 4, 90), 4, least_rows=1)
+    x = held["x"] + rng.normal(size=len(held["x"])) * 0.3
+    slope = held["loss"](x)[1]
+    for k in range(len(x)):
+        step = np.zeros_like(x)
+        step[k] = 1e-5
+        assert abs((held["loss"](x + step)[0] - held["loss"](x - step)[0]) / 2e-5 - slope[k]) < 1e-4 * max(1, abs(slope[k]))
