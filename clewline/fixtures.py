@@ -8,6 +8,10 @@ from __future__ import annotations
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
 
+# Hidden elements inside hidden elements, and a quoted sign that ends no tag.
+NESTED = '<div hidden>n1<div>n2</div>n3</div><template>t1<template>t2</template>t3</template><p title="a > b">plain</p>'
+QUOTED_LINKS = '<a title="a>b" href="/q1">one</a><a class="k"href="/q2">two</a>'
+
 FIXTURES: dict[str, tuple[str, str]] = {
     # name: (other fixtures it reads, SQL)
     "urls": ("", """
@@ -97,15 +101,15 @@ FROM events e JOIN pages p ON p.page_id = e.user_id"""),
 SELECT concat('10.', CAST(n_nationkey AS STRING), '.0.0') AS network, 16 AS prefix_len, 64500 + n_nationkey AS asn, n_name AS org FROM nation
 UNION ALL SELECT '10.0.0.0', 8, 64499, 'BACKBONE' FROM region WHERE r_regionkey = 0
 UNION ALL SELECT concat('10.', CAST(n_nationkey AS STRING), '.2.0'), 24, 64600 + n_nationkey, CAST(NULL AS STRING) FROM nation WHERE n_regionkey < 2"""),
-    "pages_plus": ("", """
+    "pages_plus": ("", f"""
 SELECT page_id, url, concat(replace(replace(html, '</article>', concat(CASE page_id % 8
   WHEN 0 THEN '<form id="f1" method="POST" action="https://collect.example.edu/in"><input type="password" name="pw"><input type="email" name="em" disabled><button type="submit">Go</button></form><input form="f1" name="card" autocomplete="username">'
   WHEN 1 THEN '<form action="/search"><input type="search" name="q"><button formmethod="post" formaction="https://other.example.edu/s">S</button></form>'
   WHEN 2 THEN '<form id="d"><input name="a"></form><form id="d" method="post"><input name="b"><input type="submit" value="ok"></form><input form="d" name="c">'
-  WHEN 3 THEN '<img src="/logo.png" alt="x"><img src="https://cdn.example.edu/i.png"><iframe src="https://w.example.edu/f"></iframe><meta property="og:image" content="https://cdn.example.org/o.png">'
+  WHEN 3 THEN '<img src="/logo.png" alt="x"><img src="https://cdn.example.edu/i.png"><iframe src="https://w.example.edu/f"></iframe><meta property="og:image" content="https://cdn.example.org/o.png">{NESTED}'
   WHEN 4 THEN '<script>fetch("https://collect.example.edu/x");eval(atob("eA=="));location.replace("/next")</script><textarea name="msg"></textarea>'
-  WHEN 5 THEN '<script src="https://cdn.example.edu/a.js#v1" async></script><script src="https://cdn.example.edu/a.js#v2"></script><script src="//cdn.example.net/b.js" defer></script>'
-  WHEN 6 THEN '<script type="application/json">{"items":[{"type":"button","text":"Pay","url":"https://pay.example.edu/"},{"name":"Home","href":"/"}],"logo":{"src":"/l.png","alt":"Logo"},"nav_menu":[{"title":"Home","url":"/"}]}</script>'
+  WHEN 5 THEN '<script src="https://cdn.example.edu/a.js#v1" async></script><script src="https://cdn.example.edu/a.js#v2"></script><script src="//cdn.example.net/b.js" defer></script>{QUOTED_LINKS}'
+  WHEN 6 THEN '<script type="application/json">{{"items":[{{"type":"button","text":"Pay","url":"https://pay.example.edu/"}},{{"name":"Home","href":"/"}}],"logo":{{"src":"/l.png","alt":"Logo"}},"nav_menu":[{{"title":"Home","url":"/"}}]}}</script>'
   ELSE '<a href="https://out.example.edu/p" onclick="go()" download target="_blank">out <b>there</b></a><div style="color:red; display:none">secret</div><p hidden>gone</p>' END, '</article>')),
   '<title>', concat(CASE page_id % 9 WHEN 0 THEN '<base href="https://base.example.edu/">' WHEN 1 THEN '<meta http-equiv="refresh" content="5; url=/moved">'
      WHEN 2 THEN '<meta http-equiv="Refresh" content="soon"><link rel="shortcut icon" href="/fav.ico">' WHEN 3 THEN '<base href="javascript:x">' ELSE '' END, '<title>')), '') AS html,

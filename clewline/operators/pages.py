@@ -1,9 +1,10 @@
 """HTML facts from page text, one child table per element kind.
 
 Tags are found by pattern in the page text, not by building a tree. Answers that depend on
-nesting use tag positions (the form opened last and not yet closed). A tag's attributes are
-read in one linear pass into (names, values), with character references decoded. Known limit:
-an unclosed hidden element hides nothing after its own text.
+nesting use tag positions (the form opened last and not yet closed) or the stack of open
+elements (:mod:`.markup`). A tag's attributes are read in one linear pass into (names, values),
+with character references decoded. Every operator that takes pages reads a table of tags
+(:func:`page_tags`) just as well, so that several can share one written table.
 """
 from __future__ import annotations
 
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import url as U
 from ..functions.logic import any3, first_true, joined, not3
 from ..refdata import FIELD_AUTOCOMPLETE, FIELD_TOKENS, FIELD_TYPES, SuffixIndex, suffix_index
+from . import markup as M
 from .domains import etld1, url_relations
 
-_REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-# What is not closed runs to the end of the page.
-_BLANKED = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b" + _REST + r".*?(?:</\1\s*>|\z)"
+_REST = M.REST
+_BLANKED = r"(?is)" + M.RAW
 _ATTRIBUTE = r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+"""
 _REFERENCE = r"&(?:#[0-9]{1,8}+|#[xX][0-9a-fA-F]{1,7}+|[a-zA-Z][a-zA-Z0-9]{1,31}+);|[^&]++|&"
 
@@ -76,9 +77,12 @@ def has(attrs: Column, name: str) -> Column:
     return F.array_contains(attrs["names"], name)
 
 
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(decode_references(text), r"[\s\u00a0]+", " "))
+
+
 def plain_text(text: Column) -> Column:
-    t = decode_references(F.regexp_replace(text, r"<[^>]*>", " "))
-    return F.trim(F.regexp_replace(t, r"[\s\u00a0]+", " "))
+    return squeezed(F.regexp_replace(text, rf"(?is){M.TAG}|<[!?/][^>]*+>", " "))
 
 
 def prepared(pages: DataFrame) -> DataFrame:
@@ -92,8 +96,19 @@ def prepared(pages: DataFrame) -> DataFrame:
     return p.withColumn("effective_base", F.coalesce("base_url", "url"))
 
 
+def page_tags(pages: DataFrame) -> DataFrame:
+    """All tags of the pages with their base, to be written once; see :func:`.markup.page_tags`."""
+    return M.page_tags(prepared(pages))
+
+
+def _of_tags(tags: DataFrame, *names: str) -> DataFrame:
+    return with_attributes(tags.where(F.col("tag").isin(*names)))
+
+
 def elements(pages: DataFrame, names: str) -> DataFrame:
     """One row per opening tag, in page order, with its attributes and its page's base."""
+    if "tag_text" in pages.columns:
+        return _of_tags(pages, *names.split("|"))
     found = F.regexp_extract_all("markup", F.lit(tag(names)), F.lit(0))
     return with_attributes(prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text")))
 
@@ -147,16 +162,17 @@ def page_document(pages: DataFrame, index: SuffixIndex) -> DataFrame:
     return etld1(d, index, "url", "etld1").drop("url")
 
 
-_HIDDEN_STYLE = r"""\sstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))[^"']*["']"""
+def _hides(name: Column, tag_text: Column) -> Column:
+    """Whether an element shows nothing: by its name, the hidden attribute or its inline style."""
+    asks = tag_text.rlike(r"(?i)[\s\"'/](?:hidden|style)\b")
+    attrs = attributes(tag_text)
+    style = F.coalesce(attr(attrs, "style"), F.lit("")).rlike(M.HIDDEN_STYLE)
+    return name.isin(*M.UNSHOWN) | F.when(asks, has(attrs, "hidden") | style).otherwise(False)
 
 
 def page_visible_text(pages: DataFrame) -> DataFrame:
-    """Text outside head, scripts, templates, comments and elements hidden by attribute or inline style."""
-    t = markup()
-    t = F.regexp_replace(t, r"(?is)<(head|template|noscript)\b" + _REST + r".*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<([a-z][a-z0-9]*)\b(?:[^>]*?" + _HIDDEN_STYLE + r"|[^>]*?\shidden(?=[\s/>=]))[^>]*>.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?is)<!doctype[^>]*>", " ")
-    return pages.select("page_id", plain_text(t).alias("text"))
+    """Text outside head, scripts, templates, comments and elements hidden by attribute or inline style, to their own end tags."""
+    return M.shown_text(pages.select("page_id", "html"), _hides).select("page_id", squeezed(F.col("text")).alias("text"))
 
 
 def page_base(pages: DataFrame) -> DataFrame:
@@ -165,10 +181,13 @@ def page_base(pages: DataFrame) -> DataFrame:
     return p.select("page_id", "url", "raw_href", "base_url", "effective_base", F.when(F.col("raw_href").isNotNull(), F.col("base_url").isNotNull()).alias("valid"))
 
 
-def base_url_change(bases: DataFrame, index: SuffixIndex) -> DataFrame:
+def base_url_change(pages: DataFrame, bases: DataFrame, index: SuffixIndex) -> DataFrame:
+    """A base in another registered domain; without a base there is none, which a cut page does not show."""
     d = etld1(etld1(bases, index, "url", "own"), index, "base_url", "base")
     ext = F.when(F.col("raw_href").isNull(), F.lit(False)).when(F.col("valid"), F.col("base") != F.col("own"))
-    return d.select("page_id", ext.alias("detected"), "base_url")
+    d = d.select("page_id", ext.alias("changed"), "base_url")
+    j = page_sources(pages).join(d, "page_id", "left")
+    return j.select("page_id", html_result(F.col("changed")).alias("r"), "base_url").select("page_id", "r.*", "base_url")
 
 
 def meta_refresh(pages: DataFrame) -> DataFrame:
@@ -183,6 +202,25 @@ def meta_refresh(pages: DataFrame) -> DataFrame:
     return m.select("page_id", "raw_content", ok.alias("valid"), F.when(ok, F.regexp_extract("raw_content", pat, 1).try_cast("double")).alias("delay_seconds"), F.when(ok, F.col("target_url")).alias("target_url"))
 
 
+def page_sources(pages: DataFrame) -> DataFrame:
+    """What a page result needs to know: whether there is a source, and whether it is complete (unless said otherwise)."""
+    whole = F.coalesce("source_complete", F.lit(True)) if "source_complete" in pages.columns else F.lit(True)
+    return pages.select("page_id", F.col("html").isNotNull().alias("parsed"), whole.alias("source_complete"))
+
+
+def html_result(detected: Column, applies: Column | None = None) -> Column:
+    """(status, detected, error) of a page check over :func:`page_sources`; the one place where these states are worked out.
+
+    Without a source nothing is known; what there is nothing of to check does not apply; a cut source proves presence, not
+    absence; else the check is evaluated, and its result may still be unknown.
+    """
+    rules = [(~F.col("parsed"), "html_not_parsed"), (~F.col("source_complete") & (detected == F.lit(False)), "html_analysis_incomplete")]
+    idle = F.lit(False) if applies is None else F.col("parsed") & ~applies
+    error = F.when(~idle, first_true(rules))
+    status = F.when(idle, "not_applicable").when(error.isNotNull(), "error").otherwise("evaluated")
+    return F.struct(status.alias("status"), F.when(status == "evaluated", detected).alias("detected"), error.alias("error"))
+
+
 def found_or_unknown(found: Column) -> Column:
     """What was not found on a page that was cut is unknown."""
     return F.when(found, F.lit(True)).when(F.coalesce("source_complete", F.lit(True)), F.lit(False))
@@ -198,8 +236,11 @@ def html_redirect(pages: DataFrame, refresh: DataFrame) -> DataFrame:
 def form_tokens(pages: DataFrame) -> DataFrame:
     """Form, control and form-end tags in page order, each with the form that encloses it."""
     found = F.regexp_extract_all("markup", F.lit(r"(?is)</form\s*>|<(?:form|input|textarea|select|button)\b" + _REST), F.lit(0))
-    t = with_attributes(prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text")))
-    t = t.withColumn("tag", F.lower(F.regexp_extract("tag_text", r"^<(/?[a-zA-Z]+)", 1)))
+    if "tag_text" in pages.columns:
+        t = _of_tags(pages, "/form", "form", "input", "textarea", "select", "button")
+    else:
+        t = with_attributes(prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "tag_text")))
+        t = t.withColumn("tag", F.lower(F.regexp_extract("tag_text", r"^<(/?[a-zA-Z]+)", 1)))
     w = Window.partitionBy("page_id").orderBy("pos")
     t = t.withColumn("form_no", F.when(F.col("tag") == "form", F.count_if(F.col("tag") == "form").over(w)))
     mark = F.when(F.col("tag").isin("form", "/form"), F.coalesce(F.col("form_no"), F.lit(0)))
@@ -292,13 +333,15 @@ def form_action_domain(forms: DataFrame, index: SuffixIndex) -> DataFrame:
     return d.select("page_id", "form_id", (F.col("dest") == F.col("own")).alias("domain_match"), F.lit(None).cast("boolean").alias("detected"))
 
 
-def external_post(forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> DataFrame:
-    """Posts to another site scope; unresolved destinations keep the page undecided."""
+def external_post(pages: DataFrame, forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> DataFrame:
+    """Posts to another site scope; unresolved destinations keep the page undecided, and to one without posts it does not apply."""
     f = forms.where("method = 'post'").select("page_id", "url", F.col("action_url").alias("dest"))
     b = buttons.where("form_id IS NOT NULL AND type IN ('submit', 'image') AND NOT disabled AND effective_method = 'post'")
     b = b.select("page_id", "url", F.col("effective_action").alias("dest"))
     r = url_relations(f.unionByName(b), rules, "url", "dest").withColumn("external", not3(F.col("same_site_scope")))
-    return r.groupBy("page_id").agg(any3(F.col("external")).alias("detected"), F.min(F.when(F.col("external"), F.col("dest"))).alias("destination"), F.count("*").alias("posts"))
+    g = r.groupBy("page_id").agg(any3(F.col("external")).alias("external"), F.min(F.when(F.col("external"), F.col("dest"))).alias("destination"), F.count("*").alias("posts"))
+    j = page_sources(pages).join(g, "page_id", "left")
+    return j.select("page_id", html_result(F.col("external"), F.col("posts").isNotNull()).alias("r"), "destination", F.coalesce("posts", F.lit(0)).alias("posts")).select("page_id", "r.*", "destination", "posts")
 
 
 # ---- resources -----------------------------------------------------------------------------
@@ -323,16 +366,20 @@ def page_open_graph(pages: DataFrame) -> DataFrame:
     return U.with_resolved(url, "_u", "effective_base", "resource_url").select("page_id", "property", "content", "resource_url")
 
 
+# An anchor with what follows up to the next start or end of one, or any other piece, so that reading stays in step.
+_ANCHOR = r"(?is)<a(?=[\s>/])" + M.REST + rf"(?:[^<]++|(?!</?a[\s>/])(?:{M.TAG}|<))*+|{M.TAG}|[^<]++|<"
+_ANCHOR_TAG = r"(?is)^(<a(?=[\s>/])" + M.REST + ")"
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """Anchors with their text, raw and resolved address."""
-    # Cut at each start and end of an anchor: one without its end tag ends where the next begins.
-    pieces = F.split("markup", r"(?i)(?=</?a[\s>])")
-    found = F.filter(pieces, lambda x: x.rlike(r"(?is)^<a\s[^>]*(?<=\s)href[\s=>]"))
-    e = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "x"))
-    e = e.withColumns({"tag_text": F.regexp_extract("x", r"(?is)^(<a\b" + _REST + ")", 1), "text": plain_text(F.col("x"))})
-    e = with_attributes(e)
-    e = e.withColumns({n: attr(F.col("attrs"), n) for n in ("href", "download", "target")}).where("href IS NOT NULL").drop("tag_text", "attrs")
-    e = U.with_resolved(e.drop("x"), "href", "effective_base", "destination")
+    """Anchors with their text, raw and resolved address; one without its end tag ends where the next begins."""
+    anchors = F.filter(F.regexp_extract_all("markup", F.lit(_ANCHOR), F.lit(0)), lambda x: x.rlike(r"(?i)^<a[\s/]"))
+    pair = F.transform(anchors, lambda x: F.struct(x.alias("x"), F.regexp_extract(x, _ANCHOR_TAG, 1).alias("tag_text")))
+    found = F.filter(pair, lambda p: has(attributes(p["tag_text"]), "href"))
+    e = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(found).alias("pos", "p")).select("page_id", "url", "effective_base", "pos", "p.*")
+    e = with_attributes(e.withColumn("text", plain_text(F.col("x"))).drop("x"))
+    e = e.withColumns({n: attr(F.col("attrs"), n) for n in ("href", "download", "target")}).drop("tag_text", "attrs")
+    e = U.with_resolved(e, "href", "effective_base", "destination")
     return e.select("page_id", "url", F.concat(F.lit("link-"), (F.col("pos") + 1).cast("string")).alias("link_id"), "pos", "text", "href", "destination", "download", "target")
 
 

@@ -178,8 +178,3 @@ def artifact_consistency(jobs: DataFrame, artifacts: DataFrame, fields: list[str
 
 def public_revision(results: DataFrame, cols: list[str]) -> DataFrame:
     return results.select("job_id", content_hash(*cols).alias("sha256"))
-
-
-def page_signal_rows(df: DataFrame, signal_id: str, key: str) -> DataFrame:
-    """A signal result as a long-table row; NULL is kept as could-not-tell."""
-    return df.select(F.col(key).alias("target_id"), F.lit(signal_id).alias("signal_id"), F.lit("evaluated").alias("status"), F.col("detected"))

@@ -30,12 +30,20 @@ CONTENT_TYPES = ("audio", "heading", "image", "paragraph", "text", "title", "vid
 
 
 def page_scripts(pages: DataFrame) -> DataFrame:
-    """Inline and external scripts in page order."""
+    """Inline and external scripts in page order, from pages or from a table of their tags."""
+    if "tag_text" in pages.columns:
+        order = Window.partitionBy("page_id").orderBy("pos")
+        s = pages.where("tag = 'script'").select("page_id", "url", "effective_base", (F.row_number().over(order) - 1).alias("pos"), "tag_text", "body")
+        return _scripts(s)
     found = F.regexp_extract_all("html", F.lit(r"(?is)<!--.*?(?:-->|\z)|<script\b" + _REST + r".*?(?:</script\s*>|\z)"), F.lit(0))
     only = F.filter(found, lambda x: F.lower(F.substring(x, 1, 7)) == "<script")
     s = prepared(pages).select("page_id", "url", "effective_base", F.posexplode(only).alias("pos", "x"))
     s = s.withColumns({"tag_text": F.regexp_extract("x", r"(?is)^(<script\b" + _REST + ")", 1), "body": F.regexp_extract("x", r"(?is)^<script\b" + _REST + r"(.*?)(?:</script\s*>)?\z", 1)}).drop("x")
-    s = with_attributes(s)
+    return _scripts(s)
+
+
+def _scripts(tags: DataFrame) -> DataFrame:
+    s = with_attributes(tags)
     t = F.col("attrs")
     s = s.withColumns({"raw_src": attr(t, "src"), "media_type": attr(t, "type"), "is_async": has(t, "async"), "is_defer": has(t, "defer")})
     s = U.with_resolved(s, "raw_src", "effective_base", "source_url")

@@ -1,17 +1,15 @@
 """Brand, policy and verdict queries, the joined signal table, and the two Python functions."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from .. import refdata as R
 from ..functions.udfs import decode_html_udf, idn_decode_udf
-from ..operators import brand as B, pages as P, records as K, scripts as S, transport as T, verdict as V
+from ..operators import brand as B, pages as P, scripts as S, signals as G, transport as T, verdict as V
 from ..session import materialise
-from .q_transport import AT, at
-from .registry import query, with_fixtures as W
-from .sqlparts import dom
+from . import q_pages as Q
+from .q_transport import SOME_SANS, at
+from .registry import ORACLES, query, with_fixtures as W
 
 BRANDS = "SELECT r_name AS requested_name, concat('Q', CAST(r_regionkey AS STRING)) AS entity_id, r_name AS label, concat(lower(r_name), ' Inc.') AS alias FROM region"
 TOKENS = f"""tk AS (SELECT DISTINCT label AS brand, token_kind, token FROM (SELECT label, 'title' AS token_kind, lower(n) AS token FROM nm UNION ALL SELECT label, 'site_name', lower(n) FROM nm UNION ALL SELECT label, 'hostname', lower(regexp_replace(n, '[^A-Za-z0-9]', '', 'g')) FROM nm))"""
@@ -148,24 +146,71 @@ def _(t):
     return V.judgment_item_link(t.sql(CITED), t.sql(ITEMS))
 
 
-@query("page_signals", W(f"""
-SELECT page_id AS target_id, 'L3-H-01' AS signal_id, 'evaluated' AS status, CASE WHEN page_id % 8 = 0 THEN true WHEN page_id % 10 <> 3 THEN false END AS detected FROM pages UNION ALL SELECT page_id, 'L3-H-07', 'evaluated', CASE WHEN page_id % 9 = 1 THEN true WHEN page_id % 10 <> 3 THEN false END FROM pages
-UNION ALL SELECT page_id, 'L3-H-08', 'evaluated', CASE page_id % 9 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END FROM pages
-UNION ALL SELECT page_id, 'L2-H-07', 'evaluated', CASE WHEN disposition IS NOT NULL THEN lower(disposition) LIKE 'attachment%' WHEN final_url IS NOT NULL THEN false END FROM responses
-UNION ALL SELECT page_id, 'L2-H-08', 'evaluated', CASE WHEN refresh IS NOT NULL THEN true WHEN final_url IS NOT NULL THEN false END FROM responses
-UNION ALL SELECT cert_id, 'L2-C-02', 'evaluated', CASE WHEN has_leaf THEN NOT (not_before <= TIMESTAMP '{AT}' AND not_after >= TIMESTAMP '{AT}') END FROM certs
-UNION ALL SELECT cert_id, 'L2-C-04', 'evaluated', CASE WHEN has_leaf THEN self_signed END FROM certs UNION ALL SELECT cert_id, 'L2-C-05', 'evaluated', NOT chain_valid FROM certs UNION ALL SELECT cert_id, 'L2-C-07', 'evaluated', tls_version = 'TLSv1.1' FROM certs""", "responses certs"))
+# What each signal is compared with: the SQL of its own query, and its key there.
+HEADER_SQL = ("redirect_chain", "redirect_domain_change", "redirect_to_ip", "shortener_journey", "content_type_mismatch", "dangerous_download", "forced_download", "http_refresh", "protocol_downgrade")
+CERT_SQL = ("cert_age_days", "cert_validity", "cert_hostname_match", "self_signed", "cert_chain", "ct_first_seen", "tls_legacy", "wildcard_cert")
+JOURNEY = ("redirect_chain", "redirect_domain_change", "redirect_to_ip", "shortener_journey", "protocol_downgrade")
+
+
+def _collected_sql(position: int, signal: str, name: str) -> str:
+    key = "journey_id" if name in JOURNEY else "cert_id" if name in CERT_SQL else "page_id"
+    lack = f"CASE WHEN x.{key} IS NULL THEN 'not_collected'{' WHEN x.age_days IS NULL THEN ' + repr('measurement_unavailable') if signal in G.MEASURED else ''} END"
+    detected = "NULL::BOOLEAN" if signal in G.MEASURED else "x.detected"
+    return f"SELECT p.page_id AS target_id, {position} AS position, '{signal}' AS signal_id, CASE WHEN {lack} IS NULL THEN 'evaluated' ELSE 'error' END AS status, {detected} AS detected, {lack} AS error FROM pages p LEFT JOIN ({ORACLES[name]}) x ON x.{key} = p.page_id"
+
+
+def _html_sql() -> str:
+    raw = {1: "k = 0", 2: "k = 0", 3: "NULL::BOOLEAN", 4: "CASE WHEN k < 3 THEN k < 2 END", 5: "h5.detected", 6: "h6.detected", 7: "b.page_id % 9 = 1", 8: "CASE b.page_id % 9 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END"}
+    idle = {3: "k > 2", 4: "k > 2"}
+    parts = []
+    for n, value in raw.items():
+        cut, none = f"(NOT source_complete AND ({value}) IS NOT DISTINCT FROM false)", idle.get(n, "false")
+        parts.append(f"SELECT b.page_id, {len(G.HEADER + G.CERTIFICATE) + n}, 'L3-H-0{n}', CASE WHEN {none} THEN 'not_applicable' WHEN {cut} THEN 'error' ELSE 'evaluated' END, CASE WHEN NOT ({none}) AND NOT {cut} THEN {value} END, CASE WHEN NOT ({none}) AND {cut} THEN 'html_analysis_incomplete' END "
+                     f"FROM b LEFT JOIN h5 USING (page_id) LEFT JOIN h6 USING (page_id)")
+    return " UNION ALL ".join(parts)
+
+
+def _script_sql() -> str:
+    first = len(G.HEADER + G.CERTIFICATE + G.HTML)
+    names = {"L3-J-02": "decode_exec_chain", "L3-J-09": "env_branching"}
+    rows = [f"SELECT page_id, signal_id, detected FROM ({ORACLES[n]})" for n in ("script_signal_counts", "credential_access_exfil")] + [f"SELECT page_id, '{s}', detected FROM ({ORACLES[n]})" for s, n in names.items()]
+    return f"""SELECT target_id, position, signal_id, CASE WHEN script_count = 0 THEN 'not_applicable' WHEN e IS NULL THEN 'evaluated' ELSE 'error' END, CASE WHEN e IS NULL AND script_count > 0 THEN detected END, e
+FROM (SELECT *, CASE WHEN script_count = 0 OR detected THEN NULL WHEN parsed_count = 0 THEN 'javascript_analysis_unavailable' WHEN NOT complete THEN 'javascript_analysis_incomplete' END AS e
+  FROM (SELECT b.page_id AS target_id, {first} + v.n AS position, 'L3-J-0' || v.n AS signal_id, CASE WHEN j.page_id IS NULL THEN false ELSE j.detected END AS detected, coalesce(c.n, 0) AS script_count, coalesce(c.m, 0) AS parsed_count, source_complete AND coalesce(c.n = c.m, true) AS complete
+    FROM b CROSS JOIN (SELECT unnest(range(1, 10)) AS n) v LEFT JOIN ({" UNION ALL ".join(rows)}) j ON j.page_id = b.page_id AND j.signal_id = 'L3-J-0' || v.n
+    LEFT JOIN (SELECT page_id, count(*) FILTER (x NOT LIKE '%application/json%') AS n, count(*) FILTER (x NOT LIKE '%application/json%' AND source IS NOT NULL) AS m FROM sc GROUP BY 1) c ON c.page_id = b.page_id))"""
+
+
+SIGNALS_SQL = " UNION ALL ".join(
+    [_collected_sql(k + 1, s, n) for k, (s, n) in enumerate(zip(G.HEADER + G.CERTIFICATE, HEADER_SQL + CERT_SQL))] + [f"SELECT * FROM ({_html_sql()})", f"SELECT * FROM ({_script_sql()})"])
+
+
+@query("page_signals", W(SIGNALS_SQL, Q.PP, Q.B, Q.SCRIPTS, f"h5 AS ({ORACLES['brand_domain_mismatch']})", f"h6 AS ({ORACLES['brand_resource_mismatch']})"))
 def _(t):
-    pp = t.pages_plus
-    tokens = materialise(P.form_tokens(pp), "form-tokens")
-    fields = P.credential_classify(P.page_inputs(P.form_controls(tokens, P.page_forms(tokens))))
-    parts = [
-        ("L3-H-01", "page_id", P.credential_form(pp, fields)), ("L3-H-07", "page_id", P.html_redirect(pp, P.meta_refresh(pp))),
-        ("L3-H-08", "page_id", P.base_url_change(P.page_base(pp), R.suffix_index(t.suffix_rules))),
-        ("L2-H-07", "page_id", T.forced_download(t.responses)), ("L2-H-08", "page_id", T.http_refresh(t.responses)),
-        ("L2-C-02", "cert_id", T.cert_validity(t.certs, at())), ("L2-C-04", "cert_id", T.self_signed(t.certs)),
-        ("L2-C-05", "cert_id", T.cert_chain(t.certs)), ("L2-C-07", "cert_id", T.tls_legacy(t.certs))]
-    return reduce(lambda a, b: a.unionByName(b), [K.page_signal_rows(d, s, k) for s, k, d in parts])
+    pp, index = t.pages_plus, R.suffix_index(t.suffix_rules)
+    tags = materialise(P.page_tags(pp), "tags")  # the one reading of page text
+    forms = P.page_forms(P.form_tokens(tags))
+    controls = P.form_controls(P.form_tokens(tags), forms)
+    fields = materialise(P.credential_classify(P.page_inputs(controls)), "fields")
+    bases = P.page_base(pp)
+    known = lambda df: df.withColumn("detected", F.coalesce("detected", F.lit(False)))  # noqa: E731  only a cut page leaves these unknown
+    posts = P.external_post(pp.withColumn("source_complete", F.lit(True)), forms, P.page_buttons(controls, forms), t.suffix_rules).where("posts > 0")
+    at_ = at()
+    journeys, hops, responses, certs, sans = t.journeys, materialise(t.hops, "hops"), t.responses, t.certs, t.cert_san
+    some = t.sql(SOME_SANS, "certs cert_san")
+    header = [T.redirect_chain(journeys, hops), T.redirect_domain_change(journeys, hops, index), T.redirect_to_ip(journeys, hops), T.shortener_journey(journeys, hops, index, R.shorteners(t.spark)),
+              T.content_type_mismatch(responses), T.dangerous_download(responses), T.forced_download(responses), T.http_refresh(responses), T.protocol_downgrade(journeys, hops)]
+    cert = [T.cert_age_days(certs, at_), T.cert_validity(certs, at_), T.cert_hostname_match(certs, some), T.self_signed(certs), T.cert_chain(certs), T.ct_first_seen(certs, t.scts, t.ct_logs, at_), T.tls_legacy(certs), T.wildcard_cert(certs, sans)]
+    brand, current = materialise(identified(t), "brands"), t.sql(CURRENT)
+    html = [known(P.credential_form(pp, fields)), known(P.credential_field(pp, fields)), forms.select("page_id").distinct().withColumn("detected", F.lit(None)), posts,
+            B.brand_domain_mismatch(brand, current, t.sql(OWN)), B.brand_resource_mismatch(t.sql(RES), brand, current, t.sql(OWN), t.spark.sql("SELECT 'shared.net' AS domain"), t.sql(POL)),
+            known(P.html_redirect(pp, P.meta_refresh(tags))), P.base_url_change(pp.withColumn("source_complete", F.lit(True)), bases, index)]
+    events, owners = t.js_events, pp.select("page_id")
+    script = [(None, S.script_signal_counts(owners, events)), (None, S.credential_access_exfil(owners, events)), ("L3-J-02", S.decode_exec_chain(owners, events)), ("L3-J-09", S.env_branching(owners, t.sql(Q.ARMS)))]
+    findings = [G.finding(df, s, "journey_id" if "journey_id" in df.columns else "page_id") for s, df in zip(G.HEADER, header)]
+    findings += [G.finding(df, s, "cert_id", "NULL" if s in G.MEASURED else "detected", "age_days" if s in G.MEASURED else None) for s, df in zip(G.CERTIFICATE, cert)]
+    findings += [G.finding(df, s) for s, df in zip(G.HTML, html)] + [G.finding(df, s) for s, df in script]
+    return G.page_signals(pp, findings, S.script_status(S.page_scripts(tags)))
 
 
 @query("decode_html_udf", "SELECT page_id, html AS text FROM pages")

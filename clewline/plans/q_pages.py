@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from .. import refdata as R
 from ..operators import pages as P, scripts as S
 from ..session import materialise
+from ..fixtures import NESTED
 from .registry import query, with_fixtures as W
-from .sqlparts import dom
 
 PP = "pages_plus"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)"
@@ -42,7 +42,7 @@ def _(t):
 
 
 @query("page_visible_text", W(f"""
-SELECT page_id, {CLEAN("regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>|<script.*?</script>|<!--.*?-->', ' ', 'g'), '(?is)<div style[^>]*>.*?</div>|<p hidden>.*?</p>', ' ', 'g'), '(?is)<!doctype[^>]*>', ' ', 'g')")} AS text FROM b""", PP, B))
+SELECT page_id, {CLEAN("regexp_replace(regexp_replace(regexp_replace(replace(replace(html, 'title=\"a>b\" ', ''), '" + NESTED + "', '<p>plain</p>'), '(?is)<head>.*?</head>|<script.*?</script>|<!--.*?-->', ' ', 'g'), '(?is)<div style[^>]*>.*?</div>|<p hidden>.*?</p>', ' ', 'g'), '(?is)<!doctype[^>]*>', ' ', 'g')")} AS text FROM b""", PP, B))
 def _(t):
     return P.page_visible_text(t.pages_plus)
 
@@ -64,9 +64,10 @@ def _(t):
     return P.page_base(t.pages_plus)
 
 
-@query("base_url_change", W("SELECT page_id, CASE page_id % 9 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END AS detected, CASE page_id % 9 WHEN 0 THEN 'https://base.example.edu/' END AS base_url FROM b", PP, B))
+@query("base_url_change", W("""SELECT page_id, CASE WHEN cut THEN 'error' ELSE 'evaluated' END AS status, CASE page_id % 9 WHEN 0 THEN true WHEN 3 THEN NULL ELSE CASE WHEN NOT cut THEN false END END AS detected, CASE WHEN cut THEN 'html_analysis_incomplete' END AS error,
+  CASE page_id % 9 WHEN 0 THEN 'https://base.example.edu/' END AS base_url FROM (SELECT *, NOT source_complete AND page_id % 9 NOT IN (0, 3) AS cut FROM b)""", PP, B))
 def _(t):
-    return P.base_url_change(P.page_base(t.pages_plus), index(t))
+    return P.base_url_change(t.pages_plus, P.page_base(t.pages_plus), index(t))
 
 
 @query("meta_refresh", W("SELECT page_id, CASE page_id % 9 WHEN 1 THEN '5; url=/moved' ELSE 'soon' END AS raw_content, page_id % 9 = 1 AS valid, CASE page_id % 9 WHEN 1 THEN 5.0 END AS delay_seconds, CASE page_id % 9 WHEN 1 THEN org || '/moved' END AS target_url FROM b WHERE page_id % 9 IN (1, 2)", PP, B))
@@ -157,10 +158,11 @@ def _(t):
     return P.form_action_domain(P.page_forms(P.form_tokens(t.pages_plus)), index(t))
 
 
-@query("external_post", W("SELECT page_id, k < 2 AS detected, CASE k WHEN 0 THEN 'https://collect.example.edu/in' WHEN 1 THEN 'https://other.example.edu/s' END AS destination, CASE k WHEN 1 THEN 1 ELSE 2 END AS posts FROM b WHERE k < 3", PP, B))
+@query("external_post", W("""SELECT page_id, CASE WHEN k > 2 THEN 'not_applicable' WHEN cut THEN 'error' ELSE 'evaluated' END AS status, CASE WHEN k < 2 THEN true WHEN k = 2 AND NOT cut THEN false END AS detected, CASE WHEN cut THEN 'html_analysis_incomplete' END AS error,
+  CASE k WHEN 0 THEN 'https://collect.example.edu/in' WHEN 1 THEN 'https://other.example.edu/s' END AS destination, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS posts FROM (SELECT *, k = 2 AND NOT source_complete AS cut FROM b)""", PP, B))
 def _(t):
     forms, controls = form_parts(t)
-    return P.external_post(forms, P.page_buttons(controls, forms), t.suffix_rules)
+    return P.external_post(t.pages_plus, forms, P.page_buttons(controls, forms), t.suffix_rules)
 
 
 IDS = "SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS pos, CASE l_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN concat('item-', CAST(l_linenumber AS STRING)) WHEN 2 THEN '' ELSE concat('u', CAST(l_partkey AS STRING)) END AS html_id FROM lineitem"
@@ -188,7 +190,9 @@ def _(t):
     return P.page_open_graph(t.pages_plus)
 
 
-LINKS = f"""lk AS (SELECT page_id, url, org, i, x, regexp_extract(x, 'href="([^"]*)"', 1) AS href FROM (SELECT *, unnest(regexp_extract_all(html, '(?is)<a [^>]*href[^>]*>.*?</a>')) AS x, unnest(range(1, len(regexp_extract_all(html, '(?is)<a [^>]*href[^>]*>.*?</a>')) + 1)) AS i FROM b))"""
+# The odd spellings of the fixture written plainly, so that a simple pattern finds all anchors.
+LINKS = f"""lk AS (SELECT page_id, url, org, i, x, regexp_extract(x, 'href="([^"]*)"', 1) AS href FROM (SELECT *, unnest(regexp_extract_all(html, '(?is)<a [^>]*href[^>]*>.*?</a>')) AS x, unnest(range(1, len(regexp_extract_all(html, '(?is)<a [^>]*href[^>]*>.*?</a>')) + 1)) AS i
+  FROM (SELECT * REPLACE (replace(replace(html, 'title="a>b" ', ''), 'class="k"href', 'href') AS html) FROM b)))"""
 
 
 @query("page_links", W(f"""SELECT page_id, 'link-' || i AS link_id, i - 1 AS pos, {CLEAN('x')} AS text, href, CASE WHEN href LIKE 'http%' THEN href ELSE org || href END AS destination, CASE WHEN href LIKE '%out.example%' THEN '' END AS download, CASE WHEN href LIKE '%out.example%' THEN '_blank' END AS target FROM lk""", PP, B, LINKS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clewline import refdata as R
 from clewline.functions import url as U
 from clewline.functions.logic import any3
-from clewline.operators import domains as D, infra as I, netlog as N, pages as P, records as K, scripts as S, transport as T, url_checks as C, verdict as V, view as W
+from clewline.operators import domains as D, infra as I, netlog as N, pages as P, records as K, scripts as S, signals as G, transport as T, url_checks as C, verdict as V, view as W
 from clewline.sources import feeds
 from clewline.session import scratch_path
 
@@ -93,6 +93,57 @@ def test_handlers_keep_their_values(spark):
     assert rows(got, "tag", "event", "source") == [("b", "onclick", "alert('x')"), ("b", "onload", "y()"), ("i", "onblur", "z()")]
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<div hidden>x<div>y</div>secret</div>z", "z"), ('<p title="a > b">hello', "hello"), ("<template>a<template>b</template>c</template>d", "d"),
+    ("<ul hidden><li>a<li>b</ul>c", "c"), ("<div><span hidden>a</div>b", "b"), ("<p hidden>a<p>b", ""), ("a</div>b<br hidden>c<img style='display:none'>d", "a b c d"),
+    ('<b style="color:red;DISPLAY : none !important">x</b>y<i style="display:nonexistent">z</i>', "y z"), ("1 < 2 <!-- <p hidden> -->3<!doctype x>", "1 < 2 3"),
+    ('<div hidden><a title="</div>">x</a></div>y', "y"), ("<head><title>t</title></head><noscript>n</noscript>b&amp;c", "b&c"), ("<div hidden/>a", "a"), ("", "")])
+def test_visible_text(spark, html, text):
+    assert P.page_visible_text(page(spark, html)).first()["text"] == text
+
+
+def test_deep_nesting_is_linear(spark):
+    deep = "<div>" * 200_000 + "<b hidden>x" + "</div>" * 200_000 + "seen"
+    assert P.page_visible_text(page(spark, deep)).first()["text"] == "seen"
+
+
+def test_links_with_quoted_signs(spark):
+    got = P.page_links(page(spark, '<a title="a>b" href="/1">x</a><a class="k"href="/2">y <b title="</a>">z</b></a><img alt="<a href=/no>"><a name=q>n</a><A\nHREF=/3>w<address>v</address>'))
+    assert rows(got, "pos", "href", "text") == [(0, "/1", "x"), (1, "/2", "y z"), (2, "/3", "w v")]
+
+
+def test_tags_of_a_page_serve_every_reader(spark):
+    p = page(spark, '<base href="/b/"><form id=f method=post action=x><input type=password></form><script src="s.js"></script><script>a<b</script><img src=i.png><meta http-equiv=refresh content="1;url=z">')
+    tags = P.page_tags(p)
+    assert [r[0] for r in tags.orderBy("pos").select("tag").collect()] == ["base", "form", "input", "/form", "script", "script", "img", "meta"]
+    for read in (lambda x: P.page_forms(P.form_tokens(x)).drop("form_no"), S.page_scripts, P.meta_refresh, lambda x: P.elements(x, "img").select("tag_text")):
+        a, b = read(p), read(tags)
+        assert rows(a, *a.columns) == rows(b, *a.columns)
+
+
+def test_page_result_states(spark):
+    p = R.table(spark, [(1, "https://a.com/", "<p>", True), (2, "https://a.com/", "<p>", False), (3, "https://a.com/", None, True)], "page_id url html source_complete")
+    read = lambda value, applies=None: rows(P.page_sources(p).select("page_id", P.html_result(value, applies).alias("r")).select("page_id", "r.*"), "page_id", "status", "detected", "error")
+    no, lost, cut = F.lit(False), "html_not_parsed", "html_analysis_incomplete"
+    assert read(no) == [(1, "evaluated", False, None), (2, "error", None, cut), (3, "error", None, lost)]
+    assert read(F.lit(True)) == [(1, "evaluated", True, None), (2, "evaluated", True, None), (3, "error", None, lost)]
+    assert read(F.lit(None).cast("boolean")) == [(1, "evaluated", None, None), (2, "evaluated", None, None), (3, "error", None, lost)]
+    assert read(no, F.lit(False)) == [(1, "not_applicable", None, None), (2, "not_applicable", None, None), (3, "error", None, lost)]
+
+
+def test_signal_table_keeps_the_contract(spark):
+    p = R.table(spark, [(1, "https://a.com/", "<p>", True), (2, "https://a.com/", "<p>", False)], "page_id url html source_complete")
+    one = lambda s, rows_: G.finding(spark.createDataFrame(rows_, "page_id bigint, detected boolean"), s)
+    statuses = spark.createDataFrame([(1, "s1", "parsed"), (1, "s2", "missing_source"), (2, "s1", "data_block")], "page_id bigint, script_id string, status string")
+    got = G.page_signals(p, [one("L3-H-01", [(1, False), (2, False)]), one("L3-J-01", [(1, True)]), one("L2-H-01", [(1, False)])], statuses)
+    assert got.count() == 2 * len(G.SIGNALS) == 68 and [r[0] for r in got.where("target_id = 1").orderBy("position").select("signal_id").collect()] == list(G.SIGNALS)
+    assert K.signal_contract(got).isEmpty()
+    state = {(r.target_id, r.signal_id): (r.status, r.detected) for r in got.collect()}
+    assert state[1, "L3-H-01"] == ("evaluated", False) and state[2, "L3-H-01"] == ("error", None)
+    assert state[1, "L3-J-01"] == ("evaluated", True) and state[1, "L3-J-02"] == ("error", None) and state[2, "L3-J-01"] == ("not_applicable", None)
+    assert state[1, "L2-H-01"] == ("evaluated", False) and state[2, "L2-H-01"] == ("error", None) and state[1, "L3-H-04"] == ("not_applicable", None)
+
+
 def test_unclosed_script_is_not_text(spark):
     p = page(spark, '<p>a</p><script>var b="<form>"')
     assert P.page_visible_text(p).first()["text"] == "a" and P.form_tokens(p).count() == 0
