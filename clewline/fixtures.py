@@ -75,7 +75,7 @@ SELECT o.o_orderkey AS journey_id, p.url AS original_url,
   CASE o.o_orderstatus WHEN 'F' THEN NULL ELSE concat('https://final', CAST(o.o_custkey % 9 AS STRING), '.example.net/') END AS final_url
 FROM orders o JOIN pages p ON p.page_id = o.o_orderkey % 50"""),
     "certs": ("", """
-SELECT p.page_id AS cert_id, regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1) AS hostname,
+SELECT p.page_id AS cert_id, CASE WHEN p.page_id % 14 = 0 THEN '[2001:db8::1]' ELSE regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1) END AS hostname,
   a.ts AS not_before, b.ts AS not_after,
   CASE p.page_id % 5 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END AS chain_valid,
   CASE p.page_id % 7 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS self_signed,
@@ -85,21 +85,25 @@ SELECT p.page_id AS cert_id, regexp_extract(p.url, '^[a-z]+://([^/?#:]+)', 1) AS
   a.event_type <> 'error' AS has_leaf
 FROM pages p JOIN events a ON a.event_id = p.page_id JOIN events b ON b.event_id = p.page_id + 300"""),
     "cert_san": ("", """
-SELECT page_id AS cert_id, pos, name FROM (
+SELECT page_id AS cert_id, pos, name, CASE WHEN page_id % 5 = 0 THEN NULL WHEN name LIKE '%:%' THEN 'ip' ELSE 'dns' END AS kind FROM (
   SELECT page_id, 1 AS pos, CASE page_id % 3
     WHEN 0 THEN regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)
     WHEN 1 THEN concat('*.', regexp_extract(url, '^[a-z]+://[^.]+[.]([^/?#:]+)', 1))
     ELSE 'other.example.edu' END AS name FROM pages
-  UNION ALL SELECT page_id, 2 AS pos, CASE page_id % 2 WHEN 0 THEN 'example.edu' ELSE '*.example.edu' END AS name FROM pages) s"""),
+  UNION ALL SELECT page_id, 2 AS pos, CASE page_id % 2 WHEN 0 THEN 'example.edu' ELSE '*.example.edu' END AS name FROM pages
+  UNION ALL SELECT page_id, 3 AS pos, '2001:0DB8:0:0:0:0:0:1' AS name FROM pages WHERE page_id % 28 = 0) s"""),
     "scts": ("", "SELECT l_orderkey % 400 AS cert_id, l_shipdate AS ts FROM lineitem"),
     "ct_logs": ("", "SELECT o_orderkey % 500 AS cert_id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END AS entry_timestamp FROM orders"),
     "dns_answers": ("", """
 SELECT p.page_id AS host_id, e.event_id AS pos,
-  concat(CASE WHEN e.event_type = 'signup' THEN '8.' ELSE '10.' END, CAST(p.page_id % 25 AS STRING), '.', CAST(CAST(floor(e.value) AS BIGINT) % 4 AS STRING), '.9') AS ip
+  CASE WHEN e.event_type = 'click' THEN concat('2001:db8:', CAST(p.page_id % 30 AS STRING), '::', CAST(CAST(floor(e.value) AS BIGINT) % 3 AS STRING))
+  ELSE concat(CASE WHEN e.event_type = 'signup' THEN '8.' ELSE '10.' END, CAST(p.page_id % 25 AS STRING), '.', CAST(CAST(floor(e.value) AS BIGINT) % 4 AS STRING), '.9') END AS ip
 FROM events e JOIN pages p ON p.page_id = e.user_id"""),
     "prefixes": ("", """
 SELECT concat('10.', CAST(n_nationkey AS STRING), '.0.0') AS network, 16 AS prefix_len, 64500 + n_nationkey AS asn, n_name AS org FROM nation
 UNION ALL SELECT '10.0.0.0', 8, 64499, 'BACKBONE' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT '2001:db8::', 32, 64498, 'BACKBONE6' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT concat('2001:0DB8:', CAST(n_nationkey AS STRING), ':0:0:0:0:0'), 48, 64700 + n_nationkey, n_name FROM nation
 UNION ALL SELECT concat('10.', CAST(n_nationkey AS STRING), '.2.0'), 24, 64600 + n_nationkey, CAST(NULL AS STRING) FROM nation WHERE n_regionkey < 2"""),
     "pages_plus": ("", f"""
 SELECT page_id, url, concat(replace(replace(html, '</article>', concat(CASE page_id % 8
@@ -107,7 +111,7 @@ SELECT page_id, url, concat(replace(replace(html, '</article>', concat(CASE page
   WHEN 1 THEN '<form action="/search"><input type="search" name="q"><button formmethod="post" formaction="https://other.example.edu/s">S</button></form>'
   WHEN 2 THEN '<form id="d"><input name="a"></form><form id="d" method="post"><input name="b"><input type="submit" value="ok"></form><input form="d" name="c">'
   WHEN 3 THEN '<img src="/logo.png" alt="x"><img src="https://cdn.example.edu/i.png"><iframe src="https://w.example.edu/f"></iframe><meta property="og:image" content="https://cdn.example.org/o.png">{NESTED}'
-  WHEN 4 THEN '<script>fetch("https://collect.example.edu/x");eval(atob("eA=="));location.replace("/next")</script><textarea name="msg"></textarea>'
+  WHEN 4 THEN concat('<script>fetch("https://collect.example.edu/x");eval(atob("eA=="));location.replace("/next");var r=/["`]/;/*fetch("https://no.example.edu/")*/x=`t $', '{{unescape("%41")}} u`;navigator.sendBeacon(`https://beacon.example.edu/b`)</script><textarea name="msg"></textarea>')
   WHEN 5 THEN '<script src="https://cdn.example.edu/a.js#v1" async></script><script src="https://cdn.example.edu/a.js#v2"></script><script src="//cdn.example.net/b.js" defer></script>{QUOTED_LINKS}'
   WHEN 6 THEN '<script type="application/json">{{"items":[{{"type":"button","text":"Pay","url":"https://pay.example.edu/"}},{{"name":"Home","href":"/"}}],"logo":{{"src":"/l.png","alt":"Logo"}},"nav_menu":[{{"title":"Home","url":"/"}}]}}</script>'
   ELSE '<a href="https://out.example.edu/p" onclick="go()" download target="_blank">out <b>there</b></a><div style="color:red; display:none">secret</div><p hidden>gone</p>' END, '</article>')),

@@ -1,4 +1,4 @@
-"""The only two Python column functions: charset decoding and punycode + NFKD folding."""
+"""Arrow column functions around Unicode tables: charset decoding, punycode, and the two compatibility foldings."""
 from __future__ import annotations
 
 import codecs
@@ -38,6 +38,12 @@ def idn_decode_udf(label: pd.Series) -> pd.Series:
     return label.map(_spelled)
 
 
+@F.pandas_udf(StringType())
+def fold_udf(text: pd.Series) -> pd.Series:
+    """NFKC form, case folded."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
 @F.pandas_udf(StringType())
 def strip_marks_udf(text: pd.Series) -> pd.Series:
     """NFKD form without combining marks."""

@@ -2,9 +2,9 @@
 
 Generic syntax is split with one regular expression, then host rules are applied:
 lower-casing, percent-decoding, IPv4 spellings (decimal, hexadecimal, octal, one to four
-parts), bracketed IPv6, port range. A host whose last label is numeric must be a valid
-IPv4 or the URL does not parse. Limits, stated once: no IDNA table validation, and an
-IPv6 host keeps its spelling.
+parts), IPv6 in its shortest spelling, letters beyond ASCII as ``xn--`` labels, port range. A
+host whose last label is numeric must be a valid IPv4 or the URL does not parse. Limit, stated
+once: of the tables for international names only case, wide forms and full stops are mapped.
 """
 from __future__ import annotations
 
@@ -21,6 +21,17 @@ _IPV6 = r"^\[[0-9a-fA-F:.]*:[0-9a-fA-F:.]*\]$"
 _BAD_HOST = r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]"
 
 
+def standard_form(url: Column) -> Column:
+    """A URL as the parser of the standard reads it: without outer control signs and blanks, and tabs and line breaks
+    anywhere; for schemes with an authority, backslashes before the query are slashes and any number of them opens it."""
+    t = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    special = r"(?i)^(?:https?|wss?|ftp):"
+    head = F.regexp_extract(t, r"^[^?#]*", 0)
+    opened = F.regexp_replace(F.translate(head, "\\", "/"), r"(?i)^((?:https?|wss?|ftp):)/*", "$1//")
+    odd = t.rlike(special) & (t.contains("\\") | ~t.rlike(special + r"//(?:[^/]|$)"))
+    return F.when(odd, F.concat(opened, F.substr(t, F.length(head) + 1))).otherwise(t)
+
+
 def _part(url: Column, n: int) -> Column:
     return F.regexp_extract(url, _PARTS, n)
 
@@ -71,7 +82,7 @@ def _ipv4_part(p: Column) -> Column:
     return (
         F.when(p.rlike(r"^0[xX][0-9a-fA-F]*$"), _hex_part(F.regexp_replace(p, "^0[xX]0*", "")))
         .when(p.rlike(r"^0[0-7]+$"), F.conv(p, 8, 10).cast("bigint"))
-        .when(p.rlike(r"^[0-9]{1,12}$"), p.cast("bigint"))
+        .when(p.rlike(r"^(?:0|[1-9][0-9]{0,11})$"), p.cast("bigint"))
     )
 
 
@@ -131,12 +142,102 @@ def ipv6_hex(text: Column) -> Column:
     return let(plain, lambda t: let(as_groups(t), lambda w: let(sides(w), digits)))
 
 
+def address_hex(text: Column) -> Column:
+    """An address of either family as hex digits: 8 for IPv4, 32 for IPv6 in any spelling; NULL if it is neither."""
+    return F.when(text.contains(":"), ipv6_hex(text)).otherwise(F.lpad(F.lower(F.hex(ipv4_number(text))), 8, "0"))
+
+
+def hex_prefix(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of hex digits, as hex digits whose last one is masked."""
+    whole, part = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4)).cast("int")
+    last = F.conv(F.substring(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    masked = F.lower(F.hex(last - F.pmod(last, F.pow(F.lit(2), 4 - part).cast("int"))))
+    return F.concat(F.substring(digits, F.lit(1), whole), F.when(part > 0, masked).otherwise(""))
+
+
 def ip_kind(host: Column) -> Column:
     """IPV4 / IPV6 for a canonical literal, NULL for a name."""
     dotted = host.rlike(r"^[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}$") & ipv4_number(host).isNotNull()
     return F.when(is_ipv6(host), "IPV6").when(dotted, "IPV4")
 
 
+def ipv6_text(digits: Column) -> Column:
+    """32 hex digits as the shortest spelling in brackets: no leading zeros, the first longest run of zero groups left out."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+    whole = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    # Of runs of the same length the first is taken; a run of one group stays.
+    cut = F.coalesce(*[F.when(whole.contains(":" + "0:" * n), F.regexp_replace(whole, r"^((?:(?!:" + "0:" * n + r").)*):" + "(?:0:){" + str(n) + "}", "$1::")) for n in range(8, 1, -1)], whole)
+    plain = F.regexp_replace(F.regexp_replace(cut, "^:(?!:)", ""), "(?<!:):$", "")
+    return F.concat(F.lit("["), plain, F.lit("]"))
+
+
+# Fixed values of the bootstring encoding of host labels.
+_BASE, _TMIN, _TMAX, _SKEW, _DAMP, _BIAS, _FIRST = 36, 1, 26, 38, 700, 72, 128
+_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+# Wide forms of ASCII signs, and the full stops of other scripts.
+_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)) + "\u3002\uff61"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + ".."
+
+
+def _variable_length(delta: Column, bias: Column) -> Column:
+    """Digits of a number in the variable-length form of the encoding."""
+    def step(s, k):
+        t = F.least(F.greatest(k * _BASE - bias, F.lit(_TMIN)), F.lit(_TMAX)).cast("bigint")
+        last = s["q"] < t
+        digit = F.when(last, s["q"]).otherwise(t + F.pmod(s["q"] - t, _BASE - t))
+        sign = F.substring(F.lit(_DIGITS), digit.cast("int") + 1, F.lit(1))
+        return F.when(s["done"], s).otherwise(F.struct(
+            F.when(last, s["q"]).otherwise(F.floor((s["q"] - t) / (_BASE - t))).cast("bigint").alias("q"), F.concat(s["out"], sign).alias("out"), last.alias("done")))
+
+    start = F.struct(delta.cast("bigint").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda s: s["out"])
+
+
+def _adapted(delta: Column, points: Column, first: Column) -> Column:
+    half = F.floor(delta / F.when(first, _DAMP).otherwise(2))
+    d = half + F.floor(half / points)
+
+    def step(s, _):
+        return F.when(s["d"] > (_BASE - _TMIN) * _TMAX // 2, F.struct(F.floor(s["d"] / (_BASE - _TMIN)).cast("bigint").alias("d"), (s["k"] + _BASE).alias("k"))).otherwise(s)
+
+    start = F.struct(d.cast("bigint").alias("d"), F.lit(0).alias("k"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda s: s["k"] + F.floor((_BASE - _TMIN + 1) * s["d"] / (s["d"] + _SKEW)).cast("int"))
+
+
+def _label_to_ascii(label: Column) -> Column:
+    """``xn--`` and the bootstring encoding of a label; a label of ASCII letters as it is."""
+    signs = F.filter(F.split(label, ""), lambda c: c != "")
+    point = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")
+
+    def encode(points):
+        basic = F.filter(points, lambda p: p < _FIRST)
+        later = F.array_sort(F.array_distinct(F.filter(points, lambda p: p >= _FIRST)))
+        # Every code point is met once for each distinct one beyond ASCII, in ascending order of these.
+        visits = F.flatten(F.transform(later, lambda m: F.concat(F.array(F.struct(m.alias("m"), F.lit(-1).cast("bigint").alias("c"))), F.transform(points, lambda c: F.struct(m.alias("m"), c.alias("c"))))))
+        start = F.struct(F.lit(_FIRST).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("delta"), F.lit(_BIAS).alias("bias"), F.size(basic).alias("h"), F.lit("").alias("out"))
+
+        def step(s, v):
+            opens = F.struct(v["m"].alias("n"), (s["delta"] + (v["m"] - s["n"]) * (s["h"] + 1)).alias("delta"), s["bias"].alias("bias"), s["h"].alias("h"), s["out"].alias("out"))
+            less = F.struct(s["n"].alias("n"), (s["delta"] + 1).alias("delta"), s["bias"].alias("bias"), s["h"].alias("h"), s["out"].alias("out"))
+            here = F.struct(s["n"].alias("n"), F.lit(0).cast("bigint").alias("delta"), _adapted(s["delta"], s["h"] + 1, s["h"] == F.size(basic)).alias("bias"),
+                            (s["h"] + 1).alias("h"), F.concat(s["out"], _variable_length(s["delta"], s["bias"])).alias("out"))
+            # A new round starts one beyond the code point of the last.
+            first = F.when(s["n"] == _FIRST, opens).otherwise(F.struct(v["m"].alias("n"), (s["delta"] + 1 + (v["m"] - s["n"] - 1) * (s["h"] + 1)).alias("delta"), s["bias"].alias("bias"), s["h"].alias("h"), s["out"].alias("out")))
+            return F.when(v["c"] == -1, F.when(s["h"] == F.size(basic), opens).otherwise(first)).when(v["c"] < v["m"], less).when(v["c"] == v["m"], here).otherwise(s)
+
+        tail = F.aggregate(visits, start, step, lambda s: s["out"])
+        head = F.array_join(F.transform(basic, lambda p: F.chr(p)), "")
+        return F.concat(F.lit("xn--"), head, F.when(F.size(basic) > 0, "-").otherwise(""), tail)
+
+    return F.when(label.rlike(r"[^\x00-\x7f]"), let(F.transform(signs, point), encode)).otherwise(label)
+
+
+def ascii_host(host: Column) -> Column:
+    """Host labels in lower case and ASCII. Only a host with other letters is encoded."""
+    mapped = F.lower(F.translate(F.regexp_replace(host, "[\u00ad\u200b\u2060\ufeff]", ""), _WIDE, _NARROW))
+    return F.when(host.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(mapped, r"\."), _label_to_ascii), ".")).otherwise(host)
+
+
 def settle(df: DataFrame, *cols: str) -> DataFrame:
     """Fix computed columns behind a one-row generator.
 
@@ -151,13 +252,14 @@ def settle(df: DataFrame, *cols: str) -> DataFrame:
 
 def with_host(df: DataFrame, url: str, out: str, kind: str | None = None) -> DataFrame:
     """Add the canonical lookup host of a URL column (numeric IPv4 spellings folded) and its kind."""
-    return canonical_host(df.withColumn("_h0", raw_host(F.col(url))), "_h0", out, kind).drop("_h0")
+    return canonical_host(df.withColumn("_h0", raw_host(standard_form(F.col(url)))), "_h0", out, kind).drop("_h0")
 
 
 def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None) -> DataFrame:
     h = F.col(host)
-    plain = F.when(h.contains("%"), F.lower(percent_decode(h))).otherwise(h)
-    df = df.withColumn("_h1", plain).withColumns({
+    plain = F.when(h.contains("%") & ~h.startswith("["), F.lower(percent_decode(h))).otherwise(h)
+    named = let(plain, lambda p: F.when(is_ipv6(p), F.coalesce(ipv6_text(ipv6_hex(p)), p)).otherwise(ascii_host(p)))
+    df = settle(df.withColumn("_h1", named), "_h1").withColumns({
         "_parts": F.when(numeric_tail(F.col("_h1")), F.split(F.regexp_replace("_h1", r"\.$", ""), r"\."))})
     df = df.withColumns({f"_v{i}": _ipv4_part(F.get("_parts", F.lit(i))) for i in range(4)})
     df = df.withColumn("_ip", _ipv4_value(F.size("_parts"), [F.col(f"_v{i}") for i in range(4)]))
@@ -175,8 +277,8 @@ def with_parts(df: DataFrame, col: str = "url") -> DataFrame:
     """Add parse_status and URL components, without a shuffle. A table that has them is returned as is."""
     if "parse_status" in df.columns:
         return df
-    u = F.col(col)
-    out = df.withColumns({"_sch": scheme(u), "_auth": authority(u), "_path": path(u), "_query": query(u), "_frag": fragment(u)})
+    u = F.col("_url")
+    out = settle(df.withColumn("_url", standard_form(F.col(col))), "_url").withColumns({"_sch": scheme(u), "_auth": authority(u), "_path": path(u), "_query": query(u), "_frag": fragment(u)})
     out = out.withColumns({
         "_user": F.regexp_extract("_auth", r"^(.*)@", 1), "_hp": F.regexp_replace("_auth", r"^.*@", "")}).withColumns({
         "_h0": F.lower(F.regexp_replace("_hp", r":[^:\]]*$", "")), "_port": F.regexp_extract("_hp", r":([^:\]]*)$", 1)})
@@ -203,7 +305,7 @@ def with_parts(df: DataFrame, col: str = "url") -> DataFrame:
         "host_type": keep(F.when(F.col("_host") == "", "DEFAULT").otherwise(F.col("_kind"))),
     }
     out = out.withColumn("parse_status", status).withColumns(named)
-    out = out.drop("_sch", "_auth", "_path", "_query", "_frag", "_user", "_hp", "_h0", "_port", "_host", "_kind")
+    out = out.drop("_url", "_sch", "_auth", "_path", "_query", "_frag", "_user", "_hp", "_h0", "_port", "_host", "_kind")
     return settle(out, "parse_status", *named)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SuffixIndex
+from ..session import materialise
 from .domains import etld1
 
 GRAM = 3
@@ -25,16 +26,24 @@ def _grams(text: Column, n: int) -> Column:
 
 
 def _contains(docs: DataFrame, tokens: DataFrame, col: str, kind: str) -> DataFrame:
-    """Exact substring match as an equi-join: a text holding a token holds the token's first letters.
+    """Exact substring match by token anchors: a text that holds a token holds each of its pieces, so also its rarest one.
 
-    Tokens of three letters and more meet the text on its three-letter pieces, shorter ones on
-    pieces of their own length; the candidate is then checked in full.
+    Tokens of three letters and more are looked for by the one of their three-letter pieces that fewest texts hold, shorter
+    ones by themselves. Texts send hashes of pieces, and only of those that occur in a token; a text itself moves once, for
+    the tokens whose anchor it holds, and is checked in full.
     """
-    t = tokens.where(F.col("token_kind") == kind).select("brand", "token", F.substring("token", 1, GRAM).alias("gram"))
-    low = F.lower(F.col(col))
-    grams = F.concat(*[F.coalesce(_grams(low, n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
-    d = docs.where(F.col(col).isNotNull()).select("page_id", low.alias("txt"), F.explode(grams).alias("gram"))
-    return d.join(t, "gram").where(F.contains("txt", "token")).select("page_id", "brand", F.lit(kind).alias("source"))
+    t = tokens.where(F.col("token_kind") == kind).select("brand", "token").distinct()
+    t = t.withColumn("piece", F.explode(F.when(F.length("token") < GRAM, F.array("token")).otherwise(_grams(F.col("token"), GRAM))))
+    low = docs.where(F.col(col).isNotNull()).select("page_id", F.lower(F.col(col)).alias("txt"))
+    grams = F.array_distinct(F.concat(*[F.coalesce(_grams(F.col("txt"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    pieces = low.select("page_id", F.explode(F.transform(grams, lambda g: F.xxhash64(g))).alias("h"))
+    wanted = t.select(F.xxhash64("piece").alias("h")).distinct()
+    held = materialise(pieces.join(wanted, "h", "left_semi"), "pieces")
+    often = held.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = t.withColumn("h", F.xxhash64("piece")).join(often, "h", "left")  # a piece that no text holds rules its token out
+    anchors = ranked.groupBy("brand", "token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("h").alias("h"))).alias("a")).where("a.n > 0")
+    candidates = held.join(anchors.select("brand", "token", "a.h"), "h").select("page_id", "brand", "token")
+    return low.join(candidates, "page_id").where(F.contains("txt", "token")).select("page_id", "brand", F.lit(kind).alias("source"))
 
 
 def brand_identify(docs: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -9,18 +9,24 @@ from ..functions.logic import first_true
 PROBE_OF = {"dns_a": "dns", "dns_ns": "dns", "dns_ns_registrable": "dns", "ip_asn": "dns", "rdap": "http"}
 
 
-def asn_most_specific(addresses: DataFrame, prefixes: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """Longest covering prefix per distinct address.
+def asn_most_specific(addresses: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Longest covering prefix per distinct address, of either family and in any spelling.
 
-    One equi-join key per prefix length in the table instead of a range join; distinct
-    addresses first, so a busy address costs one row.
+    Addresses and networks are hex digits. One equi-join key per prefix length that the table has (at most 33 and 129)
+    instead of a range join; distinct addresses first, so a busy address costs one row.
     """
-    n = U.ipv4_number(F.col("ip"))
-    ips = addresses.select("ip").distinct().withColumn("_n", n)
-    keys = F.array(*[F.struct(F.lit(k).alias("plen"), F.expr(f"shiftleft(shiftright(_n, {32 - k}), {32 - k})").alias("net")) for k in lengths])
-    x = ips.where("_n IS NOT NULL").select("ip", F.explode(keys).alias("k")).select("ip", "k.plen", "k.net")
-    p = prefixes.select(F.col("prefix_len").cast("int").alias("plen"), U.ipv4_number(F.col("network")).alias("net"), "network", "asn", "org")
-    hit = x.join(p, ["plen", "net"]).groupBy("ip").agg(F.max_by(F.struct("network", "plen", "asn", "org"), F.struct("plen", F.lit(0) - F.col("asn"))).alias("b"))
+    family = lambda h: F.length(h)  # noqa: E731  8 or 32 digits
+    ips = addresses.select("ip").distinct().withColumn("_h", U.address_hex(F.col("ip")))
+    p = prefixes.select(U.address_hex(F.col("network")).alias("_h"), F.col("prefix_len").cast("int").alias("plen"), "network", "asn", "org")
+    p = p.where(F.col("plen").between(0, 4 * family(F.col("_h"))))
+    p = p.select(family(F.col("_h")).alias("family"), "plen", U.hex_prefix(F.col("_h"), F.col("plen")).alias("net"), "network", "asn", "org")
+    present: dict[int, list[int]] = {8: [], 32: []}
+    for r in p.select("family", "plen").distinct().collect():
+        present[r["family"]].append(r["plen"])
+    lengths = {f: F.array(*[F.lit(k) for k in sorted(v)]).cast("array<int>") for f, v in present.items()}
+    own = F.when(family(F.col("_h")) == 8, lengths[8]).otherwise(lengths[32])
+    x = ips.where("_h IS NOT NULL").select("ip", "_h", F.explode(own).alias("plen")).select("ip", family(F.col("_h")).alias("family"), "plen", U.hex_prefix(F.col("_h"), F.col("plen")).alias("net"))
+    hit = x.join(p, ["family", "plen", "net"]).groupBy("ip").agg(F.max_by(F.struct("network", "plen", "asn", "org"), F.struct("plen", F.lit(0) - F.col("asn"))).alias("b"))
     return ips.select("ip").join(hit, "ip", "left").select(
         "ip", F.concat("b.network", F.lit("/"), F.col("b.plen").cast("string")).alias("prefix"), F.col("b.asn").alias("asn"), F.col("b.org").alias("org"))
 

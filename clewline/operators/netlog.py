@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.logic import first_true
 from ..session import materialise
 
-REQUEST_CAP = 1000
 # Engine categories, progress layers and ledger words.
 ENGINE_CATEGORIES = ("confirmed-timeout", "failure", "harmless", "malicious", "suspicious", "timeout", "type-unsupported", "undetected")
 DONE_WORDS = ("COMPLETED", "STUB", "PARTIAL", "SKIPPED", "NOT_PERFORMED")
@@ -51,25 +50,37 @@ def net_request_cap(requests: DataFrame, n: int) -> DataFrame:
     return g.select("capture_id", F.least("total", F.lit(n)).alias("kept"), F.greatest(F.col("total") - n, F.lit(0)).alias("dropped"))
 
 
-def body_budget(bodies: DataFrame, per_body: int, total: int, request_cap: int = REQUEST_CAP) -> DataFrame:
+def body_budget(bodies: DataFrame, per_body: int, total: int, request_cap: int | None = None) -> DataFrame:
     """captured / body_limit / total_limit in order; a body that is not stored uses no budget.
 
-    The fold sees at most ``request_cap`` requests of a capture, the capture's own limit;
-    later requests are reported as dropped.
+    A capture's requests pass by in order, sorted within their partition, and one number is kept. Requests beyond
+    ``request_cap`` (none unless given: it is the capture's own limit) are reported as dropped.
     """
-    kept = first_requests(bodies, request_cap)
-    arr = F.array_sort(F.collect_list(F.struct("rn", "request_id", F.col("body_bytes").alias("b"))))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<request_id:string,status:string>>").alias("rows"))
-
-    def step(acc, x):
-        status = F.when(x["b"] > per_body, "body_limit").when(acc["used"] + x["b"] > total, "total_limit").otherwise("captured")
-        used = acc["used"] + F.when(status == "captured", x["b"]).otherwise(0)
-        return F.struct(used.alias("used"), F.concat(acc["rows"], F.array(F.struct(x["request_id"].alias("request_id"), status.alias("status")))).alias("rows"))
-
-    folded = kept.groupBy("capture_id").agg(arr.alias("a")).select("capture_id", F.aggregate("a", zero, step).alias("r"))
-    done = folded.select("capture_id", F.explode("r.rows").alias("x")).select("capture_id", "x.*")
-    rest = bodies.join(kept.select("capture_id", "request_id"), ["capture_id", "request_id"], "left_anti").select("capture_id", "request_id", F.lit("dropped").alias("status"))
-    return done.unionByName(rest)
+    import pyarrow as pa
+
+    def run(batches):
+        capture, used, seen = None, 0, 0
+        for batch in batches:
+            captures, sizes, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for own, size in zip(captures, sizes):
+                if own != capture:
+                    capture, used, seen = own, 0, 0
+                seen += 1
+                if request_cap is not None and seen > request_cap:
+                    out.append("dropped")
+                elif size is not None and size > per_body:
+                    out.append("body_limit")
+                elif size is not None and used + size > total:
+                    out.append("total_limit")
+                else:
+                    used += size or 0
+                    out.append("captured")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["capture_id", "request_id", "status"])
+
+    kinds = dict(bodies.dtypes)
+    rows = bodies.repartition("capture_id").sortWithinPartitions("capture_id", "sequence", "request_id")
+    schema = f"capture_id {kinds['capture_id']}, request_id {kinds['request_id']}, status string"
+    return rows.select("capture_id", "request_id", F.col("body_bytes").cast("bigint")).mapInArrow(run, schema)
 
 
 def request_page(requests: DataFrame, after: DataFrame, limit: int) -> DataFrame:
@@ -108,11 +119,44 @@ def span_busy_time(spans: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
     return x.select("run_id", new.alias("d")).groupBy("run_id").agg(F.sum("d").alias("busy_ms"))
 
 
+QUANTILES = {"p50": 0.5, "p95": 0.95}
+#: Bits of a duration that one round of the selection tells apart.
+DIGIT = 12
+
+
 def span_stats(spans: DataFrame) -> DataFrame:
-    d = F.col("end_ms") - F.col("start_ms")
-    return spans.groupBy("run_id", "name").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failures"),
-        F.percentile(d, F.lit(0.5)).alias("p50"), F.percentile(d, F.lit(0.95)).alias("p95"))
+    """Per run and name: count, failures, and exact interpolated quantiles of the duration, whatever the size of a group.
+
+    Ranks are found digit by digit: the counts of the leading digits (combined before the shuffle, at most 2^12 for a
+    group) say which digit holds a rank, and the next round counts only what shares it.
+    """
+    key = ["run_id", "name"]
+    d = spans.select("run_id", "name", "success", (F.col("end_ms") - F.col("start_ms")).alias("d"))
+    lowest, highest = d.agg(F.min("d"), F.max("d")).first()
+    groups = d.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failures"), F.count("d").alias("m"))
+    if lowest is None:
+        return groups.select(*key, "n", "failures", *[F.lit(None).cast("double").alias(q) for q in QUANTILES])
+    # Values are counted from the least one, so digits are never negative.
+    v = d.where("d IS NOT NULL").select(*key, (F.col("d") - lowest).alias("v"))
+    rounds = max(1, -(-(highest - lowest).bit_length() // DIGIT))
+    at = lambda q: (F.col("m") - 1) * F.lit(q)
+    ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), rank(at(q)).cast("bigint").alias("rank")) for name, q in QUANTILES.items() for side, rank in (("low", F.floor), ("high", F.ceil))])
+    open_ = materialise(groups.where("m > 0").select(*key, F.explode(ranks).alias("r")).select(*key, "r.*", F.lit(0).cast("bigint").alias("prefix")), "ranks")
+    for k in reversed(range(rounds)):
+        shift = k * DIGIT
+        own = v.withColumn("prefix", F.shiftright("v", shift + DIGIT)).withColumn("digit", F.shiftright("v", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)))
+        if k < rounds - 1:
+            own = own.join(open_.select(*key, "prefix").distinct(), [*key, "prefix"], "left_semi")
+        counts = own.groupBy(*key, "prefix", "digit").agg(F.count("*").alias("c"))
+        w = Window.partitionBy(*key, "prefix").orderBy("digit")
+        upto = counts.select(*key, "prefix", "digit", F.sum("c").over(w).alias("upto"), "c")
+        hit = open_.join(upto, [*key, "prefix"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        open_ = materialise(hit.select(*key, "q", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix")), "ranks")
+    side = lambda name, s: F.max(F.when((F.col("q") == name) & (F.col("side") == s), F.col("prefix") + lowest))
+    found = open_.groupBy(*key).agg(*[side(name, s).alias(f"{name}_{s}") for name in QUANTILES for s in ("low", "high")])
+    j = groups.alias("g").join(found.alias("f"), F.col("g.run_id").eqNullSafe(F.col("f.run_id")) & F.col("g.name").eqNullSafe(F.col("f.name")), "left")
+    between = lambda name, q: F.col(f"{name}_low") + (at(q) - F.floor(at(q))) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
+    return j.select("g.run_id", "g.name", "n", "failures", *[between(name, q).cast("double").alias(name) for name, q in QUANTILES.items()])
 
 
 def reputation_stats(engines: DataFrame) -> DataFrame:

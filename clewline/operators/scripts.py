@@ -1,6 +1,6 @@
 """Script inventory, corpus screening and script-signal roll-ups.
 
-Scripts are screened as text with comments and strings blanked. Values are not followed
+Scripts are screened as a lexer reads them, without comments and literals. Values are not followed
 through the code; relations between events come in as a link table.
 """
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from ..functions import url as U
+from ..functions import lexer as L, url as U
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SCRIPT_APIS
 from .domains import url_relations
@@ -76,35 +76,28 @@ def _pattern(kind: str, api: str) -> str:
     return head + name + tail
 
 
-# Strings and comments are read from left to right in one pass, so neither can start inside the other.
-_PIECES = r"""(?s)"(?:[^"\\\n]++|\\.)*+"?+|'(?:[^'\\\n]++|\\.)*+'?+|`(?:[^`\\]++|\\.)*+`?+|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|/"""
-
-
-def blanked(source: str = "source"):
-    """Source with comments removed and string contents emptied."""
-    pieces = F.regexp_extract_all(F.col(source), F.lit(_PIECES), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[\"'`]"), '""').when(p.rlike("^/[/*]"), " ").otherwise(p)), "")
-
-
 def script_api_screen(scripts: DataFrame) -> DataFrame:
-    """Configured APIs that occur in each script, with count and first offset in the blanked text."""
-    s = scripts.where("source IS NOT NULL").select("page_id", "script_id", blanked().alias("code"))
+    """Configured APIs that occur in each script, with count and first offset in the text without comments and literals."""
+    s = scripts.where("source IS NOT NULL").select("page_id", "script_id", L.lexed(F.col("source")).alias("lex"))
+    s = U.settle(s.select("page_id", "script_id", L.blanked(F.col("lex.code")).alias("code")), "code")
     rows = [F.struct(F.lit(k).alias("kind"), F.lit(a).alias("api"), F.regexp_count("code", F.lit(_pattern(k, a))).alias("n"), F.regexp_instr("code", F.lit(_pattern(k, a))).alias("first_offset"))
             for k, apis in SCRIPT_APIS.items() for a in apis]
     return s.select("page_id", "script_id", F.explode(F.array(*rows)).alias("e")).select("page_id", "script_id", "e.*").where("n > 0")
 
 
 def script_literal_destinations(scripts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Literal addresses given to network and redirect calls, resolved, with an external flag."""
-    q = r"""\s*["']([^"']+)["']"""
-    kinds = {"network": rf"(?:\bfetch|navigator\.sendBeacon)\s*\({q}", "network_open": rf"""\.open\s*\(\s*["'][^"']*["']\s*,{q}""",
+    """Literal addresses given to network and redirect calls, resolved, with an external flag. Comments and literals hold no calls."""
+    q = r"""\s*"([0-9]+)\""""
+    kinds = {"network": rf"(?:\bfetch|navigator\.sendBeacon)\s*\({q}", "network_open": rf"""\.open\s*\(\s*"[0-9]+"\s*,{q}""",
              "redirect": rf"\blocation\.(?:replace|assign)\s*\({q}", "redirect_set": rf"\blocation(?:\.href)?\s*=(?!=){q}"}
+
     def found(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all("source", F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw")))
+        return F.transform(F.regexp_extract_all("lex.code", F.lit(pattern), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), F.get("lex.texts", n.cast("int")).alias("raw")))
 
+    s = scripts.where("source IS NOT NULL").select("page_id", "url", "effective_base", "script_id", L.lexed(F.col("source")).alias("lex"))
     arr = F.concat(*[found(k.split("_")[0], p) for k, p in kinds.items()])
-    e = scripts.where("source IS NOT NULL").select("page_id", "url", "effective_base", "script_id", F.explode(arr).alias("e")).select("page_id", "url", "effective_base", "script_id", "e.*")
-    e = U.with_resolved(e, "raw", "effective_base", "destination")
+    e = U.settle(s, "lex").select("page_id", "url", "effective_base", "script_id", F.explode(arr).alias("e")).select("page_id", "url", "effective_base", "script_id", "e.*")
+    e = U.with_resolved(e.where("raw <> ''"), "raw", "effective_base", "destination")
     r = url_relations(e, rules, "url", "destination")
     return r.select("page_id", "script_id", "kind", "destination", (~F.col("same_site_scope")).alias("external"))
 

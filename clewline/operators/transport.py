@@ -216,24 +216,31 @@ def cert_validity(certs: DataFrame, at: Column) -> DataFrame:
 
 
 def cert_hostname_match(certs: DataFrame, sans: DataFrame) -> DataFrame:
-    """Host against its names: exact or one-label wildcard; the subject name only when there is no name list."""
+    """Host against its names (cert_id, pos, name, kind): exact or one-label wildcard; the subject name only when there is no name list.
+
+    An address is compared with the address names alone, whatever the spelling, and a host with the host names. Where a
+    certificate's names have no kind (NULL), all stand for hosts, and an address cannot be told to be among them or not.
+    """
     host = F.lower(F.regexp_replace("hostname", r"\.$", ""))
-    c = certs.select("cert_id", host.alias("host"), "subject", "has_leaf", U.ip_kind(host).isNotNull().alias("is_ip"))
-    s = sans.select("cert_id", "pos", F.col("name"), F.lower(F.regexp_replace("name", r"\.$", "")).alias("n"))
+    c = certs.select("cert_id", host.alias("host"), "subject", "has_leaf", U.address_hex(host).alias("ip"))
+    s = sans.select("cert_id", "pos", "name", "kind", F.lower(F.regexp_replace("name", r"\.$", "")).alias("n"))
     j = c.join(s, "cert_id", "left")
     base = F.expr("substring(n, 3)")
     wild = F.col("n").startswith("*.") & (F.col("host") == F.concat(F.substring_index("host", ".", 1), F.lit("."), base)) & (F.substring_index("host", ".", 1) != "")
-    hit = F.when(F.col("is_ip"), F.col("n") == F.col("host")).otherwise(wild | (F.col("n") == F.col("host")))
+    is_ip = F.col("ip").isNotNull()
+    named = F.coalesce(F.col("kind"), F.lit("dns")) == "dns"
+    hit = F.when(is_ip, (F.col("kind") == "ip") & (U.address_hex(F.col("n")) == F.col("ip"))).otherwise(named & (wild | (F.col("n") == F.col("host"))))
     j = j.withColumn("hit", F.coalesce(hit, F.lit(False)))
-    agg = j.groupBy("cert_id", "host", "subject", "has_leaf", "is_ip").agg(
-        F.count("n").alias("names"), F.bool_or("hit").alias("san_hit"), F.min_by(F.when(F.col("hit"), F.col("name")), F.when(F.col("hit"), F.col("pos"))).alias("san_name"))
+    agg = j.groupBy("cert_id", "host", "subject", "has_leaf", "ip").agg(
+        F.count("n").alias("names"), F.count("kind").alias("typed"), F.bool_or("hit").alias("san_hit"), F.min_by(F.when(F.col("hit"), F.col("name")), F.when(F.col("hit"), F.col("pos"))).alias("san_name"))
     cn = F.nullif(F.regexp_extract("subject", r"(?:^|,)CN=([^,]+)", 1), F.lit(""))
-    fallback = (F.col("names") == 0) & ~F.col("is_ip") & cn.isNotNull()
+    fallback = (F.col("names") == 0) & ~is_ip & cn.isNotNull()
+    untyped = (F.col("names") > 0) & (F.col("typed") == 0)
     known = F.col("has_leaf") & (F.col("host") != "")
-    matched = F.when(known, F.when(fallback, F.lower(cn) == F.col("host")).otherwise(F.col("san_hit")))
+    matched = F.when(known & ~(untyped & is_ip), F.when(fallback, F.lower(cn) == F.col("host")).otherwise(F.col("san_hit")))
     return agg.select("cert_id", matched.alias("matched"), not3(matched).alias("detected"),
                       F.when(matched, F.when(fallback, cn).otherwise(F.col("san_name"))).alias("matched_name"),
-                      F.when(~known | known.isNull(), "unavailable").when(fallback, "subject_name_fallback").otherwise("typed_names").alias("scope"))
+                      first_true([(~F.coalesce(known, F.lit(False)), "unavailable"), (fallback, "subject_name_fallback"), (untyped, "untyped_names")], "typed_names").alias("scope"))
 
 
 def self_signed(certs: DataFrame) -> DataFrame:

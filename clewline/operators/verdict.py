@@ -4,22 +4,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.logic import first_true
-
-# Verdict words, and words of a credential-transfer claim.
-VERDICTS = ("LIKELY_BENIGN", "LIKELY_MALICIOUS", "MALICIOUS", "BENIGN", "UNKNOWN")
-CREDENTIAL_WORDS = r"(?i)(password|credential|비밀번호|자격증명)"
-TRANSFER_WORDS = r"(?i)(transmit|send|sent|exfiltrat|forward|deliver|leak|전송|유출|전달|송신)"
-NEGATED = r"(?i)((was|were|is|are)\s+(not|never)\s+(sent|transmitted|forwarded|delivered|leaked)|전송되지\s*않)"
-OBSERVED_WORDS = r"(?i)(observed|actually|(was|were|is|are) sent|delivered|전송되었다|실제로)"
-CLAUSE_END = r"[,;。；\n]|\.(?:\s|$)|\bbut\b|\bhowever\b"
+from ..functions.udfs import fold_udf
+
+# Verdicts by contract version.
+VERDICTS = {
+    "1": ("MALICIOUS", "LIKELY_MALICIOUS", "LIKELY_BENIGN", "BENIGN", "UNKNOWN"),
+    "2": ("MALICIOUS", "SUSPICIOUS", "LIKELY_BENIGN", "UNKNOWN"),
+}
+# Word stems by language and by their part in a claim that a secret was sent.
+WORDS = {
+    ("object", "en"): ("credential", "password"),
+    ("object", "ko"): ("비밀번호", "암호", "자격증명"),
+    ("transfer", "en"): ("deliver", "exfiltrat", "forward", "leak", "send", "sent", "transmit"),
+    ("transfer", "ko"): ("보내", "보냈", "송신", "유출", "전달", "전송", "흘러"),
+    ("denial", "en"): ("not", "never", "no evidence", "without evidence", "cannot", "n't"),
+    ("denial", "ko"): ("않", "못하", "못했", "증거가 없", "증거는 없", "증거 없"),
+    ("static", "en"): ("configured", "configuration"),
+    ("static", "ko"): ("구성", "설정", "하도록"),
+    ("observed", "en"): ("actually", "delivered", "observed", "was sent", "were sent"),
+    ("observed", "ko"): ("관찰", "보냈다", "송신했다", "실제", "실행되어", "유출됐다", "유출되었다", "전달했다", "전송됐다", "전송되었다", "전송했다"),
+}
+CLAUSE_END = r"[,;。；\n]|\.(?:\s|$)|\b(?:but|however)\b|지만"
+
+
+def spoken(role: str) -> str:
+    """Pattern of the words of a role, in any case; blanks stand for any white space."""
+    stems = [w for (r, _), words in WORDS.items() if r == role for w in words]
+    return "(?i)(?:" + "|".join((r"\b" if w.isascii() and w[0] != "n" or w in ("not", "never", "no evidence") else "") + w.replace(" ", r"\s+") for w in stems) + ")"
+
+
+def valid_verdict(verdict: Column, contract: Column) -> Column:
+    """Whether the contract has the verdict; a version that is not known has none."""
+    return F.coalesce(first_true([(contract == v, verdict.isin(*words)) for v, words in VERDICTS.items()], False), F.lit(False))
 
 
 def verdict_contract(judgments: DataFrame, reasons: DataFrame, facts: DataFrame) -> DataFrame:
-    """Structural problem rows of a verdict."""
-    j = judgments
+    """Structural problem rows of a verdict, by the contract version of its row (the first where there is none)."""
+    j = judgments if "contract" in judgments.columns else judgments.withColumn("contract", F.lit("1"))
     r = reasons.groupBy("job_id").agg(F.count("*").alias("n"))
     row = lambda df, name: df.select("job_id", F.lit(name).alias("problem"))
-    bad = row(j.where(~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False))), "invalid_verdict")
+    bad = row(j.where(~valid_verdict(F.col("verdict"), F.coalesce("contract", F.lit("1")))), "invalid_verdict")
     empty = row(j.where(F.coalesce(F.trim("interpretation"), F.lit("")) == ""), "empty_text")
     none = row(j.where("NOT verdict <=> 'UNKNOWN'").join(r, "job_id", "left_anti"), "missing_reasons")
     dup = row(reasons.groupBy("job_id", "fact_id").agg(F.count("*").alias("n")).where("n > 1").select("job_id").distinct(), "duplicate_fact_id")
@@ -27,18 +51,18 @@ def verdict_contract(judgments: DataFrame, reasons: DataFrame, facts: DataFrame)
     return bad.unionByName(empty).unionByName(none).unionByName(dup).unionByName(ref)
 
 
-def claims_transfer(text: Column, also: str | None = None) -> Column:
-    """A clause that says credentials were sent, and does not deny it."""
+def claims_transfer(text: Column, observed: bool = False) -> Column:
+    """A clause that says a secret was sent and does not deny it; ``observed``: that it was seen to be, not only set up."""
     def hit(c):
-        ok = c.rlike(CREDENTIAL_WORDS) & c.rlike(TRANSFER_WORDS) & ~c.rlike(NEGATED)
-        return ok & c.rlike(also) if also else ok
+        ok = c.rlike(spoken("object")) & c.rlike(spoken("transfer")) & ~c.rlike(spoken("denial"))
+        return ok & c.rlike(spoken("observed")) & ~c.rlike(spoken("static")) if observed else ok
     return F.coalesce(F.exists(F.split(text, CLAUSE_END), hit), F.lit(False))
 
 
 def verdict_basis_support(verdicts: DataFrame, basis: DataFrame, facts: DataFrame) -> DataFrame:
     """A credential-transfer claim needs a basis fact with that relation; an observed claim an observed one."""
     b = basis.join(facts, "fact_id").groupBy("job_id").agg(F.bool_or("transfer_relation").alias("linked"), F.bool_or(F.col("transfer_relation") & F.col("execution_observed")).alias("seen"))
-    v = verdicts.select("job_id", claims_transfer(F.col("interpretation")).alias("claim"), claims_transfer(F.col("interpretation"), OBSERVED_WORDS).alias("as_observed")).where("claim")
+    v = verdicts.select("job_id", claims_transfer(F.col("interpretation")).alias("claim"), claims_transfer(F.col("interpretation"), observed=True).alias("as_observed")).where("claim")
     j = v.join(b, "job_id", "left")
     code = first_true([(~F.coalesce("linked", F.lit(False)), "credential_transfer_without_linked_basis"),
                        (F.col("as_observed") & ~F.coalesce("seen", F.lit(False)), "observed_transfer_without_observed_basis")])
@@ -46,7 +70,8 @@ def verdict_basis_support(verdicts: DataFrame, basis: DataFrame, facts: DataFram
 
 
 def _folded(c: Column) -> Column:
-    return F.regexp_replace(F.translate(F.lower(c), "—–−", "---"), r"\s+", "")
+    """Compatibility form, case folded, dashes alike, without white space."""
+    return F.regexp_replace(F.translate(fold_udf(c), "—–−", "---"), r"\s+", "")
 
 
 def _slip_keys(label: Column) -> Column:

@@ -26,10 +26,12 @@ def common_prefix(urls: DataFrame, group: str, col: str = "url", min_len: int =
 def repeated_literals(strings: DataFrame, col: str = "text", min_len: int = 24) -> DataFrame:
     """Long strings worth storing once: repeated, and cheaper as a reference."""
     d = strings.where(F.length(col) >= min_len).select(F.col(col).alias("literal"), F.sha2(col, 256).alias("h"))
-    # Counting moves hashes only; texts move for the repeated ones alone.
+    # Counting moves hashes only. Of a repeated text each task sends one copy: equal ones are put together before the shuffle.
     g = d.groupBy("h").agg(F.count("*").alias("n"), F.max(F.octet_length("literal")).alias("bytes")).where("n >= 2")
-    g = g.withColumn("saved", (F.col("n") - 1) * F.col("bytes") - F.col("n") * 8).where("saved > 0")
-    return d.join(g.drop("bytes"), "h").groupBy("h", "n", "saved").agg(F.any_value("literal").alias("literal")).select("literal", "n", "saved")
+    g = g.withColumn("saved", (F.col("n") - 1) * F.col("bytes") - F.col("n") * 8).where("saved > 0").select("h", "n", "saved")
+    wanted = g.select(F.col("h").alias("w"))
+    texts = d.join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.any_value("literal").alias("literal"))
+    return texts.join(g, "h").select("literal", "n", "saved")
 
 
 def url_prefix_dictionary(urls: DataFrame, col: str = "url", min_len: int = 24, min_n: int = 4) -> DataFrame:
@@ -73,18 +75,16 @@ def context_budget(views: DataFrame, view: str, cols: list[str], max_bytes: int)
 def citation_alias(rows: DataFrame, reserved: DataFrame, group: str) -> DataFrame:
     """Sequential alias per kind prefix, skipping reserved ones.
 
-    Ranks come from the row order inside one document; reserved aliases of a kind shift the
-    later ranks by how many of them lie at or below.
+    Ranks come from the row order inside one document. The i-th reserved number (ascending) pushes every rank from its cut
+    (the number less i - 1) on one up, so ranks and cuts are merged in order and a running sum counts the cuts passed.
     """
-    w = Window.partitionBy(group, "kind").orderBy("item_id")
-    r = rows.withColumn("rank", F.row_number().over(w))
-    taken = reserved.select(group, "kind", F.col("number").alias("t")).distinct()
-    tw = Window.partitionBy(group, "kind").orderBy("t")
-    # The i-th reserved number (ascending) pushes every rank above t - i one up.
-    taken = taken.withColumn("cut", F.col("t") - F.row_number().over(tw) + 1)
-    shift = r.join(taken, [group, "kind"]).where(F.col("cut") <= F.col("rank")).groupBy(group, "kind", "item_id").agg(F.count("*").alias("shift"))
-    j = r.join(shift, [group, "kind", "item_id"], "left")
-    return j.select(group, "item_id", F.concat("kind", F.lit(":"), (F.col("rank") + F.coalesce("shift", F.lit(0))).cast("string")).alias("alias"))
+    own = [group, "kind"]
+    r = rows.select(*own, "item_id", F.row_number().over(Window.partitionBy(*own).orderBy("item_id")).cast("bigint").alias("at"), F.lit(0).alias("cut"))
+    taken = reserved.select(*own, F.col("number").cast("bigint").alias("t")).distinct()
+    cuts = taken.select(*own, (F.col("t") - F.row_number().over(Window.partitionBy(*own).orderBy("t")) + 1).alias("at"), F.lit(1).alias("cut"))
+    passed = F.sum("cut").over(Window.partitionBy(*own).orderBy("at", F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0))
+    j = r.unionByName(cuts, allowMissingColumns=True).withColumn("shift", passed).where("cut = 0")
+    return j.select(group, "item_id", F.concat("kind", F.lit(":"), (F.col("at") + F.col("shift")).cast("string")).alias("alias"))
 
 
 def absence_kinds(elements: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -93,15 +93,28 @@ def absence_kinds(elements: DataFrame, key: str, fields: dict[str, str]) -> Data
     return elements.select(key, F.explode(rows).alias("x")).select(key, "x.*").where("absence IS NOT NULL")
 
 
-def json_pointer(docs: DataFrame, pointer: str, col: str = "body") -> DataFrame:
-    """Value at a JSON pointer; a present null or empty value differs from an absent one."""
-    path = "$"
-    for raw in [p for p in pointer.split("/")[1:]]:
-        name = raw.replace("~1", "/").replace("~0", "~")
-        path += f"[{name}]" if name.isdigit() else "['" + name.replace("'", "\\'") + "']"
-    v = F.try_parse_json(F.col(col))
-    got = F.try_variant_get(v, path, "variant")
-    return docs.withColumns({"exists": F.coalesce(got.isNotNull(), F.lit(False)), "value": F.try_variant_get(v, path, "string")})
+def json_pointer(docs: DataFrame, pointer: str | Column, col: str = "body") -> DataFrame:
+    """Value at a JSON pointer, one for all rows or a column; a present null or empty value differs from an absent one.
+
+    ``problem`` names a text that is no JSON and a pointer that is none: one that neither is empty nor starts with a slash,
+    or has a tilde that escapes nothing. Of an array only a number without leading zeros is a place; of an object any name
+    is, also one of digits.
+    """
+    p = pointer if isinstance(pointer, Column) else F.lit(pointer)
+    rows = docs.withColumns({"_v": F.try_parse_json(F.col(col)), "_p": p})
+    rows = rows.withColumn("problem", first_true([
+        (F.col("_v").isNull(), "invalid_json"), ((F.col("_p") != "") & ~F.col("_p").startswith("/"), "invalid_pointer"), (F.col("_p").rlike("~(?![01])"), "invalid_pointer")]))
+    names = F.slice(F.split("_p", "/"), F.lit(2), F.greatest(F.size(F.split("_p", "/")) - 1, F.lit(0)))
+    names = F.transform(names, lambda x: F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
+
+    def step(at, name):
+        quoted = F.concat(F.lit("$['"), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"))
+        place = F.when(name.rlike("^(0|[1-9][0-9]{0,8})$"), F.concat(F.lit("$["), name, F.lit("]")))
+        return F.coalesce(F.try_variant_get(at, quoted, "variant"), F.try_variant_get(at, place, "variant"))
+
+    got = F.when(F.col("problem").isNull(), F.aggregate(names, F.col("_v"), step))
+    out = rows.withColumn("_got", got)
+    return out.withColumns({"exists": F.when(F.col("problem").isNull(), F.col("_got").isNotNull()), "value": F.try_variant_get("_got", "$", "string")}).drop("_v", "_p", "_got")
 
 
 def text_excerpt(texts: DataFrame, col: str = "text", limit: int = 16000, head: int = 12000, tail: int = 4000, marker: str = "\n...\n") -> DataFrame:

@@ -113,27 +113,32 @@ REASONS = "SELECT l_orderkey AS job_id, l_partkey AS fact_id FROM lineitem"
 FACTS = "SELECT p_partkey AS fact_id, p_size % 3 = 0 AS transfer_relation, p_size % 2 = 0 AS execution_observed FROM part WHERE p_size < 45"
 
 
+VERSIONED = "SELECT *, CASE job_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '1' ELSE NULL END AS contract FROM (SELECT job_id, interpretation, CASE WHEN job_id % 10 = 7 THEN 'SUSPICIOUS' WHEN job_id % 10 = 5 THEN 'BENIGN' ELSE verdict END AS verdict FROM judgments) v"
+
+
 @query("verdict_contract", W(f"""
-SELECT job_id, 'invalid_verdict' AS problem FROM judgments WHERE verdict IS NULL OR verdict NOT IN ('LIKELY_BENIGN', 'LIKELY_MALICIOUS', 'MALICIOUS', 'BENIGN', 'UNKNOWN') UNION ALL SELECT job_id, 'empty_text' FROM judgments WHERE trim(interpretation) = ''
-UNION ALL SELECT job_id, 'missing_reasons' FROM judgments WHERE verdict IS DISTINCT FROM 'UNKNOWN' AND job_id NOT IN (SELECT job_id FROM ({REASONS})) UNION ALL SELECT DISTINCT job_id, 'duplicate_fact_id' FROM (SELECT job_id FROM ({REASONS}) GROUP BY job_id, fact_id HAVING count(*) > 1)
-UNION ALL SELECT DISTINCT job_id, 'unknown_fact_id' FROM ({REASONS}) WHERE fact_id NOT IN (SELECT fact_id FROM ({FACTS}))""", JD))
+SELECT job_id, 'invalid_verdict' AS problem FROM vj WHERE verdict IS NULL OR NOT CASE WHEN contract = '2' THEN verdict IN {V.VERDICTS['2']} ELSE verdict IN {V.VERDICTS['1']} END UNION ALL SELECT job_id, 'empty_text' FROM vj WHERE trim(interpretation) = ''
+UNION ALL SELECT job_id, 'missing_reasons' FROM vj WHERE verdict IS DISTINCT FROM 'UNKNOWN' AND job_id NOT IN (SELECT job_id FROM ({REASONS})) UNION ALL SELECT DISTINCT job_id, 'duplicate_fact_id' FROM (SELECT job_id FROM ({REASONS}) GROUP BY job_id, fact_id HAVING count(*) > 1)
+UNION ALL SELECT DISTINCT job_id, 'unknown_fact_id' FROM ({REASONS}) WHERE fact_id NOT IN (SELECT fact_id FROM ({FACTS}))""", JD, f"vj AS ({VERSIONED})"))
 def _(t):
-    return V.verdict_contract(t.judgments, t.sql(REASONS), t.sql(FACTS))
+    return V.verdict_contract(t.sql(VERSIONED, JD), t.sql(REASONS), t.sql(FACTS))
 
 
-CL = lambda extra: f"len(list_filter(regexp_split_to_array(interpretation, '[,;。；\\n]|\\.(?:\\s|$)|\\bbut\\b|\\bhowever\\b'), lambda c: regexp_matches(c, '{V.CREDENTIAL_WORDS}') AND regexp_matches(c, '{V.TRANSFER_WORDS}') AND NOT regexp_matches(c, '{V.NEGATED}'){extra})) > 0"
+# Claims and denials whose answers are known by construction, and the documents' own texts, which hold none.
+CLAIMS_SAID = """SELECT job_id, CASE job_id % 9 WHEN 1 THEN 'the password is sent to an external host' WHEN 2 THEN 'There is no evidence that the password was sent' WHEN 3 THEN 'The credential has never been sent, however the page loads'
+  WHEN 4 THEN 'the password was sent. Nothing else' WHEN 5 THEN '암호가 외부로 흘러 나간다' WHEN 6 THEN '비밀번호가 전송되었다' WHEN 7 THEN '비밀번호가 전송되지 않았다' WHEN 8 THEN 'the form is configured so that the password was sent' ELSE interpretation END AS interpretation FROM judgments"""
 
 
 @query("verdict_basis_support", W(f"""
-SELECT job_id, code AS finding_code FROM (SELECT job_id, CASE WHEN NOT coalesce(linked, false) THEN 'credential_transfer_without_linked_basis' WHEN ob AND NOT coalesce(seen, false) THEN 'observed_transfer_without_observed_basis' END AS code
-  FROM (SELECT job_id, {CL("")} AS cl, {CL(f" AND regexp_matches(c, '{V.OBSERVED_WORDS}')")} AS ob FROM judgments) LEFT JOIN (SELECT job_id, bool_or(transfer_relation) AS linked, bool_or(transfer_relation AND execution_observed) AS seen FROM ({REASONS}) JOIN ({FACTS}) USING (fact_id) GROUP BY 1) USING (job_id) WHERE cl) WHERE code IS NOT NULL""", JD))
+SELECT job_id, code AS finding_code FROM (SELECT job_id, CASE WHEN NOT coalesce(linked, false) THEN 'credential_transfer_without_linked_basis' WHEN job_id % 9 IN (4, 6) AND NOT coalesce(seen, false) THEN 'observed_transfer_without_observed_basis' END AS code
+  FROM (SELECT job_id FROM judgments WHERE job_id % 9 IN (1, 4, 5, 6, 8)) LEFT JOIN (SELECT job_id, bool_or(transfer_relation) AS linked, bool_or(transfer_relation AND execution_observed) AS seen FROM ({REASONS}) JOIN ({FACTS}) USING (fact_id) GROUP BY 1) USING (job_id)) WHERE code IS NOT NULL""", JD))
 def _(t):
-    return V.verdict_basis_support(t.judgments, t.sql(REASONS), t.sql(FACTS))
+    return V.verdict_basis_support(t.sql(CLAIMS_SAID, JD), t.sql(REASONS), t.sql(FACTS))
 
 
 ITEMS = "SELECT l_suppkey AS doc, concat('Sec ', CAST(l_linenumber % 3 AS STRING)) AS section, concat('Item ', CAST(l_partkey % 500 AS STRING), '인증서') AS item, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_orderkey END AS fact_id FROM lineitem"
-CITED = """SELECT event_id AS reason_id, user_id AS doc, concat(CASE event_type WHEN 'view' THEN 'SEC' WHEN 'click' THEN 'Other' ELSE 'Sec' END, ' ', CAST(event_id % 3 AS STRING)) AS section, concat('Item ', CAST(event_id % 60 AS STRING), CASE event_type WHEN 'error' THEN '인정서' ELSE '인증서' END) AS item FROM events"""
-FOLD = lambda c: f"regexp_replace(lower({c}), '\\s+', '', 'g')"
+CITED = """SELECT event_id AS reason_id, user_id AS doc, concat(CASE event_type WHEN 'view' THEN 'SEC' WHEN 'click' THEN 'Other' ELSE 'Sec' END, ' ', CAST(event_id % 3 AS STRING)) AS section, concat(CASE event_id % 7 WHEN 3 THEN 'Ｉtem ' ELSE 'Item ' END, CAST(event_id % 500 AS STRING), CASE event_type WHEN 'error' THEN '인정서' ELSE '인증서' END) AS item FROM events"""
+FOLD = lambda c: f"regexp_replace(lower(replace({c}, 'Ｉ', 'I')), '\\s+', '', 'g')"
 
 
 @query("judgment_item_link", W("""

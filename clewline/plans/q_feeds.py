@@ -98,11 +98,13 @@ def _(t):
 DATASET = "SELECT row_number, url, source AS sources, source_status, CAST(first_seen AS STRING) AS first_seen FROM feed"
 
 
-@query("read_url_dataset", W(f"SELECT url, sources, trim(source_status) AS source_status FROM ({DATASET})", "feed"))
+@query("read_url_dataset", W(f"SELECT row_number() OVER (ORDER BY row_number) + 1 AS row_number, url, sources, trim(source_status) AS source_status FROM ({DATASET})", "feed"))
 def _(t):
+    # Files whose names follow the row numbers while their sizes do not.
     path = scratch_path(t.spark, "urls")
-    t.sql(DATASET, "feed").drop("row_number").write.option("header", True).csv(path)
-    return S.read_url_dataset(t.spark, path).where("row_number >= 2").select("url", "sources", "source_status")
+    rows = t.sql(DATASET, "feed").withColumn("_part", F.floor(F.sqrt("row_number") / 4)).repartitionByRange(5, "_part", "row_number").sortWithinPartitions("row_number")
+    rows.drop("row_number", "_part").write.option("header", True).csv(path)
+    return S.read_url_dataset(t.spark, path).select("row_number", "url", "sources", "source_status")
 
 
 RANK_DOCS = """SELECT page_id AS doc_no, concat('[{"rank":', CAST(page_id * 7 % 251 AS STRING), ',"domain":"', regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '."},{"rank":"x","domain":"a.com"},{"rank":5,"domain":"localhost"}]') AS body FROM pages"""
@@ -137,15 +139,17 @@ def _(t):
 
 
 INCOMING = "SELECT o_orderkey AS job_id, 1 AS attempt, o_orderstatus AS payload FROM orders"
-STORED = "SELECT DISTINCT l_orderkey AS job_id, 1 AS attempt FROM lineitem WHERE l_returnflag = 'R'"
+STORED = "SELECT DISTINCT l_orderkey AS job_id, 1 AS attempt, CAST(NULL AS STRING) AS payload FROM lineitem WHERE l_returnflag = 'R'"
 
 
 @query("write_attempt_immutable", f"SELECT job_id, attempt, CASE WHEN job_id IN (SELECT job_id FROM ({STORED})) THEN 'refused' ELSE 'written' END AS outcome FROM ({INCOMING})")
 def _(t):
-    new, refused = S.new_attempts(t.sql(INCOMING), t.sql(STORED))
     base = scratch_path(t.spark, "attempts")
-    S.write_attempt_immutable(new, new.select("job_id", "attempt"), base, "2024-01-02")
-    written = t.spark.read.parquet(f"{base}/records")
+    S.write_attempt_immutable(t.sql(STORED), t.sql(STORED), base, "2024-01-02")
+    incoming = t.sql(INCOMING)
+    refused = S.write_attempt_immutable(incoming, incoming.select("job_id", "attempt"), base, "2024-01-02")
+    # Of the second batch of that day the raw rows tell what was written.
+    written = t.spark.read.parquet(f"{base}/raw").where("payload IS NOT NULL")
     return written.select("job_id", "attempt", F.lit("written").alias("outcome")).unionByName(refused.select("job_id", "attempt", F.lit("refused").alias("outcome")))
 
 

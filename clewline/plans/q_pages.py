@@ -232,9 +232,9 @@ def _(t):
     return S.page_scripts(t.pages_plus).select("page_id", "script_id", "type", "source_url", "sha256", "size", "media_type", "is_async", "is_defer")
 
 
-@query("script_status", W("SELECT page_id, script_id, CASE WHEN x LIKE '%application/json%' THEN 'data_block' WHEN source IS NULL THEN 'missing_source' WHEN strlen(source) > 100 THEN 'source_limit_exceeded' ELSE 'parsed' END AS status FROM sc", PP, B, SCRIPTS))
+@query("script_status", W("SELECT page_id, script_id, CASE WHEN x LIKE '%application/json%' THEN 'data_block' WHEN source IS NULL THEN 'missing_source' WHEN strlen(source) > 400 THEN 'source_limit_exceeded' ELSE 'parsed' END AS status FROM sc", PP, B, SCRIPTS))
 def _(t):
-    return S.script_status(S.page_scripts(t.pages_plus), 100)
+    return S.script_status(S.page_scripts(t.pages_plus), 400)
 
 
 @query("script_reuse", W(f"SELECT sha256(source) AS sha256, count(DISTINCT page_id) AS pages, count(DISTINCT {HOST}) AS hosts FROM sc WHERE source IS NOT NULL GROUP BY 1", PP, B, SCRIPTS))
@@ -242,12 +242,12 @@ def _(t):
     return S.script_reuse(S.page_scripts(t.pages_plus))
 
 
-@query("script_api_screen", W("""SELECT page_id, 'script-2' AS script_id, kind, api, 1 AS n, o AS first_offset FROM b, (VALUES ('dynamic_execution', 'eval', 11), ('decode', 'atob', 16), ('network', 'fetch', 1), ('redirect', 'location.replace', 26)) v(kind, api, o) WHERE k = 4""", PP, B))
+@query("script_api_screen", W("""SELECT page_id, 'script-2' AS script_id, kind, api, 1 AS n, o AS first_offset FROM b, (VALUES ('dynamic_execution', 'eval', 11), ('decode', 'atob', 16), ('network', 'fetch', 1), ('redirect', 'location.replace', 26), ('decode', 'unescape', 64), ('network', 'navigator.sendBeacon', 78)) v(kind, api, o) WHERE k = 4""", PP, B))
 def _(t):
     return S.script_api_screen(S.page_scripts(t.pages_plus))
 
 
-@query("script_literal_destinations", W("SELECT page_id, 'script-2' AS script_id, 'network' AS kind, 'https://collect.example.edu/x' AS destination, true AS external FROM b WHERE k = 4 UNION ALL SELECT page_id, 'script-2', 'redirect', org || '/next', page_id % 9 = 0 FROM b WHERE k = 4", PP, B))
+@query("script_literal_destinations", W("SELECT page_id, 'script-2' AS script_id, 'network' AS kind, d AS destination, true AS external FROM b, (VALUES ('https://collect.example.edu/x'), ('https://beacon.example.edu/b')) v(d) WHERE k = 4 UNION ALL SELECT page_id, 'script-2', 'redirect', org || '/next', page_id % 9 = 0 FROM b WHERE k = 4", PP, B))
 def _(t):
     return S.script_literal_destinations(S.page_scripts(t.pages_plus), t.suffix_rules)
 

@@ -246,9 +246,15 @@ def _(t):
     return V.absence_kinds(t.sql(INPUTS), "page_id", {"placeholder": "absent_attribute", "label": "not_recorded"})
 
 
-@query("json_pointer", "SELECT event_id, json_exists(props, '$.k') AS exists, json_extract_string(props, '$.k') AS value FROM events")
+# A pointer for each row: a name, a name of digits, a place, a place with a leading zero, a bad escape, one without its slash, the whole.
+POINTED = """SELECT event_id, concat('{"7":{"a":null},"l":["', event_type, '"],"p":', props, '}') AS body,
+  CASE event_id % 8 WHEN 0 THEN '/p/k' WHEN 1 THEN '/7/a' WHEN 2 THEN '/l/0' WHEN 3 THEN '/l/00' WHEN 4 THEN '/p/~2' WHEN 5 THEN 'p' WHEN 6 THEN '/l/1' ELSE '/7/b' END AS pointer FROM events"""
+
+
+@query("json_pointer", f"""SELECT event_id, CASE WHEN event_id % 8 IN (4, 5) THEN NULL ELSE event_id % 8 IN (0, 1, 2) END AS exists, CASE event_id % 8 WHEN 0 THEN json_extract_string(body, '$.p.k') WHEN 2 THEN json_extract_string(body, '$.l[0]') END AS value,
+  CASE WHEN event_id % 8 IN (4, 5) THEN 'invalid_pointer' END AS problem FROM ({POINTED})""")
 def _(t):
-    return V.json_pointer(t.events, "/k", "props").select("event_id", "exists", "value")
+    return V.json_pointer(t.sql(POINTED), F.col("pointer")).select("event_id", "exists", "value", "problem")
 
 
 @query("text_excerpt", r"SELECT doc_id, CASE WHEN length(text) > 16000 THEN left(text, 12000) || chr(10) || '...' || chr(10) || right(text, 4000) ELSE text END AS excerpt, CASE WHEN length(text) > 16000 THEN length(text) - 16000 ELSE 0 END AS omitted FROM documents")

@@ -165,12 +165,13 @@ def _(t):
 
 
 SOME_SANS = "SELECT s.* FROM cert_san s JOIN certs c ON c.cert_id = s.cert_id WHERE c.chain_depth > 0"
-MATCH = f"""mt AS (SELECT c.cert_id, has_leaf, hostname, subject, chain_valid, count(s.name) AS k, arg_min(s.name, s.pos) FILTER (s.name = hostname OR s.name = '*.' || substr(hostname, instr(hostname, '.') + 1)) AS hit
-  FROM certs c LEFT JOIN ({SOME_SANS}) s USING (cert_id) GROUP BY ALL),
-mm AS (SELECT *, CASE WHEN has_leaf THEN k = 0 OR hit IS NOT NULL END AS matched FROM mt)"""
+MATCH = f"""mt AS (SELECT c.cert_id, has_leaf, hostname, subject, chain_valid, regexp_extract(subject, 'CN=([^,]+)', 1) AS cn, hostname LIKE '[%' AS ip, count(s.name) AS k, count(s.kind) AS typed,
+  arg_min(s.name, s.pos) FILTER (CASE WHEN hostname LIKE '[%' THEN s.kind = 'ip' ELSE s.name = hostname OR s.name = '*.' || substr(hostname, instr(hostname, '.') + 1) END) AS hit
+  FROM certs c LEFT JOIN ({SOME_SANS}) s USING (cert_id) GROUP BY c.cert_id, has_leaf, hostname, subject, chain_valid),
+mm AS (SELECT *, CASE WHEN has_leaf AND NOT (ip AND k > 0 AND typed = 0) THEN (k = 0 AND NOT ip) OR hit IS NOT NULL END AS matched FROM mt)"""
 
 
-@query("cert_hostname_match", W("SELECT cert_id, matched, NOT matched AS detected, CASE WHEN matched THEN coalesce(hit, hostname) END AS matched_name, CASE WHEN NOT has_leaf THEN 'unavailable' WHEN k = 0 THEN 'subject_name_fallback' ELSE 'typed_names' END AS scope FROM mm", "certs cert_san", MATCH))
+@query("cert_hostname_match", W("SELECT cert_id, matched, NOT matched AS detected, CASE WHEN matched THEN coalesce(hit, cn) END AS matched_name, CASE WHEN NOT has_leaf THEN 'unavailable' WHEN k = 0 AND NOT ip THEN 'subject_name_fallback' WHEN k > 0 AND typed = 0 THEN 'untyped_names' ELSE 'typed_names' END AS scope FROM mm", "certs cert_san", MATCH))
 def _(t):
     return T.cert_hostname_match(t.certs, t.sql(SOME_SANS, "certs cert_san"))
 

@@ -20,6 +20,12 @@ def index(t: Tables):
     return R.suffix_index(t.suffix_rules)
 
 
+# Spellings of few hosts: backslashes, one slash, an octal number that is none, letters beyond ASCII, long addresses, a line break.
+SPELLED = """SELECT page_id + 10000000 AS url_id, CASE page_id % 8 WHEN 0 THEN concat('https:', chr(92), chr(92), 'evil.example.net', chr(92), 'x') WHEN 1 THEN 'https:/evil.example.net/x' WHEN 2 THEN 'http://1.2.3.08/'
+  WHEN 3 THEN 'http://münchen.example/' WHEN 4 THEN 'http://xn--mnchen-3ya.example/' WHEN 5 THEN 'http://[0:0:0:0:0:0:0:1]/' WHEN 6 THEN concat('ht', chr(10), 'tps://evil.example.net/x') ELSE 'http://[::1]/' END AS url FROM pages"""
+SPELLED_HOSTS = f"sp AS (SELECT *, CASE url_id % 8 WHEN 2 THEN NULL WHEN 3 THEN 'xn--mnchen-3ya.example' WHEN 4 THEN 'xn--mnchen-3ya.example' WHEN 5 THEN '[::1]' WHEN 7 THEN '[::1]' ELSE 'evil.example.net' END AS h FROM ({SPELLED}))"
+
+
 @query("url_parse_status", O("""
 SELECT url_id, url, st AS parse_status, CASE WHEN ok THEN sch || ':' END AS protocol,
   CASE WHEN ok THEN split_part(ui, ':', 1) END AS username, CASE WHEN ok THEN host END AS hostname,
@@ -27,16 +33,19 @@ SELECT url_id, url, st AS parse_status, CASE WHEN ok THEN sch || ':' END AS prot
   CASE WHEN ok THEN CASE WHEN path0 = '' AND sch <> 'mailto' THEN '/' ELSE path0 END END AS pathname,
   CASE WHEN ok THEN CASE WHEN query0 <> '' THEN '?' || query0 ELSE '' END END AS search,
   CASE WHEN ok THEN CASE WHEN frag0 <> '' THEN '#' || frag0 ELSE '' END END AS fragment,
-  CASE WHEN ok THEN ht END AS host_type FROM (SELECT *, st = 'SUCCESS' AS ok FROM p)""", URL_PARTS))
+  CASE WHEN ok THEN ht END AS host_type FROM (SELECT *, st = 'SUCCESS' AS ok FROM p)
+UNION ALL SELECT url_id, url, CASE WHEN h IS NULL THEN 'FAILURE' ELSE 'SUCCESS' END, CASE WHEN h LIKE 'evil%' THEN 'https:' WHEN h IS NOT NULL THEN 'http:' END, CASE WHEN h IS NOT NULL THEN '' END, h, CASE WHEN h IS NOT NULL THEN '' END,
+  CASE WHEN h LIKE 'evil%' THEN '/x' WHEN h IS NOT NULL THEN '/' END, CASE WHEN h IS NOT NULL THEN '' END, CASE WHEN h IS NOT NULL THEN '' END, CASE WHEN h LIKE '[%' THEN 'IPV6' WHEN h IS NOT NULL THEN 'DEFAULT' END FROM sp""", URL_PARTS, SPELLED_HOSTS))
 def _(t):
-    return C.url_parse_status(t.urls)
+    return C.url_parse_status(t.urls.unionByName(t.sql(SPELLED)))
 
 
 @query("url_host", O("""
 SELECT url_id, CASE WHEN st = 'SUCCESS' AND host <> '' THEN host END AS host,
-  CASE WHEN st <> 'SUCCESS' THEN 'parse_failed' WHEN host = '' THEN 'empty_host' END AS error FROM p""", URL_PARTS))
+  CASE WHEN st <> 'SUCCESS' THEN 'parse_failed' WHEN host = '' THEN 'empty_host' END AS error FROM p
+UNION ALL SELECT url_id, h, CASE WHEN h IS NULL THEN 'parse_failed' END FROM sp""", URL_PARTS, SPELLED_HOSTS))
 def _(t):
-    return C.url_host(t.urls)
+    return C.url_host(t.urls.unionByName(t.sql(SPELLED)))
 
 
 @query("url_query_params", O("""
@@ -149,7 +158,7 @@ ADMIT_URLS = """
 SELECT page_id AS url_id, CASE page_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN concat('http://h', CAST(page_id AS STRING), '.example.net:6379/') WHEN 2 THEN 'http://127.0.0.1/'
   WHEN 3 THEN 'https://a:b@example.net/' WHEN 4 THEN 'gopher://x/' WHEN 5 THEN concat('https://example.net/', repeat('x', 2100)) WHEN 6 THEN 'https://example.net:70000/'
   WHEN 7 THEN 'http://8.8.8.8/' ELSE concat('http://h', CAST(page_id AS STRING), '.example.net/') END AS url FROM pages"""
-PRIVATE = r"(ip LIKE '10.%' OR ip LIKE '127.%')"
+PRIVATE = r"(ip LIKE '10.%' OR ip LIKE '127.%' OR ip LIKE '2001:db8:%')"
 
 
 @query("admission_reason", with_fixtures(f"""

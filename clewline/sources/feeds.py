@@ -1,6 +1,9 @@
 """Feed and dataset readers, feed union and checks, and sinks."""
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -8,6 +11,7 @@ from ..functions.logic import first_true
 from ..operators.domains import etld1
 from ..operators.url_checks import feed_active_flag, with_rejection
 from ..refdata import SuffixIndex
+from ..session import materialise
 
 FEED_COLUMNS = ("url", "label", "category", "source", "source_id", "source_status", "collected_at")
 REQUIRED_FIELDS = ("label", "category", "source", "collected_at")
@@ -95,28 +99,30 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def numbered(df: DataFrame, start: int = 2) -> DataFrame:
-    """Row numbers in file order from per-partition counts: no sort and no single-task window."""
-    d = df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    sizes = {r["_pid"]: r["n"] for r in d.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
-    offset, pairs = start, []
-    for pid in sorted(sizes):
-        pairs += [F.lit(pid), F.lit(offset).cast("bigint")]
-        offset += sizes[pid]
-    if not pairs:
-        return d.withColumn("row_number", F.lit(None).cast("bigint")).drop("_pid", "_mid")
-    within = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return d.withColumn("row_number", F.create_map(*pairs)[F.col("_pid")] + within).drop("_pid", "_mid")
+def numbered(rows: DataFrame, start: int = 2) -> DataFrame:
+    """Row numbers of a written table (path, block, place, ...) in order of file names, blocks and places.
+
+    Each block counts its own rows; a running sum over the blocks, one short row each, says how many come before. Blocks
+    are joined by path and start, so neither their number nor the order in which tasks read them matters.
+    """
+    blocks = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(Window.orderBy("path", "block")) - F.col("n")
+    at = blocks.select("path", "block", "first", before.alias("before"))
+    j = rows.join(at, ["path", "block"])
+    return j.withColumn("row_number", F.lit(start) + F.col("before") + F.col("place") - F.col("first")).drop("path", "block", "place", "first", "before")
 
 
 def read_url_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """URL dataset CSV with row numbers from 2; a missing column is an error that names it."""
+    """URL dataset CSV with row numbers from 2, files in order of name; a missing column is an error that names it."""
     cols = spark.read.option("header", True).csv(path).columns
     missing = sorted(set(DATASET_COLUMNS) - set(cols))
     if missing:
         raise ValueError(f"dataset CSV is missing required columns: {missing}")
     d = spark.read.schema(_text(cols)).option("header", True).option("escape", '"').csv(path)
-    return numbered(d.select(*[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in DATASET_COLUMNS]))
+    # Rows of a block are read one after the other, so within a block their ids grow by one.
+    placed = d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+                      *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in DATASET_COLUMNS])
+    return numbered(materialise(placed, "dataset"))
 
 
 def read_ranked_domains(docs: DataFrame, index: SuffixIndex, n: int, col: str = "body") -> DataFrame:
@@ -160,10 +166,23 @@ def new_attempts(incoming: DataFrame, existing: DataFrame, keys=("job_id", "atte
     return incoming.join(known, list(keys), "left_anti"), incoming.join(known, list(keys), "left_semi")
 
 
-def write_attempt_immutable(raws: DataFrame, records: DataFrame, base: str, day: str) -> None:
-    """Raw rows first, records last; each write is its own new folder, never an overwrite."""
-    raws.write.mode("errorifexists").parquet(f"{base}/raw/dt={day}")
-    records.write.mode("errorifexists").parquet(f"{base}/records/dt={day}")
+def write_attempt_immutable(raws: DataFrame, records: DataFrame, base: str, day: str) -> DataFrame:
+    """Raw rows first, records last, each batch in a new folder of its day; an attempt that is stored is refused, never overwritten.
+
+    Returns the refused records. Stored are the attempts of all records written before, of any day.
+    """
+    spark = raws.sparkSession
+    key = ["job_id", "attempt"]
+    try:
+        known = spark.read.parquet(f"{base}/records").select(*key).distinct()
+    except AnalysisException:  # nothing is written yet
+        known = spark.createDataFrame([], records.select(*key).schema)
+    new, refused = new_attempts(records, known)
+    refused = materialise(refused, "refused")
+    batch = uuid.uuid4().hex
+    raws.join(new.select(*key).distinct(), key, "left_semi").write.mode("errorifexists").parquet(f"{base}/raw/dt={day}/batch={batch}")
+    new.write.mode("errorifexists").parquet(f"{base}/records/dt={day}/batch={batch}")
+    return refused
 
 
 def dataset_summary(dataset: DataFrame) -> DataFrame:
