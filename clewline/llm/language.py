@@ -24,8 +24,8 @@ LONGEST_GROUP = 4
 PRIOR, LEAST_PART, LOWEST = 2, 0.5, 0.01
 #: Held-out documents of a language without which nothing is said about what fits it.
 LEAST_HELD = 20
-#: Chunks whose scores a worker keeps.
-KEPT_CHUNKS = 60_000
+#: Words whose scores a worker keeps.
+KEPT_WORDS = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -56,8 +56,8 @@ class LanguageModel:
 
     def __init__(self, langs: list[str], tables: list[dict[str, int]], weights: np.ndarray, fitting: dict[str, tuple[float, float]] | None = None):
         self.langs, self.tables, self.weights, self.fitting = langs, tables, weights, fitting or {}
+        self.plain: list[list[float]] = weights.tolist()
         self.kept: dict[str, int] = {}
-        self.kept_words: dict[str, np.ndarray] = {}
         self.rows = np.zeros((1024, len(langs) + 2))
 
     def __getstate__(self):
@@ -66,52 +66,44 @@ class LanguageModel:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def add_word(self, word: str, out: np.ndarray) -> None:
-        """Adds the score of a word by language to the first places of ``out``, then whether it is known, and one to its last."""
-        out[-1] += 1
+    def word_score(self, word: str) -> list[float]:
+        """Score by language, whether the word is known, and one."""
         at = self.tables[0].get(word)
         if at is not None:
-            out[-2] += 1
-            out[:-2] += self.weights[at]
-            return
+            return [*self.plain[at], 1.0, 1.0]
         padded = f" {word} "
         for k in range(LONGEST_GROUP, 0, -1):
             get = self.tables[k].get
-            known = [r for i in range(len(padded) - k + 1) if (r := get(padded[i : i + k])) is not None]
+            known = [self.plain[r] for i in range(len(padded) - k + 1) if (r := get(padded[i : i + k])) is not None]
             if known:
-                out[:-2] += np.add.reduce(self.weights.take(known, 0), 0) / len(known)
-                return
-
-    def chunk_score(self, chunk: str) -> np.ndarray:
-        """Sum over the words of a stretch without white space, and their number; of its words, those met before are looked up."""
-        low, kept = chunk.lower(), self.kept_words
-        out = np.zeros(len(self.langs) + 2)
-        for word in (low,) if low.isascii() and low.isalpha() else LETTERS.findall(low):
-            score = kept.get(word)
-            if score is None:
-                score = np.zeros(len(self.langs) + 2)
-                self.add_word(word, score)
-                if len(kept) < KEPT_CHUNKS and len(word) <= 64:
-                    kept[word] = score
-            out += score
-        return out
+                return [*[sum(column) / len(known) for column in zip(*known)], 0.0, 1.0]
+        return [*[0.0] * len(self.langs), 0.0, 1.0]
+
+    def word_row(self, word: str) -> int:
+        """Place in ``rows`` of a word's score; the last place holds that of a word that is not kept."""
+        at = len(self.kept) if len(self.kept) < KEPT_WORDS and len(word) <= 64 else -1
+        if at >= 0:
+            self.kept[word] = at
+            if at >= len(self.rows) - 1:
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[at] = self.word_score(word)
+        return at
 
     def text_score(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        kept, places, extra = self.kept, [], np.zeros(len(self.langs) + 2)
-        for chunk in chunks:
-            at = kept.get(chunk)
+        """Sum over the words of a text, by language, of known ones, and of all."""
+        counts = Counter(LETTERS.findall(text.lower()))
+        get, extra = self.kept.get, np.zeros(len(self.langs) + 2)
+        places, times = [], []
+        for word, n in counts.items():
+            at = get(word)
             if at is None:
-                score = self.chunk_score(chunk)
-                if len(kept) >= KEPT_CHUNKS or len(chunk) > 64:
-                    extra += score
+                at = self.word_row(word)
+                if at < 0:
+                    extra += n * self.rows[-1]
                     continue
-                at = kept[chunk] = len(kept)
-                if at >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[at] = score
             places.append(at)
-        return self.rows[places].sum(axis=0) + extra if places else extra
+            times.append(n)
+        return np.array(times, dtype=float) @ self.rows[places] + extra if places else extra
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, share of known words, and whether the text fits the language."""
