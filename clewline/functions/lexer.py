@@ -30,7 +30,7 @@ def read(source: str) -> tuple[str, list[str]]:
     texts: list[str] = []
     blocks: list[int] = []  # open braces: the literal that an insertion belongs to, or -1 for a block
     parens: list[bool] = []  # open parentheses: whether they hold a condition
-    at, value, word = 0, False, ""  # value: whether what came before is one, so that a slash divides it
+    at, value, word, closed = 0, False, "", 0  # value: whether what came before is one, so that a slash divides it
 
     def template(own: int, at: int) -> int:
         end = _TEMPLATE.match(source, at).end()
@@ -42,10 +42,14 @@ def read(source: str) -> tuple[str, list[str]]:
         return end + 1
 
     while at < len(source):
-        if source[at] == "/" and not value and not source.startswith(("//", "/*"), at) and (m := _REGEX.match(source, at)):
-            out.append("/r/")
-            at, value, word = m.end(), True, ""
-            continue
+        if source[at] == "/" and not value and at >= closed and not source.startswith(("//", "/*"), at):
+            if m := _REGEX.match(source, at):
+                out.append("/r/")
+                at, value, word = m.end(), True, ""
+                continue
+            # One that does not end on its line leaves no other to look for there.
+            line = source.find("\n", at)
+            closed = line if line >= 0 else len(source)
         m = _TOKEN.match(source, at)
         kind, text = m.lastgroup, m.group()
         at = m.end()

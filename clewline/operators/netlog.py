@@ -130,33 +130,33 @@ def span_stats(spans: DataFrame) -> DataFrame:
     Ranks are found digit by digit: the counts of the leading digits (combined before the shuffle, at most 2^12 for a
     group) say which digit holds a rank, and the next round counts only what shares it.
     """
-    key = ["run_id", "name"]
-    d = spans.select("run_id", "name", "success", (F.col("end_ms") - F.col("start_ms")).alias("d"))
+    # One text names a group, also where a part of its name is missing.
+    g = F.to_json(F.struct("run_id", "name"), {"ignoreNullFields": "false"})
+    d = spans.select(g.alias("g"), "run_id", "name", "success", (F.col("end_ms") - F.col("start_ms")).alias("d"))
     lowest, highest = d.agg(F.min("d"), F.max("d")).first()
-    groups = d.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failures"), F.count("d").alias("m"))
+    groups = d.groupBy("g", "run_id", "name").agg(F.count("*").alias("n"), F.count_if(~F.col("success")).alias("failures"), F.count("d").alias("m"))
     if lowest is None:
-        return groups.select(*key, "n", "failures", *[F.lit(None).cast("double").alias(q) for q in QUANTILES])
+        return groups.select("run_id", "name", "n", "failures", *[F.lit(None).cast("double").alias(q) for q in QUANTILES])
     # Values are counted from the least one, so digits are never negative.
-    v = d.where("d IS NOT NULL").select(*key, (F.col("d") - lowest).alias("v"))
+    v = d.where("d IS NOT NULL").select("g", (F.col("d") - lowest).alias("v"))
     rounds = max(1, -(-(highest - lowest).bit_length() // DIGIT))
     at = lambda q: (F.col("m") - 1) * F.lit(q)
     ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), rank(at(q)).cast("bigint").alias("rank")) for name, q in QUANTILES.items() for side, rank in (("low", F.floor), ("high", F.ceil))])
-    open_ = materialise(groups.where("m > 0").select(*key, F.explode(ranks).alias("r")).select(*key, "r.*", F.lit(0).cast("bigint").alias("prefix")), "ranks")
+    open_ = materialise(groups.where("m > 0").select("g", F.explode(ranks).alias("r")).select("g", "r.*", F.lit(0).cast("bigint").alias("prefix")), "ranks")
     for k in reversed(range(rounds)):
         shift = k * DIGIT
         own = v.withColumn("prefix", F.shiftright("v", shift + DIGIT)).withColumn("digit", F.shiftright("v", shift).bitwiseAND(F.lit((1 << DIGIT) - 1)))
         if k < rounds - 1:
-            own = own.join(open_.select(*key, "prefix").distinct(), [*key, "prefix"], "left_semi")
-        counts = own.groupBy(*key, "prefix", "digit").agg(F.count("*").alias("c"))
-        w = Window.partitionBy(*key, "prefix").orderBy("digit")
-        upto = counts.select(*key, "prefix", "digit", F.sum("c").over(w).alias("upto"), "c")
-        hit = open_.join(upto, [*key, "prefix"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
-        open_ = materialise(hit.select(*key, "q", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix")), "ranks")
+            own = own.join(open_.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
+        counts = own.groupBy("g", "prefix", "digit").agg(F.count("*").alias("c"))
+        w = Window.partitionBy("g", "prefix").orderBy("digit")
+        upto = counts.select("g", "prefix", "digit", F.sum("c").over(w).alias("upto"), "c")
+        hit = open_.join(upto, ["g", "prefix"]).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+        open_ = materialise(hit.select("g", "q", "side", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), (F.shiftleft("prefix", DIGIT) + F.col("digit")).alias("prefix")), "ranks")
     side = lambda name, s: F.max(F.when((F.col("q") == name) & (F.col("side") == s), F.col("prefix") + lowest))
-    found = open_.groupBy(*key).agg(*[side(name, s).alias(f"{name}_{s}") for name in QUANTILES for s in ("low", "high")])
-    j = groups.alias("g").join(found.alias("f"), F.col("g.run_id").eqNullSafe(F.col("f.run_id")) & F.col("g.name").eqNullSafe(F.col("f.name")), "left")
+    found = open_.groupBy("g").agg(*[side(name, s).alias(f"{name}_{s}") for name in QUANTILES for s in ("low", "high")])
     between = lambda name, q: F.col(f"{name}_low") + (at(q) - F.floor(at(q))) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
-    return j.select("g.run_id", "g.name", "n", "failures", *[between(name, q).cast("double").alias(name) for name, q in QUANTILES.items()])
+    return groups.join(found, "g", "left").select("run_id", "name", "n", "failures", *[between(name, q).cast("double").alias(name) for name, q in QUANTILES.items()])
 
 
 def reputation_stats(engines: DataFrame) -> DataFrame:

@@ -108,9 +108,9 @@ def json_pointer(docs: DataFrame, pointer: str | Column, col: str = "body") -> D
     names = F.transform(names, lambda x: F.replace(F.replace(x, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
 
     def step(at, name):
-        quoted = F.concat(F.lit("$['"), F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("']"))
-        place = F.when(name.rlike("^(0|[1-9][0-9]{0,8})$"), F.concat(F.lit("$["), name, F.lit("]")))
-        return F.coalesce(F.try_variant_get(at, quoted, "variant"), F.try_variant_get(at, place, "variant"))
+        members, items = F.try_variant_get(at, "$", "map<string,variant>"), F.try_variant_get(at, "$", "array<variant>")
+        place = F.when(name.rlike("^(0|[1-9][0-9]{0,8})$"), name.cast("int"))
+        return F.coalesce(members[name], F.get(items, place))
 
     got = F.when(F.col("problem").isNull(), F.aggregate(names, F.col("_v"), step))
     out = rows.withColumn("_got", got)
