@@ -46,7 +46,9 @@ DENSE_SCRIPT = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30f
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is never main text.
-OUTSIDE = frozenset("aside button dialog fieldset footer form head header legend menu nav option select".split())
+OUTSIDE = frozenset("button fieldset footer head legend menu nav option select".split())
+#: Elements that stand around the main text, unless they hold most of it (a page within one form, say).
+SETTLED = frozenset("aside dialog form header".split())
 INLINE_KEPT = frozenset("button option select span".split())
 #: Elements whose content is not markup.
 RAW = "script|style|noscript|template|textarea|iframe|svg|object|title|xmp"
@@ -58,6 +60,8 @@ AROUND = frozenset(
     "pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe subscription toolbar warning widget".split())
 COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Of these, words that also name subjects: inside an article a section so named stays if it holds prose.
+SUBJECTS = frozenset("promoted recommended related respond search sharing social warning widget".split())
 #: First and last parts of names that say something of an element's state or neighbours, not what it is.
 STATE_FIRST = frozenset("backface cat category has no not overflow tag term topic with without".split())
 STATE_LAST = frozenset("active allowed aware closed collapsed disabled enabled expanded off offset on open opened shown visible".split())
@@ -83,10 +87,10 @@ class Block:
 class Wrapper:
     """An element that by its names stands around the article."""
 
-    __slots__ = ("comment", "main", "hides")
+    __slots__ = ("comment", "subject", "main", "hides")
 
-    def __init__(self, comment: bool):
-        self.comment, self.main, self.hides = comment, False, True
+    def __init__(self, comment: bool, subject: bool = False):
+        self.comment, self.subject, self.main, self.hides = comment, subject, False, True
 
 
 def _hidden(attributes: str) -> bool:
@@ -110,7 +114,7 @@ def _named(tag: str, attributes: str) -> Wrapper | None:
     hit = words & AROUND
     if tag in HEADINGS:
         hit = hit - {"header", "banner"}
-    return Wrapper(bool(words & COMMENTS)) if hit or words & COMMENTS else None
+    return Wrapper(bool(words & COMMENTS), hit <= SUBJECTS) if hit or words & COMMENTS else None
 
 
 def _prose_chars(b: Block, least: int) -> int:
@@ -121,7 +125,8 @@ def _prose_chars(b: Block, least: int) -> int:
 def _settle(found: list[Block]) -> None:
     """Lets wrappers hide what they hold, but not the page's main element, nor most of its prose where no article lies elsewhere.
 
-    Comments hide unless the page has no other prose.
+    Comments hide unless the page has no other prose. Inside an article a section named like a subject hides unless it
+    holds prose.
     """
     wrappers = {w: None for b in found for w in b.wrappers}
     if not wrappers:
@@ -140,8 +145,9 @@ def _settle(found: list[Block]) -> None:
             for w in b.wrappers:
                 held[w] = held.get(w, 0) + size[id(b)]
     clear = any(b.article and not b.wrappers and _prose_chars(b, SHORT) for b in seen)
+    prose = {w for b in seen if b.article and _prose_chars(b, LONG) for w in b.wrappers}
     for w in wrappers:
-        if w.main:
+        if w.main or w.subject and not w.comment and w in prose:
             w.hides = False
         elif w.comment:
             w.hides = clear or within.get(w, 0) < apart or not apart
@@ -231,6 +237,8 @@ def blocks(page: str) -> list[Block]:
                     own = own if named and named.comment else ()
                 else:
                     level = 2 * (hidden or tag in OUTSIDE)
+                    if tag in SETTLED and not own:
+                        own = (Wrapper(False),)
                 if tag == "span" and (level or own):
                     close_block()
                 # Of an article's header only the headings are text.
@@ -277,7 +285,7 @@ def first_pass(found: list[Block]) -> tuple[list[bool | None], list[bool]]:
     open_: list[tuple[int, float]] = []
     total, by_name = 0, {}
     for i, b in enumerate(found):
-        if b.outside or b.linked / len(b.text) > (LINK_HIGH_IN_ARTICLE if b.article else LINK_HIGH) or b.text[0] == "©":
+        if b.outside or b.linked / len(b.text) > (LINK_HIGH_IN_ARTICLE if b.article else LINK_HIGH) or b.text[0] == "©" and not b.article:
             verdict[i] = False
         elif size[i] < SHORT:
             verdict[i] = None if b.article or not b.linked else False
@@ -303,16 +311,20 @@ def first_pass(found: list[Block]) -> tuple[list[bool | None], list[bool]]:
 def main_blocks(page: str) -> list[Block]:
     """Blocks judged to be main text.
 
-    Where a page marks an article, only what lies in it can be main text. A doubtful block follows the nearest decided
+    Where a page marks an article, only what lies in it can be main text, unless long paragraphs elsewhere are nearly all of
+    the page's prose, as where articles are teasers. A doubtful block follows the nearest decided
     block of its zone, a heading the one after it; between two at equal distance, and without any, it is main text. A
     doubtful block of prose needs main text on one side only, and is itself main text where no block is so clearly.
     """
     found = [b for b in blocks(page) if not b.outside]
-    if any(b.article for b in found):
+    inside = sum(_prose_chars(b, SHORT) for b in found if b.article)
+    beside = sum(_prose_chars(b, LONG) for b in found if not b.article)
+    alone = any(b.article for b in found) and beside <= MOST * (inside + beside)
+    if alone:
         found = [b for b in found if b.article]
-        alone = True
     else:
-        alone = False
+        for b in found:
+            b.article = False  # a teaser says nothing of the page
     first, prose = first_pass(found)
     if not alone and True not in first:
         first = [True if v is None and p else v for v, p in zip(first, prose)]

@@ -105,3 +105,30 @@ def test_related_articles_go():
     cards = "".join(f'<article class="related-card"><p>It is of the noise that is on the page {k}</p></article>' for k in range(4))
     assert h.extract(f"<article><p>{LONG}</p></article>{cards}") == LONG
     assert h.extract(f'<article class="post has-comments"><p>{LONG}</p><div class="related">{cards}</div></article>') == LONG
+
+
+ENGLISH = "This is a paragraph of ordinary English prose that the reader came for, and it goes on for a while so that it is clearly a block of the main text in the page. " * 2
+
+
+def test_a_page_inside_a_form():
+    assert h.extract(f"<body><form><div><label>Search</label><p>{ENGLISH}</p><p>{ENGLISH}</p></div></form></body>").count("ordinary") == 4
+    assert "news" not in h.extract(f"<article><p>{ENGLISH}</p><form><p>Subscribe to the news and get the best of it by mail on every day of the week, free for all of the readers</p></form></article>")
+
+
+def test_teasers_are_not_the_article():
+    teaser = "<section><article><p>A short teaser of about eighty characters that says what another page is about.</p></article></section>"
+    assert h.extract(f"<div class=story><p>{ENGLISH}</p><p>{ENGLISH}</p><p>{ENGLISH}</p></div>{teaser}").count("ordinary") == 6
+
+
+def test_sections_named_like_subjects():
+    for name in ("social-history", "related-work", "binary-search", "warning"):
+        page = f"<article><p>{ENGLISH}</p><section class='{name}'><p>special {ENGLISH}</p></section><p>{ENGLISH}</p></article>"
+        assert "special" in h.extract(page), name
+        links = f"<article><p>{ENGLISH}</p><div class='{name}'><a href=1>linky one</a> <a href=2>linky two</a></div><p>{ENGLISH}</p></article>"
+        assert "linky" not in h.extract(links), name
+    for name in ("ad", "newsletter", "comments", "cookie-notice"):
+        assert "special" not in h.extract(f"<article><p>{ENGLISH}</p><section class='{name}'><p>special {ENGLISH}</p></section><p>{ENGLISH}</p></article>"), name
+
+
+def test_signs_inside_an_article():
+    assert "©" in h.extract(f"<article><p>{ENGLISH}</p><p>© is the sign that this paragraph begins with, and it is of the article, so that it has to stay for the reader of it.</p><p>{ENGLISH}</p></article>")
