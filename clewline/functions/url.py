@@ -255,11 +255,17 @@ def with_host(df: DataFrame, url: str, out: str, kind: str | None = None) -> Dat
     return canonical_host(df.withColumn("_h0", raw_host(standard_form(F.col(url)))), "_h0", out, kind).drop("_h0")
 
 
-def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None) -> DataFrame:
+def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None, spelled: bool = False) -> DataFrame:
+    """The host of a lookup. ``spelled`` also puts letters beyond ASCII and IPv6 addresses into their one spelling, as parsing
+    a URL does; the expressions for that are long, so plans that split hosts many times leave them out."""
     h = F.col(host)
     plain = F.when(h.contains("%") & ~h.startswith("["), F.lower(percent_decode(h))).otherwise(h)
-    named = let(plain, lambda p: F.when(is_ipv6(p), F.coalesce(ipv6_text(ipv6_hex(p)), p)).otherwise(ascii_host(p)))
-    df = settle(df.withColumn("_h1", named), "_h1").withColumns({
+    if spelled:
+        named = let(plain, lambda p: F.when(is_ipv6(p), F.coalesce(ipv6_text(ipv6_hex(p)), p)).otherwise(ascii_host(p)))
+        df = settle(df.withColumn("_h1", named), "_h1")
+    else:
+        df = df.withColumn("_h1", plain)
+    df = df.withColumns({
         "_parts": F.when(numeric_tail(F.col("_h1")), F.split(F.regexp_replace("_h1", r"\.$", ""), r"\."))})
     df = df.withColumns({f"_v{i}": _ipv4_part(F.get("_parts", F.lit(i))) for i in range(4)})
     df = df.withColumn("_ip", _ipv4_value(F.size("_parts"), [F.col(f"_v{i}") for i in range(4)]))
@@ -282,7 +288,7 @@ def with_parts(df: DataFrame, col: str = "url") -> DataFrame:
     out = out.withColumns({
         "_user": F.regexp_extract("_auth", r"^(.*)@", 1), "_hp": F.regexp_replace("_auth", r"^.*@", "")}).withColumns({
         "_h0": F.lower(F.regexp_replace("_hp", r":[^:\]]*$", "")), "_port": F.regexp_extract("_hp", r":([^:\]]*)$", 1)})
-    out = canonical_host(out, "_h0", "_host", "_kind")
+    out = canonical_host(out, "_h0", "_host", "_kind", spelled=True)
     special = F.col("_sch").isin(*SPECIAL_SCHEMES)
     port_ok = (F.col("_port") == "") | (F.col("_port").rlike(r"^[0-9]{1,5}$") & (F.col("_port").try_cast("int") <= 65535))
     bad = (
