@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import url as U
 from ..functions.logic import any3, first_true, joined, not3
-from ..refdata import FIELD_AUTOCOMPLETE, FIELD_TOKENS, FIELD_TYPES, SuffixIndex, suffix_index
+from ..refdata import FIELD_AUTOCOMPLETE, FIELD_TOKENS, FIELD_TYPES, SuffixIndex
 from . import markup as M
 from .domains import etld1, url_relations
 
@@ -333,7 +333,7 @@ def form_action_domain(forms: DataFrame, index: SuffixIndex) -> DataFrame:
     return d.select("page_id", "form_id", (F.col("dest") == F.col("own")).alias("domain_match"), F.lit(None).cast("boolean").alias("detected"))
 
 
-def external_post(pages: DataFrame, forms: DataFrame, buttons: DataFrame, rules: DataFrame) -> DataFrame:
+def external_post(pages: DataFrame, forms: DataFrame, buttons: DataFrame, rules: DataFrame | SuffixIndex) -> DataFrame:
     """Posts to another site scope; unresolved destinations keep the page undecided, and to one without posts it does not apply."""
     f = forms.where("method = 'post'").select("page_id", "url", F.col("action_url").alias("dest"))
     b = buttons.where("form_id IS NOT NULL AND type IN ('submit', 'image') AND NOT disabled AND effective_method = 'post'")
@@ -406,7 +406,7 @@ def link_cap(links: DataFrame, flagged: DataFrame, n: int = 40) -> DataFrame:
     return g.select("page_id", kept.alias("kept"), (F.col("links") - kept).alias("omitted_n"))
 
 
-def host_profile(pages: DataFrame, index: SuffixIndex, rules: DataFrame) -> DataFrame:
+def host_profile(pages: DataFrame, rules: DataFrame | SuffixIndex) -> DataFrame:
     """Per host: pages, links, links to another site scope and whether its labels are word-split."""
     links = url_relations(page_links(pages).select("page_id", "url", "destination"), rules, "url", "destination")
     per_page = links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_if(~F.col("same_site_scope")).alias("external"))

@@ -199,7 +199,7 @@ def _(t):
     fields = materialise(P.credential_classify(P.page_inputs(controls)), "fields")
     bases = P.page_base(pp)
     known = lambda df: df.withColumn("detected", F.coalesce("detected", F.lit(False)))  # noqa: E731  only a cut page leaves these unknown
-    posts = P.external_post(pp.withColumn("source_complete", F.lit(True)), forms, P.page_buttons(controls, forms), t.suffix_rules).where("posts > 0")
+    posts = P.external_post(pp.withColumn("source_complete", F.lit(True)), forms, P.page_buttons(controls, forms), index).where("posts > 0")
     at_ = at()
     journeys, hops, responses, certs, sans = t.journeys, materialise(t.hops, "hops"), t.responses, t.certs, t.cert_san
     some = t.sql(SOME_SANS, "certs cert_san")

@@ -219,7 +219,7 @@ def _(t):
 SELECT {HOST} AS hostname, count(*) AS pages, sum(coalesce(links, 0))::BIGINT AS links, sum(coalesce(external, 0))::BIGINT AS external_links, bool_or(regexp_matches({HOST}, '[-_]')) AS word_split FROM b LEFT JOIN hl USING (page_id) GROUP BY 1""",
   PP, B, LINKS, "hl AS (SELECT page_id, count(*) AS links, count(*) FILTER (href LIKE 'http%' OR page_id % 9 = 0) AS external FROM lk GROUP BY 1)"))
 def _(t):
-    return P.host_profile(t.pages_plus, index(t), t.suffix_rules)
+    return P.host_profile(t.pages_plus, t.suffix_rules)
 
 
 SCRIPTS = """sx AS (SELECT page_id, url, k, org, i, x, regexp_extract(x, '(?is)^<script[^>]*>(.*)</script>$', 1) AS body, regexp_extract(x, 'src="([^"]*)"', 1) AS src FROM (

@@ -7,11 +7,13 @@ broadcast.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .session import materialise
+
 # --- Fixed values: TLDs with a high phishing score, list version tld_black-2026Q2 ---
 HIGH_PHISHING_TLDS = (
     "bond", "cam", "cc", "cfd", "click", "cyou", "fit", "fyi", "garden", "help", "homes", "icu", "ink",
@@ -125,45 +127,39 @@ def script_apis(spark: SparkSession) -> DataFrame:
     return table(spark, [(k, a) for k, apis in SCRIPT_APIS.items() for a in apis], "kind api")
 
 
-MAX_LOCAL_ROWS = 100_000
-
-
-def localise(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> list | None:
-    """Rows of a rule table whose size is checked first; None when it is larger than the bound."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+#: Sections of a suffix list, in the order of their bits.
+SUFFIX_SECTIONS = ("icann", "private", "supplement")
 
 
 @dataclass(frozen=True)
 class SuffixIndex:
-    """One row per suffix name with bit flags (1 plain, 2 wildcard below it, 4 exception)."""
+    """One row per suffix name; ``flags`` has three bits a section (1 plain, 2 wildcard below it, 4 exception)."""
 
     frame: DataFrame
     depth: int
+    sections: tuple[str, ...] = ("icann",)
+
+    @staticmethod
+    def bits(flag: int, sections: tuple[str, ...]) -> int:
+        return sum(flag << 3 * SUFFIX_SECTIONS.index(s) for s in sections)
 
 
-def suffix_index(rules: DataFrame, sections: tuple[str, ...] = ("icann",)) -> SuffixIndex:
-    """Fold a rule table (rule, section) for label-tail lookups.
+def suffix_index(rules: DataFrame | SuffixIndex, sections: tuple[str, ...] = ("icann",)) -> SuffixIndex:
+    """Fold a rule table (rule, section) for label-tail lookups under ``sections``; an index is taken as it is.
 
-    A list of at most ``MAX_LOCAL_ROWS`` rules becomes a local relation, so every lookup is a
-    map-side join. A larger one stays distributed and Spark joins it by shuffle.
+    The folded list holds all sections and is written once, so Spark knows its size: a small one joins map-side, a larger
+    one by shuffle, on the same plan. Only the greatest number of labels comes to the driver. Rules without text or of
+    other sections say nothing.
     """
-    chosen = rules.where(F.col("section").isin(*sections)).select("rule")
-    rows = localise(chosen)
-    if rows is None:
-        name = F.regexp_replace(F.lower("rule"), r"^(\*\.|!)", "")
-        flag = F.when(F.col("rule").startswith("*."), 2).when(F.col("rule").startswith("!"), 4).otherwise(1)
-        frame = chosen.groupBy(name.alias("suffix_key")).agg(F.bit_or(flag).cast("int").alias("flags"))
-        depth = chosen.agg(F.max(F.size(F.split("rule", r"\."))).alias("d")).first()["d"] or 1
-        return SuffixIndex(frame, depth)
-    flags: dict[str, int] = {}
-    for (rule,) in rows:
-        rule = rule.lower()
-        bit = 2 if rule.startswith("*.") else 4 if rule.startswith("!") else 1
-        name = rule[2:] if bit == 2 else rule[1:] if bit == 4 else rule
-        flags[name] = flags.get(name, 0) | bit
-    return SuffixIndex(table(rules.sparkSession, sorted(flags.items()), "suffix_key flags"),
-                       max((k.count(".") + 1 for k in flags), default=1))
+    if isinstance(rules, SuffixIndex):
+        return replace(rules, sections=sections)
+    flag = F.when(F.col("rule").startswith("*."), 2).when(F.col("rule").startswith("!"), 4).otherwise(1)
+    place = F.coalesce(*[F.when(F.col("section") == s, SuffixIndex.bits(1, (s,))) for s in SUFFIX_SECTIONS])
+    name = F.regexp_replace(F.lower("rule"), r"^(\*\.|!)", "")
+    folded = rules.where(F.col("rule").isNotNull() & place.isNotNull()).groupBy(name.alias("suffix_key")).agg(
+        F.bit_or(flag * place).cast("int").alias("flags"))
+    frame = materialise(folded, "suffixes")
+    return SuffixIndex(frame, frame.agg(F.max(F.size(F.split("suffix_key", r"\.")))).first()[0] or 1, sections)
 
 
 def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:

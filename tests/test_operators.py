@@ -43,11 +43,26 @@ def test_domain_split(spark, rules, host, parts):
     assert (got["subdomain"], got["domain"], got["suffix"], got["registered_domain"]) == parts
 
 
-def test_suffix_index_beyond_local_bound_gives_the_same_answer(spark, rules, monkeypatch):
-    hosts = R.table(spark, [("a.b.example.co.uk",), ("x.y.ck",), ("www.ck",)], "hostname")
-    small = rows(D.domain_split(hosts, R.suffix_index(rules)), "hostname", "registered_domain")
-    monkeypatch.setattr(R, "localise", lambda df, max_rows=0: None)
-    assert rows(D.domain_split(hosts, R.suffix_index(rules)), "hostname", "registered_domain") == small
+def test_suffix_index_joined_by_shuffle_gives_the_same_answer(spark, rules):
+    hosts = R.table(spark, [("a.b.example.co.uk",), ("x.y.ck",), ("www.ck",), ("a.pages.dev",), ("x.weebly.com",), ("10.0.0.1",), ("b.com.",)], "hostname")
+    without_text = rules.union(spark.sql("SELECT CAST(NULL AS string), 'icann' UNION ALL SELECT 'example.com', 'elsewhere'"))
+
+    def answers(given):
+        index = R.suffix_index(given)
+        pairs = hosts.selectExpr("concat('https://', hostname, '/') AS a", "concat('http://www.', hostname) AS b")
+        return (rows(D.domain_split(hosts, index), "hostname", "registered_domain"), rows(D.site_scope(hosts, index), "hostname", "site_scope"),
+                rows(D.responsibility_boundary(hosts, index), "hostname", "registrable_unit", "responsibility_boundary", "platform_match"),
+                rows(D.url_relations(pairs, index, "a", "b"), "a", "same_host", "same_icann_domain", "same_site_scope"))
+
+    small = answers(rules)
+    assert small[1] == rows(D.site_scope(hosts, rules), "hostname", "site_scope")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answers(without_text) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
 @pytest.mark.parametrize("ref,base,want", [
