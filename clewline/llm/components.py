@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .grouped import salted
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +22,18 @@ def components(links: DataFrame) -> DataFrame:
         both = open_.select("a", "b").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "roots")
         while True:
-            above = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            jumped = materialise(up.join(above, "root").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+            above = up.select(F.col("v").alias("root"), F.col("root").alias("next")).join(up.select("root").distinct(), "root")
+            jumped = salted(up, above, "root", "v").select("v", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            jumped = materialise(jumped, "roots")
             up = jumped.select("v", "root")
             if jumped.where("moved").isEmpty():
                 break
         if labels is None:
             labels = up
         else:
-            above = up.select(F.col("v").alias("root"), F.col("root").alias("next"))
-            labels = materialise(labels.join(above, "root", "left").select("v", F.coalesce("next", "root").alias("root")), "labels")
+            # Few vertices are still open: their new roots go to each old root once, and from there to all its rows.
+            above = labels.select("root").distinct().join(up.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left")
+            labels = materialise(salted(labels, above, "root", "v").select("v", F.coalesce("next", "root").alias("root")), "labels")
         ends = up.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         other = up.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         rest = open_.join(ends, "a").join(other, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()

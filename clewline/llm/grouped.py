@@ -5,7 +5,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+#: A key that more than one row in so many has is joined map-side; there are fewer of them than this.
+HOT = 1000
+SALTS = 16
 
 
 def map_groups(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -38,3 +42,18 @@ def map_groups(rows: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Rec
                 yield out
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def uneven(rows: DataFrame, facts: DataFrame, key: str, times: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` inner joined with ``facts``, which has a row per key and in ``times`` how many of the ``total`` rows have it:
+    first those of the few keys that very many rows have (at most ``HOT``, so broadcast), then the others, shuffled."""
+    many = F.col(times) * HOT > total
+    hot = facts.where(many)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(~many), key)
+    return rows.join(F.broadcast(hot), key), others
+
+
+def salted(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` inner joined with ``facts`` (a short row per key); rows of one key are dealt over ``SALTS`` tasks by the column ``by``."""
+    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")

@@ -36,9 +36,11 @@ def compare(frame, rows):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
-@pytest.mark.parametrize("tile", [4096, 16])
-def test_clusters(frame, monkeypatch, tile):
+@pytest.mark.parametrize("tile,block", [(4096, v.BLOCK_BYTES), (16, v.BLOCK_BYTES), (7, 20 * 8 * 32)])
+def test_clusters(frame, monkeypatch, tile, block):
     monkeypatch.setattr(v, "TILE", tile)
+    monkeypatch.setattr(v, "BLOCK_BYTES", block)
+    monkeypatch.setattr(v, "FAN", 2)
     rng = np.random.default_rng(8)
     rows = []
     for c in range(30):
@@ -69,4 +71,38 @@ def test_pruned_product_equals_full_product():
     u = v.unit(x)
     want = {(a, b) for a, b in zip(*np.nonzero(u @ u.T >= 0.95))}
     for turn in (None, v.rotation(x)):
-        assert set(zip(*v.linked_pairs(x, x, turn, 0.95))) == want
+        tile, got = v.prepared(x, turn), set()
+        for rows, columns, near in v.hits(tile, tile, 0.95):
+            i, j = np.nonzero(near)
+            got |= set(zip(rows[i], columns[j]))
+        assert got == want
+
+
+def test_pair_of_blocks_counts_links_and_joins_components():
+    """A chain, where each row is near the next only: one component over many tiles, each link counted on both sides."""
+    angles = np.arange(60) * 0.3
+    x = np.stack([np.cos(angles / 4), np.sin(angles / 4)], axis=1)
+    keys = [bytes([k]) * 16 for k in range(60)]
+    near = x @ x.T >= 0.995
+    pair = v.BlockPair(0.995)
+    for low in range(0, 60, 8):
+        part = slice(low, low + 8)
+        pair.add(keys[part], np.full(len(keys[part]), 3), v.prepared(x[part], None), True, True)
+    out = pair.result().to_pylist()
+    assert {r["key"]: r["links"] for r in out if r["other"] is None} == {k: 3 * (int(n) - 1) for k, n in zip(keys, near.sum(axis=1))}
+    edges = [(r["key"], r["other"]) for r in out if r["other"] is not None]
+    assert len(edges) == 59 and max(sum(k in e for e in edges) for k in keys) <= v.FAN + 1
+    only = v.BlockPair(0.995)
+    only.add(keys[:4], np.ones(4), v.prepared(x[:4], None), True, False)
+    assert only.result() is None
+    only.add(keys[4:8], np.ones(4), v.prepared(x[4:8], None), False, True)
+    assert {r["key"]: r["links"] for r in only.result().to_pylist() if r["other"] is None} == {keys[3]: 1, keys[4]: 1}
+
+
+def test_blocks_hold_what_fits_and_skip_the_far(monkeypatch):
+    counts = [(4, 0, 10), (4, 1, 10), (4, 4000, 500), (8, 7, 3)]
+    monkeypatch.setattr(v, "BLOCK_BYTES", 100 * 8 * 4)
+    homes, boxes = v.blocks(counts)
+    assert homes == [(4, 0, 0, 1), (4, 1, 0, 1), (4, 4000, 1, 5), (8, 7, 6, 3)]
+    assert len(boxes) == 9 and boxes[0][2:] == (-1.0, -1.0, -1.0, -1 + 2 / 32, -1 + 2 / 16, -1 + 2 * 2 / 8)
+    assert v.blocks([]) == ([], [])
