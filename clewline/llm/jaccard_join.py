@@ -24,7 +24,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from ..session import materialise
 from .components import components
-from .grouped import map_groups
+from .grouped import map_groups, salted, uneven
 from .registry import query, release, table
 
 THRESHOLD = 0.8
@@ -224,8 +224,9 @@ def _leaves(texts: DataFrame, runs: range, threshold: float) -> tuple[list[DataF
     found, depth = [], 1
     level = materialise(_roots(texts, runs, threshold), "paths")
     while True:
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = materialise(level.join(sizes, "node").dropDuplicates(["node", "key"]), "paths")
+        sizes = materialise(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        hot, others = uneven(level, sizes, "node", "size", level.count())
+        sized = materialise(hot.dropDuplicates(["node", "key"]).unionByName(others.dropDuplicates(["node", "key"])), "paths")
         ends = (F.col("size") <= LEAF) | ((F.col("above") > 0) & (F.col("size") >= DENSE * threshold * F.col("above")))
         found.append(sized.where(ends).select("node", "key"))
         rest = sized.where(~ends)
@@ -377,15 +378,19 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         leaves = leaves.union(p)
 
     sized = leaves.join(texts.select("key", "n_shingles"), "key").groupBy("node").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"))
-    tiles = sized.select("node", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") * 8 / TILE_BYTES)).cast("int").alias("tiles"))
-    of_key = leaves.groupBy("key").agg(F.collect_list("node").alias("leaves"))
+    cuts = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") * 8 / TILE_BYTES)).cast("int")
+    tiles = materialise(sized.select("node", "size", cuts.alias("tiles")), "tiles")
+    # Leaves learn their number of tiles while their rows are short; a text then has all its leaves in one row.
+    hot, others = uneven(leaves, tiles, "node", "size", leaves.count())
+    of_key = hot.unionByName(others).groupBy("key").agg(F.collect_list(F.struct("node", "tiles")).alias("at"))
+
     @arrow_udf(BinaryType())
     def low_bytes(column: pa.Array) -> pa.Array:
         matrix = (_token_matrix(column) & 255).astype(np.uint8) if len(column) else []
         return pa.array([m.tobytes() for m in matrix], pa.binary())
 
-    members = of_key.join(texts.select("key", low_bytes(F.col("tokens")).alias("short")), "key").select("key", "leaves", "short", F.explode("leaves").alias("node"))
-    tiled = members.join(tiles, "node").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    members = of_key.join(texts.select("key", low_bytes(F.col("tokens")).alias("short")), "key").select("key", F.col("at.node").alias("leaves"), "short", F.explode("at").alias("own"))
+    tiled = members.select("key", "leaves", "short", "own.node", "own.tiles").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     paired = tiled.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "node", F.least("tile", "mate").alias("low"), F.greatest("tile", "mate").alias("high"), "tile", "key", "leaves", "short")
     place = ["node", "low", "high"]
@@ -408,13 +413,18 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _classes(rows: DataFrame, texts: DataFrame, degree: DataFrame, group: DataFrame) -> DataFrame:
     known = texts.select("key", "copies").join(degree, "key", "left").join(group.withColumnRenamed("vertex", "key"), "key", "left").select(
-        "key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component"))
+        "key", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    heads = rows.where("n_shingles > 0").groupBy("key").agg(F.min(first).alias("head"))
-    heads = known.join(heads, "key").groupBy("component").agg(F.min("head").alias("head"))
-    by_text = known.join(heads, "component").select("key", "n_links", "head")
+    own = rows.where("n_shingles > 0").groupBy("key").agg(F.min(first).alias("head"))
+    known = materialise(known.join(own, "key"), "known")
+    linked = known.where("component IS NOT NULL")
+    heads = linked.groupBy("component").agg(F.min("head").alias("head"))
+    by_text = salted(linked.drop("head"), heads, "component", "key").select("key", "copies", "n_links", "head").unionByName(
+        known.where("component IS NULL").select("key", "copies", "n_links", "head"))
+    by_text = materialise(by_text, "facts")
     plain = rows.select("doc_id", "key", "row", "n_shingles")
-    worded = plain.where("n_shingles > 0").join(by_text, "key").select("doc_id", "key", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("kept"))
+    hot, others = uneven(plain.where("n_shingles > 0"), by_text, "key", "copies", by_text.agg(F.sum("copies")).first()[0] or 0)
+    worded = hot.unionByName(others).select("doc_id", "key", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("kept"))
     bare = plain.where("n_shingles = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("kept"))
     return worded.unionByName(bare)
 
