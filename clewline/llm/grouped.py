@@ -54,6 +54,7 @@ def uneven(rows: DataFrame, facts: DataFrame, key: str, times: str, total: int)
 
 
 def salted(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
-    """``rows`` inner joined with ``facts`` (a short row per key); rows of one key are dealt over ``SALTS`` tasks by the column ``by``."""
-    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``rows`` inner joined with ``facts`` (a short row per key); rows of one key are dealt over ``SALTS`` tasks by the column
+    ``by``. Never broadcast: Spark's estimate of the repeated side does not know that it is repeated."""
+    spread = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"]).drop("__salt")
