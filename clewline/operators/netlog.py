@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.joins import left_lookup
 from ..functions.logic import first_true
 from ..session import materialise
 
@@ -23,10 +24,11 @@ def net_redirect_parent(requests: DataFrame) -> DataFrame:
     """Parent request and depth in its redirect chain; the depth is NULL where the chain runs in a circle.
 
     Pointers are doubled until a round ends no more chains, so the rounds grow with the logarithm of the longest chain.
+    Rows at the end of their chain take no part in a round's join.
     """
     edges = requests.select("request_id", F.col("redirected_from").alias("parent_id"))
     known = edges.select(F.col("request_id").alias("_r"))
-    out = edges.join(known, F.col("parent_id") == F.col("_r"), "left").select(
+    out = left_lookup(edges, known, "parent_id", "_r").select(
         "request_id", "parent_id", F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("_r").alias("_at"))
     out, open_ = materialise(out, "chains"), None
     while True:
@@ -35,8 +37,9 @@ def net_redirect_parent(requests: DataFrame) -> DataFrame:
             return out.select("request_id", "parent_id", F.when(F.col("_at").isNull(), F.col("depth")).alias("depth"))
         open_ = left
         above = out.select(F.col("request_id").alias("_r"), F.col("depth").alias("_d"), F.col("_at").alias("_next"))
-        j = out.join(above, F.col("_at") == F.col("_r"), "left")
-        out = materialise(j.select("request_id", "parent_id", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_next").alias("_at")), "chains")
+        j = out.where("_at IS NOT NULL").join(above, F.col("_at") == F.col("_r"), "left")
+        further = j.select("request_id", "parent_id", (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.col("_next").alias("_at"))
+        out = materialise(out.where("_at IS NULL").unionByName(further), "chains")
 
 
 def first_requests(requests: DataFrame, n: int) -> DataFrame:
