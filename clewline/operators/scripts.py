@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
 from ..functions import lexer as L, url as U
+from ..functions.joins import left_lookup
 from ..functions.logic import any3, first_true, joined
 from ..refdata import SCRIPT_APIS
 from .domains import url_relations
@@ -127,8 +128,8 @@ def event_limit(events: DataFrame, n: int = MAX_EVENTS) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind"))
     w = Window.partitionBy("page_id").orderBy(order, "pos")
     e = events.withColumn("kept", F.row_number().over(w) <= n)
-    src = e.select(F.col("event_id").alias("source_id"), F.col("kept").alias("source_kept"))
-    return e.join(src, "source_id", "left").select("event_id", "kept", F.when(F.col("kept"), F.coalesce(~F.col("source_kept"), F.lit(False))).alias("source_dropped"))
+    src = e.select(F.col("event_id").alias("_s"), F.col("kept").alias("source_kept"))
+    return left_lookup(e.select("event_id", "source_id", "kept"), src, "source_id", "_s").select("event_id", "kept", F.when(F.col("kept"), F.coalesce(~F.col("source_kept"), F.lit(False))).alias("source_dropped"))
 
 
 def script_signal_counts(pages: DataFrame, events: DataFrame) -> DataFrame:
