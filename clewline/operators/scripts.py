@@ -143,8 +143,8 @@ def script_signal_counts(pages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def _with_source(events: DataFrame) -> DataFrame:
-    src = events.select(F.col("event_id").alias("source_id"), F.col("kind").alias("source_kind"), F.col("api").alias("source_api"))
-    return events.join(src, "source_id", "left")
+    src = events.select(F.col("event_id").alias("_s"), F.col("kind").alias("source_kind"), F.col("api").alias("source_api"))
+    return left_lookup(events, src, "source_id", "_s").drop("_s")
 
 
 def decode_exec_chain(pages: DataFrame, events: DataFrame) -> DataFrame:
