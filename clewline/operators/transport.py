@@ -18,6 +18,16 @@ def _journey(journeys: DataFrame, per_hop: DataFrame) -> DataFrame:
         "_seen", F.col("hop_count").isNotNull() | F.col("final_url").isNotNull())
 
 
+def _journey_urls(journeys: DataFrame, hops: DataFrame) -> DataFrame:
+    """URLs of a journey, its own as hop 0, dealt out by journey before hosts are taken apart.
+
+    Narrow rows that many journeys share a URL of arrive in few partitions; what follows a journey needs this order anyway.
+    """
+    urls = journeys.select("journey_id", F.lit(0).alias("hop_no"), F.col("original_url").alias("u")).unionByName(
+        hops.select("journey_id", "hop_no", F.col("destination_url").alias("u")))
+    return urls.repartition("journey_id")
+
+
 def redirect_chain(journeys: DataFrame, hops: DataFrame) -> DataFrame:
     agg = hops.groupBy("journey_id").agg(
         F.count("*").alias("hop_count"), F.max_by("destination_url", "hop_no").alias("last_destination"))
@@ -28,9 +38,7 @@ def redirect_chain(journeys: DataFrame, hops: DataFrame) -> DataFrame:
 
 def redirect_domain_change(journeys: DataFrame, hops: DataFrame, index: SuffixIndex) -> DataFrame:
     """Domain changes along a journey: each hop is compared with the one before it."""
-    urls = journeys.select("journey_id", F.lit(0).alias("hop_no"), F.col("original_url").alias("u")).unionByName(
-        hops.select("journey_id", "hop_no", F.col("destination_url").alias("u")))
-    d = etld1_or_host(urls, index, "u", "dom")
+    d = etld1_or_host(_journey_urls(journeys, hops), index, "u", "dom")
     w = Window.partitionBy("journey_id").orderBy("hop_no")
     step = d.withColumn("changed", (F.col("hop_no") > 0) & ~F.col("dom").eqNullSafe(F.lag("dom").over(w)))
     agg = step.groupBy("journey_id").agg(
@@ -54,9 +62,7 @@ def redirect_to_ip(journeys: DataFrame, hops: DataFrame) -> DataFrame:
 
 
 def shortener_journey(journeys: DataFrame, hops: DataFrame, index: SuffixIndex, shorteners: DataFrame) -> DataFrame:
-    urls = journeys.select("journey_id", F.lit(0).alias("hop_no"), F.col("original_url").alias("u")).unionByName(
-        hops.select("journey_id", "hop_no", F.col("destination_url").alias("u")))
-    d = etld1_or_host(urls, index, "u", "dom").join(shorteners.withColumnRenamed("domain", "s"), F.col("dom") == F.col("s"), "left")
+    d = etld1_or_host(_journey_urls(journeys, hops), index, "u", "dom").join(shorteners.withColumnRenamed("domain", "s"), F.col("dom") == F.col("s"), "left")
     agg = d.groupBy("journey_id").agg(
         F.count("s").alias("matches"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("hop_no"))).alias("shortener"),
         F.nullif(F.count("*") - 1, F.lit(0)).alias("hop_count"))
