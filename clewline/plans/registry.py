@@ -14,6 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: An Arrow batch may hold whole pages, so it is bounded by bytes; every task of an executor holds some at a time.
+BATCH_BYTES = "4m"
+
+
 class Tables:
     """Lazy access to the given tables and to the relations derived from them."""
 
@@ -52,6 +56,7 @@ def _plain_types(df: DataFrame) -> DataFrame:
 def query(name: str, oracle: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
             return _plain_types(fn(Tables(spark, folder)))
 
         run.__name__ = name
