@@ -251,8 +251,12 @@ def settle(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def with_host(df: DataFrame, url: str, out: str, kind: str | None = None) -> DataFrame:
-    """Add the canonical lookup host of a URL column (numeric IPv4 spellings folded) and its kind."""
-    return canonical_host(df.withColumn("_h0", raw_host(standard_form(F.col(url)))), "_h0", out, kind).drop("_h0")
+    """Add the canonical lookup host of a URL column (numeric IPv4 spellings folded) and its kind.
+
+    The host as written is settled first: it is read a dozen times, each of which would take the URL apart anew.
+    """
+    df = settle(df.withColumn("_h0", raw_host(standard_form(F.col(url)))), "_h0")
+    return canonical_host(df, "_h0", out, kind).drop("_h0")
 
 
 def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None, spelled: bool = False) -> DataFrame:
@@ -265,8 +269,7 @@ def canonical_host(df: DataFrame, host: str, out: str, kind: str | None = None,
         df = settle(df.withColumn("_h1", named), "_h1")
     else:
         df = df.withColumn("_h1", plain)
-    df = df.withColumns({
-        "_parts": F.when(numeric_tail(F.col("_h1")), F.split(F.regexp_replace("_h1", r"\.$", ""), r"\."))})
+    df = settle(df.withColumn("_parts", F.when(numeric_tail(F.col("_h1")), F.split(F.regexp_replace("_h1", r"\.$", ""), r"\."))), "_parts")
     df = df.withColumns({f"_v{i}": _ipv4_part(F.get("_parts", F.lit(i))) for i in range(4)})
     df = df.withColumn("_ip", _ipv4_value(F.size("_parts"), [F.col(f"_v{i}") for i in range(4)]))
     df = df.withColumn(out, F.when(F.col("_ip").isNotNull(), ipv4_text(F.col("_ip"))).otherwise(F.col("_h1")))

@@ -61,9 +61,10 @@ def etld1(df: DataFrame, index: SuffixIndex, url: str, out: str) -> DataFrame:
         "_h", "_d_subdomain", "_d_domain", "_d_suffix", "_d_registered_domain")
 
 
-def etld1_or_host(df: DataFrame, index: SuffixIndex, url: str, out: str) -> DataFrame:
-    """Journey variant: suffix-less and IP hosts keep the bare name, so every URL has a value."""
-    d = domain_split(U.with_host(df, url, "_h"), index, "_h", "_d_")
+def etld1_or_host(df: DataFrame, index: SuffixIndex, url: str, out: str, host: str | None = None) -> DataFrame:
+    """Journey variant: suffix-less and IP hosts keep the bare name, so every URL has a value. ``host`` names a column for its host."""
+    h = host or "_h"
+    d = domain_split(U.with_host(df, url, h), index, h, "_d_")
     return d.withColumn(
         out, F.when(F.col("_d_suffix") == "", F.col("_d_domain")).otherwise(F.concat_ws(".", "_d_domain", "_d_suffix"))
     ).drop("_h", "_d_subdomain", "_d_domain", "_d_suffix", "_d_registered_domain")

@@ -170,10 +170,12 @@ def credential_access_exfil(pages: DataFrame, events: DataFrame) -> DataFrame:
 
 def env_branching(pages: DataFrame, branches: DataFrame) -> DataFrame:
     """Environment branches whose two arms do different things (order within an arm is ignored)."""
+    # Arms are compared by how often each has a thing, so rows are counted before they move and no list is made.
+    more = F.when(F.col("arm") == "a", 1).when(F.col("arm") == "b", -1).otherwise(0)
     item = F.concat_ws("|", "behaviour", "target")
-    g = branches.groupBy("page_id", "branch_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("arm") == "a", item))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("arm") == "b", item))).alias("b"))
-    p = g.groupBy("page_id").agg(F.bool_or(F.col("a") != F.col("b")).alias("differs"), F.count("*").alias("branches"))
+    g = branches.groupBy("page_id", "branch_id", item.alias("item")).agg(F.sum(more).alias("more"))
+    g = g.groupBy("page_id", "branch_id").agg(F.bool_or(F.col("more") != 0).alias("differs"))
+    p = g.groupBy("page_id").agg(F.bool_or("differs").alias("differs"), F.count("*").alias("branches"))
     return pages.select("page_id").join(p, "page_id", "left").select("page_id", F.coalesce("differs", F.lit(False)).alias("detected"), F.coalesce("branches", F.lit(0)).alias("branches"))
 
 

@@ -45,19 +45,24 @@ def page_signals(pages: DataFrame, findings: list[DataFrame], statuses: DataFram
     row was not collected. ``statuses`` are those of the pages' scripts; a script signal outside ``policies`` has no policy.
     """
     found = reduce(lambda a, b: a.unionByName(b), findings).where(F.col("signal_id").isin(*SIGNALS))
-    # All findings meet their page in one shuffle; a page has at most one entry a signal.
-    entry = F.struct("signal_id", F.struct("detected", "measured").alias("found"))
-    by_page = found.groupBy("target_id").agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+    # All findings meet their page in one shuffle, counted together before it as one bit a signal; a page has at most one entry a signal.
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))
+    bits = found.withColumn("bit", bit(F.array_position(F.array(*[F.lit(s) for s in SIGNALS]), F.col("signal_id")) - 1))
+    where = lambda c: F.coalesce(F.bit_or(F.when(c, F.col("bit"))), F.lit(0))
+    by_page = bits.groupBy("target_id").agg(F.count("*").alias("n"), F.bit_or("bit").alias("found"), where(F.col("detected")).alias("yes"), where(~F.col("detected")).alias("no"), where(F.col("measured")).alias("measures"))
+    once = F.when(F.col("n") == F.bit_count("found"), F.col("found")).otherwise(F.raise_error(F.lit("a page has two findings of one signal")))
+    by_page = by_page.withColumn("found", once).drop("n")
     base = page_sources(pages).join(by_page, F.col("page_id") == F.col("target_id"), "left").drop("target_id").join(script_facts(statuses), "page_id", "left")
     base = base.withColumns({"script_count": F.coalesce("script_count", F.lit(0)), "parsed_count": F.coalesce("parsed_count", F.lit(0))})
     every = base.select("*", F.posexplode(F.array(*[F.lit(s) for s in SIGNALS])).alias("position", "signal_id"))
-    every = every.withColumn("own", F.element_at("found", F.col("signal_id"))).withColumns({
-        "target_id": F.col("page_id"), "position": F.col("position") + 1, "detected": F.col("own.detected"), "got": F.col("own").isNotNull()})
+    held = lambda mask: F.coalesce(F.col(mask).bitwiseAND(bit(F.col("position"))) != 0, F.lit(False))
+    every = every.withColumns({"got": held("found"), "detected": F.when(held("yes"), True).when(held("no"), False), "measured": held("measures")}).withColumns({
+        "target_id": F.col("page_id"), "position": F.col("position") + 1})
 
     name = F.col("signal_id")
     flat = every.where(~name.isin(*SCRIPT))
     html = html_result(F.col("detected"), F.col("got") | ~name.isin(*ONLY_WHERE_FOUND))
-    missing = first_true([(~F.col("got"), "not_collected"), (name.isin(*MEASURED) & ~F.col("own.measured"), "measurement_unavailable")])
+    missing = first_true([(~F.col("got"), "not_collected"), (name.isin(*MEASURED) & ~F.col("measured"), "measurement_unavailable")])
     other = F.struct(F.when(missing.isNull(), "evaluated").otherwise("error").alias("status"), F.when(missing.isNull() & ~name.isin(*MEASURED), F.col("detected")).alias("detected"), missing.alias("error"))
     flat = flat.select("target_id", "position", "signal_id", F.when(name.isin(*HTML), html).otherwise(other).alias("r")).select("target_id", "position", "signal_id", "r.*")
 

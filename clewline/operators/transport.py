@@ -22,10 +22,21 @@ def _journey_urls(journeys: DataFrame, hops: DataFrame) -> DataFrame:
     """URLs of a journey, its own as hop 0, dealt out by journey before hosts are taken apart.
 
     Narrow rows that many journeys share a URL of arrive in few partitions; what follows a journey needs this order anyway.
+    Their number is given, as partitions are joined by their bytes else, and short URLs take long to be taken apart.
     """
-    urls = journeys.select("journey_id", F.lit(0).alias("hop_no"), F.col("original_url").alias("u")).unionByName(
-        hops.select("journey_id", "hop_no", F.col("destination_url").alias("u")))
-    return urls.repartition("journey_id")
+    urls = journeys.select("journey_id", F.lit(0).alias("hop_no"), F.col("original_url").alias("u"), F.lit(True).alias("own")).unionByName(
+        hops.select("journey_id", "hop_no", F.col("destination_url").alias("u"), F.lit(False).alias("own")))
+    return urls.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "journey_id")
+
+
+def journey_urls(journeys: DataFrame, hops: DataFrame, index: SuffixIndex) -> DataFrame:
+    """journey_id, hop_no, u, own, host, dom of the URLs of journeys; a table that has them is returned as is.
+
+    Write it once where several checks read it: they take it in place of ``hops``.
+    """
+    if "dom" in hops.columns:
+        return hops
+    return etld1_or_host(_journey_urls(journeys, hops), index, "u", "dom", "host")
 
 
 def redirect_chain(journeys: DataFrame, hops: DataFrame) -> DataFrame:
@@ -38,7 +49,7 @@ def redirect_chain(journeys: DataFrame, hops: DataFrame) -> DataFrame:
 
 def redirect_domain_change(journeys: DataFrame, hops: DataFrame, index: SuffixIndex) -> DataFrame:
     """Domain changes along a journey: each hop is compared with the one before it."""
-    d = etld1_or_host(_journey_urls(journeys, hops), index, "u", "dom")
+    d = journey_urls(journeys, hops, index)
     w = Window.partitionBy("journey_id").orderBy("hop_no")
     step = d.withColumn("changed", (F.col("hop_no") > 0) & ~F.col("dom").eqNullSafe(F.lag("dom").over(w)))
     agg = step.groupBy("journey_id").agg(
@@ -51,7 +62,8 @@ def redirect_domain_change(journeys: DataFrame, hops: DataFrame, index: SuffixIn
 
 
 def redirect_to_ip(journeys: DataFrame, hops: DataFrame) -> DataFrame:
-    h = U.with_host(hops, "destination_url", "h")
+    split = "dom" in hops.columns
+    h = hops.where("NOT own").select("journey_id", "hop_no", F.col("u").alias("destination_url"), F.col("host").alias("h")) if split else U.with_host(hops, "destination_url", "h")
     ip = U.ip_kind(F.col("h")).isNotNull()
     agg = h.groupBy("journey_id").agg(
         F.count("*").alias("hop_count"), F.bool_or(ip).alias("hit"),
@@ -62,7 +74,7 @@ def redirect_to_ip(journeys: DataFrame, hops: DataFrame) -> DataFrame:
 
 
 def shortener_journey(journeys: DataFrame, hops: DataFrame, index: SuffixIndex, shorteners: DataFrame) -> DataFrame:
-    d = etld1_or_host(_journey_urls(journeys, hops), index, "u", "dom").join(shorteners.withColumnRenamed("domain", "s"), F.col("dom") == F.col("s"), "left")
+    d = journey_urls(journeys, hops, index).join(shorteners.withColumnRenamed("domain", "s"), F.col("dom") == F.col("s"), "left")
     agg = d.groupBy("journey_id").agg(
         F.count("s").alias("matches"), F.min_by("s", F.when(F.col("s").isNotNull(), F.col("hop_no"))).alias("shortener"),
         F.nullif(F.count("*") - 1, F.lit(0)).alias("hop_count"))

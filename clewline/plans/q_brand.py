@@ -201,16 +201,18 @@ def _(t):
     known = lambda df: df.withColumn("detected", F.coalesce("detected", F.lit(False)))  # noqa: E731  only a cut page leaves these unknown
     posts = P.external_post(pp.withColumn("source_complete", F.lit(True)), forms, P.page_buttons(controls, forms), index).where("posts > 0")
     at_ = at()
-    journeys, hops, responses, certs, sans = t.journeys, materialise(t.hops, "hops"), t.responses, t.certs, t.cert_san
+    # What several checks read is worked out once: journeys, hops and their split URLs, certificates, script events.
+    journeys, hops, responses, certs, sans = materialise(t.journeys, "journeys"), materialise(t.hops, "hops"), t.responses, materialise(t.certs, "certs"), t.cert_san
+    urls = materialise(T.journey_urls(journeys, hops, index), "journey-urls")
     some = t.sql(SOME_SANS, "certs cert_san")
-    header = [T.redirect_chain(journeys, hops), T.redirect_domain_change(journeys, hops, index), T.redirect_to_ip(journeys, hops), T.shortener_journey(journeys, hops, index, R.shorteners(t.spark)),
+    header = [T.redirect_chain(journeys, hops), T.redirect_domain_change(journeys, urls, index), T.redirect_to_ip(journeys, urls), T.shortener_journey(journeys, urls, index, R.shorteners(t.spark)),
               T.content_type_mismatch(responses), T.dangerous_download(responses), T.forced_download(responses), T.http_refresh(responses), T.protocol_downgrade(journeys, hops)]
     cert = [T.cert_age_days(certs, at_), T.cert_validity(certs, at_), T.cert_hostname_match(certs, some), T.self_signed(certs), T.cert_chain(certs), T.ct_first_seen(certs, t.scts, t.ct_logs, at_), T.tls_legacy(certs), T.wildcard_cert(certs, sans)]
     brand, current = materialise(identified(t), "brands"), t.sql(CURRENT)
     html = [known(P.credential_form(pp, fields)), known(P.credential_field(pp, fields)), forms.select("page_id").distinct().withColumn("detected", F.lit(None)), posts,
             B.brand_domain_mismatch(brand, current, t.sql(OWN)), B.brand_resource_mismatch(t.sql(RES), brand, current, t.sql(OWN), t.spark.sql("SELECT 'shared.net' AS domain"), t.sql(POL)),
             known(P.html_redirect(pp, P.meta_refresh(tags))), P.base_url_change(pp.withColumn("source_complete", F.lit(True)), bases, index)]
-    events, owners = t.js_events, pp.select("page_id")
+    events, owners = materialise(t.js_events, "events"), pp.select("page_id")
     script = [(None, S.script_signal_counts(owners, events)), (None, S.credential_access_exfil(owners, events)), ("L3-J-02", S.decode_exec_chain(owners, events)), ("L3-J-09", S.env_branching(owners, t.sql(Q.ARMS)))]
     findings = [G.finding(df, s, "journey_id" if "journey_id" in df.columns else "page_id") for s, df in zip(G.HEADER, header)]
     findings += [G.finding(df, s, "cert_id", "NULL" if s in G.MEASURED else "detected", "age_days" if s in G.MEASURED else None) for s, df in zip(G.CERTIFICATE, cert)]
