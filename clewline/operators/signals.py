@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.logic import first_true
+from ..session import materialise
 from .pages import html_result, page_sources
 from .scripts import signal_completeness
 
@@ -54,6 +55,8 @@ def page_signals(pages: DataFrame, findings: list[DataFrame], statuses: DataFram
     by_page = by_page.withColumn("found", once).drop("n")
     base = page_sources(pages).join(by_page, F.col("page_id") == F.col("target_id"), "left").drop("target_id").join(script_facts(statuses), "page_id", "left")
     base = base.withColumns({"script_count": F.coalesce("script_count", F.lit(0)), "parsed_count": F.coalesce("parsed_count", F.lit(0))})
+    # Written, as the two kinds of signals below read different columns of it and would each work out all findings.
+    base = materialise(base, "findings")
     every = base.select("*", F.posexplode(F.array(*[F.lit(s) for s in SIGNALS])).alias("position", "signal_id"))
     held = lambda mask: F.coalesce(F.col(mask).bitwiseAND(bit(F.col("position"))) != 0, F.lit(False))
     every = every.withColumns({"got": held("found"), "detected": F.when(held("yes"), True).when(held("no"), False), "measured": held("measures")}).withColumns({
